@@ -31,12 +31,18 @@ def words(col_normalized) -> Column:
 
 
 def shingles(col_normalized, n: int = 3) -> Column:
-    """H7: one n-word shingle per position up to len-n+1, at least one."""
+    """H7: one n-word shingle per position up to len-n+1, at least one.
+    Built with zip_with over shifted slices, so no lambda re-reads the
+    word array (a lambda that did would split the text once per shingle)."""
     w = words(col_normalized)
-    last = F.greatest(F.size(w) - (n - 1), F.lit(1))
-    return F.when(F.size(w) == 0, F.array().cast("array<string>")).otherwise(
-        F.transform(F.sequence(F.lit(1), last),
-                    lambda i: F.array_join(F.slice(w, i, n), " ")))
+    size = F.size(w)
+    m = F.greatest(size - (n - 1), F.lit(0))
+    acc = F.slice(w, 1, m)
+    for k in range(2, n + 1):
+        acc = F.zip_with(acc, F.slice(w, k, m), lambda a, b: F.concat(a, F.lit(" "), b))
+    return (F.when(size == 0, F.array().cast("array<string>"))
+             .when(size < n, F.array(F.array_join(w, " ")))
+             .otherwise(acc))
 
 
 def content_preview(col, n: int = 200) -> Column:

@@ -131,10 +131,13 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
                  vector_col: str | None = None, hamming_limit: int = 3,
                  window_seconds: float | None = 72 * 3600, cos_threshold: float = 0.92,
                  srp_bits: int | None = None, srp_bands: int | None = None,
+                 use_url: bool = True, use_simhash: bool = True,
                  bucket_size: int = 1 << 18, max_rounds: int = 64) -> DataFrame:
     """K1: decide every row. ``rows`` needs id, arrival (unique, processing
     order), time (non-decreasing with arrival), url key, sim_hi/sim_lo and
     optionally a vector column (None disables the vector stage).
+    ``use_url`` / ``use_simhash`` switch the other stages off (the cluster
+    seed rule is this operator on the cosine graph alone).
 
     Returns rows with ``kept`` (bool), ``stage`` (null, 'url', 'simhash',
     'vector' or 'no_vector'), ``duplicate_of`` (id of the kept row),
@@ -145,8 +148,9 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     base = rows.select(
         F.col(id_col).alias("rid"), F.col(arrival_col).cast("long").alias("a"),
         F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"),
-        F.col(url_col).cast("string").alias("uid"), F.col("sim_hi").alias("hi"),
-        F.col("sim_lo").alias("lo"),
+        (F.col(url_col).cast("string") if use_url else F.lit(None).cast("string")).alias("uid"),
+        (F.col("sim_hi") if use_simhash else F.lit(0).cast("long")).alias("hi"),
+        (F.col("sim_lo") if use_simhash else F.lit(0).cast("long")).alias("lo"),
         *([F.col(vector_col).alias("vec")] if use_vec else []))
     if use_vec:
         v1, v2 = vector_id("vec")
@@ -158,24 +162,29 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
 
     # --- static query keys: (rid, key) per signature, with match strength ---
     ids = base.select("rid", "a", "t")
-    q_url = base.select("rid", "a", "t", F.lit(K_URL).alias("kt"), F.col("uid").alias("ks"),
+    # the url key is always queried (it is how every row meets the round
+    # aggregate); with use_url=False no source carries it, so it never hits
+    q_url = base.select("rid", "a", "t", F.lit(K_URL).alias("kt"),
+                        F.coalesce(F.col("uid"), F.lit("")).alias("ks"),
                         F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
                         F.lit(None).cast("int").alias("dist"),
                         F.lit(None).cast("double").alias("score"))
-    fpn = simhash_neighbors(base.select(F.col("hi").alias("sim_hi"), F.col("lo").alias("sim_lo")),
-                            hamming_limit)
-    q_sim = (base.select("rid", "a", "t", "hi", "lo").join(fpn, ["hi", "lo"])
-                 .select("rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
-                         F.col("nhi").alias("k1"), F.col("nlo").alias("k2"), "dist",
-                         F.lit(None).cast("double").alias("score")))
-    queries = q_url.unionByName(q_sim)
-    src_keys = (base.where("can_keep").select("rid", "a", "t", F.lit(K_URL).alias("kt"),
-                                              F.col("uid").alias("ks"),
-                                              F.lit(0).cast("long").alias("k1"),
-                                              F.lit(0).cast("long").alias("k2"))
-                .unionByName(base.where("can_keep").select(
-                    "rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
-                    F.col("hi").alias("k1"), F.col("lo").alias("k2"))))
+    queries = q_url
+    keepable = base.where("can_keep")
+    src_keys = (keepable.where(F.col("uid").isNotNull())
+                .select("rid", "a", "t", F.lit(K_URL).alias("kt"), F.col("uid").alias("ks"),
+                        F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")))
+    if use_simhash:
+        fpn = simhash_neighbors(base.select(F.col("hi").alias("sim_hi"),
+                                            F.col("lo").alias("sim_lo")), hamming_limit)
+        q_sim = (base.select("rid", "a", "t", "hi", "lo").join(fpn, ["hi", "lo"])
+                     .select("rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
+                             F.col("nhi").alias("k1"), F.col("nlo").alias("k2"), "dist",
+                             F.lit(None).cast("double").alias("score")))
+        queries = queries.unionByName(q_sim)
+        src_keys = src_keys.unionByName(keepable.select(
+            "rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
+            F.col("hi").alias("k1"), F.col("lo").alias("k2")))
     if use_vec:
         vn = vector_neighbors(distinct_vectors(base, "vec"), cos_threshold, srp_bits, srp_bands)
         q_vec = (base.where(F.col("vid1").isNotNull()).select("rid", "a", "t", "vid1", "vid2")
@@ -191,12 +200,7 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     src_keys = cut_lineage(src_keys)
 
     win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
-    state = cut_lineage(base.select("rid", F.lit("U").alias("status"),
-                                    F.lit(None).cast("string").alias("stage"),
-                                    F.col("rid").alias("duplicate_of"),
-                                    F.lit(None).cast("int").alias("distance"),
-                                    F.lit(None).cast("double").alias("score"))
-                        .withColumn("duplicate_of", F.lit(None).cast(base.schema["rid"].dataType)))
+    state = cut_lineage(base.select("rid", F.lit("U").alias("status")))
     undecided = state.count()
     rounds = 0
     while undecided > 0:
@@ -215,35 +219,46 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
             (F.col("kt") != K_SIM) | (F.col("u_last.t") > F.col("t") - F.lit(win_us)))
         k_hit = F.col("k_last").isNotNull() & in_win
         u_hit = F.col("u_last").isNotNull() & u_win
-        agg = hits.groupBy("rid").agg(
-            F.min(F.when(k_hit & (F.col("kt") == K_URL),
-                         F.struct(-F.col("k_last.a"), F.col("k_last.id")))).alias("url_best"),
-            F.min(F.when(k_hit & (F.col("kt") == K_SIM),
-                         F.struct(F.col("dist"), -F.col("k_last.a"), F.col("k_last.id")))).alias("sim_best"),
-            F.min(F.when(k_hit & (F.col("kt") == K_VEC),
-                         F.struct(-F.col("score"), -F.col("k_last.a"), F.col("k_last.id"),
-                                  F.col("score").alias("s")))).alias("vec_best"),
-            F.max(u_hit).alias("wait"))
+        agg = hits.groupBy("rid").agg(F.max(k_hit).alias("blocked"), F.max(u_hit).alias("wait"))
         decided = (agg.join(base.select("rid", "can_keep"), "rid")
-                   .select("rid",
-                           F.when(F.col("url_best").isNotNull() | F.col("sim_best").isNotNull()
-                                  | F.col("vec_best").isNotNull(), F.lit("D"))
-                            .when(F.col("wait"), F.lit("U"))
-                            .when(F.col("can_keep"), F.lit("K")).otherwise(F.lit("D")).alias("status"),
-                           F.when(F.col("url_best").isNotNull(), F.lit("url"))
-                            .when(F.col("sim_best").isNotNull(), F.lit("simhash"))
-                            .when(F.col("vec_best").isNotNull(), F.lit("vector"))
-                            .when(~F.col("wait") & ~F.col("can_keep"), F.lit("no_vector"))
-                            .alias("stage"),
-                           F.coalesce(F.col("url_best.id"), F.col("sim_best.id"),
-                                      F.col("vec_best.id")).alias("duplicate_of"),
-                           F.when(F.col("url_best").isNull(), F.col("sim_best.dist")).alias("distance"),
-                           F.when(F.col("url_best").isNull() & F.col("sim_best").isNull(),
-                                  F.col("vec_best.s")).alias("score")))
-        state = cut_lineage(
-            state.where(F.col("status") != "U").unionByName(decided))
+                   .select("rid", F.when(F.col("blocked"), F.lit("D"))
+                                   .when(F.col("wait"), F.lit("U"))
+                                   .when(F.col("can_keep"), F.lit("K"))
+                                   .otherwise(F.lit("D")).alias("status")))
+        state = cut_lineage(state.where(F.col("status") != "U").unionByName(decided))
         undecided = state.where(F.col("status") == "U").count()
 
+    # naming pass over the final kept set: the sequential rule compares a
+    # dropped row with *every* earlier kept row, not only those kept by the
+    # round in which it was dropped
+    kept = state.where(F.col("status") == "K").select("rid", F.col("status").alias("kind"))
+    dropped = state.where(F.col("status") == "D").select("rid")
+    q = queries.join(dropped, "rid", "left_semi")
+    s = src_keys.join(kept, "rid").select(F.col("rid").alias("sid"), "a", "t", "kt", "ks",
+                                          "k1", "k2", "kind")
+    hits = _asof_latest(q, s, bucket_size)
+    in_win = (F.col("kt") != K_SIM) if win_us is None else (
+        (F.col("kt") != K_SIM) | (F.col("k_last.t") > F.col("t") - F.lit(win_us)))
+    k_hit = F.col("k_last").isNotNull() & in_win
+    named = hits.groupBy("rid").agg(
+        F.min(F.when(k_hit & (F.col("kt") == K_URL),
+                     F.struct(-F.col("k_last.a"), F.col("k_last.id").alias("id")))).alias("url_best"),
+        F.min(F.when(k_hit & (F.col("kt") == K_SIM),
+                     F.struct(F.col("dist"), -F.col("k_last.a"), F.col("k_last.id").alias("id")))).alias("sim_best"),
+        F.min(F.when(k_hit & (F.col("kt") == K_VEC),
+                     F.struct(-F.col("score"), -F.col("k_last.a"), F.col("k_last.id").alias("id"),
+                              F.col("score").alias("s")))).alias("vec_best"))
+    named = named.select(
+        "rid",
+        F.when(F.col("url_best").isNotNull(), F.lit("url"))
+         .when(F.col("sim_best").isNotNull(), F.lit("simhash"))
+         .when(F.col("vec_best").isNotNull(), F.lit("vector"))
+         .otherwise(F.lit("no_vector")).alias("stage"),
+        F.coalesce(F.col("url_best.id"), F.col("sim_best.id"), F.col("vec_best.id")).alias("duplicate_of"),
+        F.when(F.col("url_best").isNull(), F.col("sim_best.dist")).alias("distance"),
+        F.when(F.col("url_best").isNull() & F.col("sim_best").isNull(),
+               F.col("vec_best.s")).alias("score"))
+    state = state.select("rid", "status").join(named, "rid", "left")
     out = rows.join(state.withColumnRenamed("rid", id_col), id_col)
     return (out.withColumn("kept", F.col("status") == "K").drop("status")
                .withColumn("score", F.round("score", 6)))

@@ -139,15 +139,20 @@ def srp_bands(col, bits: int, bands: int, seed: int = 7) -> Column:
 
     @F.pandas_udf(T.ArrayType(T.LongType()))
     def _sig(vs: pd.Series) -> pd.Series:
-        out = []
+        out = [None] * len(vs)
         weights = (1 << np.arange(bits, dtype=np.int64))
-        for v in vs:
-            if v is None:
-                out.append(None)
-                continue
-            x = np.asarray(v, dtype=np.float32)
-            s = (x @ _planes(len(x), bits * bands, seed)) > 0
-            out.append((s.reshape(bands, bits).astype(np.int64) * weights).sum(axis=1))
+        idx = [i for i, v in enumerate(vs) if v is not None]
+        if not idx:
+            return pd.Series(out, dtype=object)
+        by_dim: dict[int, list[int]] = {}
+        for i in idx:
+            by_dim.setdefault(len(vs.iat[i]), []).append(i)
+        for dim, rows in by_dim.items():
+            X = np.stack([np.asarray(vs.iat[i], dtype=np.float32) for i in rows])
+            S = (X @ _planes(dim, bits * bands, seed)) > 0
+            codes = (S.reshape(len(rows), bands, bits).astype(np.int64) * weights).sum(axis=2)
+            for j, i in enumerate(rows):
+                out[i] = codes[j]
         return pd.Series(out, dtype=object)
 
     return _sig(F.col(col) if isinstance(col, str) else col)
@@ -168,23 +173,20 @@ def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
     """C3 on distinct vectors: (vid1, vid2, nvid1, nvid2, score) for every
     ordered pair with cosine >= threshold (both directions), plus self pairs.
 
-    Candidates: equi-join on (band, value); each pair is emitted only in the
-    first band where it collides (no distinct shuffle); exact cosine check."""
+    Candidates: equi-join on (band, value) of ids only (vectors and
+    signatures stay out of the band shuffle); a pair colliding in several
+    bands is reduced by a map-side-combined distinct; exact cosine check."""
     if n_hint is None:
         n_hint = vecs.count()
     bits, bands = srp_params(threshold, n_hint, bits=bits, bands=bands)
     sig = vecs.withColumn("sig", srp_bands("vec", bits, bands, seed))
-    # vectors stay out of the band shuffle; only ids and band values move
-    ex = sig.select("vid1", "vid2", "sig", F.posexplode("sig").alias("band", "bval"))
+    ex = sig.select("vid1", "vid2", F.posexplode("sig").alias("band", "bval"))
     l, r = ex.alias("l"), ex.alias("r")
-    earlier_band_differs = F.forall(
-        F.sequence(F.lit(0), F.col("l.band")),
-        lambda i: (i == F.col("l.band")) | (F.element_at("l.sig", i + 1) != F.element_at("r.sig", i + 1)))
     pairs = (l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.bval") == F.col("r.bval"))
                     & (F.struct("l.vid1", "l.vid2") < F.struct("r.vid1", "r.vid2")))
-              .where(earlier_band_differs)
               .select(F.col("l.vid1").alias("vid1"), F.col("l.vid2").alias("vid2"),
-                      F.col("r.vid1").alias("nvid1"), F.col("r.vid2").alias("nvid2")))
+                      F.col("r.vid1").alias("nvid1"), F.col("r.vid2").alias("nvid2"))
+              .distinct())
     lv = vecs.select("vid1", "vid2", F.col("vec").alias("lvec"))
     rv = vecs.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"),
                      F.col("vec").alias("rvec"))

@@ -50,6 +50,10 @@ def get_spark(master: str | None = None, app: str = "storyspark",
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is also the executor
+            builder = builder.config("spark.driver.memory",
+                                     os.environ.get("STORYSPARK_DRIVER_MEM", "16g"))
     for k, v in DEFAULT_CONF.items():
         builder = builder.config(k, v)
     if shuffle_partitions:
