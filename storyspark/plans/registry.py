@@ -846,7 +846,7 @@ def q_event_once(spark, sf):
 
 @register("poison_split", """
 WITH env AS (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, 5) ELSE props END AS payload FROM events)
-SELECT event_id, json_valid(payload) AND json_extract(payload, '$.k') IS NOT NULL AS valid,
+SELECT event_id, CASE WHEN json_valid(payload) THEN json_extract(payload, '$.k') IS NOT NULL ELSE false END AS valid,
        CAST(CASE WHEN json_valid(payload) THEN json_extract(payload, '$.k') END AS INTEGER) AS k
 FROM env""")
 def q_poison_split(spark, sf):
