@@ -21,15 +21,19 @@ Scale notes
 
 from __future__ import annotations
 
+import os
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.simhash import disjoint_bands, hamming, simhash128
-from ..session import cut_lineage
+from ..session import cut_lineage, spread
 from .vectors import distinct_vectors, vector_id, vector_neighbors
 
 K_URL, K_SIM, K_VEC = 0, 1, 2
+_TRACE = bool(os.environ.get("STORYSPARK_TRACE"))
 
 
 def known_url_guard(new: DataFrame, stored: DataFrame, key: str = "url_hash") -> DataFrame:
@@ -39,7 +43,7 @@ def known_url_guard(new: DataFrame, stored: DataFrame, key: str = "url_hash") ->
 
 def with_simhash(df: DataFrame, text_col: str = "content") -> DataFrame:
     """Add sim_hi / sim_lo (128-bit SimHash of the normalized text)."""
-    return (df.withColumn("_sh", simhash128(F.col(text_col)))
+    return (spread(df).withColumn("_sh", simhash128(F.col(text_col)))
               .withColumn("sim_hi", F.col("_sh.sim_hi"))
               .withColumn("sim_lo", F.col("_sh.sim_lo")).drop("_sh"))
 
@@ -132,6 +136,7 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
                  window_seconds: float | None = 72 * 3600, cos_threshold: float = 0.92,
                  srp_bits: int | None = None, srp_bands: int | None = None,
                  use_url: bool = True, use_simhash: bool = True,
+                 prior_kept: DataFrame | None = None,
                  bucket_size: int = 1 << 18, max_rounds: int = 64) -> DataFrame:
     """K1: decide every row. ``rows`` needs id, arrival (unique, processing
     order), time (non-decreasing with arrival), url key, sim_hi/sim_lo and
@@ -143,15 +148,24 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     'vector' or 'no_vector'), ``duplicate_of`` (id of the kept row),
     ``distance`` (SimHash stage) and ``score`` (vector stage). Naming rule
     (the reference's choice depends on set order): lowest distance / highest
-    cosine, then the most recent kept row, then the smallest id."""
+    cosine, then the most recent kept row, then the smallest id.
+
+    ``prior_kept`` (same columns): rows kept by earlier batches (streaming
+    state); they count as kept and earlier, and are not returned."""
     use_vec = vector_col is not None
-    base = rows.select(
-        F.col(id_col).alias("rid"), F.col(arrival_col).cast("long").alias("a"),
-        F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"),
-        (F.col(url_col).cast("string") if use_url else F.lit(None).cast("string")).alias("uid"),
-        (F.col("sim_hi") if use_simhash else F.lit(0).cast("long")).alias("hi"),
-        (F.col("sim_lo") if use_simhash else F.lit(0).cast("long")).alias("lo"),
-        *([F.col(vector_col).alias("vec")] if use_vec else []))
+
+    def _proj(df):
+        return df.select(
+            F.col(id_col).alias("rid"), F.col(arrival_col).cast("long").alias("a"),
+            F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"),
+            (F.col(url_col).cast("string") if use_url else F.lit(None).cast("string")).alias("uid"),
+            (F.col("sim_hi") if use_simhash else F.lit(0).cast("long")).alias("hi"),
+            (F.col("sim_lo") if use_simhash else F.lit(0).cast("long")).alias("lo"),
+            *([F.col(vector_col).alias("vec")] if use_vec else []))
+
+    base = _proj(rows).withColumn("prior", F.lit(False))
+    if prior_kept is not None:
+        base = base.unionByName(_proj(prior_kept).withColumn("prior", F.lit(True)))
     if use_vec:
         v1, v2 = vector_id("vec")
         base = base.withColumn("vid1", v1).withColumn("vid2", v2).withColumn(
@@ -161,10 +175,10 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     base = cut_lineage(base)
 
     # --- static query keys: (rid, key) per signature, with match strength ---
-    ids = base.select("rid", "a", "t")
+    qbase = base.where(~F.col("prior"))
     # the url key is always queried (it is how every row meets the round
     # aggregate); with use_url=False no source carries it, so it never hits
-    q_url = base.select("rid", "a", "t", F.lit(K_URL).alias("kt"),
+    q_url = qbase.select("rid", "a", "t", F.lit(K_URL).alias("kt"),
                         F.coalesce(F.col("uid"), F.lit("")).alias("ks"),
                         F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
                         F.lit(None).cast("int").alias("dist"),
@@ -177,7 +191,7 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     if use_simhash:
         fpn = simhash_neighbors(base.select(F.col("hi").alias("sim_hi"),
                                             F.col("lo").alias("sim_lo")), hamming_limit)
-        q_sim = (base.select("rid", "a", "t", "hi", "lo").join(fpn, ["hi", "lo"])
+        q_sim = (qbase.select("rid", "a", "t", "hi", "lo").join(fpn, ["hi", "lo"])
                      .select("rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
                              F.col("nhi").alias("k1"), F.col("nlo").alias("k2"), "dist",
                              F.lit(None).cast("double").alias("score")))
@@ -187,7 +201,7 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
             F.col("hi").alias("k1"), F.col("lo").alias("k2")))
     if use_vec:
         vn = vector_neighbors(distinct_vectors(base, "vec"), cos_threshold, srp_bits, srp_bands)
-        q_vec = (base.where(F.col("vid1").isNotNull()).select("rid", "a", "t", "vid1", "vid2")
+        q_vec = (qbase.where(F.col("vid1").isNotNull()).select("rid", "a", "t", "vid1", "vid2")
                  .join(vn, ["vid1", "vid2"])
                  .select("rid", "a", "t", F.lit(K_VEC).alias("kt"), F.lit("").alias("ks"),
                          F.col("nvid1").alias("k1"), F.col("nvid2").alias("k2"),
@@ -200,9 +214,13 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     src_keys = cut_lineage(src_keys)
 
     win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
-    state = cut_lineage(base.select("rid", F.lit("U").alias("status")))
-    undecided = state.count()
+    state = cut_lineage(base.select(
+        "rid", F.when(F.col("prior"), F.lit("K")).otherwise(F.lit("U")).alias("status")))
+    undecided = state.where(F.col("status") == "U").count()
     rounds = 0
+    _t0 = time.time()
+    if _TRACE:
+        print(f"[dedup_decide] setup done, {undecided} rows", flush=True)
     while undecided > 0:
         rounds += 1
         if rounds > max_rounds:
@@ -227,6 +245,9 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
                                    .otherwise(F.lit("D")).alias("status")))
         state = cut_lineage(state.where(F.col("status") != "U").unionByName(decided))
         undecided = state.where(F.col("status") == "U").count()
+        if _TRACE:
+            print(f"[dedup_decide] round {rounds}: {undecided} undecided, "
+                  f"{time.time() - _t0:.1f}s", flush=True)
 
     # naming pass over the final kept set: the sequential rule compares a
     # dropped row with *every* earlier kept row, not only those kept by the

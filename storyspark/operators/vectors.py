@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.vectors import cosine, l2_norm
+from ..session import spread
 
 DEFAULT_DIM = 384
 
@@ -33,7 +34,8 @@ _TOKEN = re.compile(r"\w+")
 
 class FeatureHasher:
     """Default text -> unit vector model: signed feature hashing of word
-    tokens over the whole text (CRC-32 of each token picks slot and sign).
+    tokens over the whole text (CRC-32 of each token picks slot and sign),
+    sublinear term weight log(1 + tf) so repeated lines do not dominate.
     A user model is any callable list[str] -> ndarray (n, dim)."""
 
     def __init__(self, dim: int = DEFAULT_DIM):
@@ -58,7 +60,7 @@ class FeatureHasher:
                     hit = (h % self.dim, 1.0 if (h >> 31) & 1 else -1.0)
                     cache[tok] = hit
                 idx[j], sgn[j] = hit
-            np.add.at(out[i], idx, sgn * counts)
+            np.add.at(out[i], idx, sgn * np.log1p(counts).astype(np.float32))
             n = np.linalg.norm(out[i])
             if n > 0:
                 out[i] /= n
@@ -89,7 +91,7 @@ def embed(df: DataFrame, text_col: str = "content", out_col: str = "embedding",
             yield pd.Series([None if v is None else row for v, row in zip(vals, mat)],
                             dtype=object)
 
-    return df.withColumn(out_col, _embed(F.col(text_col)))
+    return spread(df).withColumn(out_col, _embed(F.col(text_col)))
 
 
 # ----------------------------------------------------------------------------
@@ -104,20 +106,26 @@ def vector_id(col) -> tuple[Column, Column]:
 
 
 def srp_params(threshold: float, n_vectors: int, target_miss: float = 1e-6,
-               bits: int | None = None, bands: int | None = None) -> tuple[int, int]:
-    """Pick bits per band and band count: a pair at cosine ``threshold``
-    agrees on one hyperplane with p = 1 - acos(t)/pi; it is missed by all
-    bands with probability (1 - p^bits)^bands <= target_miss. Bits grow with
-    log2 of the number of distinct vectors so random pairs rarely collide."""
+               bits: int | None = None, bands: int | None = None,
+               cand_weight: float = 8.0) -> tuple[int, int]:
+    """Pick bits per band and band count. A pair at cosine ``threshold``
+    agrees on one hyperplane with p = 1 - acos(t)/pi and is missed by every
+    band with probability (1 - p^bits)^bands <= target_miss. Bits are chosen
+    to minimize exploded rows (n * bands) plus expected random candidates
+    (n^2/2 * bands / 2^bits), a candidate weighted ``cand_weight`` times a
+    band row (it ships two vectors through the exact check)."""
     p = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
+
+    def need(b: int) -> int:
+        pb = p ** b
+        return 1 if pb >= 1.0 else int(math.ceil(math.log(target_miss) / math.log(1.0 - pb)))
+
+    n = max(int(n_vectors), 2)
     if bits is None:
-        bits = int(max(4, min(24, round(math.log2(max(n_vectors, 2))) - 1)))
-        # low thresholds: keep band counts sane
-        while bits > 4 and p ** bits < 1e-3:
-            bits -= 1
+        bits = min(range(4, 33), key=lambda b: n * need(b)
+                   + cand_weight * (n * n / 2.0) * need(b) / 2.0 ** b)
     if bands is None:
-        pb = p ** bits
-        bands = 1 if pb >= 1.0 else int(math.ceil(math.log(target_miss) / math.log(1.0 - pb)))
+        bands = need(bits)
     return bits, max(1, bands)
 
 
@@ -158,6 +166,30 @@ def srp_bands(col, bits: int, bands: int, seed: int = 7) -> Column:
     return _sig(F.col(col) if isinstance(col, str) else col)
 
 
+@F.pandas_udf(T.BinaryType())
+def vec_bytes(vs: pd.Series) -> pd.Series:
+    """Vector -> raw float32 bytes (compact, Arrow-friendly)."""
+    return pd.Series([None if v is None else np.asarray(v, dtype=np.float32).tobytes() for v in vs],
+                     dtype=object)
+
+
+@F.pandas_udf(T.DoubleType())
+def bytes_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Row-wise cosine of two float32 byte columns, computed in float64,
+    capped at 1 (null when a norm is zero)."""
+    n = len(a)
+    ok = (a.notna() & b.notna()).to_numpy()
+    res = np.full(n, np.nan)
+    if ok.any():
+        k = int(ok.sum())
+        A = np.frombuffer(b"".join(a[ok]), dtype=np.float32).reshape(k, -1).astype(np.float64)
+        B = np.frombuffer(b"".join(b[ok]), dtype=np.float32).reshape(k, -1).astype(np.float64)
+        den = np.linalg.norm(A, axis=1) * np.linalg.norm(B, axis=1)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            res[ok] = np.where(den > 0, np.minimum(np.einsum("ij,ij->i", A, B) / den, 1.0), np.nan)
+    return pd.Series(res)
+
+
 def distinct_vectors(df: DataFrame, vec_col: str) -> DataFrame:
     """One row per distinct non-zero vector: (vid1, vid2, vec)."""
     v1, v2 = vector_id(vec_col)
@@ -167,9 +199,13 @@ def distinct_vectors(df: DataFrame, vec_col: str) -> DataFrame:
               .where(l2_norm("vec") > 0))
 
 
+BROADCAST_LIMIT_BYTES = 256 << 20
+
+
 def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
                      bands: int | None = None, seed: int = 7,
-                     n_hint: int | None = None, include_self: bool = True) -> DataFrame:
+                     n_hint: int | None = None, include_self: bool = True,
+                     broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
     """C3 on distinct vectors: (vid1, vid2, nvid1, nvid2, score) for every
     ordered pair with cosine >= threshold (both directions), plus self pairs.
 
@@ -187,11 +223,18 @@ def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
               .select(F.col("l.vid1").alias("vid1"), F.col("l.vid2").alias("vid2"),
                       F.col("r.vid1").alias("nvid1"), F.col("r.vid2").alias("nvid2"))
               .distinct())
-    lv = vecs.select("vid1", "vid2", F.col("vec").alias("lvec"))
-    rv = vecs.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"),
-                     F.col("vec").alias("rvec"))
+    vb = vecs.select("vid1", "vid2", vec_bytes("vec").alias("vb"))
+    # the vector table is broadcast for the exact check only when its size is
+    # proven small (distinct count x dimension x 4 bytes); otherwise the
+    # candidate pairs are shuffle-joined with it
+    dim = vecs.select(F.max(F.size("vec"))).first()[0] or 0
+    small = n_hint * dim * 4 <= broadcast_limit
+    lv = vb.select("vid1", "vid2", F.col("vb").alias("lb"))
+    rv = vb.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"), F.col("vb").alias("rb"))
+    if small:
+        lv, rv = F.broadcast(lv), F.broadcast(rv)
     cand = (pairs.join(lv, ["vid1", "vid2"]).join(rv, ["nvid1", "nvid2"])
-                 .select("vid1", "vid2", "nvid1", "nvid2", cosine("lvec", "rvec").alias("score"))
+                 .select("vid1", "vid2", "nvid1", "nvid2", bytes_cosine("lb", "rb").alias("score"))
                  .where(F.col("score") >= threshold))
     both = cand.unionByName(cand.select(
         F.col("nvid1").alias("vid1"), F.col("nvid2").alias("vid2"),

@@ -34,7 +34,8 @@ def story_flow(spark: SparkSession, sf_dir: str, cluster_threshold: float = 0.75
     ship_package(spark)
     arts = TB.articles(spark, sf_dir)
     dec = dedup_stage(arts)
-    unique = dec.where("kept")
+    unique = dec.where("kept").select("url_hash", "arrival", "extracted_at", "url", "title",
+                                      "embedding")
     asg = CL.cluster_articles(unique, None, id_col="url_hash", threshold=cluster_threshold)
     return (dec.select("doc_id", "url_hash", "kept", "stage", "duplicate_of", "distance", "score")
                .join(asg.select("url_hash", "cluster_id", "is_new_cluster"), "url_hash", "left"))
