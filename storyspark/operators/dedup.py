@@ -97,7 +97,8 @@ def simhash_pairs(df: DataFrame, limit: int = 3) -> DataFrame:
 # K1
 # ----------------------------------------------------------------------------
 
-def _asof_latest(queries: DataFrame, sources: DataFrame, bucket_size: int) -> DataFrame:
+def _asof_latest(queries: DataFrame, sources: DataFrame, bucket_size: int,
+                 single_bucket: bool = False) -> DataFrame:
     """For each query (rid, kt, ks, k1, k2, a, ...) find the latest source row
     with the same key and a smaller arrival, separately for kept ('K') and
     undecided ('U') sources. Adds k_last struct<a,t,id> and u_last struct<a,t>."""
@@ -114,6 +115,9 @@ def _asof_latest(queries: DataFrame, sources: DataFrame, bucket_size: int) -> Da
     inb = (u.withColumn("k_in", F.last(kept, ignorenulls=True).over(w))
              .withColumn("u_in", F.last(und, ignorenulls=True).over(w))
              .where(F.col("side") == 0))
+    if single_bucket:   # every arrival in one bucket: nothing to carry
+        return (inb.withColumnRenamed("k_in", "k_last").withColumnRenamed("u_in", "u_last")
+                   .drop("side", "bk", "kind", "sid"))
     # carry: latest kept / undecided in any earlier bucket of the same key
     summ = s.groupBy(*key, "bk").agg(
         F.max(F.when(F.col("kind") == "K", F.struct("a", "t", F.col("sid").alias("id")))).alias("k_b"),
@@ -210,13 +214,15 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
         src_keys = src_keys.unionByName(base.where("can_keep").select(
             "rid", "a", "t", F.lit(K_VEC).alias("kt"), F.lit("").alias("ks"),
             F.col("vid1").alias("k1"), F.col("vid2").alias("k2")))
-    queries = cut_lineage(queries)
+    queries = cut_lineage(queries.join(base.select("rid", "can_keep"), "rid"))
     src_keys = cut_lineage(src_keys)
 
     win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
     state = cut_lineage(base.select(
         "rid", F.when(F.col("prior"), F.lit("K")).otherwise(F.lit("U")).alias("status")))
     undecided = state.where(F.col("status") == "U").count()
+    lo_a, hi_a = base.agg(F.min("a"), F.max("a")).first()
+    single = lo_a is None or (lo_a // bucket_size) == (hi_a // bucket_size)
     rounds = 0
     _t0 = time.time()
     if _TRACE:
@@ -230,15 +236,16 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
         q = queries.join(und_ids, "rid", "left_semi")
         s = src_keys.join(live, "rid").select(F.col("rid").alias("sid"), "a", "t", "kt", "ks",
                                               "k1", "k2", "kind")
-        hits = _asof_latest(q, s, bucket_size)
+        hits = _asof_latest(q, s, bucket_size, single)
         in_win = (F.col("kt") != K_SIM) if win_us is None else (
             (F.col("kt") != K_SIM) | (F.col("k_last.t") > F.col("t") - F.lit(win_us)))
         u_win = (F.col("kt") != K_SIM) if win_us is None else (
             (F.col("kt") != K_SIM) | (F.col("u_last.t") > F.col("t") - F.lit(win_us)))
         k_hit = F.col("k_last").isNotNull() & in_win
         u_hit = F.col("u_last").isNotNull() & u_win
-        agg = hits.groupBy("rid").agg(F.max(k_hit).alias("blocked"), F.max(u_hit).alias("wait"))
-        decided = (agg.join(base.select("rid", "can_keep"), "rid")
+        agg = hits.groupBy("rid").agg(F.max(k_hit).alias("blocked"), F.max(u_hit).alias("wait"),
+                                      F.max("can_keep").alias("can_keep"))
+        decided = (agg
                    .select("rid", F.when(F.col("blocked"), F.lit("D"))
                                    .when(F.col("wait"), F.lit("U"))
                                    .when(F.col("can_keep"), F.lit("K"))
@@ -257,7 +264,7 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     q = queries.join(dropped, "rid", "left_semi")
     s = src_keys.join(kept, "rid").select(F.col("rid").alias("sid"), "a", "t", "kt", "ks",
                                           "k1", "k2", "kind")
-    hits = _asof_latest(q, s, bucket_size)
+    hits = _asof_latest(q, s, bucket_size, single)
     in_win = (F.col("kt") != K_SIM) if win_us is None else (
         (F.col("kt") != K_SIM) | (F.col("k_last.t") > F.col("t") - F.lit(win_us)))
     k_hit = F.col("k_last").isNotNull() & in_win

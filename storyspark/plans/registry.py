@@ -31,7 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VEC_THRESHOLD = 0.3          # embeddings table: checked thresholds 0.3 to 0.5
-NOW_FEEDS = "2024-01-20 00:00:00"
+NOW_FEEDS = "2024-01-31 00:00:00"
 NOW_CLUSTERS = "2024-01-02 00:00:00"
 
 
@@ -214,29 +214,29 @@ def q_quarantine(spark, sf):
 
 
 # feeds derived from the poll log in events (user_id = feed)
-def _feed_state_sql() -> str:
+def _feed_state_sql(src: str = "events", p: str = "") -> str:
     return """
-lg AS (SELECT user_id AS feed_id, event_id, ts, event_type = 'error' AS failed,
-              CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS delta FROM events),
-ord AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY ts, event_id) AS rn,
+{p}lg AS (SELECT user_id AS feed_id, event_id, ts, event_type = 'error' AS failed,
+              CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS delta FROM {src}),
+{p}ord AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY ts, event_id) AS rn,
                sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY feed_id ORDER BY ts, event_id
-                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS oks_so_far FROM lg),
-runs AS (SELECT feed_id, oks_so_far, count(*) AS n FROM ord WHERE failed GROUP BY feed_id, oks_so_far),
-lastok AS (SELECT feed_id, max(CASE WHEN NOT failed THEN ts END) AS last_polled_at,
+                   ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS oks_so_far FROM {p}lg),
+{p}runs AS (SELECT feed_id, oks_so_far, count(*) AS n FROM {p}ord WHERE failed GROUP BY feed_id, oks_so_far),
+{p}lastok AS (SELECT feed_id, max(CASE WHEN NOT failed THEN ts END) AS last_polled_at,
                   max(CASE WHEN NOT failed THEN rn END) AS last_ok_rn,
                   CAST(sum(delta) AS BIGINT) AS article_count, min(ts) AS created_at,
-                  arg_max(ts, rn) AS last_ts, arg_max(failed, rn) AS last_failed FROM ord GROUP BY feed_id),
-trail AS (SELECT o.feed_id, count(*) AS error_count FROM ord o JOIN lastok l USING (feed_id)
+                  arg_max(ts, rn) AS last_ts, arg_max(failed, rn) AS last_failed FROM {p}ord GROUP BY feed_id),
+{p}trail AS (SELECT o.feed_id, count(*) AS error_count FROM {p}ord o JOIN {p}lastok l USING (feed_id)
           WHERE o.failed AND (l.last_ok_rn IS NULL OR o.rn > l.last_ok_rn) GROUP BY o.feed_id),
-fs AS (SELECT l.feed_id,
-          CASE WHEN coalesce((SELECT max(n) FROM runs r WHERE r.feed_id = l.feed_id), 0) >= 5 THEN 'error' ELSE 'active' END AS status,
+{p}fs AS (SELECT l.feed_id,
+          CASE WHEN coalesce((SELECT max(n) FROM {p}runs r WHERE r.feed_id = l.feed_id), 0) >= 5 THEN 'error' ELSE 'active' END AS status,
           CAST(coalesce(t.error_count, 0) AS INTEGER) AS error_count, l.article_count, l.last_polled_at,
           CASE WHEN l.last_failed THEN l.last_ts + to_seconds(CAST(least(600 * pow(2, coalesce(t.error_count, 0)), 86400) AS BIGINT))
                ELSE l.last_ts + to_seconds(600) END AS next_poll_at,
           600 AS poll_interval, l.created_at
-       FROM lastok l LEFT JOIN trail t USING (feed_id)),
-feeds AS (SELECT CAST(feed_id AS VARCHAR) AS id, 'https://feed' || CAST(feed_id AS VARCHAR) || '.example.com/rss' AS url,
-                 status, error_count, article_count, last_polled_at, next_poll_at, created_at FROM fs)"""
+       FROM {p}lastok l LEFT JOIN {p}trail t USING (feed_id)),
+{p}feeds AS (SELECT CAST(feed_id AS VARCHAR) AS id, 'https://feed' || CAST(feed_id AS VARCHAR) || '.example.com/rss' AS url,
+                 status, error_count, article_count, last_polled_at, next_poll_at, created_at FROM {p}fs)""".format(src=src, p=p)
 
 
 @register("poll_state", f"""
@@ -949,3 +949,76 @@ def q_dedup_full(spark, sf):
     a = VE.embed(a, "content", "embedding")
     r = DD.dedup_decide(a, id_col="doc_id", vector_col="embedding")
     return r.select("doc_id", "kept", "stage", "duplicate_of", "distance", "score")
+
+
+@register("upsert_feeds", f"""
+WITH {_feed_state_sql("(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00')", "e_")},
+{_feed_state_sql("events", "a_")}
+SELECT t.id, t.url, t.created_at, t.last_polled_at, b.status, b.article_count, b.next_poll_at
+FROM e_feeds t JOIN a_feeds b ON b.url = t.url
+UNION ALL
+SELECT b.id, b.url, b.created_at, b.last_polled_at, b.status, b.article_count, b.next_poll_at
+FROM a_feeds b WHERE b.url NOT IN (SELECT url FROM e_feeds)""")
+def q_upsert_feeds(spark, sf):
+    """Feed rows seeded from the first half of the poll log, then
+    re-seeded from the whole log: key url, last write wins, id / created_at /
+    last_polled_at keep the stored value."""
+    ev = _t(spark, sf, "events")
+    first = FD.feeds_table(ev.where(F.col("ts") < F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")))
+    full = FD.feeds_table(ev)
+    cols = ["id", "url", "created_at", "last_polled_at", "status", "article_count", "next_poll_at"]
+    t = first.select(*cols, F.lit(0).cast("long").alias("arrival"))
+    b = full.select(*cols, F.lit(1).cast("long").alias("arrival"))
+    return ST.upsert_last_write(t, b, "url", "arrival").select(*cols)
+
+
+@register("centroid_table", f"""
+WITH {_STORY_SQL}
+SELECT id, article_count FROM clusters_t WHERE status = 'active'""")
+def q_centroid_table(spark, sf):
+    """C11: active clusters with a full-size centroid (dimension 64 here)."""
+    _, cl = _story_store(spark, sf)
+    return RP.centroid_table(cl, 64).select("id", "article_count")
+
+
+@register("timeline_vectors", """
+WITH tl AS (SELECT user_id AS key, max(ts) AS score FROM events GROUP BY user_id ORDER BY score DESC, key LIMIT 100),
+vc AS (SELECT vec_id AS key, TIMESTAMP '2024-01-01 00:00:00' + vec_id * INTERVAL 1 MINUTE + INTERVAL 24 HOUR AS expire_at
+       FROM embeddings)
+SELECT tl.key, tl.score FROM tl JOIN vc ON vc.key = tl.key WHERE vc.expire_at > TIMESTAMP '2024-01-01 12:00:00'""")
+def q_timeline_vectors(spark, sf):
+    """Newest 100 timeline keys joined to cached vectors alive at a
+    fixed time (cache entry = embedding row, expiry extracted_at + 24 h)."""
+    tl = _t(spark, sf, "events").select(F.col("user_id").alias("key"), F.col("ts").alias("score"))
+    tl = ST.capped_timeline(tl, "key", "score", 1000)
+    vc = TB.vector_articles(spark, sf).select(
+        F.col("vec_id").alias("key"), F.timestamp_add("HOUR", F.lit(24), "extracted_at").alias("expire_at"))
+    return RP.timeline_vectors(tl, vc, F.lit("2024-01-01 12:00:00").cast("timestamp_ntz"), 100).select("key", "score")
+
+
+@register("search_articles", f"""
+WITH {_label_centroids_sql()},
+s AS (SELECT cl.label AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), cl.c) AS score
+      FROM embeddings e, cl WHERE list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), cl.c) >= {VEC_THRESHOLD}),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT r.query_id, CAST(r.rank AS BIGINT) AS rank, round(least(r.score, 1.0), 4) AS score, CAST(r.vec_id AS VARCHAR) AS id,
+       substr(d.text, 1, 60) AS title, substr(d.text, 1, 200) AS content_preview,
+       'src' || CAST(r.vec_id % 20 AS VARCHAR) || '.example.com' AS source_domain
+FROM r JOIN documents d ON d.doc_id = r.vec_id WHERE r.rank <= 10""")
+def q_search_articles(spark, sf):
+    """C4 + C8: semantic search per story centroid (top 10, >= 0.3), hits
+    resolved to public article rows in rank order; hits without a stored
+    article are dropped."""
+    qs = _label_centroids(spark, sf).select(F.col("id").alias("query_id"), F.col("centroid").alias("qvec"))
+    hits = VE.knn_search(qs, _t(spark, sf, "embeddings"), k=10, threshold=VEC_THRESHOLD,
+                         c_id="vec_id", c_vec="embedding")
+    hits = hits.select("query_id", F.col("rank").cast("long").alias("rank"),
+                       F.round("score", 4).alias("score"), F.col("vec_id").cast("string").alias("hit_id"))
+    d = _t(spark, sf, "documents")
+    stored = TB.vector_articles(spark, sf).join(d.select(F.col("doc_id").alias("vec_id"), "text"), "vec_id").select(
+        F.col("vec_id").cast("string").alias("id"), F.substring("text", 1, 60).alias("title"), "url",
+        F.col("text").alias("content"), F.lit(None).cast("string").alias("cluster_id"),
+        F.lit(None).cast("timestamp").alias("published_at"))
+    res = RP.resolve_hits(hits, stored, "hit_id")
+    return res.select("query_id", "rank", "score", F.col("hit_id").alias("id"), "title", "content_preview",
+                      "source_domain")

@@ -93,9 +93,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint (survives executor loss); never a local one."""
+    """Reliable checkpoint (survives executor loss); never a local one.
+    The plan is persisted first so the checkpoint write does not compute it
+    a second time; the cache is released once the files are written."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    from pyspark import StorageLevel
+    held = df.persist(StorageLevel.MEMORY_AND_DISK)
+    out = held.checkpoint(eager=True)
+    held.unpersist()
+    return out
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
