@@ -140,7 +140,7 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
                  window_seconds: float | None = 72 * 3600, cos_threshold: float = 0.92,
                  srp_bits: int | None = None, srp_bands: int | None = None,
                  use_url: bool = True, use_simhash: bool = True,
-                 prior_kept: DataFrame | None = None,
+                 prior_kept: DataFrame | None = None, srp_target_miss: float = 1e-6,
                  bucket_size: int = 1 << 18, max_rounds: int = 64) -> DataFrame:
     """K1: decide every row. ``rows`` needs id, arrival (unique, processing
     order), time (non-decreasing with arrival), url key, sim_hi/sim_lo and
@@ -204,7 +204,8 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
             "rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
             F.col("hi").alias("k1"), F.col("lo").alias("k2")))
     if use_vec:
-        vn = vector_neighbors(distinct_vectors(base, "vec"), cos_threshold, srp_bits, srp_bands)
+        vn = vector_neighbors(distinct_vectors(base, "vec"), cos_threshold, srp_bits, srp_bands,
+                              target_miss=srp_target_miss)
         q_vec = (qbase.where(F.col("vid1").isNotNull()).select("rid", "a", "t", "vid1", "vid2")
                  .join(vn, ["vid1", "vid2"])
                  .select("rid", "a", "t", F.lit(K_VEC).alias("kt"), F.lit("").alias("ks"),

@@ -205,7 +205,8 @@ BROADCAST_LIMIT_BYTES = 256 << 20
 def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
                      bands: int | None = None, seed: int = 7,
                      n_hint: int | None = None, include_self: bool = True,
-                     broadcast_limit: int = BROADCAST_LIMIT_BYTES) -> DataFrame:
+                     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
+                     target_miss: float = 1e-6) -> DataFrame:
     """C3 on distinct vectors: (vid1, vid2, nvid1, nvid2, score) for every
     ordered pair with cosine >= threshold (both directions), plus self pairs.
 
@@ -214,7 +215,7 @@ def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
     bands is reduced by a map-side-combined distinct; exact cosine check."""
     if n_hint is None:
         n_hint = vecs.count()
-    bits, bands = srp_params(threshold, n_hint, bits=bits, bands=bands)
+    bits, bands = srp_params(threshold, n_hint, target_miss, bits=bits, bands=bands)
     sig = vecs.withColumn("sig", srp_bands("vec", bits, bands, seed))
     ex = sig.select("vid1", "vid2", F.posexplode("sig").alias("band", "bval"))
     l, r = ex.alias("l"), ex.alias("r")

@@ -642,7 +642,8 @@ def _story_store(spark, sf):
     key = (id(spark), sf)
     if key not in _STORE_CACHE:
         arts = _story_articles(spark, sf)
-        asg = CL.cluster_articles(arts, None, id_col="vec_id", threshold=VEC_THRESHOLD)
+        asg = CL.cluster_articles(arts, None, id_col="vec_id", threshold=VEC_THRESHOLD,
+                                  srp_target_miss=1e-6)
         from ..session import cut_lineage
         asg = cut_lineage(asg)
         cl = CL.build_clusters(asg)
