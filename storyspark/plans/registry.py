@@ -1023,3 +1023,34 @@ def q_search_articles(spark, sf):
     res = RP.resolve_hits(hits, stored, "hit_id")
     return res.select("query_id", "rank", "score", F.col("hit_id").alias("id"), "title", "content_preview",
                       "source_domain")
+
+
+@register("envelope_parse", """
+SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
+def q_envelope_parse(spark, sf):
+    """A3: every event written as a JSON envelope, read back, payload typed
+    per subject (schema 'k INT' for these events)."""
+    from ..sources.envelopes import read_envelopes, write_envelopes
+    e = _t(spark, sf, "events")
+    env = write_envelopes(e, F.col("event_type"), F.col("props"), F.col("event_id"), F.col("ts"))
+    back = read_envelopes(env)
+    return back.select(F.col("event_id").cast("long").alias("event_id"), "event_type",
+                       F.from_json("payload", "k INT")["k"].alias("k"))
+
+
+@register("export_topic", f"""
+WITH {_STORY_SQL},
+ec AS ({_EXPORT_CLUSTERS_SQL})
+SELECT cluster_id, topic, label, article_count FROM ec WHERE lower(topic) = lower('technology')""")
+def q_export_topic(spark, sf):
+    """Cluster export filtered by topic (case-insensitive equality)."""
+    _, cl = _story_store(spark, sf)
+    return RP.export_clusters(cl, "technology").select("cluster_id", "topic", "label", "article_count")
+
+
+@register("story_flow")
+def q_story_flow(spark, sf):
+    """K3: documents -> min content -> SimHash -> vectors -> two-stage dedup
+    -> story clustering of the kept articles (the flagship flow)."""
+    from .flows import story_flow
+    return story_flow(spark, sf)

@@ -42,3 +42,27 @@ def test_event_once_stream_equals_batch(spark):
     q.awaitTermination()
     got = sorted(r.event_id for r in spark.sql("SELECT event_id FROM once_t").collect())
     assert got == sorted(r.event_id for r in ev.collect())
+
+
+def test_cluster_stream_keeps_table_consistent(spark):
+    import time
+    from storyspark.operators import vectors as VE
+    scratch = tempfile.mkdtemp(prefix="storyspark-stream-")
+    arts = VE.embed(TB.articles(spark, SF, with_quality=False), "content", "embedding").select(
+        "url_hash", "arrival", "extracted_at", "url", "title", "embedding")
+    for k in range(2):
+        (arts.where((F.col("arrival") >= 100 * k) & (F.col("arrival") < 100 * (k + 1)))
+             .coalesce(1).write.mode("append").parquet(f"{scratch}/in"))
+        time.sleep(1.1)
+    src = spark.readStream.schema(arts.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+    q = J.cluster_stream(src, f"{scratch}/clusters", f"{scratch}/assigned", f"{scratch}/ckpt",
+                         threshold=0.75)
+    q.awaitTermination()
+    asg = spark.read.parquet(f"{scratch}/assigned").where("cluster_id IS NOT NULL")
+    tables = spark.read.parquet(f"{scratch}/clusters")
+    last = tables.agg(F.max("epoch")).first()[0]
+    cur = tables.where(F.col("epoch") == last)
+    assert asg.count() == 200
+    assert asg.join(cur, asg.cluster_id == cur.id, "left_anti").count() == 0
+    assert cur.agg(F.sum("article_count")).first()[0] == 200
+    assert cur.select("id").distinct().count() == cur.count()
