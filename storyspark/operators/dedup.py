@@ -36,6 +36,13 @@ K_URL, K_SIM, K_VEC = 0, 1, 2
 _TRACE = bool(os.environ.get("STORYSPARK_TRACE"))
 
 
+def _materialize(df: DataFrame) -> DataFrame:
+    from pyspark import StorageLevel
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df.count()
+    return df
+
+
 def known_url_guard(new: DataFrame, stored: DataFrame, key: str = "url_hash") -> DataFrame:
     """Drop incoming rows whose key is already stored (anti-join)."""
     return new.join(stored.select(key), key, "left_anti")
@@ -215,8 +222,10 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
         src_keys = src_keys.unionByName(base.where("can_keep").select(
             "rid", "a", "t", F.lit(K_VEC).alias("kt"), F.lit("").alias("ks"),
             F.col("vid1").alias("k1"), F.col("vid2").alias("k2")))
-    queries = cut_lineage(queries.join(base.select("rid", "can_keep"), "rid"))
-    src_keys = cut_lineage(src_keys)
+    # static for all rounds and one short step from the checkpointed base:
+    # persisted (recomputable after executor loss), not checkpointed
+    queries = _materialize(queries.join(base.select("rid", "can_keep"), "rid"))
+    src_keys = _materialize(src_keys)
 
     win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
     state = cut_lineage(base.select(

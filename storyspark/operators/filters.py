@@ -12,9 +12,9 @@ from ..functions.vectors import valid_vector
 def min_content(df: DataFrame, text_col: str = "content", min_chars: int = 50) -> DataFrame:
     """B1: drop rows whose trimmed text is missing or shorter than
     ``min_chars``; the kept text is the trimmed text."""
-    return (df.where(min_content_ok(text_col, min_chars))
-              .withColumn(text_col, unicode_trim(text_col))
-              .withColumn("content_length", F.length(text_col).cast("long")))
+    t = df.withColumn(text_col, unicode_trim(text_col))
+    t = t.withColumn("content_length", F.length(text_col).cast("long"))
+    return t.where(F.col(text_col).isNotNull() & (F.col("content_length") >= min_chars))
 
 
 def article_rules(dim: int | None = None) -> dict[str, Column]:

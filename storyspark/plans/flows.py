@@ -22,7 +22,9 @@ def dedup_stage(articles: DataFrame, hamming_limit: int = 3, cos_threshold: floa
     a = DD.with_simhash(a)
     if embed:
         a = VE.embed(a, "content", "embedding")
-    a = cut_lineage(a)
+    # persisted, not checkpointed: K1 checkpoints its own projection of it
+    from pyspark import StorageLevel
+    a = a.persist(StorageLevel.MEMORY_AND_DISK)
     return DD.dedup_decide(a, id_col="url_hash", vector_col="embedding" if embed else None,
                            hamming_limit=hamming_limit, cos_threshold=cos_threshold)
 
