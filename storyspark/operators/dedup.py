@@ -296,7 +296,9 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
         F.when(F.col("url_best").isNull(), F.col("sim_best.dist")).alias("distance"),
         F.when(F.col("url_best").isNull() & F.col("sim_best").isNull(),
                F.col("vec_best.s")).alias("score"))
-    state = state.select("rid", "status").join(named, "rid", "left")
+    state = cut_lineage(state.select("rid", "status").join(named, "rid", "left"))
+    queries.unpersist()
+    src_keys.unpersist()
     out = rows.join(state.withColumnRenamed("rid", id_col), id_col)
     return (out.withColumn("kept", F.col("status") == "K").drop("status")
                .withColumn("score", F.round("score", 6)))
