@@ -1054,3 +1054,25 @@ def q_story_flow(spark, sf):
     -> story clustering of the kept articles (the flagship flow)."""
     from .flows import story_flow
     return story_flow(spark, sf)
+
+
+@register("seen_items", """
+WITH d AS (SELECT source AS feed_id, doc_id FROM documents),
+s AS (SELECT feed_id, doc_id,
+             unnest(generate_series(CAST(greatest(floor((doc_id - 500) / 400.0) + 1, 0) AS BIGINT),
+                                    CAST(floor(doc_id / 400.0) AS BIGINT))) AS snapshot_id FROM d),
+p AS (SELECT *, row_number() OVER (PARTITION BY feed_id, snapshot_id ORDER BY doc_id) - 1 AS pos FROM s),
+items AS (SELECT * FROM p WHERE pos < 20),
+f AS (SELECT *, row_number() OVER (PARTITION BY feed_id, doc_id ORDER BY snapshot_id, pos) AS rn FROM items)
+SELECT feed_id, snapshot_id, CAST(pos AS INTEGER) AS pos,
+       'guid:' || feed_id || '-' || CAST(doc_id AS VARCHAR) AS item_key
+FROM f WHERE rn = 1""")
+def q_seen_items(spark, sf):
+    """I4 + A1 + Q17 batch twin: overlapping polls of every feed (window 500
+    doc ids, step 400), capped at 20 items per poll before de-duplication;
+    an item is emitted at its first poll only."""
+    from ..sources.rss import rss_snapshots
+    snaps = rss_snapshots(_t(spark, sf, "documents"), window=500, step=400)
+    it = FD.feed_items(snaps, "xml", 20)
+    new = FD.new_items(it)
+    return new.select("feed_id", "snapshot_id", F.col("pos").cast("int").alias("pos"), "item_key")

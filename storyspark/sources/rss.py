@@ -14,15 +14,22 @@ def xml_escape(col) -> F.Column:
     return F.regexp_replace(c, ">", "&gt;")
 
 
-def rss_snapshots(documents: DataFrame, window: int = 25) -> DataFrame:
-    """One RSS 2.0 document per (feed, window of ``window`` doc ids): each
-    snapshot holds at most ``window`` items, in doc_id order."""
+def rss_snapshots(documents: DataFrame, window: int = 25, step: int | None = None) -> DataFrame:
+    """One RSS 2.0 document per (feed, poll): poll k of a feed lists its
+    articles with doc_id in [k*step, k*step + window), in doc_id order. With
+    step < window consecutive polls overlap, so items recur across polls."""
+    step = step or window
+    k_hi = F.floor(F.col("doc_id") / step)
+    k_lo = F.greatest(F.floor((F.col("doc_id") - window) / step) + 1, F.lit(0))
     d = documents.select(
-        F.col("source").alias("feed_id"), (F.col("doc_id") / window).cast("long").alias("snapshot_id"),
-        "doc_id",
+        F.col("source").alias("feed_id"),
+        F.explode(F.sequence(k_lo.cast("long"), k_hi.cast("long"))).alias("snapshot_id"),
+        "doc_id", "text")
+    d = d.select(
+        "feed_id", "snapshot_id", "doc_id",
         F.concat(F.lit("<item><title>"), xml_escape(F.substring("text", 1, 60)), F.lit("</title><link>https://"),
-                 F.col("source"), F.lit(".example.com/a/"), F.col("doc_id").cast("string"),
-                 F.lit("</link><guid>"), F.col("source"), F.lit("-"), F.col("doc_id").cast("string"),
+                 F.col("feed_id"), F.lit(".example.com/a/"), F.col("doc_id").cast("string"),
+                 F.lit("</link><guid>"), F.col("feed_id"), F.lit("-"), F.col("doc_id").cast("string"),
                  F.lit("</guid><pubDate>"),
                  F.date_format(F.timestamp_add("MINUTE", F.col("doc_id"),
                                                F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")),
