@@ -97,6 +97,12 @@ def alive(df: DataFrame, now, expire_col: str = "expire_at") -> DataFrame:
     return df.where(F.col(expire_col) > F.lit(now))
 
 
+def alive_by_ttl(df: DataFrame, now, ts_col: str, ttl_seconds: int) -> DataFrame:
+    """B10 on the write time: ts + ttl > now, written as ts > now - ttl so
+    the predicate reaches the scan (PushedFilters) and row groups are skipped."""
+    return df.where(F.col(ts_col) > F.timestamp_add("SECOND", F.lit(-int(ttl_seconds)), F.lit(now)))
+
+
 def modified_only(snapshots: DataFrame, state: DataFrame, key: str = "feed_id") -> DataFrame:
     """Adds ``modified``: false for a 304 answer or when etag and
     last_modified equal the stored ones (null-safe)."""

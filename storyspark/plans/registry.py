@@ -343,8 +343,9 @@ def q_recent_vectors(spark, sf):
 SELECT event_id FROM events WHERE ts + INTERVAL 24 HOUR > TIMESTAMP '2024-01-15 00:00:00'""")
 def q_ttl_alive(spark, sf):
     """Cache entries (expire = ts + 24 h) alive at a fixed time; strict."""
-    e = _t(spark, sf, "events").withColumn("expire_at", F.timestamp_add("HOUR", F.lit(24), "ts"))
-    return FL.alive(e, F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")).select("event_id")
+    e = _t(spark, sf, "events")
+    now = F.lit("2024-01-15 00:00:00").cast("timestamp_ntz")
+    return FL.alive_by_ttl(e, now, "ts", 24 * 3600).select("event_id")
 
 
 @register("changed_snapshots", """
