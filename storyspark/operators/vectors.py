@@ -107,7 +107,7 @@ def vector_id(col) -> tuple[Column, Column]:
 
 def srp_params(threshold: float, n_vectors: int, target_miss: float = 1e-6,
                bits: int | None = None, bands: int | None = None,
-               cand_weight: float = 8.0) -> tuple[int, int]:
+               cand_weight: float = 32.0) -> tuple[int, int]:
     """Pick bits per band and band count. A pair at cosine ``threshold``
     agrees on one hyperplane with p = 1 - acos(t)/pi and is missed by every
     band with probability (1 - p^bits)^bands <= target_miss. Bits are chosen
