@@ -70,20 +70,30 @@ def export_articles(articles: DataFrame, clusters: DataFrame,
 
 def export_nested(articles: DataFrame, clusters: DataFrame,
                   topic_filter: str | None = None) -> DataFrame:
-    """A9 + D9: topics -> clusters -> articles, one row per topic with its
-    clusters nested (each with its articles). Articles group under their
-    cluster; the nested lists are per cluster, i.e. bounded by cluster size
-    -- use ``export_nested_flat`` for unbounded clusters."""
+    """A9 + D9: the topic -> cluster -> article document, nested by struct:
+    one row per article with its ``cluster`` struct (clusters without
+    articles keep one row). No row holds a whole topic or cluster, so a hot
+    topic never sits in one task; ``write_export`` lays it out per topic."""
     flat = export_nested_flat(articles, clusters, topic_filter)
-    per_cluster = flat.groupBy("topic", "cluster_id", "label", "article_count", "status",
-                               "top_sources", "created_at", "last_activity").agg(
-        F.sort_array(F.collect_list(F.when(F.col("article_id").isNotNull(), F.struct(
-            "extracted_at", "article_id", "title", "url")))).alias("articles"))
-    return per_cluster.groupBy("topic").agg(
-        F.sort_array(F.collect_list(F.struct("cluster_id", "label", "article_count", "status",
-                                             F.split("top_sources", r"\|").alias("top_sources"),
-                                             "created_at", "last_activity", "articles")))
-        .alias("clusters"))
+    return flat.select(
+        "topic",
+        F.struct("cluster_id", "label", "article_count", "status",
+                 F.split("top_sources", r"\|").alias("top_sources"), "created_at",
+                 "last_activity").alias("cluster"),
+        F.when(F.col("article_id").isNotNull(),
+               F.struct("article_id", "title", "url", "extracted_at")).alias("article"))
+
+
+def write_export(articles: DataFrame, clusters: DataFrame, path: str,
+                 topic_filter: str | None = None) -> None:
+    """A7 to A9 sinks: CSV exports with a header and the nested document as
+    JSON lines partitioned by topic (totals from ``export_totals``)."""
+    export_clusters(clusters, topic_filter).write.mode("overwrite").option("header", True).csv(
+        f"{path}/clusters_export")
+    export_articles(articles, clusters, topic_filter).write.mode("overwrite").option("header", True).csv(
+        f"{path}/articles_export")
+    export_nested(articles, clusters, topic_filter).write.mode("overwrite").partitionBy("topic").json(
+        f"{path}/nested")
 
 
 def export_nested_flat(articles: DataFrame, clusters: DataFrame,
@@ -222,20 +232,34 @@ def page_meta(df: DataFrame, page: int = 1, per_page: int = 20) -> DataFrame:
 
 
 def cluster_detail(clusters: DataFrame, articles: DataFrame, per_cluster: int = 100) -> DataFrame:
-    """Each cluster with its newest ``per_cluster`` articles (published
-    desc nulls last, id) nested. The top-n per cluster is a window over the
-    cluster's rows; use ``cluster_detail_rows`` (flat) for the checked form."""
+    """Each cluster with its newest ``per_cluster`` articles nested (the
+    nested list is bounded by ``per_cluster``)."""
     rows = cluster_detail_rows(clusters, articles, per_cluster)
     return rows.groupBy("cluster_id", "label", "article_count").agg(
         F.sort_array(F.collect_list(F.struct("rank", "article_id", "title", "published_at")))
         .alias("articles"))
 
 
+def top_k_per_group(df: DataFrame, group: str, order: list, k: int, salts: int = 64,
+                    salt_key: str | None = None) -> DataFrame:
+    """Top ``k`` rows per group without ranking a whole group in one task:
+    rank inside (group, salt) sub-groups first, keep each sub-group's top k,
+    then rank at most ``salts * k`` survivors per group. Adds ``rank``."""
+    key = F.col(salt_key) if salt_key else F.monotonically_increasing_id()
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(key), F.lit(salts)))
+    w1 = Window.partitionBy(group, "_salt").orderBy(*order)
+    local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k)
+    w2 = Window.partitionBy(group).orderBy(*order)
+    return local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k).drop("_salt", "_r")
+
+
 def cluster_detail_rows(clusters: DataFrame, articles: DataFrame, per_cluster: int = 100) -> DataFrame:
-    w = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("published_at"), F.asc("article_id"))
-    a = (articles.select(F.col("cluster_id").cast("string").alias("cluster_id"),
-                         F.col("id").cast("string").alias("article_id"), "title", "published_at")
-                 .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= per_cluster))
+    """C7 flat: each cluster with its newest ``per_cluster`` articles
+    (published desc nulls last, id); skew-safe two-stage top-k."""
+    a = articles.select(F.col("cluster_id").cast("string").alias("cluster_id"),
+                        F.col("id").cast("string").alias("article_id"), "title", "published_at")
+    a = top_k_per_group(a, "cluster_id", [F.desc_nulls_last("published_at"), F.asc("article_id")],
+                        per_cluster, salt_key="article_id")
     c = clusters.select(F.col("id").cast("string").alias("cluster_id"), "label", "article_count")
     return c.join(a, "cluster_id", "left")
 
