@@ -174,16 +174,19 @@ def exact_quantiles(df: DataFrame, col: str, qs: list[float], group: str | None
             F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
             F.count_if((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).alias("_band"))
         tgt = stats.join(cnt, keys)
-        ok = (F.col("_k") >= F.col("_below")) & (F.col("_k") < F.col("_below") + F.col("_band")) \
-            & (F.col("_band") <= max_band)
-        tgt = tgt.withColumn("_ok", ok)
-        band = (j.join(tgt.select(*keys, "_ok"), keys)
+        in_range = (F.col("_k") >= F.col("_below")) & (F.col("_k") < F.col("_below") + F.col("_band"))
+        # a band of one repeated value (a hot value) answers without ranking
+        tie = in_range & (F.col("_lo") == F.col("_hi"))
+        ok = in_range & (F.col("_band") <= max_band)
+        tgt = tgt.withColumn("_ok", ok).withColumn("_tie", tie)
+        direct = tgt.where("_tie").select(*keys, F.col("_lo").alias(label))
+        band = (j.join(tgt.where(~F.col("_tie")).select(*keys, "_ok"), keys)
                  .where(~F.col("_ok") | ((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))))
         w = Window.partitionBy(*keys).orderBy("_v")
         ranked = band.select(*keys, "_v").withColumn("_r", F.row_number().over(w) - 1)
         pick = (ranked.join(tgt.select(*keys, "_k", "_below", "_ok"), keys)
                       .where(F.col("_r") == F.col("_k") - F.when(F.col("_ok"), F.col("_below")).otherwise(0))
-                      .select(*keys, F.col("_v").alias(label)))
+                      .select(*keys, F.col("_v").alias(label))).unionByName(direct)
         out = pick if out is None else out.join(pick, keys)
     return out if group else out.drop("_g")
 

@@ -78,3 +78,13 @@ def test_salted_top_k_equals_plain_ranking(spark):
     w = Window.partitionBy("g").orderBy(F.desc("v"), F.asc("id"))
     exp = df.withColumn("rank", F.row_number().over(w)).where("rank <= 7")
     assert sorted(got.collect()) == sorted(exp.collect())
+
+
+def test_exact_quantiles_with_hot_value(spark):
+    from storyspark.operators.reports import exact_quantiles
+    vals = [5.0] * 3000 + [float(i) for i in range(6000)]
+    df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
+    got = exact_quantiles(df, "v", [0.1, 0.5, 0.9, 0.99], "g", max_band=500).first()
+    srt = sorted(vals)
+    exp = [srt[min(int(len(srt) * q), len(srt) - 1)] for q in (0.1, 0.5, 0.9, 0.99)]
+    assert [got.p10, got.p50, got.p90, got.p99] == exp
