@@ -249,23 +249,27 @@ def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
 
 def vector_pairs(df: DataFrame, id_col: str, order_col: str, vec_col: str,
                  threshold: float = 0.92, bits: int | None = None,
-                 bands: int | None = None, seed: int = 7) -> DataFrame:
-    """C3 at row level for rows with distinct vectors: (left_id earlier,
-    right_id later, score). Rows sharing one vector are a group of copies and
-    are reported through their shared vector id, never as all pairs."""
+                 bands: int | None = None, seed: int = 7, with_counts: bool = False) -> DataFrame:
+    """C3 report: (left_id earlier, right_id later, score) for every pair of
+    distinct vectors with cosine >= threshold, each vector represented by
+    its earliest row. Copies of one vector are counted (``with_counts``
+    adds n_left / n_right), never paired, so a group of copies costs one row."""
     v1, v2 = vector_id(vec_col)
-    rows = df.select(F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
-                     v1.alias("vid1"), v2.alias("vid2"), F.col(vec_col).alias("vec"))
+    rows = df.where(F.col(vec_col).isNotNull()).select(
+        F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
+        v1.alias("vid1"), v2.alias("vid2"))
+    reps = rows.groupBy("vid1", "vid2").agg(F.min(F.struct("ord", "id")).alias("first"),
+                                            F.count("*").alias("n"))
     nb = vector_neighbors(distinct_vectors(df, vec_col), threshold, bits, bands, seed,
                           include_self=False)
-    a, b = rows.alias("a"), rows.alias("b")
-    j = (nb.join(a.select("id", "ord", "vid1", "vid2"), ["vid1", "vid2"])
-           .join(b.select(F.col("id").alias("nid"), F.col("ord").alias("nord"),
-                          F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2")),
-                 ["nvid1", "nvid2"]))
-    return (j.where(F.struct("ord", "id") < F.struct("nord", "nid"))
-             .select(F.col("id").alias("left_id"), F.col("nid").alias("right_id"),
-                     F.round("score", 6).alias("score")))
+    a = reps.select("vid1", "vid2", F.col("first").alias("fa"), F.col("n").alias("na"))
+    b = reps.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"),
+                    F.col("first").alias("fb"), F.col("n").alias("nb"))
+    j = nb.join(a, ["vid1", "vid2"]).join(b, ["nvid1", "nvid2"]).where(F.col("fa") < F.col("fb"))
+    out = j.select(F.col("fa.id").alias("left_id"), F.col("fb.id").alias("right_id"),
+                   F.round("score", 6).alias("score"), F.col("na").alias("n_left"),
+                   F.col("nb").alias("n_right"))
+    return out if with_counts else out.drop("n_left", "n_right")
 
 
 # ----------------------------------------------------------------------------
