@@ -20,7 +20,7 @@ def dedup_stage(articles: DataFrame, hamming_limit: int = 3, cos_threshold: floa
     passed the content filter (the vector stage needs them for kept rows)."""
     a = FL.min_content(articles, "content", 50)
     a = DD.with_simhash(a)
-    if embed:
+    if embed and "embedding" not in a.columns:   # vectors may be supplied
         a = VE.embed(a, "content", "embedding")
     # persisted, not checkpointed: K1 checkpoints its own projection of it
     from pyspark import StorageLevel
@@ -29,12 +29,14 @@ def dedup_stage(articles: DataFrame, hamming_limit: int = 3, cos_threshold: floa
                            hamming_limit=hamming_limit, cos_threshold=cos_threshold)
 
 
-def story_flow(spark: SparkSession, sf_dir: str, cluster_threshold: float = 0.75) -> DataFrame:
+def story_flow(spark: SparkSession, sf_dir: str, cluster_threshold: float = 0.75,
+               articles: DataFrame | None = None) -> DataFrame:
     """Documents to decisions and story clusters: one row per document with
-    kept / stage / duplicate_of and, for kept ones, cluster_id."""
+    kept / stage / duplicate_of and, for kept ones, cluster_id. ``articles``
+    may be given (e.g. with an ``embedding`` column already supplied)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
-    arts = TB.articles(spark, sf_dir)
+    arts = articles if articles is not None else TB.articles(spark, sf_dir)
     dec = dedup_stage(arts)
     unique = dec.where("kept").select("url_hash", "arrival", "extracted_at", "url", "title",
                                       "embedding")
