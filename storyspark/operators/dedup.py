@@ -230,8 +230,7 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
     state = cut_lineage(base.select(
         "rid", F.when(F.col("prior"), F.lit("K")).otherwise(F.lit("U")).alias("status")))
-    undecided = state.where(F.col("status") == "U").count()
-    lo_a, hi_a = base.agg(F.min("a"), F.max("a")).first()
+    undecided, lo_a, hi_a = base.agg(F.count_if(~F.col("prior")), F.min("a"), F.max("a")).first()
     single = lo_a is None or (lo_a // bucket_size) == (hi_a // bucket_size)
     rounds = 0
     _t0 = time.time()

@@ -213,8 +213,10 @@ def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
     Candidates: equi-join on (band, value) of ids only (vectors and
     signatures stay out of the band shuffle); a pair colliding in several
     bands is reduced by a map-side-combined distinct; exact cosine check."""
+    n_rows, dim = vecs.agg(F.count("*"), F.max(F.size("vec"))).first()
     if n_hint is None:
-        n_hint = vecs.count()
+        n_hint = n_rows
+    dim = dim or 0
     bits, bands = srp_params(threshold, n_hint, target_miss, bits=bits, bands=bands)
     sig = vecs.withColumn("sig", srp_bands("vec", bits, bands, seed))
     ex = sig.select("vid1", "vid2", F.posexplode("sig").alias("band", "bval"))
@@ -228,8 +230,7 @@ def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
     # the vector table is broadcast for the exact check only when its size is
     # proven small (distinct count x dimension x 4 bytes); otherwise the
     # candidate pairs are shuffle-joined with it
-    dim = vecs.select(F.max(F.size("vec"))).first()[0] or 0
-    small = n_hint * dim * 4 <= broadcast_limit
+    small = n_rows * dim * 4 <= broadcast_limit
     lv = vb.select("vid1", "vid2", F.col("vb").alias("lb"))
     rv = vb.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"), F.col("vb").alias("rb"))
     if small:
