@@ -6,10 +6,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import simhash_cover
+from . import chat, host_rules, pii, simhash_cover
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,3 +35,29 @@ def _query(name: str, table: str, sql: str | None = None):
 def op5(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of every document."""
     return simhash_cover.simhash_components(docs)
+
+
+@_query("op1_pii", "documents")
+def op1(docs: DataFrame) -> DataFrame:
+    """Counts, digest and spans of personal data in every document."""
+    return pii.pii_digest(docs)
+
+
+@_query("op2_chat_format", "conversations", chat.DIGEST_SQL)
+def op2(turns: DataFrame) -> DataFrame:
+    """Every conversation formatted and read back, and conversation -7."""
+    spark = turns.sparkSession
+    text = "</s>[INST] ok [/INST]"
+    own = spark.range(1).select(F.explode(F.array(*[
+        F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"),
+                 F.lit(role).alias("role"), F.lit(text).alias("text"))
+        for i, role in enumerate(("user", "assistant"))])).alias("r")).select("r.*")
+    rows = turns.select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.chat_digest(chat.format_conversations(rows))
+
+
+@_query("op9_host_rules", "documents", host_rules.QUERY_SQL)
+def op9(docs: DataFrame) -> DataFrame:
+    """Rule features, base rules and the host verdict of every document."""
+    return host_rules.judge(docs).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
