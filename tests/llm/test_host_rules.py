@@ -32,15 +32,18 @@ def test_features_match_brute_force(spark):
         assert not (x.base_failed and x.kept)
 
 
+MARKS = "".join(f" #w{i}x" for i in range(30))
+
+
 def prose(r):
     return " ".join("".join(r.choices("abcdefghij", k=6)) for _ in range(80))
 
 
 def test_host_verdicts_and_clean_documents(spark):
     r = random.Random(4)
-    rows = [(i, "good", prose(r)) for i in range(60)] + [(100, "good", prose(r) + " #" * 30)]
-    rows += [(200 + i, "bad", prose(r) + " ##" * 30) for i in range(60)] + [(300, "bad", prose(r))]
-    rows += [(400, None, prose(r)), (401, None, None), (402, "tiny", prose(r) + " #" * 30), (402, "tiny", prose(r))]
+    rows = [(i, "good", prose(r)) for i in range(60)] + [(100, "good", prose(r) + MARKS)]
+    rows += [(200 + i, "bad", prose(r) + MARKS) for i in range(60)] + [(300, "bad", prose(r))]
+    rows += [(400, None, prose(r)), (401, None, None), (402, "tiny", prose(r) + MARKS), (402, "tiny", prose(r))]
     df = spark.createDataFrame(rows, SCHEMA).selectExpr("*", "1 as kept", "2 as n_words")
     out = HR.kept_documents(df)
     kept = {x.doc_id for x in out.collect()}
