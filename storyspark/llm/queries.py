@@ -5,12 +5,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import chat, host_rules, pii, simhash_cover
+from . import chat, host_rules, pii, simhash_cover, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -61,3 +62,9 @@ def op9(docs: DataFrame) -> DataFrame:
     """Rule features, base rules and the host verdict of every document."""
     return host_rules.judge(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@_query("op10_token_counts", "documents")
+def op10(docs: DataFrame) -> DataFrame:
+    """Bytes and byte-level BPE tokens of every document."""
+    return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
