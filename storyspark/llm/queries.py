@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import chat, host_rules, pii, simhash_cover, token_counts
+from . import chat, host_rules, packing, pii, simhash_cover, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -68,3 +68,10 @@ def op9(docs: DataFrame) -> DataFrame:
 def op10(docs: DataFrame) -> DataFrame:
     """Bytes and byte-level BPE tokens of every document."""
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
+
+
+@_query("op7_packing", "documents")
+def op7(docs: DataFrame) -> DataFrame:
+    """Every document's pieces with their place in a sequence."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
