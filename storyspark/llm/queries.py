@@ -11,19 +11,19 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import chat, host_rules, packing, pii, simhash_cover, token_counts
+from . import chat, decontam, host_rules, packing, pii, simhash_cover, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def _query(name: str, table: str, sql: str | None = None):
-    """Register ``fn(spark, table_frame)`` under ``name``."""
+def _query(name: str, *tables: str, sql: str | None = None):
+    """Register ``fn(table frames...)`` under ``name``."""
     def deco(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ensure_checkpoint_dir(spark)
             ship_package(spark)
-            return fn(read_table(spark, sf_dir, table))
+            return fn(*[read_table(spark, sf_dir, t) for t in tables])
         run.__name__, run.__doc__ = name, fn.__doc__
         QUERIES[name] = run
         if sql:
@@ -44,7 +44,7 @@ def op1(docs: DataFrame) -> DataFrame:
     return pii.pii_digest(docs)
 
 
-@_query("op2_chat_format", "conversations", chat.DIGEST_SQL)
+@_query("op2_chat_format", "conversations", sql=chat.DIGEST_SQL)
 def op2(turns: DataFrame) -> DataFrame:
     """Every conversation formatted and read back, and conversation -7."""
     spark = turns.sparkSession
@@ -57,7 +57,7 @@ def op2(turns: DataFrame) -> DataFrame:
     return chat.chat_digest(chat.format_conversations(rows))
 
 
-@_query("op9_host_rules", "documents", host_rules.QUERY_SQL)
+@_query("op9_host_rules", "documents", sql=host_rules.QUERY_SQL)
 def op9(docs: DataFrame) -> DataFrame:
     """Rule features, base rules and the host verdict of every document."""
     return host_rules.judge(docs).select(
@@ -75,3 +75,9 @@ def op7(docs: DataFrame) -> DataFrame:
     """Every document's pieces with their place in a sequence."""
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json")).select(
         "doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+@_query("op3_decontamination", "documents", "benchmark")
+def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """Benchmark items found in documents, with their least edit distance."""
+    return decontam.leaks(docs, benchmark)
