@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import chat, decontam, host_rules, packing, pii, simhash_cover, token_counts
+from . import chat, decontam, host_rules, html_text, packing, pii, simhash_cover, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,9 @@ def op7(docs: DataFrame) -> DataFrame:
 def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Benchmark items found in documents, with their least edit distance."""
     return decontam.leaks(docs, benchmark)
+
+
+@_query("op8_html_text", "pages")
+def op8(pages: DataFrame) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(pages)
