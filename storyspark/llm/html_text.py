@@ -175,7 +175,7 @@ def main_text(html: str | None) -> str:
                 chosen = e                     # parents come first, so the deepest wins
         if chosen.name in ("", "html", "body"):
             first = cluster[0]                 # with the headings right above it
-            while first - 1 in good and lines[first - 1][2].name in HEADINGS:
+            while first and not lines[first - 1][2].noise and lines[first - 1][2].name in HEADINGS:
                 first -= 1
             good = [i for i in good if first <= i <= cluster[-1]]
     inside = [False] * len(parser.elements)

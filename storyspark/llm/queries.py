@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import chat, decontam, host_rules, html_text, packing, pii, simhash_cover, token_counts
+from . import chat, decontam, host_rules, html_text, lm_score, packing, pii, simhash_cover, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -87,3 +87,9 @@ def op3(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op8(pages: DataFrame) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(pages)
+
+
+@_query("op4_lm_score", "documents")
+def op4(docs: DataFrame) -> DataFrame:
+    """Masked pseudo-likelihood of every document."""
+    return lm_score.score(docs)
