@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import chat, decontam, host_rules, html_text, lm_score, packing, pii, simhash_cover, token_counts
+from . import chat, decontam, host_rules, html_text, license_scan, lm_score, packing, pii, simhash_cover, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -93,3 +93,10 @@ def op8(pages: DataFrame) -> DataFrame:
 def op4(docs: DataFrame) -> DataFrame:
     """Masked pseudo-likelihood of every document."""
     return lm_score.score(docs)
+
+
+@_query("op6_license_scan", "documents", sql=license_scan.DOCUMENTS_SQL)
+def op6(docs: DataFrame) -> DataFrame:
+    """Licence of every document, as the file source/lang/doc_id.txt."""
+    path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), ("doc_id", "path"))
