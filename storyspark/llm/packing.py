@@ -17,12 +17,16 @@ alike, and a document repeated in a third of all rows is spread evenly.
 from __future__ import annotations
 
 import array
+import os
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -33,17 +37,30 @@ from ..session import cut_lineage
 LENGTH = 4096            # tokens of a full sequence
 END_ID = 2               # closes every document
 GROUP = 4096             # pieces per group, on average
-CACHE_WORDS = 800_000    # words a worker remembers
-LONGEST = 64             # bytes of a word that is remembered
-BATCH_WORDS = 1 << 19    # words encoded at a time, but whole documents
+CACHE_WORDS = 1_000_000   # words a worker remembers
+BATCH_BYTES = 8 << 20    # of text encoded at a time, but whole documents
+
+
+# Characters up to U+024F without controls and white space are the same under NFC and
+# have one lower case and class in all Unicode versions (but for U+0130)
+_SETTLED = re.compile("[!-~\xa1-\u012f\u0131-\u024f]+").fullmatch
+# fixed value: the tokenizer's own splitting pattern
+_PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
+# byte-level alphabet: a printable byte stands for itself, the others follow from U+0100 on
+_PLAIN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_BYTES = dict(zip([b for b in range(256) if b not in _PLAIN], range(0x100, 0x200)))
 
 
 class WordEncoder:
     """Ids of whole texts from a cache of space-separated words. The tokenizer
     drops white space and never joins across it, so a text's ids are its words'
-    ids one after the other."""
+    ids one after the other. Arrow splits texts at ASCII white space and numbers
+    the distinct words of a batch, so Python sees each of them once. A new word
+    of settled characters is cut as the tokenizer cuts it and its parts go straight to
+    the tokenizer's merges; any other new word goes through the whole tokenizer."""
 
     def __init__(self, tokenizer_json: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"     # a task has one core
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
         self.tokenizer.no_truncation()
@@ -51,45 +68,48 @@ class WordEncoder:
         self._reset()
 
     def _reset(self) -> None:
-        encoder = self
-
-        class Slots(dict):
-            def __missing__(self, word: bytes) -> int:
-                ids = encoder.tokenizer.encode(word.decode(), add_special_tokens=False).ids
-                encoder.ids.extend(ids)
-                encoder.ends.append(len(encoder.ids))
-                slot = len(encoder.ends) - 2
-                if len(word) <= LONGEST:
-                    self[word] = slot
-                return slot
-
-        self.slots, self.ids, self.ends = Slots(), array.array("I"), array.array("q", [0])
-
-    def encode(self, texts: list[bytes], end_id: int) -> Iterator[np.ndarray]:
-        """One uint32 array per text, closed by ``end_id``."""
-        batch, words = [], []
-        for text in texts:
-            own = text.split()               # ASCII white space only
-            batch.append(len(own))
-            words += own
-            if len(words) >= BATCH_WORDS:
-                yield from self._flush(batch, words, end_id)
-                batch, words = [], []
-        yield from self._flush(batch, words, end_id)
-
-    def _flush(self, batch: list[int], words: list[bytes], end_id: int) -> Iterator[np.ndarray]:
-        slots = np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+        self.slots, self.ids, self.ends = {"": 0}, array.array("I"), array.array("q", [0, 0])
+
+    def _slots_of(self, words: list[str]) -> np.ndarray:
+        """Places of distinct words in the cache."""
+        if len(self.slots) + len(words) > CACHE_WORDS:
+            self._reset()
+        merge = self.tokenizer.model.tokenize
+        for word in words:
+            if word not in self.slots:
+                if _SETTLED(word) and "<|" not in word:
+                    for part in _PARTS(word.lower()):
+                        part = part if part.isascii() else part.encode().decode("latin-1").translate(_BYTES)
+                        self.ids.extend([t.id for t in merge(part)])
+                else:
+                    self.ids.extend(self.tokenizer.encode(word, add_special_tokens=False).ids)
+                self.slots[word] = len(self.ends) - 1
+                self.ends.append(len(self.ids))
+        return np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))
+
+    def encode(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        """One uint32 array per text (none null), closed by ``end_id``."""
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            done = size[at - 1] if at else 0
+            stop = max(at + 1, int(np.searchsorted(size, done + BATCH_BYTES)))
+            yield from self._some(texts.slice(at, stop - at), end_id)
+            at = stop
+
+    def _some(self, texts: pa.Array, end_id: int) -> Iterator[np.ndarray]:
+        lists = pc.ascii_split_whitespace(texts)
+        coded = lists.flatten().dictionary_encode()
+        slots = self._slots_of(coded.dictionary.to_pylist())[coded.indices.to_numpy()]
         ends, ids = np.frombuffer(self.ends, np.int64), np.frombuffer(self.ids, np.uint32)
         starts = ends[slots]
         lengths = ends[slots + 1] - starts
-        done = np.cumsum(lengths)
-        total = int(done[-1]) if len(done) else 0
-        flat = ids[np.repeat(starts - done + lengths, lengths) + np.arange(total)] if total else np.empty(0, np.uint32)
-        at = np.concatenate([[0], done])[np.concatenate([[0], np.cumsum(batch)]).astype(np.int64)]
-        for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
+        done = np.concatenate([[0], np.cumsum(lengths)])
+        flat = ids[np.repeat(starts - done[:-1], lengths) + np.arange(done[-1])] if done[-1] else np.empty(0, np.uint32)
+        words = np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])
+        at = done[words].tolist()
+        for a, b in zip(at[:-1], at[1:]):
             yield np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
-        if len(self.slots) >= CACHE_WORDS:
-            self._reset()
 
 
 _WORKER: dict = {}
@@ -120,8 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, end_id: i
         encoder, part, copies = _encoder(shared), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             out: list[tuple] = []
-            texts = batch.column("text").cast(pa.binary()).to_pylist()
-            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(texts, end_id)):
+            for doc_id, ids in zip(batch.column("doc_id").to_pylist(), encoder.encode(batch.column("text"), end_id)):
                 for at in range(0, len(ids), length):
                     piece = ids[at:at + length]
                     crc = zlib.crc32(piece.tobytes())

@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -24,6 +25,7 @@ def texts():
     r = random.Random(9)
     bits = ["The", " ", "\n", "'s", "É", "12", "##", "<|endoftext|>", "Zürich", "\t", "😀", "…", "é", "İ", "ΑΣ", "\xa0", "\x1c", "\x85", "　", "don't"]
     out = ["".join(r.choices(bits, k=r.randrange(60))) for _ in range(200)]
+    out += ["".join(map(chr, range(a, a + 40))) for a in range(33, 0x300, 7)] + [chr(a) + "'S" + chr(a) for a in range(33, 0x260)]
     return out + [None, "", " ", "́ ́a", "word " * 12000, "x" * 9000, "<|startoftext|> a<|endoftext|>", "a " * 4095, "a " * 8191]
 
 
@@ -31,9 +33,9 @@ def test_ids_equal_the_library(library, monkeypatch):
     with open(PATH, encoding="utf-8") as f:
         encoder = PK.WordEncoder(f.read())
     monkeypatch.setattr(PK, "CACHE_WORDS", 40)
-    monkeypatch.setattr(PK, "BATCH_WORDS", 50)
+    monkeypatch.setattr(PK, "BATCH_BYTES", 50)
     ts = [t or "" for t in texts()]
-    for t, got in zip(ts, encoder.encode([t.encode() for t in ts], 2), strict=True):
+    for t, got in zip(ts, encoder.encode(pa.array(ts), 2), strict=True):
         assert got.tolist() == library.encode(t, add_special_tokens=False).ids + [2], t[:80]
 
 
