@@ -50,17 +50,14 @@ def cluster_articles(articles: DataFrame, clusters: DataFrame | None = None, *,
                      id_col: str = "url_hash", arrival_col: str = "arrival",
                      time_col: str = "extracted_at", vec_col: str = "embedding",
                      threshold: float = CLUSTER_THRESHOLD, max_active: int = MAX_ACTIVE,
-                     dim: int | None = None, srp_bits: int | None = None,
-                     srp_bands: int | None = None, srp_target_miss: float = 1e-3) -> DataFrame:
+                     dim: int | None = None) -> DataFrame:
     """K2 assignments: one row per article with ``cluster_id``,
     ``is_new_cluster`` (the article opened it) and ``similarity_score``
     (null for a new cluster). Invalid vectors (missing, wrong size, all zero)
     are quarantined: cluster_id null, ``quarantined`` true.
 
-    The seed graph uses SRP candidates with a miss probability of
-    ``srp_target_miss`` per pair at the threshold (lower above it); K2 is a
-    batch approximation of the sequential centroid rule, so the default is
-    looser than K1's 1e-6."""
+    The seed graph is exact. K2 is the batch form of the sequential centroid
+    rule; with one article per batch it is that rule."""
     valid = F.col(vec_col).isNotNull() & F.exists(vec_col, lambda x: x != 0)
     if dim is not None:
         valid = valid & (F.size(vec_col) == dim)
@@ -75,8 +72,7 @@ def cluster_articles(articles: DataFrame, clusters: DataFrame | None = None, *,
     rest = good.where(F.col("match_id").isNull()).drop("match_id", "match_score")
     seeds = dedup_decide(rest, id_col=id_col, arrival_col=arrival_col, time_col=time_col,
                          vector_col=vec_col, cos_threshold=threshold, use_url=False,
-                         use_simhash=False, window_seconds=None, srp_bits=srp_bits,
-                         srp_bands=srp_bands, srp_target_miss=srp_target_miss)
+                         use_simhash=False, window_seconds=None)
     out_new = seeds.select(
         *articles.columns, F.lit(False).alias("quarantined"),
         F.when(F.col("kept"), F.col(id_col)).otherwise(F.col("duplicate_of"))

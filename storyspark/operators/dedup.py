@@ -6,8 +6,11 @@ when an earlier *kept* row matches it -- same url_hash (silent skip), SimHash
 distance <= limit while the kept row's entry is alive (t_kept + window > t),
 or vector cosine >= threshold; otherwise it is kept. The kept set is the
 lexicographically first maximal independent set of that match graph; it is
-computed in parallel rounds: a row is dropped once an earlier neighbour is
-kept, and kept once every earlier neighbour is dropped.
+computed in parallel: one round keeps every row without an earlier
+neighbour, a second drops their neighbours, and what is left falls apart into
+components of rows that share keys, each decided in one task by the sequential
+rule itself. Only components beyond ``COMPONENT_ROWS`` go round again, so chains
+do not cost a round per link, and there is no cap on rounds.
 
 Scale notes
 * Copies never become row pairs. Neighbour relations are built between
@@ -21,19 +24,18 @@ Scale notes
 
 from __future__ import annotations
 
-import os
-import time
-
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.simhash import disjoint_bands, hamming, simhash128
 from ..session import cut_lineage, spread
+from .components import smallest_reachable
 from .vectors import distinct_vectors, vector_id, vector_neighbors
 
 K_URL, K_SIM, K_VEC = 0, 1, 2
-_TRACE = bool(os.environ.get("STORYSPARK_TRACE"))
+COMPONENT_ROWS = 100_000     # rows of a component that one task decides
 
 
 def _materialize(df: DataFrame) -> DataFrame:
@@ -48,9 +50,9 @@ def known_url_guard(new: DataFrame, stored: DataFrame, key: str = "url_hash") ->
     return new.join(stored.select(key), key, "left_anti")
 
 
-def with_simhash(df: DataFrame, text_col: str = "content") -> DataFrame:
+def with_simhash(df: DataFrame, text_col: str = "content", partitions: int | None = None) -> DataFrame:
     """Add sim_hi / sim_lo (128-bit SimHash of the normalized text)."""
-    return (spread(df).withColumn("_sh", simhash128(F.col(text_col)))
+    return (spread(df, partitions).withColumn("_sh", simhash128(F.col(text_col)))
               .withColumn("sim_hi", F.col("_sh.sim_hi"))
               .withColumn("sim_lo", F.col("_sh.sim_lo")).drop("_sh"))
 
@@ -141,163 +143,189 @@ def _asof_latest(queries: DataFrame, sources: DataFrame, bucket_size: int,
                .drop("k_in", "u_in", "k_c", "u_c", "side", "bk", "kind", "sid"))
 
 
+def _decide_component(win_us: int | None):
+    """The sequential rule over one component: rows in arrival order, each
+    with the keys it asks for and the keys it is known by once kept."""
+    def run(asks: pd.DataFrame, owns: pd.DataFrame) -> pd.DataFrame:
+        own: dict[int, list] = {}
+        for rid, key in zip(owns["own_rid"], owns["own_key"]):
+            own.setdefault(rid, []).append(key)
+        latest: dict = {}                     # key -> time of the latest kept row
+        status, at = [], asks.sort_values(["a", "rid"], kind="stable")
+        for rid, rows in at.groupby("rid", sort=False):
+            t = rows["t"].iat[0]
+            blocked = any(k in latest and (not sim or win_us is None or latest[k] > t - win_us)
+                          for k, sim in zip(rows["key"], rows["sim"]))
+            keep = not blocked and bool(rows["can_keep"].iat[0])
+            status.append((rid, "K" if keep else "D"))
+            if keep:
+                for k in own.get(rid, ()):
+                    latest[k] = t
+        return pd.DataFrame(status, columns=["rid", "status"])
+    return run
+
+
+def _resolve(queries: DataFrame, sources: DataFrame, undecided: DataFrame, win_us: int | None,
+             component_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Decide undecided rows whose component has at most ``component_rows``
+    rows; returns (rid, status) of those and the rids of the others. No kept
+    row may block an undecided one any more."""
+    key = F.xxhash64("kt", "ks", "k1", "k2").alias("key")
+    owns = cut_lineage(sources.join(undecided, "rid", "left_semi").select("rid", key))
+    asks = cut_lineage(queries.join(undecided, "rid", "left_semi")
+                       .select("rid", "a", "t", "can_keep", key, (F.col("kt") == K_SIM).alias("sim")))
+    # a key is a vertex only if an undecided row is known by it; hashes of rows
+    # and keys share one space (a clash merges two components, which stay right)
+    shared = asks.join(owns.select("key").distinct(), "key", "left_semi").select("rid", "key").union(owns.select("rid", "key"))
+    vertex = F.xxhash64(F.lit("row"), F.col("rid"))
+    roots = smallest_reachable(shared.select(vertex.alias("u"), F.col("key").alias("v")))
+    member = cut_lineage(undecided.withColumn("u", vertex).join(roots, "u", "left")
+                         .select("rid", F.coalesce("root", "u").alias("comp")))
+    sized = cut_lineage(member.join(member.groupBy("comp").agg(F.count("*").alias("n")), "comp"))
+    small = sized.where(F.col("n") <= component_rows).select("rid", "comp")
+    rest = sized.where(F.col("n") > component_rows).select("rid")
+    # new names, hence new columns: the two sides of a cogroup must not share one
+    own_side = owns.join(small, "rid").select(*[F.col(c).alias(f"own_{c}") for c in ("rid", "key", "comp")])
+    decided = (asks.join(small, "rid").groupBy("comp").cogroup(own_side.groupBy("own_comp"))
+               .applyInPandas(_decide_component(win_us), "rid long, status string"))
+    return decided, rest
+
+
 def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str = "arrival",
                  time_col: str = "extracted_at", url_col: str = "url_hash",
                  vector_col: str | None = None, hamming_limit: int = 3,
                  window_seconds: float | None = 72 * 3600, cos_threshold: float = 0.92,
-                 srp_bits: int | None = None, srp_bands: int | None = None,
                  use_url: bool = True, use_simhash: bool = True,
-                 prior_kept: DataFrame | None = None, srp_target_miss: float = 1e-6,
-                 bucket_size: int = 1 << 18, max_rounds: int = 64) -> DataFrame:
+                 prior_kept: DataFrame | None = None,
+                 bucket_size: int = 1 << 18, component_rows: int = COMPONENT_ROWS) -> DataFrame:
     """K1: decide every row. ``rows`` needs id, arrival (unique, processing
     order), time (non-decreasing with arrival), url key, sim_hi/sim_lo and
     optionally a vector column (None disables the vector stage).
     ``use_url`` / ``use_simhash`` switch the other stages off (the cluster
     seed rule is this operator on the cosine graph alone).
 
-    Returns rows with ``kept`` (bool), ``stage`` (null, 'url', 'simhash',
-    'vector' or 'no_vector'), ``duplicate_of`` (id of the kept row),
-    ``distance`` (SimHash stage) and ``score`` (vector stage). Naming rule
-    (the reference's choice depends on set order): lowest distance / highest
-    cosine, then the most recent kept row, then the smallest id.
+    Returns one row per input row with ``kept`` (bool), ``stage`` (null, 'url',
+    'simhash', 'vector' or 'no_vector'), ``duplicate_of`` (id of the kept row),
+    ``distance`` (SimHash stage) and ``score`` (vector stage). A row is known
+    by its arrival, so ids (and urls) may repeat. Naming rule (the reference's
+    choice depends on set order): lowest distance / highest cosine, then the
+    most recent kept row, then the smallest id.
 
     ``prior_kept`` (same columns): rows kept by earlier batches (streaming
     state); they count as kept and earlier, and are not returned."""
     use_vec = vector_col is not None
+    row_id = lambda prior: F.col(arrival_col).cast("long") * 2 + (1 if prior else 0)
 
-    def _proj(df):
-        return df.select(
-            F.col(id_col).alias("rid"), F.col(arrival_col).cast("long").alias("a"),
-            F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"),
-            (F.col(url_col).cast("string") if use_url else F.lit(None).cast("string")).alias("uid"),
-            (F.col("sim_hi") if use_simhash else F.lit(0).cast("long")).alias("hi"),
-            (F.col("sim_lo") if use_simhash else F.lit(0).cast("long")).alias("lo"),
-            *([F.col(vector_col).alias("vec")] if use_vec else []))
+    def _proj(df, prior):
+        cols = [row_id(prior).alias("rid"), F.col(id_col).alias("id"), F.col(arrival_col).cast("long").alias("a"),
+                F.unix_micros(F.col(time_col).cast("timestamp")).alias("t"),
+                (F.col(url_col).cast("string") if use_url else F.lit(None).cast("string")).alias("uid"),
+                (F.col("sim_hi") if use_simhash else F.lit(0).cast("long")).alias("hi"),
+                (F.col("sim_lo") if use_simhash else F.lit(0).cast("long")).alias("lo"),
+                F.lit(prior).alias("prior")]
+        if use_vec:
+            v1, v2 = vector_id(vector_col)
+            cols += [v1.alias("vid1"), v2.alias("vid2"),
+                     (F.col(vector_col).isNotNull() & F.exists(vector_col, lambda x: x != 0)).alias("can_keep")]
+        else:
+            cols += [F.lit(True).alias("can_keep")]
+        return df.select(*cols)
 
-    base = _proj(rows).withColumn("prior", F.lit(False))
+    base = _proj(rows, False)
     if prior_kept is not None:
-        base = base.unionByName(_proj(prior_kept).withColumn("prior", F.lit(True)))
-    if use_vec:
-        v1, v2 = vector_id("vec")
-        base = base.withColumn("vid1", v1).withColumn("vid2", v2).withColumn(
-            "can_keep", F.col("vec").isNotNull() & F.exists("vec", lambda x: x != 0))
-    else:
-        base = base.withColumn("can_keep", F.lit(True))
-    base = cut_lineage(base)
-
-    # --- static query keys: (rid, key) per signature, with match strength ---
-    qbase = base.where(~F.col("prior"))
-    # the url key is always queried (it is how every row meets the round
-    # aggregate); with use_url=False no source carries it, so it never hits
-    q_url = qbase.select("rid", "a", "t", F.lit(K_URL).alias("kt"),
-                        F.coalesce(F.col("uid"), F.lit("")).alias("ks"),
-                        F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2"),
-                        F.lit(None).cast("int").alias("dist"),
-                        F.lit(None).cast("double").alias("score"))
-    queries = q_url
+        base = base.unionByName(_proj(prior_kept, True))
+    base = cut_lineage(base.withColumn("can_keep", F.coalesce("can_keep", F.lit(False))))
+
+    # --- static keys: what a row asks for, and what a kept row is known by ---
+    none = {"ks": F.lit(""), "k1": F.lit(0).cast("long"), "k2": F.lit(0).cast("long"),
+            "dist": F.lit(None).cast("int"), "score": F.lit(None).cast("double")}
+
+    def keyed(df, kt, *extra, **cols):
+        return df.select("rid", *extra, "a", "t", "can_keep", F.lit(kt).alias("kt"),
+                         *[cols.get(c, none[c]).alias(c) for c in ("ks", "k1", "k2", "dist", "score")])
+
+    asking = base.where(~F.col("prior"))
     keepable = base.where("can_keep")
-    src_keys = (keepable.where(F.col("uid").isNotNull())
-                .select("rid", "a", "t", F.lit(K_URL).alias("kt"), F.col("uid").alias("ks"),
-                        F.lit(0).cast("long").alias("k1"), F.lit(0).cast("long").alias("k2")))
+    # the url key is always asked for (it is how every row meets the round
+    # aggregate); with use_url=False no source carries it, so it never hits
+    queries = keyed(asking, K_URL, ks=F.coalesce(F.col("uid"), F.lit("")))
+    src_keys = keyed(keepable.where(F.col("uid").isNotNull()), K_URL, "id", ks=F.col("uid"))
     if use_simhash:
-        fpn = simhash_neighbors(base.select(F.col("hi").alias("sim_hi"),
-                                            F.col("lo").alias("sim_lo")), hamming_limit)
-        q_sim = (qbase.select("rid", "a", "t", "hi", "lo").join(fpn, ["hi", "lo"])
-                     .select("rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
-                             F.col("nhi").alias("k1"), F.col("nlo").alias("k2"), "dist",
-                             F.lit(None).cast("double").alias("score")))
-        queries = queries.unionByName(q_sim)
-        src_keys = src_keys.unionByName(keepable.select(
-            "rid", "a", "t", F.lit(K_SIM).alias("kt"), F.lit("").alias("ks"),
-            F.col("hi").alias("k1"), F.col("lo").alias("k2")))
+        fpn = simhash_neighbors(base.select(F.col("hi").alias("sim_hi"), F.col("lo").alias("sim_lo")), hamming_limit)
+        queries = queries.unionByName(keyed(asking.join(fpn, ["hi", "lo"]), K_SIM, k1=F.col("nhi"), k2=F.col("nlo"),
+                                            dist=F.col("dist")))
+        src_keys = src_keys.unionByName(keyed(keepable, K_SIM, "id", k1=F.col("hi"), k2=F.col("lo")))
     if use_vec:
-        vn = vector_neighbors(distinct_vectors(base, "vec"), cos_threshold, srp_bits, srp_bands,
-                              target_miss=srp_target_miss)
-        q_vec = (qbase.where(F.col("vid1").isNotNull()).select("rid", "a", "t", "vid1", "vid2")
-                 .join(vn, ["vid1", "vid2"])
-                 .select("rid", "a", "t", F.lit(K_VEC).alias("kt"), F.lit("").alias("ks"),
-                         F.col("nvid1").alias("k1"), F.col("nvid2").alias("k2"),
-                         F.lit(None).cast("int").alias("dist"), "score"))
-        queries = queries.unionByName(q_vec)
-        src_keys = src_keys.unionByName(base.where("can_keep").select(
-            "rid", "a", "t", F.lit(K_VEC).alias("kt"), F.lit("").alias("ks"),
-            F.col("vid1").alias("k1"), F.col("vid2").alias("k2")))
-    # static for all rounds and one short step from the checkpointed base:
+        vectors = rows.select(F.col(vector_col).alias("vec"))
+        if prior_kept is not None:
+            vectors = vectors.unionByName(prior_kept.select(F.col(vector_col).alias("vec")))
+        vn = vector_neighbors(distinct_vectors(vectors, "vec"), cos_threshold)
+        queries = queries.unionByName(keyed(asking.where(F.col("vid1").isNotNull()).join(vn, ["vid1", "vid2"]), K_VEC,
+                                            k1=F.col("nvid1"), k2=F.col("nvid2"), score=F.col("score")))
+        src_keys = src_keys.unionByName(keyed(keepable, K_VEC, "id", k1=F.col("vid1"), k2=F.col("vid2")))
+    # the same for all rounds and one short step from the checkpointed base:
     # persisted (recomputable after executor loss), not checkpointed
-    queries = _materialize(queries.join(base.select("rid", "can_keep"), "rid"))
-    src_keys = _materialize(src_keys)
+    queries, src_keys = _materialize(queries), _materialize(src_keys)
 
     win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
-    state = cut_lineage(base.select(
-        "rid", F.when(F.col("prior"), F.lit("K")).otherwise(F.lit("U")).alias("status")))
-    undecided, lo_a, hi_a = base.agg(F.count_if(~F.col("prior")), F.min("a"), F.max("a")).first()
+    lo_a, hi_a = base.agg(F.min("a"), F.max("a")).first()
     single = lo_a is None or (lo_a // bucket_size) == (hi_a // bucket_size)
-    rounds = 0
-    _t0 = time.time()
-    if _TRACE:
-        print(f"[dedup_decide] setup done, {undecided} rows", flush=True)
-    while undecided > 0:
-        rounds += 1
-        if rounds > max_rounds:
-            raise RuntimeError(f"dedup_decide: {undecided} rows undecided after {max_rounds} rounds")
-        live = state.where(F.col("status") != "D").select("rid", F.col("status").alias("kind"))
-        und_ids = state.where(F.col("status") == "U").select("rid")
-        q = queries.join(und_ids, "rid", "left_semi")
-        s = src_keys.join(live, "rid").select(F.col("rid").alias("sid"), "a", "t", "kt", "ks",
-                                              "k1", "k2", "kind")
-        hits = _asof_latest(q, s, bucket_size, single)
-        in_win = (F.col("kt") != K_SIM) if win_us is None else (
-            (F.col("kt") != K_SIM) | (F.col("k_last.t") > F.col("t") - F.lit(win_us)))
-        u_win = (F.col("kt") != K_SIM) if win_us is None else (
-            (F.col("kt") != K_SIM) | (F.col("u_last.t") > F.col("t") - F.lit(win_us)))
-        k_hit = F.col("k_last").isNotNull() & in_win
-        u_hit = F.col("u_last").isNotNull() & u_win
-        agg = hits.groupBy("rid").agg(F.max(k_hit).alias("blocked"), F.max(u_hit).alias("wait"),
-                                      F.max("can_keep").alias("can_keep"))
-        decided = (agg
-                   .select("rid", F.when(F.col("blocked"), F.lit("D"))
-                                   .when(F.col("wait"), F.lit("U"))
-                                   .when(F.col("can_keep"), F.lit("K"))
-                                   .otherwise(F.lit("D")).alias("status")))
-        state = cut_lineage(state.where(F.col("status") != "U").unionByName(decided))
-        undecided = state.where(F.col("status") == "U").count()
-        if _TRACE:
-            print(f"[dedup_decide] round {rounds}: {undecided} undecided, "
-                  f"{time.time() - _t0:.1f}s", flush=True)
+
+    def hits_of(wanted, live):
+        """Of each key that ``wanted`` rows ask for: the latest live row before."""
+        s = src_keys.join(live, "rid").select(F.col("id").alias("sid"), "a", "t", "kt", "ks", "k1", "k2", "kind")
+        hits = _asof_latest(queries.join(wanted, "rid", "left_semi"), s, bucket_size, single)
+        alive = lambda last: F.lit(True) if win_us is None else (
+            (F.col("kt") != K_SIM) | (F.col(f"{last}.t") > F.col("t") - F.lit(win_us)))
+        return (hits.withColumn("k_hit", F.col("k_last").isNotNull() & alive("k_last"))
+                .withColumn("u_hit", F.col("u_last").isNotNull() & alive("u_last")))
+
+    def kinds(state, which):
+        return state.where(F.col("status").isin(*which)).select("rid", F.col("status").alias("kind"))
+
+    state = base.select("rid", F.when(F.col("prior"), "K").otherwise("U").alias("status"))
+    left = base.where("not prior").limit(1).count()
+    while left:
+        # rows without an earlier live neighbour are kept, neighbours of kept rows go
+        und = kinds(state, "U").select("rid")
+        first = hits_of(und, kinds(state, "KU")).groupBy("rid").agg(
+            F.max("k_hit").alias("blocked"), F.max("u_hit").alias("wait"), F.max("can_keep").alias("can_keep")).select(
+            "rid", F.when(F.col("blocked"), "D").when(F.col("wait"), "U").when(F.col("can_keep"), "K").otherwise("D").alias("status"))
+        state = cut_lineage(state.where("status <> 'U'").unionByName(first))
+        und = kinds(state, "U").select("rid")
+        second = hits_of(und, kinds(state, "K")).groupBy("rid").agg(
+            F.when(F.max("k_hit"), "D").otherwise("U").alias("status"))
+        state = cut_lineage(state.where("status <> 'U'").unionByName(second))
+        und = kinds(state, "U").select("rid")
+        if not und.limit(1).count():
+            break
+        decided, rest = _resolve(queries, src_keys, und, win_us, component_rows)
+        state = cut_lineage(state.where("status <> 'U'").unionByName(decided)
+                            .unionByName(rest.withColumn("status", F.lit("U"))))
+        left = kinds(state, "U").limit(1).count()
 
     # naming pass over the final kept set: the sequential rule compares a
     # dropped row with *every* earlier kept row, not only those kept by the
     # round in which it was dropped
-    kept = state.where(F.col("status") == "K").select("rid", F.col("status").alias("kind"))
-    dropped = state.where(F.col("status") == "D").select("rid")
-    q = queries.join(dropped, "rid", "left_semi")
-    s = src_keys.join(kept, "rid").select(F.col("rid").alias("sid"), "a", "t", "kt", "ks",
-                                          "k1", "k2", "kind")
-    hits = _asof_latest(q, s, bucket_size, single)
-    in_win = (F.col("kt") != K_SIM) if win_us is None else (
-        (F.col("kt") != K_SIM) | (F.col("k_last.t") > F.col("t") - F.lit(win_us)))
-    k_hit = F.col("k_last").isNotNull() & in_win
+    hits = hits_of(kinds(state, "D").select("rid"), kinds(state, "K")).where("k_hit")
+    latest, sid = -F.col("k_last.a"), F.col("k_last.id").alias("id")
     named = hits.groupBy("rid").agg(
-        F.min(F.when(k_hit & (F.col("kt") == K_URL),
-                     F.struct(-F.col("k_last.a"), F.col("k_last.id").alias("id")))).alias("url_best"),
-        F.min(F.when(k_hit & (F.col("kt") == K_SIM),
-                     F.struct(F.col("dist"), -F.col("k_last.a"), F.col("k_last.id").alias("id")))).alias("sim_best"),
-        F.min(F.when(k_hit & (F.col("kt") == K_VEC),
-                     F.struct(-F.col("score"), -F.col("k_last.a"), F.col("k_last.id").alias("id"),
-                              F.col("score").alias("s")))).alias("vec_best"))
+        F.min(F.when(F.col("kt") == K_URL, F.struct(latest, sid))).alias("url_best"),
+        F.min(F.when(F.col("kt") == K_SIM, F.struct(F.col("dist"), latest, sid))).alias("sim_best"),
+        F.min(F.when(F.col("kt") == K_VEC, F.struct(-F.col("score"), latest, sid, F.col("score").alias("s")))).alias("vec_best"))
     named = named.select(
         "rid",
         F.when(F.col("url_best").isNotNull(), F.lit("url"))
          .when(F.col("sim_best").isNotNull(), F.lit("simhash"))
-         .when(F.col("vec_best").isNotNull(), F.lit("vector"))
-         .otherwise(F.lit("no_vector")).alias("stage"),
+         .otherwise(F.lit("vector")).alias("stage"),
         F.coalesce(F.col("url_best.id"), F.col("sim_best.id"), F.col("vec_best.id")).alias("duplicate_of"),
         F.when(F.col("url_best").isNull(), F.col("sim_best.dist")).alias("distance"),
         F.when(F.col("url_best").isNull() & F.col("sim_best").isNull(),
                F.col("vec_best.s")).alias("score"))
-    state = cut_lineage(state.select("rid", "status").join(named, "rid", "left"))
+    final = cut_lineage(state.join(named, "rid", "left"))
     queries.unpersist()
     src_keys.unpersist()
-    out = rows.join(state.withColumnRenamed("rid", id_col), id_col)
-    return (out.withColumn("kept", F.col("status") == "K").drop("status")
+    out = rows.withColumn("__rid", row_id(False)).join(final.withColumnRenamed("rid", "__rid"), "__rid").drop("__rid")
+    return (out.withColumn("kept", F.col("status") == "K")
+               .withColumn("stage", F.when(F.col("status") == "D", F.coalesce("stage", F.lit("no_vector")))).drop("status")
                .withColumn("score", F.round("score", 6)))

@@ -1,9 +1,9 @@
 """Vector operators: embeddings (J1), similarity pairs (C3), search (C4),
 nearest centroid (C5) and small vector helpers.
 
-Similarity joins never form all pairs: candidates come from a sign-random-
-projection (SRP) band equi-join over *distinct* vectors, and every candidate
-is checked exactly. Recall is set by ``bits``/``bands`` (see ``srp_params``).
+The similarity join is exact: distinct vectors are dealt to blocks around
+sampled pivots, block pairs that the angle bounds rule out are skipped, and the
+rest meet as matrix products of bounded size (see ``vector_neighbors``).
 """
 
 from __future__ import annotations
@@ -15,12 +15,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.vectors import cosine, l2_norm
+from ..functions.vectors import l2_norm
 from ..session import spread
 
 DEFAULT_DIM = 384
@@ -67,9 +68,24 @@ class FeatureHasher:
         return out
 
 
+def _embed_batch(model, texts: list) -> list:
+    """Vectors of a batch; when the model fails on it, of its halves, so that
+    one bad text costs its own row only. Null texts give null."""
+    try:
+        mat = np.asarray(model([t or "" for t in texts]), dtype=np.float32)
+        if mat.ndim != 2 or mat.shape[0] != len(texts):
+            raise ValueError("the model returned another number of vectors")
+    except Exception:  # noqa: BLE001 - any model failure means no vector
+        if len(texts) <= 1:
+            return [None] * len(texts)
+        half = len(texts) // 2
+        return _embed_batch(model, texts[:half]) + _embed_batch(model, texts[half:])
+    return [None if t is None else row for t, row in zip(texts, mat)]
+
+
 def embed(df: DataFrame, text_col: str = "content", out_col: str = "embedding",
           model_factory: Callable[[], Callable[[list[str]], np.ndarray]] | None = None,
-          dim: int = DEFAULT_DIM) -> DataFrame:
+          dim: int = DEFAULT_DIM, partitions: int | None = None) -> DataFrame:
     """Add ``out_col`` array<float>. The model is built once per task by
     ``model_factory`` (iterator UDF). A row whose embedding fails (exception
     or wrong size) gets null, and is dropped by callers as the reference does."""
@@ -80,18 +96,9 @@ def embed(df: DataFrame, text_col: str = "content", out_col: str = "embedding",
         model = factory()
         for texts in batches:
             vals = texts.where(texts.notna(), None).tolist()
-            try:
-                mat = np.asarray(model([v or "" for v in vals]), dtype=np.float32)
-                ok = mat.ndim == 2 and mat.shape[0] == len(vals)
-            except Exception:  # noqa: BLE001 - model failure means no vector
-                ok = False
-            if not ok:
-                yield pd.Series([None] * len(vals), dtype=object)
-                continue
-            yield pd.Series([None if v is None else row for v, row in zip(vals, mat)],
-                            dtype=object)
+            yield pd.Series(_embed_batch(model, vals), dtype=object)
 
-    return spread(df).withColumn(out_col, _embed(F.col(text_col)))
+    return spread(df, partitions).withColumn(out_col, _embed(F.col(text_col)))
 
 
 # ----------------------------------------------------------------------------
@@ -105,67 +112,6 @@ def vector_id(col) -> tuple[Column, Column]:
     return F.xxhash64(c), F.hash(c).cast("long")
 
 
-def srp_params(threshold: float, n_vectors: int, target_miss: float = 1e-6,
-               bits: int | None = None, bands: int | None = None,
-               cand_weight: float = 32.0) -> tuple[int, int]:
-    """Pick bits per band and band count. A pair at cosine ``threshold``
-    agrees on one hyperplane with p = 1 - acos(t)/pi and is missed by every
-    band with probability (1 - p^bits)^bands <= target_miss. Bits are chosen
-    to minimize exploded rows (n * bands) plus expected random candidates
-    (n^2/2 * bands / 2^bits), a candidate weighted ``cand_weight`` times a
-    band row (it ships two vectors through the exact check)."""
-    p = 1.0 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
-
-    def need(b: int) -> int:
-        pb = p ** b
-        return 1 if pb >= 1.0 else int(math.ceil(math.log(target_miss) / math.log(1.0 - pb)))
-
-    n = max(int(n_vectors), 2)
-    if bits is None:
-        bits = min(range(4, 33), key=lambda b: n * need(b)
-                   + cand_weight * (n * n / 2.0) * need(b) / 2.0 ** b)
-    if bands is None:
-        bands = need(bits)
-    return bits, max(1, bands)
-
-
-_PLANES: dict = {}
-
-
-def _planes(dim: int, n: int, seed: int) -> np.ndarray:
-    key = (dim, n, seed)
-    m = _PLANES.get(key)
-    if m is None:
-        m = np.random.default_rng(seed).standard_normal((dim, n)).astype(np.float32)
-        _PLANES[key] = m
-    return m
-
-
-def srp_bands(col, bits: int, bands: int, seed: int = 7) -> Column:
-    """Band values (array<bigint>, one per band) of the sign pattern against
-    ``bits*bands`` seeded random hyperplanes."""
-
-    @F.pandas_udf(T.ArrayType(T.LongType()))
-    def _sig(vs: pd.Series) -> pd.Series:
-        out = [None] * len(vs)
-        weights = (1 << np.arange(bits, dtype=np.int64))
-        idx = [i for i, v in enumerate(vs) if v is not None]
-        if not idx:
-            return pd.Series(out, dtype=object)
-        by_dim: dict[int, list[int]] = {}
-        for i in idx:
-            by_dim.setdefault(len(vs.iat[i]), []).append(i)
-        for dim, rows in by_dim.items():
-            X = np.stack([np.asarray(vs.iat[i], dtype=np.float32) for i in rows])
-            S = (X @ _planes(dim, bits * bands, seed)) > 0
-            codes = (S.reshape(len(rows), bands, bits).astype(np.int64) * weights).sum(axis=2)
-            for j, i in enumerate(rows):
-                out[i] = codes[j]
-        return pd.Series(out, dtype=object)
-
-    return _sig(F.col(col) if isinstance(col, str) else col)
-
-
 @F.pandas_udf(T.BinaryType())
 def vec_bytes(vs: pd.Series) -> pd.Series:
     """Vector -> raw float32 bytes (compact, Arrow-friendly)."""
@@ -173,23 +119,6 @@ def vec_bytes(vs: pd.Series) -> pd.Series:
                      dtype=object)
 
 
-@F.pandas_udf(T.DoubleType())
-def bytes_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Row-wise cosine of two float32 byte columns, computed in float64,
-    capped at 1 (null when a norm is zero)."""
-    n = len(a)
-    ok = (a.notna() & b.notna()).to_numpy()
-    res = np.full(n, np.nan)
-    if ok.any():
-        k = int(ok.sum())
-        A = np.frombuffer(b"".join(a[ok]), dtype=np.float32).reshape(k, -1).astype(np.float64)
-        B = np.frombuffer(b"".join(b[ok]), dtype=np.float32).reshape(k, -1).astype(np.float64)
-        den = np.linalg.norm(A, axis=1) * np.linalg.norm(B, axis=1)
-        with np.errstate(invalid="ignore", divide="ignore"):
-            res[ok] = np.where(den > 0, np.minimum(np.einsum("ij,ij->i", A, B) / den, 1.0), np.nan)
-    return pd.Series(res)
-
-
 def distinct_vectors(df: DataFrame, vec_col: str) -> DataFrame:
     """One row per distinct non-zero vector: (vid1, vid2, vec)."""
     v1, v2 = vector_id(vec_col)
@@ -199,45 +128,106 @@ def distinct_vectors(df: DataFrame, vec_col: str) -> DataFrame:
               .where(l2_norm("vec") > 0))
 
 
-BROADCAST_LIMIT_BYTES = 256 << 20
+BLOCK_ROWS = 2048      # distinct vectors per block, on average
+MAX_PIVOTS = 256       # pivots (and so cells) at most; larger cells are cut into blocks
+_SLACK = 1e-3          # radians allowed for float32 angles
 
 
-def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
-                     bands: int | None = None, seed: int = 7,
-                     n_hint: int | None = None, include_self: bool = True,
-                     broadcast_limit: int = BROADCAST_LIMIT_BYTES,
-                     target_miss: float = 1e-6) -> DataFrame:
+def _unit32(blobs: list) -> np.ndarray:
+    m = np.frombuffer(b"".join(blobs), dtype=np.float32).reshape(len(blobs), -1)
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    return m / np.where(n > 0, n, 1)
+
+
+def _angles(blobs: pd.Series, pivots: np.ndarray) -> np.ndarray:
+    """Angle of each vector to each pivot; nan where the dimension differs."""
+    out = np.full((len(blobs), len(pivots)), np.nan, dtype=np.float32)
+    fits = [i for i, b in enumerate(blobs) if len(b) == 4 * pivots.shape[1]]
+    if fits:
+        out[fits] = np.arccos(np.clip(_unit32([blobs.iat[i] for i in fits]) @ pivots.T, -1, 1))
+    return out
+
+
+def _block_product(threshold: float):
+    """(lo, hi) block pair -> the pairs at or above the threshold, each once."""
+    def run(table: pa.Table) -> pa.Table:
+        lo, hi, own = (table.column(c).to_numpy() for c in ("lo", "hi", "own"))
+        v1, v2, blobs = table.column("vid1").to_numpy(), table.column("vid2").to_numpy(), table.column("vb").to_pylist()
+        parts = []
+        size = np.array([len(b) for b in blobs])
+        for d in np.unique(size):
+            left = np.flatnonzero((own == lo) & (size == d))
+            right = left if lo[0] == hi[0] else np.flatnonzero((own == hi) & (size == d))
+            if not len(left) or not len(right):
+                continue
+            i, j = np.nonzero(_unit32([blobs[k] for k in left]) @ _unit32([blobs[k] for k in right]).T >= threshold - 1e-4)
+            i, j = left[i], right[j]
+            if lo[0] == hi[0]:
+                i, j = i[i < j], j[i < j]
+            for at in range(0, len(i), 1 << 15):    # exact cosine of the candidates, in float64
+                a, b = i[at:at + (1 << 15)], j[at:at + (1 << 15)]
+                x = np.frombuffer(b"".join([blobs[k] for k in a]), np.float32).reshape(len(a), -1).astype(np.float64)
+                y = np.frombuffer(b"".join([blobs[k] for k in b]), np.float32).reshape(len(b), -1).astype(np.float64)
+                cos = np.minimum(np.einsum("ij,ij->i", x, y) / (np.linalg.norm(x, axis=1) * np.linalg.norm(y, axis=1)), 1.0)
+                ok = cos >= threshold
+                parts.append((a[ok], b[ok], cos[ok]))
+        i = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int64)
+        j = np.concatenate([p[1] for p in parts]) if parts else np.empty(0, np.int64)
+        cos = np.concatenate([p[2] for p in parts]) if parts else np.empty(0)
+        return pa.table({"vid1": v1[i], "vid2": v2[i], "nvid1": v1[j], "nvid2": v2[j], "score": cos})
+    return run
+
+
+def vector_neighbors(vecs: DataFrame, threshold: float, include_self: bool = True,
+                     block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
     """C3 on distinct vectors: (vid1, vid2, nvid1, nvid2, score) for every
     ordered pair with cosine >= threshold (both directions), plus self pairs.
-
-    Candidates: equi-join on (band, value) of ids only (vectors and
-    signatures stay out of the band shuffle); a pair colliding in several
-    bands is reduced by a map-side-combined distinct; exact cosine check."""
-    n_rows, dim = vecs.agg(F.count("*"), F.max(F.size("vec"))).first()
-    if n_hint is None:
-        n_hint = n_rows
-    dim = dim or 0
-    bits, bands = srp_params(threshold, n_hint, target_miss, bits=bits, bands=bands)
-    sig = vecs.withColumn("sig", srp_bands("vec", bits, bands, seed))
-    ex = sig.select("vid1", "vid2", F.posexplode("sig").alias("band", "bval"))
-    l, r = ex.alias("l"), ex.alias("r")
-    pairs = (l.join(r, (F.col("l.band") == F.col("r.band")) & (F.col("l.bval") == F.col("r.bval"))
-                    & (F.struct("l.vid1", "l.vid2") < F.struct("r.vid1", "r.vid2")))
-              .select(F.col("l.vid1").alias("vid1"), F.col("l.vid2").alias("vid2"),
-                      F.col("r.vid1").alias("nvid1"), F.col("r.vid2").alias("nvid2"))
-              .distinct())
+    Exact: no pair is missed, whatever the number of vectors.
+
+    A sample of at most ``max_pivots`` vectors are pivots; a vector belongs to
+    the cell of its nearest pivot, and cells beyond ``block_rows`` are cut into
+    blocks by hash. A vector meets a block only if its angle to the block's pivot is
+    within the cell's radius plus the threshold angle. A task compares two
+    blocks, so its memory does not grow with the data."""
+    limit = math.acos(max(-1.0, min(1.0, threshold)))
     vb = vecs.select("vid1", "vid2", vec_bytes("vec").alias("vb"))
-    # the vector table is broadcast for the exact check only when its size is
-    # proven small (distinct count x dimension x 4 bytes); otherwise the
-    # candidate pairs are shuffle-joined with it
-    small = n_rows * dim * 4 <= broadcast_limit
-    lv = vb.select("vid1", "vid2", F.col("vb").alias("lb"))
-    rv = vb.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"), F.col("vb").alias("rb"))
-    if small:
-        lv, rv = F.broadcast(lv), F.broadcast(rv)
-    cand = (pairs.join(lv, ["vid1", "vid2"]).join(rv, ["nvid1", "nvid2"])
-                 .select("vid1", "vid2", "nvid1", "nvid2", bytes_cosine("lb", "rb").alias("score"))
-                 .where(F.col("score") >= threshold))
+    n = vecs.count()
+    cells = min(max_pivots, max(1, -(-n // block_rows)))
+    picked = vb.orderBy(F.xxhash64("vid1", "vid2"), "vid1").limit(cells).collect()
+    size = max((len(r.vb) for r in picked), default=4)
+    pivots = _unit32([r.vb for r in picked if len(r.vb) == size]) if picked else np.ones((1, 1), np.float32)
+
+    @F.pandas_udf("cell int, angle float")
+    def nearest(blobs: pd.Series) -> pd.DataFrame:
+        ang = _angles(blobs, pivots)
+        odd = np.isnan(ang[:, 0])
+        ang[odd] = 0
+        cell = np.where(odd, len(pivots), ang.argmin(axis=1))
+        return pd.DataFrame({"cell": cell.astype(np.int32), "angle": ang.min(axis=1)})
+
+    placed = vb.withColumn("c", nearest("vb")).select("vid1", "vid2", "vb", "c.cell", "c.angle")
+    count, radius = np.zeros(len(pivots) + 1, np.int64), np.zeros(len(pivots) + 1)
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():
+        count[r.cell], radius[r.cell] = r.n, r.r
+    blocks = -(-count // block_rows)             # of each cell; the last cell has the other dimensions
+    first = np.concatenate([[0], np.cumsum(blocks)])
+
+    @F.pandas_udf("array<int>")
+    def meets(blobs: pd.Series, cell: pd.Series) -> pd.Series:
+        near = _angles(blobs, pivots) <= radius[:-1] + limit + _SLACK
+        out = []
+        for row, c in zip(near, cell):
+            to = [len(pivots)] if c == len(pivots) else np.flatnonzero(row).tolist()
+            out.append([b for j in to for b in range(first[j], first[j + 1])])
+        return pd.Series(out, dtype=object)
+
+    starts = F.array(*[F.lit(int(x)) for x in first[:-1]])
+    sizes = F.array(*[F.lit(int(max(x, 1))) for x in blocks])
+    own = F.element_at(starts, F.col("cell") + 1) + F.pmod("vid2", F.element_at(sizes, F.col("cell") + 1)).cast("int")
+    spread_out = (placed.withColumn("own", own).withColumn("other", F.explode(meets("vb", "cell")))
+                  .select("vid1", "vid2", "vb", "own", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")))
+    cand = spread_out.groupBy("lo", "hi").applyInArrow(
+        _block_product(threshold), "vid1 long, vid2 long, nvid1 long, nvid2 long, score double")
     both = cand.unionByName(cand.select(
         F.col("nvid1").alias("vid1"), F.col("nvid2").alias("vid2"),
         F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"), "score"))
@@ -249,8 +239,7 @@ def vector_neighbors(vecs: DataFrame, threshold: float, bits: int | None = None,
 
 
 def vector_pairs(df: DataFrame, id_col: str, order_col: str, vec_col: str,
-                 threshold: float = 0.92, bits: int | None = None,
-                 bands: int | None = None, seed: int = 7, with_counts: bool = False) -> DataFrame:
+                 threshold: float = 0.92, with_counts: bool = False) -> DataFrame:
     """C3 report: (left_id earlier, right_id later, score) for every pair of
     distinct vectors with cosine >= threshold, each vector represented by
     its earliest row. Copies of one vector are counted (``with_counts``
@@ -261,8 +250,7 @@ def vector_pairs(df: DataFrame, id_col: str, order_col: str, vec_col: str,
         v1.alias("vid1"), v2.alias("vid2"))
     reps = rows.groupBy("vid1", "vid2").agg(F.min(F.struct("ord", "id")).alias("first"),
                                             F.count("*").alias("n"))
-    nb = vector_neighbors(distinct_vectors(df, vec_col), threshold, bits, bands, seed,
-                          include_self=False)
+    nb = vector_neighbors(distinct_vectors(df, vec_col), threshold, include_self=False)
     a = reps.select("vid1", "vid2", F.col("first").alias("fa"), F.col("n").alias("na"))
     b = reps.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"),
                     F.col("first").alias("fb"), F.col("n").alias("nb"))
@@ -277,14 +265,6 @@ def vector_pairs(df: DataFrame, id_col: str, order_col: str, vec_col: str,
 # C4: k-NN search; C5: nearest centroid
 # ----------------------------------------------------------------------------
 
-def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
-    """Collect a side whose size must stay bounded; fail loudly beyond it."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; this side must stay bounded")
-    return rows
-
-
 def _unit_rows(vectors: list) -> np.ndarray:
     m = np.asarray([np.asarray(v, dtype=np.float64) for v in vectors], dtype=np.float64)
     if m.size == 0:
@@ -294,49 +274,58 @@ def _unit_rows(vectors: list) -> np.ndarray:
         return np.where(n > 0, m / np.where(n > 0, n, 1.0), np.nan)
 
 
+QUERY_BLOCK = 2048     # queries per pass over the corpus
+SCORE_ROWS = 1024      # corpus rows scored at a time
+
+
 def knn_search(queries: DataFrame, corpus: DataFrame, k: int = 20, threshold: float = 0.7,
                q_id: str = "query_id", q_vec: str = "qvec", c_id: str = "id",
-               c_vec: str = "embedding", max_queries: int = 10_000) -> DataFrame:
+               c_vec: str = "embedding", query_block: int = QUERY_BLOCK) -> DataFrame:
     """C4: per query, the top ``k`` corpus rows with cosine >= threshold, by
     score desc then corpus id. Returns (q_id, c_id, score, rank).
 
-    The query batch is bounded (checked against ``max_queries``) and shipped
-    as a broadcast matrix; the corpus is scanned once, each partition keeps
-    only its local top ``k`` per query (map-side partial top-k), and a final
-    window over at most partitions*k rows per query picks the winners."""
+    Queries go in blocks dealt by hash, about ``query_block`` each: a block is
+    broadcast and the corpus scanned once for it; each partition keeps its
+    local top ``k`` per query, and a window over those picks the winners. Any
+    number of queries is answered."""
     spark = corpus.sparkSession
-    rows = bounded_rows(queries.select(q_id, q_vec), max_queries, "knn queries")
-    qids = [r[0] for r in rows]
-    qmat = _unit_rows([r[1] for r in rows]) if rows else np.zeros((0, 1))
-    bc = spark.sparkContext.broadcast((qids, qmat))
+    n_blocks = max(1, -(-queries.count() // query_block))
+    dealt = queries.select(q_id, q_vec).withColumn("_b", F.pmod(F.xxhash64(F.col(q_id).cast("string")), F.lit(n_blocks)))
     id_type = corpus.schema[c_id].dataType
     qid_type = queries.schema[q_id].dataType
     schema = T.StructType([T.StructField(q_id, qid_type), T.StructField(c_id, id_type),
                            T.StructField("score", T.DoubleType())])
 
-    def _local_topk(it):
-        ids, Q = bc.value
-        for pdf in it:
-            pdf = pdf[pdf[c_vec].notna()]
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            V = _unit_rows(list(pdf[c_vec]))
-            S = V @ Q.T
-            cid = pdf[c_id].to_numpy()
-            out = []
-            for j, qid in enumerate(ids):
-                s = S[:, j]
-                ok = np.where(s >= threshold)[0]
-                if len(ok) == 0:
-                    continue
-                order = np.lexsort((cid[ok], -s[ok]))[:k]
-                sel = ok[order]
-                out.append(pd.DataFrame({q_id: qid, c_id: cid[sel],
-                                         "score": np.minimum(s[sel], 1.0)}))
-            if out:
-                yield pd.concat(out, ignore_index=True)
-
-    local = corpus.select(c_id, c_vec).mapInPandas(_local_topk, schema)
+    def local_topk(shared):
+        def run(it):
+            ids, Q = shared.value
+            ids = np.asarray(ids, dtype=object)
+            best: list = []                    # local winners so far: (query number, corpus id, score)
+            for pdf in it:
+                pdf = pdf[pdf[c_vec].notna()]
+                for at in range(0, len(pdf) if len(ids) else 0, SCORE_ROWS):
+                    some = pdf.iloc[at:at + SCORE_ROWS]
+                    S = _unit_rows(list(some[c_vec])) @ Q.T
+                    row, q = np.nonzero(S >= threshold)
+                    best.append(pd.DataFrame({"q": q, c_id: some[c_id].to_numpy()[row], "score": np.minimum(S[row, q], 1.0)}))
+                if len(best) > 1:
+                    best = [_top(pd.concat(best, ignore_index=True))]
+            if best:
+                top = _top(pd.concat(best, ignore_index=True))
+                yield pd.DataFrame({q_id: ids[top["q"].to_numpy()], c_id: top[c_id].to_numpy(), "score": top["score"].to_numpy()})
+
+        def _top(found):
+            found = found.sort_values(["q", "score", c_id], ascending=[True, False, True], kind="stable")
+            return found[found.groupby("q").cumcount() < k]
+        return run
+
+    local = None
+    for b in range(n_blocks):
+        rows = dealt.where(F.col("_b") == b).collect()
+        mat = _unit_rows([r[1] for r in rows]) if rows else np.zeros((0, 1))
+        part = corpus.select(c_id, c_vec).mapInPandas(
+            local_topk(spark.sparkContext.broadcast(([r[0] for r in rows], mat))), schema)
+        local = part if local is None else local.unionByName(part)
     w = Window.partitionBy(q_id).orderBy(F.desc("score"), F.col(c_id))
     return local.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -363,32 +352,23 @@ def assign_to_centroid(articles: DataFrame, clusters: DataFrame, threshold: floa
     rows = cl.orderBy(*order_cols).select(cluster_id, centroid).limit(max_active).collect()
     cids = [r[0] for r in rows]
     cmat = _unit_rows([r[1] for r in rows]) if rows else np.zeros((0, 1))
-    bc = spark.sparkContext.broadcast((cids, cmat))
-    id_type = clusters.schema[cluster_id].dataType
-    out_schema = T.StructType(list(articles.schema.fields) + [
-        T.StructField("match_id", id_type), T.StructField("match_score", T.DoubleType())])
-
-    def _assign(it):
-        ids, C = bc.value
-        for pdf in it:
-            n = len(pdf)
-            mid = [None] * n
-            msc = np.full(n, np.nan)
-            if len(ids) and n:
-                has = pdf[a_vec].notna().to_numpy()
-                if has.any():
-                    V = _unit_rows(list(pdf.loc[has, a_vec]))
-                    S = np.minimum(V @ C.T, 1.0)
-                    best = np.argmax(np.nan_to_num(S, nan=-np.inf), axis=1)
-                    bs = S[np.arange(len(best)), best]
-                    pos = np.where(has)[0]
-                    for p, b, sc in zip(pos, best, bs):
-                        msc[p] = sc
-                        if sc >= threshold:
-                            mid[p] = ids[b]
-            pdf = pdf.copy()
-            pdf["match_id"] = pd.Series(mid, dtype=object)
-            pdf["match_score"] = msc
-            yield pdf
-
-    return articles.mapInPandas(_assign, out_schema)
+    bc = spark.sparkContext.broadcast(cmat)
+
+    @F.pandas_udf("place int, score double")
+    def best_of(vectors: pd.Series) -> pd.DataFrame:
+        place, score = np.full(len(vectors), -1), np.full(len(vectors), np.nan)
+        has = np.flatnonzero(vectors.notna().to_numpy())
+        if len(bc.value) and len(has):
+            S = np.minimum(_unit_rows(list(vectors.iloc[has])) @ bc.value.T, 1.0)
+            place[has] = np.argmax(np.nan_to_num(S, nan=-np.inf), axis=1)
+            score[has] = S[np.arange(len(has)), place[has]]
+        return pd.DataFrame({"place": place.astype(np.int32), "score": score})
+
+    # only the vector goes through Python; ids come back by their place in the list
+    names = F.array(*[F.lit(c) for c in cids]) if cids else F.array(F.lit(None))
+    found = articles.withColumn("_best", best_of(F.col(a_vec)))
+    score = F.when(~F.isnan("_best.score"), F.col("_best.score"))
+    return (found.withColumn("match_score", score)
+            .withColumn("match_id", F.when(score >= threshold, F.element_at(names, F.col("_best.place") + 1))
+                        .cast(clusters.schema[cluster_id].dataType))
+            .select(*articles.columns, "match_id", "match_score"))

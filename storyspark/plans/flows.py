@@ -15,16 +15,14 @@ from ..sources import tables as TB
 
 
 def dedup_stage(articles: DataFrame, hamming_limit: int = 3, cos_threshold: float = 0.92,
-                embed: bool = True) -> DataFrame:
-    """B1 -> D1 -> J1 -> K1. Embeddings are computed for every row that
-    passed the content filter (the vector stage needs them for kept rows)."""
-    a = FL.min_content(articles, "content", 50)
-    a = DD.with_simhash(a)
+                embed: bool = True, partitions: int | None = None) -> DataFrame:
+    """B1 -> D1 -> J1 -> K1, without the texts. Embeddings are computed for
+    every row that passed the content filter (the vector stage needs them for
+    kept rows). ``partitions`` spreads a small single-split input first."""
+    a = DD.with_simhash(FL.min_content(articles, "content", 50), partitions=partitions)
     if embed and "embedding" not in a.columns:   # vectors may be supplied
         a = VE.embed(a, "content", "embedding")
-    # persisted, not checkpointed: K1 checkpoints its own projection of it
-    from pyspark import StorageLevel
-    a = a.persist(StorageLevel.MEMORY_AND_DISK)
+    a = cut_lineage(a.drop("content", "text"))
     return DD.dedup_decide(a, id_col="url_hash", vector_col="embedding" if embed else None,
                            hamming_limit=hamming_limit, cos_threshold=cos_threshold)
 
@@ -37,9 +35,9 @@ def story_flow(spark: SparkSession, sf_dir: str, cluster_threshold: float = 0.75
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     arts = articles if articles is not None else TB.articles(spark, sf_dir)
-    dec = dedup_stage(arts)
-    unique = dec.where("kept").select("url_hash", "arrival", "extracted_at", "url", "title",
-                                      "embedding")
+    dec = dedup_stage(arts, partitions=spark.sparkContext.defaultParallelism)
+    unique = dec.where("kept").select("url_hash", "arrival", "extracted_at", "url", "title", "embedding")
     asg = CL.cluster_articles(unique, None, id_col="url_hash", threshold=cluster_threshold)
-    return (dec.select("doc_id", "url_hash", "kept", "stage", "duplicate_of", "distance", "score")
-               .join(asg.select("url_hash", "cluster_id", "is_new_cluster"), "url_hash", "left"))
+    # a kept row is known by its arrival: its url may repeat among dropped rows
+    return (dec.select("doc_id", "arrival", "url_hash", "kept", "stage", "duplicate_of", "distance", "score")
+               .join(asg.select("arrival", "cluster_id", "is_new_cluster"), "arrival", "left").drop("arrival"))

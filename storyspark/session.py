@@ -104,22 +104,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
-def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
-    """Before per-row Python work: make sure there are at least as many
-    partitions as cores. A large scan already has many splits and is left
-    alone (no shuffle); a small file with one row group is redistributed."""
-    sc = df.sparkSession.sparkContext
-    want = min_partitions or sc.defaultParallelism
-    # AQE may coalesce a small shuffle output into one partition after the
-    # fact, so the partition count of the plan is not enough: use the
-    # optimizer's size estimate. Small inputs (below want * 64 MB) are spread
-    # round-robin (a cheap shuffle); large ones already have many splits.
-    try:
-        size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
-    except Exception:  # noqa: BLE001 - no estimate: fall back to the count
-        size = None
-    if size is not None and size < want * (64 << 20):
-        return df.repartition(want)
-    if df.rdd.getNumPartitions() >= want:
-        return df
-    return df.repartition(want)
+def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Before per-row Python work on a small file of one split: ``partitions``
+    partitions, if the caller asks for them. Large scans have their own splits."""
+    return df.repartition(partitions) if partitions else df

@@ -107,3 +107,45 @@ def test_prior_kept_rows_block(spark):
     batch = _rows(spark, [("x", 2, hi, lo), ("y", 3, 7, 7)])
     r = {x.url_hash: x for x in DD.dedup_decide(batch, prior_kept=prior).collect()}
     assert set(r) == {"x", "y"} and not r["x"].kept and r["x"].duplicate_of == "p" and r["y"].kept
+
+
+def test_repeated_url_in_a_batch(spark):
+    df = _rows(spark, [("a", 1, 1, 1), ("a", 2, 2**40 - 1, 5), ("b", 3, -1, 7), ("a", 4, 1, 1)])
+    out = DD.dedup_decide(df).collect()
+    r = {x.arrival: x for x in out}
+    assert len(out) == 4 and [r[i].kept for i in (1, 2, 3, 4)] == [True, False, True, False]
+    assert r[2].stage == r[4].stage == "url" and r[2].duplicate_of == r[4].duplicate_of == "a"
+
+
+def test_repeated_url_across_batches(spark):
+    prior = _rows(spark, [("a", 1, 1, 1), ("p", 2, 2**50 - 1, 9)])
+    batch = _rows(spark, [("a", 3, 2**40 - 1, 5), ("a", 4, 77, -3), ("n", 5, -1, -1)])
+    out = DD.dedup_decide(batch, prior_kept=prior).collect()
+    r = {x.arrival: x for x in out}
+    assert len(out) == 3 and [r[i].kept for i in (3, 4, 5)] == [False, False, True]
+    assert r[3].stage == "url" and r[3].duplicate_of == "a"
+
+
+def test_a_long_chain_needs_no_round_per_link(spark):
+    """Each row is 2 bits from the one before and 4 from the one before that."""
+    hi, lo, rows = 0, 0, []
+    for i in range(200):
+        rows.append((f"u{i}", i, hi, lo))
+        bits = [(2 * i) % 128, (2 * i + 1) % 128]
+        hi ^= sum(1 << b for b in bits if b < 63)
+        lo ^= sum(1 << (b - 64) for b in bits if 64 <= b < 127)
+    kept = []
+    for _, a, h, l in rows:
+        if not any((h ^ x).bit_count() + (l ^ y).bit_count() <= 3 for _, x, y in kept):
+            kept.append((a, h, l))
+    df = _rows(spark, rows)
+    want = {a for a, _, _ in kept}
+    got = {x.arrival for x in DD.dedup_decide(df).where("kept").collect()}
+    assert got == want and 50 < len(want) < 150
+
+
+def test_components_too_large_for_a_task_go_round_again(spark):
+    rows = [(f"u{i}", i, (1 << (2 * i)) - 1, 0) for i in range(9)]
+    want = {x.arrival: (x.kept, x.duplicate_of) for x in DD.dedup_decide(_rows(spark, rows)).collect()}
+    got = {x.arrival: (x.kept, x.duplicate_of) for x in DD.dedup_decide(_rows(spark, rows), component_rows=2).collect()}
+    assert got == want and [want[i][0] for i in range(9)] == [i % 2 == 0 for i in range(9)]
