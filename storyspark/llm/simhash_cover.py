@@ -30,8 +30,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators.components import smallest_reachable
 from ..session import cut_lineage
-from .components import smallest_reachable
 
 BITS, SEED = 64, 42
 RADIUS = 3               # most differing bits of a link
