@@ -1,11 +1,12 @@
 """Quality rules per document, pooled by host, in Spark expressions only.
 
-Two base rules reject a document by themselves. Four softer rules count
-failures. A host's rate of documents with any failure is shrunk to an empirical
-beta prior fitted to the rates of all hosts, so a host with few documents is
-not judged by them alone. A document goes when it fails two soft rules, or one
-on a host whose shrunk rate reaches ``HOST_LIMIT``; a document without a failure
-always stays.
+Two base rules reject a document by themselves. Softer rules give points:
+repetition (words in repeated windows, or repeated lines) and symbols one beyond
+their limit and two beyond twice that, odd word lengths one. A host's rate of
+documents that fail any rule is shrunk to an empirical beta prior fitted to the
+rates of all hosts, so a host with few documents is not judged by them alone.
+A document goes at two points, or at one on a host whose shrunk rate reaches
+``HOST_LIMIT``; a document without a point always stays.
 
 Scale: the rules are row-local (whole texts, no explode); hosts are a combining
 count, so a host with a third of the rows costs its map tasks only. The verdict
@@ -24,7 +25,7 @@ WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 50
 MAX_REPEAT_PCT = 50          # base rule, percent of words
-SOFT_REPEAT_PCT = 20
+SOFT_REPEAT_PCT = 25
 SOFT_SYMBOLS_PCT = 10        # symbols per 100 words
 SOFT_LINES_PCT = 30          # repeated lines per 100 lines
 WORD_CHARS = (3, 12)         # mean code points of a word
@@ -89,12 +90,17 @@ def base_failed() -> Column:
 
 
 def soft_failures() -> Column:
+    """Points of the softer rules. Repeated lines repeat their words too, so of
+    these two the worse one counts."""
     n = F.col("n_words")
-    rules = [100 * F.col("n_repeat_words") > SOFT_REPEAT_PCT * n,
-             100 * F.col("n_symbols") > SOFT_SYMBOLS_PCT * n,
-             100 * F.col("n_dup_lines") > SOFT_LINES_PCT * F.col("n_lines"),
-             (F.col("word_chars") < WORD_CHARS[0] * n) | (F.col("word_chars") > WORD_CHARS[1] * n)]
-    return sum((r.cast("int") for r in rules[1:]), rules[0].cast("int"))
+
+    def points(part: str, of: str, pct: int) -> Column:
+        share = 100 * F.col(part)
+        return (share > pct * F.col(of)).cast("int") + (share > 2 * pct * F.col(of)).cast("int")
+
+    odd = (F.col("word_chars") < WORD_CHARS[0] * n) | (F.col("word_chars") > WORD_CHARS[1] * n)
+    return (F.greatest(points("n_repeat_words", "n_words", SOFT_REPEAT_PCT), points("n_dup_lines", "n_lines", SOFT_LINES_PCT))
+            + points("n_symbols", "n_words", SOFT_SYMBOLS_PCT) + odd.cast("int"))
 
 
 def host_table(features: DataFrame, host_col: str = "source") -> DataFrame:
@@ -155,8 +161,9 @@ f AS (SELECT d.doc_id, d.host, len(w.w)::BIGINT AS n_words,
         coalesce(c.n_repeat_words, 0)::BIGINT AS n_repeat_words, len(w.l)::BIGINT AS n_lines
       FROM d JOIN w USING (k) LEFT JOIN c USING (k)),
 b AS (SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-        (100 * n_repeat_words > 20 * n_words)::INT + (100 * n_symbols > 10 * n_words)::INT
-        + (100 * n_dup_lines > 30 * n_lines)::INT
+        greatest((100 * n_repeat_words > 25 * n_words)::INT + (100 * n_repeat_words > 50 * n_words)::INT,
+                 (100 * n_dup_lines > 30 * n_lines)::INT + (100 * n_dup_lines > 60 * n_lines)::INT)
+        + (100 * n_symbols > 10 * n_words)::INT + (100 * n_symbols > 20 * n_words)::INT
         + (word_chars < 3 * n_words OR word_chars > 12 * n_words)::INT AS soft FROM f),
 h AS (SELECT host, count(*) AS n, count(*) FILTER (base_failed OR soft > 0) AS failed FROM b GROUP BY host),
 m AS (SELECT avg(failed / n) AS m, var_samp(failed / n) AS v FROM h),

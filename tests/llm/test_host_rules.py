@@ -32,7 +32,7 @@ def test_features_match_brute_force(spark):
         assert not (x.base_failed and x.kept)
 
 
-MARKS = "".join(f" #w{i}x" for i in range(30))
+MARKS = "".join(f" #w{i}x" for i in range(15))
 
 
 def prose(r):

@@ -42,7 +42,8 @@ def make_tables(folder):
 def failures(text):
     n, chars, symbols, dup, repeat, failed = brute_features(text)
     lines = sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in (text or "").split("\n"))
-    soft = (100 * repeat > 20 * n) + (100 * symbols > 10 * n) + (100 * dup > 30 * lines) + (chars < 3 * n or chars > 12 * n)
+    points = lambda part, of, pct: (100 * part > pct * of) + (100 * part > 2 * pct * of)
+    soft = max(points(repeat, n, 25), points(dup, lines, 30)) + points(symbols, n, 10) + (chars < 3 * n or chars > 12 * n)
     return failed, soft
 
 
