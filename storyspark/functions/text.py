@@ -5,11 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Java regex: (?U) makes \s Unicode-aware, like Python's str.split/strip.
-_WS = r"(?U)\s+"
-_EDGE_WS = r"(?U)^\s+|\s+$"
-
-
 def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
@@ -19,6 +14,10 @@ PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
                  "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
                  "\u2028\u2029\u202f\u205f\u3000")
 
+# One class for trimming and collapsing, the same that Python's str.split() uses
+# (Java's own \s leaves out \x1c to \x1f).
+_WS = f"[{PY_WHITESPACE}]+"
+
 
 def unicode_trim(col) -> Column:
     """Python ``str.strip()``: trims all Unicode whitespace, not only blanks
@@ -59,13 +58,15 @@ def content_preview(col, n: int = 200) -> Column:
 
 def split_authors(col) -> Column:
     """Split on ';', trim, drop blanks."""
-    parts = F.transform(F.split(_c(col), ";"), lambda x: F.regexp_replace(x, _EDGE_WS, ""))
+    parts = F.transform(F.split(_c(col), ";"), unicode_trim)
     return F.filter(parts, lambda x: x != "")
 
 
 def parse_day(col) -> Column:
     """H14: 'YYYY-MM-DD' to midnight UTC, null when it does not parse."""
-    return F.try_to_timestamp(_c(col), F.lit("y-M-d"))
+    # a year has exactly four digits
+    day = F.when(_c(col).rlike(r"^[0-9]{4}-[0-9]{1,2}-[0-9]{1,2}$"), _c(col))
+    return F.try_to_timestamp(day, F.lit("y-M-d"))
 
 
 def min_content_ok(col, min_chars: int = 50) -> Column:

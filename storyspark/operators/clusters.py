@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.urls import source_domain
 from ..functions.vectors import l2_normalize
@@ -90,6 +91,14 @@ def cluster_articles(articles: DataFrame, clusters: DataFrame | None = None, *,
     return out_new.unionByName(out_old).unionByName(out_bad)
 
 
+def _first_domains(dom: DataFrame, key: str, top_n: int) -> DataFrame:
+    """The first ``top_n`` domains per key as an array ``_d``. The rank limit
+    runs in each partition before the shuffle, so no list is longer than that."""
+    rank = F.row_number().over(Window.partitionBy(key).orderBy("first_at", "domain"))
+    return (dom.withColumn("_rank", rank).where(F.col("_rank") <= top_n)
+            .groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first_at", "domain"))).alias("_d")))
+
+
 def cluster_stats(assigned: DataFrame, *, arrival_col: str = "arrival",
                   time_col: str = "extracted_at", title_col: str = "title",
                   url_col: str = "url", top_n: int = TOP_SOURCES) -> DataFrame:
@@ -105,12 +114,8 @@ def cluster_stats(assigned: DataFrame, *, arrival_col: str = "arrival",
         F.min(time_col).alias("created_at"))
     dom = (a.withColumn("domain", source_domain(url_col))
             .groupBy("cluster_id", "domain").agg(F.min(arrival_col).alias("first_at")))
-    # first top_n domains per cluster: aggregate of bounded size per cluster
-    srcs = dom.groupBy("cluster_id").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("first_at", "domain"))), 1, top_n).alias("_d"))
-    # NOTE: collect_list above holds the distinct domains of a cluster, which
-    # is bounded by the number of feeds, not by the cluster size.
-    srcs = srcs.select("cluster_id", F.transform("_d", lambda e: e["domain"]).alias("top_sources"))
+    srcs = _first_domains(dom, "cluster_id", top_n).select(
+        "cluster_id", F.transform("_d", lambda e: e["domain"]).alias("top_sources"))
     return (per.join(srcs, "cluster_id")
                .withColumn("version", F.col("article_count").cast("int"))
                .withColumn("status", F.lit("active"))
@@ -137,8 +142,7 @@ def merge_into_clusters(clusters: DataFrame, assigned: DataFrame, vec_col: str =
     dom = (joins.withColumn("domain", source_domain(url_col))
                 .groupBy(F.col("cluster_id").alias("id"), "domain")
                 .agg(F.min(arrival_col).alias("first_at")))
-    newdom = dom.groupBy("id").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct("first_at", "domain"))), 1, top_n).alias("_d"))
+    newdom = _first_domains(dom, "id", top_n)
     c = (clusters.join(sums, "id", "left").join(act, "id", "left").join(newdom, "id", "left")
                  .withColumn("n", F.coalesce("n", F.lit(0))))
     merged_src = F.slice(F.array_distinct(F.concat(

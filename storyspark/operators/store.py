@@ -2,8 +2,8 @@
 (E3), capped timeline (E4) and changed keys (G2).
 
 All per-key choices are aggregates (max_by / min_by over a struct ordering),
-not row_number windows: hash aggregation combines map-side, so a hot key
-never lands whole in one task.
+not row_number windows: they combine map-side (as sort aggregates, since the
+buffers hold structs), so a hot key never lands whole in one task.
 """
 
 from __future__ import annotations
@@ -27,10 +27,12 @@ def latest_version(df: DataFrame, key: str, version: str = "version",
     return df.groupBy(key).agg(best.alias("_r")).select("_r.*")
 
 
-def first_seen(df: DataFrame, key: str, arrival: str = "arrival") -> DataFrame:
-    """The first row per key by arrival (``dropDuplicates`` may keep any)."""
+def first_seen(df: DataFrame, key: str, arrival="arrival") -> DataFrame:
+    """The first row per key by arrival (``dropDuplicates`` may keep any);
+    ``arrival`` is one column or a list of them, e.g. time then event id."""
     cols = [c for c in df.columns]
-    return df.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(arrival)).alias("_r")).select("_r.*")
+    order = F.struct(*[F.col(a) for a in _arrivals(arrival)])
+    return df.groupBy(key).agg(F.min_by(F.struct(*cols), order).alias("_r")).select("_r.*")
 
 
 def upsert_versioned(target: DataFrame, batch: DataFrame, key: str, version: str = "version",

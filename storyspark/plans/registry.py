@@ -846,15 +846,18 @@ def q_event_once(spark, sf):
 
 
 @register("poison_split", """
-WITH env AS (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, 5) ELSE props END AS payload FROM events)
-SELECT event_id, CASE WHEN json_valid(payload) THEN json_extract(payload, '$.k') IS NOT NULL ELSE false END AS valid,
-       CAST(CASE WHEN json_valid(payload) THEN json_extract(payload, '$.k') END AS INTEGER) AS k
+WITH env AS (SELECT event_id, CASE WHEN event_type = 'error' THEN substr(props, 1, 5)
+                WHEN event_id % 5 = 0 THEN '{"k": "abc"}' ELSE props END AS payload FROM events)
+SELECT event_id, coalesce(CASE WHEN json_valid(payload) THEN json_type(payload, '$.k') IN ('UBIGINT', 'BIGINT') END, false) AS valid,
+       CAST(CASE WHEN json_valid(payload) AND json_type(payload, '$.k') IN ('UBIGINT', 'BIGINT')
+                 THEN json_extract(payload, '$.k') END AS INTEGER) AS k
 FROM env""")
 def q_poison_split(spark, sf):
     """I7 batch twin: payloads that are not valid JSON of the schema go aside."""
     from ..streaming.ops import poison_split
     e = _t(spark, sf, "events")
     env = e.select("event_id", F.when(F.col("event_type") == "error", F.substring("props", 1, 5))
+                   .when(F.col("event_id") % 5 == 0, '{"k": "abc"}')
                    .otherwise(F.col("props")).alias("payload"))
     r = poison_split(env, "payload", "k INT")
     return r.select("event_id", "valid", F.col("parsed.k").alias("k"))
@@ -864,20 +867,25 @@ def q_poison_split(spark, sf):
 WITH {_STORY_SQL},
 ev AS (SELECT cluster_id, id AS article_id, title, regexp_extract(url, '^https://([^/]*)', 1) AS domain,
               arrival, extracted_at FROM asg
-       UNION ALL SELECT cluster_id, id, title, regexp_extract(url, '^https://([^/]*)', 1), arrival, extracted_at
+       UNION ALL SELECT CASE WHEN arrival % 2 = 0 THEN '0' ELSE cluster_id END, id, title,
+              regexp_extract(url, '^https://([^/]*)', 1), arrival + 100000, extracted_at
        FROM asg WHERE arrival % 7 = 0),
-d AS (SELECT DISTINCT cluster_id, article_id, domain, arrival, extracted_at FROM ev),
-b AS (SELECT cluster_id, CAST(count(DISTINCT article_id) AS BIGINT) AS articles, max(extracted_at) AS updated_at,
-             CAST(count(DISTINCT domain) AS BIGINT) AS sources FROM d GROUP BY cluster_id)
-SELECT * FROM b ORDER BY updated_at DESC, cluster_id LIMIT 300""")
+d AS (SELECT * FROM ev QUALIFY row_number() OVER (PARTITION BY article_id ORDER BY arrival, cluster_id) = 1),
+s AS (SELECT cluster_id, domain, min(arrival) AS first_at FROM d GROUP BY ALL),
+b AS (SELECT cluster_id, CAST(count(*) AS BIGINT) AS articles, max(extracted_at) AS updated_at FROM d GROUP BY cluster_id)
+SELECT b.*, (SELECT string_agg(domain, '|' ORDER BY first_at, domain) FROM s WHERE s.cluster_id = b.cluster_id) AS sources
+FROM b ORDER BY updated_at DESC, cluster_id LIMIT 300""")
 def q_live_board(spark, sf):
     """I8 batch twin: per cluster distinct articles (repeats ignored),
     sources, last update; newest 300 clusters."""
     from ..streaming.ops import board_fold
     asg, _ = _story_store(spark, sf)
     ev = asg.select("cluster_id", F.col("id").alias("article_id"), "title", "url", "arrival", "extracted_at")
-    ev = ev.unionByName(ev.where(F.col("arrival") % 7 == 0))  # redelivered events
-    return board_fold(ev, 300)
+    # redelivered later, some naming another cluster: an article counts once
+    again = ev.where(F.col("arrival") % 7 == 0).withColumn(
+        "cluster_id", F.when(F.col("arrival") % 2 == 0, "0").otherwise(F.col("cluster_id"))).withColumn(
+        "arrival", F.col("arrival") + 100000)
+    return board_fold(ev.unionByName(again), 300).withColumn("sources", F.array_join("sources", "|"))
 
 
 @register("retain", """
@@ -910,11 +918,15 @@ def q_page_title(spark, sf):
     return p.select("page_id", page_title("html").alias("title"))
 
 
-@register("page_extract")
+@register("page_extract", """
+WITH t AS (SELECT page_id, url, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw FROM pages)
+SELECT page_id, coalesce(nullif(replace(replace(replace(replace(trim(raw, ' \t\n\r'), '&lt;', '<'), '&gt;', '>'),
+       '&quot;', '"'), '&amp;', '&'), ''), 'Unknown Title') AS title, length(html) AS raw_html_size FROM t
+WHERE length(trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', '', 'g'))) >= 50""")
 def q_page_extract(spark, sf):
     """A2: raw pages to title, text, authors, date, image; short text dropped."""
     from ..sources.pages import extract_pages
-    return extract_pages(_t(spark, sf, "pages")).select("page_id", "title", "content_length")
+    return extract_pages(_t(spark, sf, "pages")).select("page_id", "title", "raw_html_size")
 
 
 @register("feed_items", """
@@ -1026,7 +1038,10 @@ def q_search_articles(spark, sf):
 
 
 @register("envelope_parse", """
-SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k FROM events""")
+SELECT event_id, event_type, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+       strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || 'Z' AS "timestamp", 'storyspark' AS source_service, 0 AS retry_count,
+       regexp_replace(md5('trace:' || event_id), '^(.{8})(.{4})(.{4})(.{4})(.{12})$', '\\1-\\2-\\3-\\4-\\5') AS trace_id,
+       1 AS version FROM events""")
 def q_envelope_parse(spark, sf):
     """A3: every event written as a JSON envelope, read back, payload typed
     per subject (schema 'k INT' for these events)."""
@@ -1035,7 +1050,8 @@ def q_envelope_parse(spark, sf):
     env = write_envelopes(e, F.col("event_type"), F.col("props"), F.col("event_id"), F.col("ts"))
     back = read_envelopes(env)
     return back.select(F.col("event_id").cast("long").alias("event_id"), "event_type",
-                       F.from_json("payload", "k INT")["k"].alias("k"))
+                       F.from_json("payload", "k INT")["k"].alias("k"), "timestamp", "metadata.source_service",
+                       "metadata.retry_count", "metadata.trace_id", "metadata.version")
 
 
 @register("export_topic", f"""

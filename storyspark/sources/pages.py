@@ -1,7 +1,7 @@
 """Downloaded pages to article rows.
 
 The per-page HTML walk is a small stdlib ``html.parser`` helper run in
-``mapInPandas`` (Arrow batches, one pass per partition); titles, hashes and
+an Arrow UDF (one pass over the pages); titles, hashes and
 the short-text filter are column expressions. A user extractor (J2) is any
 callable (html, url) -> dict(text, title, author, date, image).
 """
@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from ..functions.text import min_content_ok, parse_day, split_authors, unicode_trim
 from ..functions.urls import url_hash
 
+# fixed values: the three patterns are the title rule itself
 OG_TITLE_A = r"""<meta[^>]+property=["']og:title["'][^>]+content=["']([^"']+)["']"""
 OG_TITLE_B = r"""<meta[^>]+content=["']([^"']+)["'][^>]+property=["']og:title["']"""
 TITLE_TAG = r"(?is)<title[^>]*>(.*?)</title>"
@@ -48,6 +49,9 @@ _SKIP = {"script", "style", "nav", "header", "footer", "aside", "noscript", "for
 _BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "blockquote", "pre", "td"}
 
 
+_CONTAINER = {"article", "section", "main", "div", "body", "ul", "ol", "table"}
+
+
 class _Walker(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -62,6 +66,7 @@ class _Walker(HTMLParser):
         if tag in _SKIP:
             self.skip += 1
         elif tag in _BLOCK and not self.skip:
+            self._end_block()      # an unclosed block ends where the next one starts
             self.cur = []
         elif tag == "br" and self.cur is not None:
             self.cur.append("\n")
@@ -75,11 +80,18 @@ class _Walker(HTMLParser):
     def handle_endtag(self, tag):
         if tag in _SKIP:
             self.skip = max(0, self.skip - 1)
-        elif tag in _BLOCK and self.cur is not None:
-            txt = " ".join("".join(self.cur).split())
-            if txt:
-                self.blocks.append(txt)
-            self.cur = None
+        elif tag in _BLOCK or tag in _CONTAINER:
+            self._end_block()
+
+    def close(self):
+        super().close()
+        self._end_block()
+
+    def _end_block(self):
+        txt = " ".join("".join(self.cur or ()).split())
+        if txt:
+            self.blocks.append(txt)
+        self.cur = None
 
     def handle_data(self, data):
         if self.cur is not None and not self.skip:
@@ -100,34 +112,30 @@ def default_extractor(html: str, url: str | None = None) -> dict:
             "date": date[:10] if date else None, "image": w.meta.get("og:image")}
 
 
-_OUT = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()),
-                     T.StructField("x_text", T.StringType()), T.StructField("x_title", T.StringType()),
-                     T.StructField("x_author", T.StringType()), T.StructField("x_date", T.StringType()),
-                     T.StructField("x_image", T.StringType())])
+_OUT = T.StructType([T.StructField(f"x_{c}", T.StringType()) for c in ("text", "title", "author", "date", "image")])
 
 
 def extract_pages(pages: DataFrame, extractor: Callable[[str, str], dict] | None = None,
                   min_chars: int = 50, html_col: str = "html") -> DataFrame:
     """A2: pages (page_id, url, html) to article rows: title, content
     (trimmed, >= ``min_chars``), content_length, authors, published_at,
-    top_image_url, url_hash (canonical) and raw_html_size."""
+    top_image_url, url_hash (canonical) and raw_html_size. One pass over the
+    pages: the extractor is an Arrow UDF beside the other columns."""
     fn = extractor or default_extractor
 
-    def run(it):
-        for pdf in it:
-            rows = []
-            for pid, url, h in zip(pdf["page_id"], pdf["url"], pdf[html_col]):
-                try:
-                    x = fn(h, url) or {}
-                except Exception:  # noqa: BLE001 - extractor failure drops the page
-                    x = {}
-                rows.append((pid, url, x.get("text"), x.get("title"), x.get("author"),
-                             x.get("date"), x.get("image")))
-            yield pd.DataFrame(rows, columns=[f.name for f in _OUT.fields])
-
-    x = pages.select("page_id", "url", html_col).mapInPandas(run, _OUT)
-    x = x.join(pages.select("page_id", html_col), "page_id")
-    out = (x.where(min_content_ok("x_text", min_chars))
+    @F.pandas_udf(_OUT)
+    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
+        rows = []
+        for h, u in zip(html, url):
+            try:
+                x = fn(h, u) or {}
+            except Exception:  # noqa: BLE001 - extractor failure drops the page
+                x = {}
+            rows.append([x.get(c) for c in ("text", "title", "author", "date", "image")])
+        return pd.DataFrame(rows, columns=_OUT.names, dtype=object)
+
+    x = pages.withColumn("_x", run(F.col(html_col), F.col("url"))).select("page_id", "url", html_col, "_x.*")
+    return (x.where(min_content_ok("x_text", min_chars))
             .select("page_id", "url", url_hash("url").alias("url_hash"),
                     page_title(html_col, F.col("x_title")).alias("title"),
                     unicode_trim("x_text").alias("content"),
@@ -137,4 +145,3 @@ def extract_pages(pages: DataFrame, extractor: Callable[[str, str], dict] | None
                     F.col("x_image").alias("top_image_url"),
                     F.length(html_col).cast("long").alias("raw_html_size"),
                     F.lit(1.0).alias("quality_score"), F.lit("html_parser").alias("extraction_method")))
-    return out

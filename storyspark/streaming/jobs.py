@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -19,17 +20,25 @@ from ..operators import clusters as CL
 from ..operators import dedup as DD
 from ..operators import filters as FL
 from ..operators import vectors as VE
-from .ops import poison_split
+from .ops import board_fold, first_deliveries, poison_split
 
 STATE_COLS = ["url_hash", "arrival", "extracted_at", "url", "title", "sim_hi", "sim_lo", "embedding"]
 
 
-def _read_epochs(spark: SparkSession, path: str, below: int) -> DataFrame | None:
+def _state(spark: SparkSession, path: str) -> DataFrame | None:
+    """The state table, or None where nothing has been written yet. Any other
+    failure to read rises: a storage error is not an empty state."""
     try:
-        df = spark.read.parquet(path)
-    except Exception:  # noqa: BLE001 - no state written yet
-        return None
-    return df.where(F.col("epoch") < below).drop("epoch")
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
+def _read_epochs(spark: SparkSession, path: str, below: int) -> DataFrame | None:
+    df = _state(spark, path)
+    return None if df is None else df.where(F.col("epoch") < below).drop("epoch")
 
 
 def prepare_articles(df: DataFrame, embed: bool = True) -> DataFrame:
@@ -73,14 +82,11 @@ def cluster_batch(batch: DataFrame, epoch_id: int, clusters_dir: str, out_dir: s
     """I2 body: K2 for one micro-batch of unique articles against the
     current cluster table; writes assignments and the next table version."""
     spark = batch.sparkSession
-    current = None
-    try:
-        allv = spark.read.parquet(clusters_dir)
+    current, allv = None, _state(spark, clusters_dir)
+    if allv is not None:
         last = allv.where(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
         if last is not None:
             current = allv.where(F.col("epoch") == last).drop("epoch")
-    except Exception:  # noqa: BLE001 - first batch
-        current = None
     asg = CL.cluster_articles(batch, current, **k2).persist()
     (asg.drop("embedding").withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
         .partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(out_dir))
@@ -132,18 +138,33 @@ def poison_split_stream(envelopes: DataFrame, payload_col: str, schema_ddl: str,
                      .trigger(availableNow=True).start())
 
 
-def live_board_stream(clustered: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """I8: per cluster the distinct articles (repeats ignored) and the last
-    update, as a streaming aggregate (update mode); the newest-300 cut is a
-    top-k on the sink side."""
-    e = (clustered.withColumn("_evt", F.col("extracted_at").cast("timestamp"))
-                  .withWatermark("_evt", watermark)
-                  .dropDuplicatesWithinWatermark(["cluster_id", "article_id"]))
-    return e.groupBy("cluster_id").agg(F.count("*").alias("articles"),
-                                       F.max("extracted_at").alias("updated_at"))
+def live_board_stream(clustered: DataFrame, state_dir: str, board_dir: str, checkpoint: str, newest: int = 300) -> StreamingQuery:
+    """I8: the board as a table, one version per micro-batch. The state holds
+    the first delivery of each article (cluster_id, article_id, url, arrival,
+    extracted_at), so a repeat in any later batch changes nothing; a cluster
+    appears with its first article."""
+    cols = ["cluster_id", "article_id", "url", "arrival", "extracted_at"]
+
+    def run(df: DataFrame, epoch_id: int) -> None:
+        spark = df.sparkSession
+        known = _read_epochs(spark, state_dir, epoch_id)
+        new = first_deliveries(df.select(*cols))
+        if known is not None:
+            new = new.join(known.select("article_id"), "article_id", "left_anti")
+        _write_epoch(new.select(*cols), state_dir, epoch_id)
+        _write_epoch(board_fold(_read_epochs(spark, state_dir, epoch_id + 1).select(*cols), newest), board_dir, epoch_id)
+    return (clustered.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+                     .trigger(availableNow=True).start())
+
+
+def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
+    """One epoch of a state table; a replayed epoch replaces itself."""
+    (df.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").partitionBy("epoch")
+       .option("partitionOverwriteMode", "dynamic").parquet(path))
 
 
-def retain_stream(events: DataFrame, ts: str = "ts", days: int = 7) -> DataFrame:
-    """A watermark of ``days`` drops events older than the limit from
-    stateful operators downstream."""
-    return events.withColumn("_evt", F.col(ts).cast("timestamp")).withWatermark("_evt", f"{days} days")
+def retain_stream(events: DataFrame, ts: str = "ts", days: int = 7, now: str | None = None) -> DataFrame:
+    """Rows older than ``days`` at the time of processing (or at ``now``)
+    are dropped, statelessly."""
+    at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
+    return events.where(F.col(ts).cast("timestamp") >= F.timestamp_add("DAY", F.lit(-days), at))

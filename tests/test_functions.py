@@ -43,11 +43,12 @@ def test_url_hash_pages_match_urllib(spark):
 
 def test_normalize_url_and_item_key(spark):
     rows = [("https://Ex.com/a/?utm_source=x&b=2#f",), ("https://ex.com/",), ("https://ex.com",),
-            ("https://ex.com/p?utm_medium=a",), ("https://ex.com/p?a=&b=1",)]
+            ("https://ex.com/p?utm_medium=a",), ("https://ex.com/p?a=&b=1",), (None,), ("https://ex.com/p?",),
+            ("https://ex.com/p?b=2&a=1&b=3&UTM_Id=4&c&=5",), ("https://ex.com/p?q=a+b%20c%zz&%75tm_x=1&k~*=%C3%A9",)]
     df = spark.createDataFrame(rows, "url string")
     got = [r.n for r in df.select(U.normalize_url(F.col("url")).alias("n")).collect()]
-    assert got == [U.normalize_url_py(r[0]) for r in rows]
-    assert got[0] == "https://ex.com/a?b=2" and got[1] == "https://ex.com/" and got[3] == "https://ex.com/p"
+    assert got == ["https://ex.com/a?b=2", "https://ex.com/", "https://ex.com/", "https://ex.com/p", "https://ex.com/p?b=1", None,
+                   "https://ex.com/p", "https://ex.com/p?b=2&b=3&a=1&=5", "https://ex.com/p?q=a+b+c%25zz&k~%2A=%C3%A9"]
     k = spark.createDataFrame([(" id1 ", "https://x.com/a?utm_source=z"), (None, " https://x.com/a/ "),
                                (None, None), ("  ", "")], "guid string, link string")
     keys = [r.k for r in k.select(U.item_key("guid", "link").alias("k")).collect()]
@@ -104,3 +105,18 @@ def test_min_content_filter(spark):
     df = spark.createDataFrame([(1, "x" * 49), (2, "  " + "y" * 50 + "  "), (3, None)], "id int, content string")
     got = {r.id: r.content_length for r in min_content(df).collect()}
     assert got == {2: 50}
+
+
+def test_one_class_of_white_space(spark):
+    from storyspark.functions.simhash import simhash_py, simhash128
+    t = " One\x1ctwo\x1f three\x85\xa0four\u3000 "
+    r = spark.createDataFrame([(t, "2024-01-01")], "t string, d string").select(
+        TX.normalize_text("t").alias("n"), simhash128(F.col("t")).alias("s")).first()
+    assert r.n == "one two three four" == " ".join(t.lower().split())
+    assert (r.s.sim_hi, r.s.sim_lo) == simhash_py(t) == simhash_py("one two three four")
+
+
+def test_days_have_four_digit_years(spark):
+    days = ["2024-01-05", "2024-1-5", "24-1-1", "12024-01-01", "2024-13-01", "", None, " 2024-01-05"]
+    got = [r.d for r in spark.createDataFrame([(d,) for d in days], "d string").select(TX.parse_day("d").alias("d")).collect()]
+    assert [str(d)[:10] if d else None for d in got] == ["2024-01-05", "2024-01-05"] + [None] * 6

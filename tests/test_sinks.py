@@ -18,7 +18,9 @@ def test_envelope_round_trip_with_typed_payload(spark):
                                "id long, t string, ts timestamp_ntz, p string")
     env = write_envelopes(df, F.col("t"), F.col("p"), F.col("id"), F.col("ts"))
     back = read_envelopes(env)
-    assert back.count() == 2 and back.where("metadata.version = '1.0'").count() == 2
+    assert back.count() == 2 and back.where("metadata.version = 1 and metadata.trace_id is not null").count() == 2
+    wire = json.loads(env.first().value)
+    assert wire["payload"]["stage"] == "simhash" and len(wire["metadata"]["trace_id"]) == 36 and wire["metadata"]["version"] == 1
     dup = typed_payload(back, "article.duplicate").first()
     assert dup.event_id == "7" and dup.data.stage == "simhash" and dup.data.hamming_distance == 2
     assert dup.timestamp.startswith("2024-01-01T12:00:00")
