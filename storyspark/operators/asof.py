@@ -16,16 +16,18 @@ from pyspark.sql.window import Window
 
 def asof_latest(left: DataFrame, right: DataFrame, keys: list[str], order: str,
                 value_cols: list[str], out: str = "match",
-                bucket_size: int = 1 << 20) -> DataFrame:
-    """Adds struct ``out`` = (``order``, *value_cols) of the latest right row
-    with equal ``keys`` and right.order < left.order (null when none).
-    ``order`` must be a numeric column present on both sides."""
-    payload = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in value_cols])
+                bucket_size: int = 1 << 20, tie: str | None = None) -> DataFrame:
+    """Adds struct ``out`` = (``order``, ``tie``, *value_cols) of the latest
+    right row with equal ``keys`` and a smaller (order, tie) (null when none).
+    ``order`` must be a numeric column present on both sides; ``tie``, if given,
+    orders rows of one ``order`` value."""
+    ties = [tie] if tie else []
+    payload = F.struct(F.col(order).alias("_o"), *[F.col(c) for c in ties + value_cols])
     lq = left.withColumn("_side", F.lit(0)).withColumn("_bk", F.floor(F.col(order) / bucket_size))
-    rs = (right.select(*keys, order, payload.alias("_p")).withColumn("_side", F.lit(1))
+    rs = (right.select(*keys, order, *ties, payload.alias("_p")).withColumn("_side", F.lit(1))
                .withColumn("_bk", F.floor(F.col(order) / bucket_size)))
     u = lq.unionByName(rs, allowMissingColumns=True)
-    w = (Window.partitionBy(*keys, "_bk").orderBy(order, "_side")
+    w = (Window.partitionBy(*keys, "_bk").orderBy(order, *ties, "_side")
          .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     inb = (u.withColumn("_in", F.last(F.when(F.col("_side") == 1, F.col("_p")), ignorenulls=True).over(w))
             .where(F.col("_side") == 0))

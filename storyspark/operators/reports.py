@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import content_preview, iso_time, round4
 from ..functions.topics import UNCLUSTERED_TOPIC, classify_topic
 from ..functions.urls import source_domain
+from ..session import cut_lineage
 
 
 def _topic_ok(topic_col, topic_filter):
@@ -81,19 +82,21 @@ def export_nested(articles: DataFrame, clusters: DataFrame,
                  F.split("top_sources", r"\|").alias("top_sources"), "created_at",
                  "last_activity").alias("cluster"),
         F.when(F.col("article_id").isNotNull(),
-               F.struct("article_id", "title", "url", "extracted_at")).alias("article"))
+               F.struct("article_id", "title", "url", "language", "content_length", "quality_score",
+                        "extracted_at", "published_at")).alias("article"))
 
 
 def write_export(articles: DataFrame, clusters: DataFrame, path: str,
                  topic_filter: str | None = None) -> None:
-    """A7 to A9 sinks: CSV exports with a header and the nested document as
-    JSON lines partitioned by topic (totals from ``export_totals``)."""
+    """A7 to A9 sinks: CSV exports with a header, the nested document as JSON
+    lines partitioned by topic, and its totals as one JSON line."""
     export_clusters(clusters, topic_filter).write.mode("overwrite").option("header", True).csv(
         f"{path}/clusters_export")
     export_articles(articles, clusters, topic_filter).write.mode("overwrite").option("header", True).csv(
         f"{path}/articles_export")
     export_nested(articles, clusters, topic_filter).write.mode("overwrite").partitionBy("topic").json(
         f"{path}/nested")
+    export_totals(articles, clusters, topic_filter).write.mode("overwrite").json(f"{path}/totals")
 
 
 def export_nested_flat(articles: DataFrame, clusters: DataFrame,
@@ -105,7 +108,11 @@ def export_nested_flat(articles: DataFrame, clusters: DataFrame,
                         F.col("id").cast("string").alias("article_id"),
                         F.coalesce("title", F.lit("")).alias("title"),
                         F.coalesce("url", F.lit("")).alias("url"),
-                        F.coalesce(iso_time("extracted_at"), F.lit("")).alias("extracted_at"))
+                        F.coalesce("language", F.lit("en")).alias("language"),
+                        F.coalesce("content_length", F.lit(0)).cast("long").alias("content_length"),
+                        round4(F.coalesce("quality_score", F.lit(0.0))).alias("quality_score"),
+                        F.coalesce(iso_time("extracted_at"), F.lit("")).alias("extracted_at"),
+                        F.coalesce(iso_time("published_at"), F.lit("")).alias("published_at"))
     return c.join(a, "cluster_id", "left")
 
 
@@ -149,45 +156,71 @@ def metric_totals(df: DataFrame, name: str = "name", value: str = "value") -> Da
     return df.groupBy(name).agg(F.sum(value).alias("total"))
 
 
+RANK_ROWS = 100_000      # values of a band that are sorted at once
+_CUTS = 64               # cuts of a band that is narrowed
+
+
 def exact_quantiles(df: DataFrame, col: str, qs: list[float], group: str | None = None,
-                    accuracy: int = 10_000, max_band: int = 2_000_000) -> DataFrame:
-    """D11 percentile rule: sorted[min(int(n*q), n-1)] (0-based), exactly,
-    without sorting all values in one task: an approximate pivot band from
-    ``percentile_approx`` is verified by counting, and only values inside the
-    band (bounded by ``max_band``) are ranked. When the approximate bounds
-    miss, the band widens to the whole group."""
-    keys = [group] if group else ["_g"]
-    v = df.select(*([F.col(group)] if group else [F.lit(0).alias("_g")]),
-                  F.col(col).cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    out = None
-    for q in qs:
-        label = f"p{int(round(q * 100))}"
-        lo_q = max(0.0, q - 3.0 / accuracy)
-        hi_q = min(1.0, q + 3.0 / accuracy)
-        stats = v.groupBy(*keys).agg(
-            F.count("*").alias("_n"),
-            F.percentile_approx("_v", F.array(F.lit(lo_q), F.lit(hi_q)), accuracy).alias("_b"))
-        stats = (stats.withColumn("_lo", F.col("_b")[0]).withColumn("_hi", F.col("_b")[1])
-                      .withColumn("_k", F.least(F.floor(F.col("_n") * q), F.col("_n") - 1).cast("long")))
-        j = v.join(stats.select(*keys, "_lo", "_hi"), keys)
-        cnt = j.groupBy(*keys).agg(
-            F.count_if(F.col("_v") < F.col("_lo")).alias("_below"),
-            F.count_if((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi"))).alias("_band"))
-        tgt = stats.join(cnt, keys)
-        in_range = (F.col("_k") >= F.col("_below")) & (F.col("_k") < F.col("_below") + F.col("_band"))
-        # a band of one repeated value (a hot value) answers without ranking
-        tie = in_range & (F.col("_lo") == F.col("_hi"))
-        ok = in_range & (F.col("_band") <= max_band)
-        tgt = tgt.withColumn("_ok", ok).withColumn("_tie", tie)
-        direct = tgt.where("_tie").select(*keys, F.col("_lo").alias(label))
-        band = (j.join(tgt.where(~F.col("_tie")).select(*keys, "_ok"), keys)
-                 .where(~F.col("_ok") | ((F.col("_v") >= F.col("_lo")) & (F.col("_v") <= F.col("_hi")))))
-        w = Window.partitionBy(*keys).orderBy("_v")
-        ranked = band.select(*keys, "_v").withColumn("_r", F.row_number().over(w) - 1)
-        pick = (ranked.join(tgt.select(*keys, "_k", "_below", "_ok"), keys)
-                      .where(F.col("_r") == F.col("_k") - F.when(F.col("_ok"), F.col("_below")).otherwise(0))
-                      .select(*keys, F.col("_v").alias(label))).unionByName(direct)
-        out = pick if out is None else out.join(pick, keys)
+                    rank_rows: int = RANK_ROWS) -> DataFrame:
+    """D11 percentile rule: sorted[min(int(n*q), n-1)] (0-based), exactly.
+
+    All percentiles go together. A band of values that holds the wanted rank
+    starts as the whole group; while it holds more than ``rank_rows`` values it is
+    cut at approximate percentiles, counted between the cuts, and replaced by the
+    part with the rank (or answered, when that is one repeated value). So no task
+    ever sorts more than ``rank_rows`` values, however large a group is."""
+    key = group or "_g"
+    v = df.select((F.col(group) if group else F.lit(0)).alias("_k"), F.col(col).cast("double").alias("_v")).where(
+        F.col("_v").isNotNull())
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(q)).alias("q")) for i, q in enumerate(qs)])
+    n = v.groupBy("_k").agg(F.count("*").alias("n"))
+    # one row per group and percentile: the rank inside the open band (lo, hi), and the band's size
+    open_ = cut_lineage(n.select("_k", "n", F.explode(wanted).alias("w")).select(
+        F.col("_k").alias("k"), F.col("w.i").alias("i"), F.least(F.floor(F.col("n") * F.col("w.q")), F.col("n") - 1).cast("long").alias("rank"),
+        F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"), "n"))
+
+    def inside(bands, *more):
+        # without groups there are len(qs) bands at most
+        side = bands if group else F.broadcast(bands)
+        within = (F.col("lo").isNull() | (F.col("_v") > F.col("lo"))) & (F.col("hi").isNull() | (F.col("_v") < F.col("hi")))
+        return v.join(side, F.col("_k").eqNullSafe(F.col("k")) & within).select("k", "i", "rank", "n", "_v", *more)
+
+    found = None
+    while True:
+        sorted_ = (inside(open_.where(F.col("n") <= rank_rows)).groupBy("k", "i")
+                   .agg(F.get(F.sort_array(F.collect_list("_v")), F.first("rank").cast("int")).alias("value")))
+        large = cut_lineage(open_.where(F.col("n") > rank_rows))
+        answered = sorted_
+        narrowed = None
+        if not large.isEmpty():
+            grid = [i / _CUTS for i in range(_CUTS + 1)]
+            cuts = inside(large).groupBy("k", "i").agg(
+                F.array_distinct(F.percentile_approx("_v", F.array(*[F.lit(g) for g in grid]), 10 * _CUTS)).alias("cuts"))
+            held = inside(large.join(cuts.withColumnsRenamed({"k": "ck", "i": "ci"}),
+                                     F.col("k").eqNullSafe(F.col("ck")) & (F.col("i") == F.col("ci"))), "cuts")
+            below = F.size(F.filter("cuts", lambda c: c < F.col("_v")))
+            # cell 2b + 1: equal to cut b; cell 2b: between cut b - 1 and cut b
+            cell = F.when(F.array_contains("cuts", F.col("_v")), 2 * below + 1).otherwise(2 * below)
+            counts = held.select("k", "i", "rank", "cuts", cell.alias("cell")).groupBy("k", "i", "cell").agg(
+                F.count("*").alias("c"), F.first("rank").alias("rank"), F.first("cuts").alias("cuts"))
+            w = Window.partitionBy("k", "i").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)   # at most 131 cells
+            hit = cut_lineage(counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+                              .where((F.col("before") <= F.col("rank")) & (F.col("rank") < F.col("before") + F.col("c"))))
+            place = F.floor(F.col("cell") / 2).cast("int")
+            answered = answered.unionByName(hit.where("cell % 2 = 1").select("k", "i", F.get("cuts", place).alias("value")))
+            bounds = large.select(F.col("k").alias("bk"), F.col("i").alias("bi"), "lo", "hi")
+            narrowed = cut_lineage(hit.where("cell % 2 = 0").join(
+                bounds, F.col("k").eqNullSafe(F.col("bk")) & (F.col("i") == F.col("bi"))).select(
+                "k", "i", (F.col("rank") - F.col("before")).alias("rank"),
+                F.coalesce(F.when(place > 0, F.get("cuts", place - 1)), "lo").alias("lo"),
+                F.coalesce(F.get("cuts", place), "hi").alias("hi"), F.col("c").alias("n")))
+        found = answered if found is None else found.unionByName(answered)
+        if narrowed is None or narrowed.isEmpty():
+            break
+        found = cut_lineage(found)
+        open_ = narrowed
+    out = found.groupBy("k").agg(*[F.max(F.when(F.col("i") == i, F.col("value"))).alias(f"p{int(round(q * 100))}")
+                                   for i, q in enumerate(qs)]).withColumnRenamed("k", key)
     return out if group else out.drop("_g")
 
 
@@ -198,7 +231,7 @@ def latency_summary(df: DataFrame, col: str = "latency_ms", group: str | None =
     src = df if group else df.withColumn("_g", F.lit(0))
     base = src.groupBy(*keys).agg(F.count(col).alias("n"), F.avg(col).alias("mean"))
     q = exact_quantiles(src, col, [0.5, 0.9, 0.99], group or "_g")
-    out = base.join(q, keys)
+    out = base.join(q, keys, "left")
     if not group:
         out = out.drop("_g")
     if elapsed_seconds:

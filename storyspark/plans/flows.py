@@ -28,14 +28,14 @@ def dedup_stage(articles: DataFrame, hamming_limit: int = 3, cos_threshold: floa
 
 
 def story_flow(spark: SparkSession, sf_dir: str, cluster_threshold: float = 0.75,
-               articles: DataFrame | None = None) -> DataFrame:
+               articles: DataFrame | None = None, cos_threshold: float = 0.92) -> DataFrame:
     """Documents to decisions and story clusters: one row per document with
     kept / stage / duplicate_of and, for kept ones, cluster_id. ``articles``
     may be given (e.g. with an ``embedding`` column already supplied)."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     arts = articles if articles is not None else TB.articles(spark, sf_dir)
-    dec = dedup_stage(arts, partitions=spark.sparkContext.defaultParallelism)
+    dec = dedup_stage(arts, cos_threshold=cos_threshold, partitions=spark.sparkContext.defaultParallelism)
     unique = dec.where("kept").select("url_hash", "arrival", "extracted_at", "url", "title", "embedding")
     asg = CL.cluster_articles(unique, None, id_col="url_hash", threshold=cluster_threshold)
     # a kept row is known by its arrival: its url may repeat among dropped rows

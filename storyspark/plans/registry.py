@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import simhash as SH
@@ -50,6 +50,11 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+def _vector_text(vec: Column) -> Column:
+    """A whole vector as text, components in units of 1e-5 (for comparison)."""
+    return F.array_join(F.transform(vec, lambda x: F.round(x.cast("double") * 100000).cast("long").cast("string")), ",")
+
+
 def _t(spark, sf, name):
     return TB.read_table(spark, sf, name)
 
@@ -151,14 +156,14 @@ def q_parse_day(spark, sf):
 @register("l2_normalize", """
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
 n AS (SELECT vec_id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS nrm FROM e)
-SELECT vec_id, round(v[1] / nrm, 6) AS x0,
+SELECT vec_id, array_to_string(list_transform(v, lambda x: CAST(round(x / nrm * 100000) AS BIGINT)), ',') AS unit,
        round(sqrt(list_sum(list_transform(v, lambda x: (x / nrm) * (x / nrm)))), 6) AS norm
 FROM n""")
 def q_l2_normalize(spark, sf):
-    """Unit vectors (first component and resulting norm)."""
+    """Unit vectors (all components in 1e-5 and the resulting norm)."""
     e = _t(spark, sf, "embeddings")
     u = l2_normalize("embedding")
-    return e.select("vec_id", F.round(u[0], 6).alias("x0"), F.round(l2_norm(u), 6).alias("norm"))
+    return e.select("vec_id", _vector_text(u).alias("unit"), F.round(l2_norm(u), 6).alias("norm"))
 
 
 @register("simhash", f"""
@@ -217,6 +222,9 @@ def q_quarantine(spark, sf):
 def _feed_state_sql(src: str = "events", p: str = "") -> str:
     return """
 {p}lg AS (SELECT user_id AS feed_id, event_id, ts, event_type = 'error' AS failed,
+              CASE WHEN event_type <> 'error' AND event_id % 3 <> 0 THEN 'v' || event_id END AS etag,
+              CASE WHEN event_type <> 'error' AND event_id % 3 <> 0 THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS last_modified,
+              CASE WHEN event_type = 'error' THEN 'poll ' || event_id || ' failed' END AS error,
               CASE WHEN event_type = 'error' THEN 0 ELSE 1 END AS delta FROM {src}),
 {p}ord AS (SELECT *, row_number() OVER (PARTITION BY feed_id ORDER BY ts, event_id) AS rn,
                sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY feed_id ORDER BY ts, event_id
@@ -225,7 +233,9 @@ def _feed_state_sql(src: str = "events", p: str = "") -> str:
 {p}lastok AS (SELECT feed_id, max(CASE WHEN NOT failed THEN ts END) AS last_polled_at,
                   max(CASE WHEN NOT failed THEN rn END) AS last_ok_rn,
                   CAST(sum(delta) AS BIGINT) AS article_count, min(ts) AS created_at,
-                  arg_max(ts, rn) AS last_ts, arg_max(failed, rn) AS last_failed FROM {p}ord GROUP BY feed_id),
+                  arg_max(ts, rn) AS last_ts, arg_max(failed, rn) AS last_failed, arg_max_null(error, rn) AS last_error,
+                  arg_max_null(etag, CASE WHEN NOT failed THEN rn END) AS etag,
+                  arg_max_null(last_modified, CASE WHEN NOT failed THEN rn END) AS last_modified FROM {p}ord GROUP BY feed_id),
 {p}trail AS (SELECT o.feed_id, count(*) AS error_count FROM {p}ord o JOIN {p}lastok l USING (feed_id)
           WHERE o.failed AND (l.last_ok_rn IS NULL OR o.rn > l.last_ok_rn) GROUP BY o.feed_id),
 {p}fs AS (SELECT l.feed_id,
@@ -233,7 +243,7 @@ def _feed_state_sql(src: str = "events", p: str = "") -> str:
           CAST(coalesce(t.error_count, 0) AS INTEGER) AS error_count, l.article_count, l.last_polled_at,
           CASE WHEN l.last_failed THEN l.last_ts + to_seconds(CAST(least(600 * pow(2, coalesce(t.error_count, 0)), 86400) AS BIGINT))
                ELSE l.last_ts + to_seconds(600) END AS next_poll_at,
-          600 AS poll_interval, l.created_at
+          600 AS poll_interval, l.created_at, l.etag, l.last_modified, l.last_error, l.last_ts AS updated_at
        FROM {p}lastok l LEFT JOIN {p}trail t USING (feed_id)),
 {p}feeds AS (SELECT CAST(feed_id AS VARCHAR) AS id, 'https://feed' || CAST(feed_id AS VARCHAR) || '.example.com/rss' AS url,
                  status, error_count, article_count, last_polled_at, next_poll_at, created_at FROM {p}fs)""".format(src=src, p=p)
@@ -241,11 +251,12 @@ def _feed_state_sql(src: str = "events", p: str = "") -> str:
 
 @register("poll_state", f"""
 WITH {_feed_state_sql()}
-SELECT feed_id, status, error_count, article_count, last_polled_at, next_poll_at FROM fs""")
+SELECT feed_id, status, error_count, article_count, last_polled_at, next_poll_at, etag, last_modified, last_error, updated_at FROM fs""")
 def q_poll_state(spark, sf):
     """D12 + D13 + H18: feed state folded from the whole poll log."""
     st = FD.feed_state(FD.poll_log(_t(spark, sf, "events")))
-    return st.select("feed_id", "status", "error_count", "article_count", "last_polled_at", "next_poll_at")
+    return st.select("feed_id", "status", "error_count", "article_count", "last_polled_at", "next_poll_at",
+                     "etag", "last_modified", "last_error", "updated_at")
 
 
 @register("due_feeds", f"""
@@ -330,13 +341,14 @@ def q_lookup_keys(spark, sf):
 
 @register("recent_vectors", f"""
 WITH {_VART}
-SELECT url_hash, extracted_at, round(CAST(embedding[1] AS DOUBLE), 6) AS x0 FROM varts
+SELECT url_hash, extracted_at,
+       array_to_string(list_transform(embedding, lambda x: CAST(round(CAST(x AS DOUBLE) * 100000) AS BIGINT)), ',') AS vector FROM varts
 WHERE extracted_at >= TIMESTAMP '2024-01-01 03:00:00' ORDER BY extracted_at DESC, url_hash LIMIT 100""")
 def q_recent_vectors(spark, sf):
     """Newest vectors since a time, 100."""
     v = TB.vector_articles(spark, sf)
     r = FL.recent_embeddings(v, F.lit("2024-01-01 03:00:00").cast("timestamp_ntz"), 100)
-    return r.select("url_hash", "extracted_at", F.round(F.col("embedding")[0].cast("double"), 6).alias("x0"))
+    return r.select("url_hash", "extracted_at", _vector_text(F.col("embedding")).alias("vector"))
 
 
 @register("ttl_alive", """
@@ -525,12 +537,86 @@ def q_dedup_vectors(spark, sf):
     return r.select("vec_id", "kept", "stage", "duplicate_of", "score")
 
 
+def _repeat_urls_sql() -> str:
+    return _docs_k1_sql(3).replace("a.url_hash AS uid", "'u' || CAST(a.doc_id // 3 AS VARCHAR) AS uid").replace(
+        "SELECT rid AS doc_id, kept, stage, duplicate_of, distance FROM k1",
+        "SELECT k1.rid AS doc_id, kept, stage, n.uid AS duplicate_of, distance FROM k1 LEFT JOIN nodes n ON n.rid = k1.duplicate_of")
+
+
+@register("dedup_repeat_urls", _repeat_urls_sql())
+def q_dedup_repeat_urls(spark, sf):
+    """K1 under its default id, the url: three documents in a row share one."""
+    a = DD.with_simhash(TB.articles(spark, sf, with_quality=False)).withColumn(
+        "url_hash", F.concat(F.lit("u"), F.floor(F.col("doc_id") / 3).cast("string")))
+    return DD.dedup_decide(a).select("doc_id", "kept", "stage", "duplicate_of", "distance")
+
+
+GIVEN_COS, GIVEN_CLUSTER = 0.5, 0.3
+
+
+def _given(spark, sf) -> DataFrame:
+    """All documents as articles, each with a given vector: that of vec_id =
+    doc_id modulo 500 (every table has these), so vectors repeat."""
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
+    return TB.articles(spark, sf, with_quality=False).withColumn("_vec", F.col("doc_id") % 500).join(e, "_vec", "left").drop("_vec")
+
+
+def _given_sql() -> str:
+    return f"""
+WITH {_ART},
+{S.simhash_ctes('sh', 'arts', 'doc_id', 'content')},
+nodes AS (SELECT a.doc_id AS rid, a.arrival AS a, a.extracted_at AS t, a.url_hash AS uid, sh.sim_hi AS hi, sh.sim_lo AS lo,
+                 CAST(v.embedding AS DOUBLE[]) AS e, v.embedding IS NOT NULL AS can_keep
+          FROM arts a JOIN sh ON sh.id = a.doc_id LEFT JOIN embeddings v ON v.vec_id = a.doc_id % 500
+          WHERE length(trim(a.content)) >= 50),
+cos AS MATERIALIZED (SELECT x.vec_id AS v, y.vec_id AS w, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS c
+        FROM embeddings x JOIN embeddings y ON x.vec_id < 500 AND y.vec_id < 500),
+edges AS (
+  SELECT x.rid AS s, y.rid AS r, 'simhash' AS kind, 1 AS prio,
+         CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) AS dist, CAST(NULL AS DOUBLE) AS score
+  FROM nodes x JOIN nodes y ON x.a < y.a AND x.t + INTERVAL 72 HOUR > y.t
+  WHERE bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 3
+  UNION ALL
+  SELECT x.rid, y.rid, 'vector', 2, NULL, least(c, 1.0) FROM nodes x JOIN nodes y ON x.a < y.a
+  JOIN cos ON v = x.rid % 500 AND w = y.rid % 500 AND c >= {GIVEN_COS}),
+{S.mis_ctes('k1', 'nodes', 'edges')}"""
+
+
+@register("dedup_given", _given_sql() + """
+SELECT rid AS doc_id, kept, stage, duplicate_of, distance, score FROM k1""")
+def q_dedup_given(spark, sf):
+    """K1 with both stages over all documents, vectors given: SimHash (limit 3,
+    72 h), then cosine >= 0.5."""
+    from ..operators.filters import min_content
+    a = DD.with_simhash(min_content(_given(spark, sf), "content", 50))
+    r = DD.dedup_decide(a, id_col="doc_id", vector_col="embedding", cos_threshold=GIVEN_COS)
+    return r.select("doc_id", "kept", "stage", "duplicate_of", "distance", "score")
+
+
+@register("story_given", _given_sql() + f""",
+nodes2 AS (SELECT n.* FROM nodes n JOIN k1 ON k1.rid = n.rid AND k1.kept),
+edges2 AS (SELECT x.rid AS s, y.rid AS r, 'vector' AS kind, 2 AS prio, CAST(NULL AS INTEGER) AS dist, least(c, 1.0) AS score
+           FROM nodes2 x JOIN nodes2 y ON x.a < y.a JOIN cos ON v = x.rid % 500 AND w = y.rid % 500 AND c >= {{GIVEN_CLUSTER}}),
+{{S.mis_ctes('k2', 'nodes2', 'edges2')}}
+SELECT k1.rid AS doc_id, k1.kept, k1.stage, n.uid AS duplicate_of, CASE WHEN k2.kept THEN o.uid ELSE m.uid END AS cluster_id,
+       k2.kept AS is_new_cluster
+FROM k1 LEFT JOIN nodes n ON n.rid = k1.duplicate_of LEFT JOIN k2 ON k2.rid = k1.rid
+LEFT JOIN nodes o ON o.rid = k1.rid LEFT JOIN nodes m ON m.rid = k2.duplicate_of""".replace("{{", "{").replace("}}", "}").replace(
+    "{GIVEN_CLUSTER}", str(GIVEN_CLUSTER)).replace("{S.mis_ctes('k2', 'nodes2', 'edges2')}", S.mis_ctes("k2", "nodes2", "edges2")))
+def q_story_given(spark, sf):
+    """K3 with given vectors: dedup (cosine >= 0.5), then story clusters of the
+    kept articles (cosine >= 0.3)."""
+    from .flows import story_flow
+    r = story_flow(spark, sf, GIVEN_CLUSTER, _given(spark, sf), cos_threshold=GIVEN_COS)
+    return r.select("doc_id", "kept", "stage", "duplicate_of", "cluster_id", "is_new_cluster")
+
+
 @register("vector_pairs", f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.v, y.v), 6) AS score
 FROM e x JOIN e y ON x.vec_id < y.vec_id WHERE list_cosine_similarity(x.v, y.v) >= {VEC_THRESHOLD}""")
 def q_vector_pairs(spark, sf):
-    """Cosine >= 0.3 pairs, earlier row first (SRP bands + exact check)."""
+    """Cosine >= 0.3 pairs, earlier row first (exact blocked join)."""
     e = _t(spark, sf, "embeddings")
     return VE.vector_pairs(e, "vec_id", "vec_id", "embedding", VEC_THRESHOLD)
 
@@ -680,11 +766,12 @@ WITH {_STORY_SQL},
 ex AS (SELECT cluster_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM asg),
 sm AS (SELECT cluster_id, i, sum(x) AS s FROM ex GROUP BY 1, 2),
 nr AS (SELECT cluster_id, sqrt(sum(s * s)) AS n FROM sm GROUP BY 1)
-SELECT sm.cluster_id, round(sm.s / nr.n, 6) AS c0 FROM sm JOIN nr USING (cluster_id) WHERE sm.i = 1""")
+SELECT sm.cluster_id, string_agg(CAST(CAST(round(sm.s / nr.n * 100000) AS BIGINT) AS VARCHAR), ',' ORDER BY sm.i) AS centroid
+FROM sm JOIN nr USING (cluster_id) GROUP BY sm.cluster_id""")
 def q_centroids(spark, sf):
-    """D2 (sum form): unit centroid per cluster (first component)."""
+    """D2 (sum form): unit centroid per cluster (all components in 1e-5)."""
     _, cl = _story_store(spark, sf)
-    return cl.select(F.col("id").alias("cluster_id"), F.round(F.col("centroid")[0], 6).alias("c0"))
+    return cl.select(F.col("id").alias("cluster_id"), _vector_text(F.col("centroid")).alias("centroid"))
 
 
 _EXPORT_CLUSTERS_SQL = f"""
@@ -724,13 +811,16 @@ def q_export_articles(spark, sf):
 @register("export_nested", f"""
 WITH {_STORY_SQL},
 ec AS ({_EXPORT_CLUSTERS_SQL})
-SELECT ec.topic, ec.cluster_id, ec.article_count, a.id AS article_id, a.title
+SELECT ec.topic, ec.cluster_id, ec.article_count, a.id AS article_id, a.title, a.language, a.content_length,
+       round(a.quality_score, 4) AS quality_score,
+       coalesce(strftime(a.published_at, '%Y-%m-%dT%H:%M:%S') || '+00:00', '') AS published_at
 FROM ec LEFT JOIN asg a ON a.cluster_id = ec.cluster_id""")
 def q_export_nested(spark, sf):
     """A9 + D9 flattened: topic -> cluster -> article rows."""
     asg, cl = _story_store(spark, sf)
     f = RP.export_nested_flat(asg, cl)
-    return f.select("topic", "cluster_id", "article_count", "article_id", "title")
+    return f.select("topic", "cluster_id", "article_count", "article_id", "title", "language", "content_length",
+                    "quality_score", "published_at")
 
 
 @register("topic_summary", f"""
@@ -939,7 +1029,7 @@ FROM p WHERE pos < 20""")
 def q_feed_items(spark, sf):
     """A1 + E1 + H3: RSS snapshots (built by Spark from the documents, one per
     feed and 25-document window) parsed back to items, first 20 each."""
-    from ..sources.rss import rss_snapshots
+    from .feed_fixture import rss_snapshots
     snaps = rss_snapshots(_t(spark, sf, "documents"))
     it = FD.feed_items(snaps, "xml", 20)
     return it.select("feed_id", "snapshot_id", F.col("pos").cast("int").alias("pos"), "link", "item_key")
@@ -964,6 +1054,33 @@ def q_dedup_full(spark, sf):
     return r.select("doc_id", "kept", "stage", "duplicate_of", "distance", "score")
 
 
+@register("upsert_clusters", f"""
+WITH {_STORY_SQL},
+t AS (SELECT id, label, article_count, CAST(article_count AS INTEGER) AS version, top_sources, created_at, last_activity AS updated_at FROM clusters_t),
+b AS (SELECT CASE WHEN length(label) % 4 = 0 THEN 'n' || id ELSE id END AS id, 'new ' || label AS label, article_count + 1 AS article_count,
+             version + length(label) % 3 - 1 AS version, top_sources, created_at + INTERVAL 1 HOUR AS created_at,
+             updated_at + INTERVAL 1 HOUR AS updated_at FROM t)
+SELECT coalesce(t.id, b.id) AS id, CASE WHEN t.id IS NULL OR b.version > t.version THEN b.label ELSE t.label END AS label,
+       CASE WHEN t.id IS NULL OR b.version > t.version THEN b.article_count ELSE t.article_count END AS article_count,
+       CASE WHEN t.id IS NULL OR b.version > t.version THEN b.version ELSE t.version END AS version,
+       coalesce(t.top_sources, b.top_sources) AS top_sources, coalesce(t.created_at, b.created_at) AS created_at,
+       CASE WHEN t.id IS NULL OR b.version > t.version THEN b.updated_at ELSE t.updated_at END AS updated_at
+FROM t FULL JOIN b ON t.id = b.id""")
+def q_upsert_clusters(spark, sf):
+    """A5: a batch of newer, equal, older and new cluster versions into the
+    cluster table; created_at stays, updated_at moves with an accepted version."""
+    _, cl = _story_store(spark, sf)
+    t = cl.select("id", "label", "article_count", F.col("article_count").cast("int").alias("version"),
+                  F.array_join("top_sources", "|").alias("top_sources"), "created_at", F.col("last_activity").alias("updated_at"))
+    size = F.length("label")
+    b = t.select(F.when(size % 4 == 0, F.concat(F.lit("n"), F.col("id"))).otherwise(F.col("id")).alias("id"),
+                 F.concat(F.lit("new "), F.col("label")).alias("label"), (F.col("article_count") + 1).alias("article_count"),
+                 (F.col("version") + size % 3 - 1).cast("int").alias("version"), "top_sources",
+                 F.timestamp_add("HOUR", F.lit(1), "created_at").alias("created_at"),
+                 F.timestamp_add("HOUR", F.lit(1), "updated_at").alias("updated_at"), F.lit(1).cast("long").alias("arrival"))
+    return ST.upsert_versioned(t, b, "id", "version", "arrival", keep_first=("created_at",))
+
+
 @register("upsert_feeds", f"""
 WITH {_feed_state_sql("(SELECT * FROM events WHERE ts < TIMESTAMP '2024-01-15 00:00:00')", "e_")},
 {_feed_state_sql("events", "a_")}
@@ -987,11 +1104,15 @@ def q_upsert_feeds(spark, sf):
 
 @register("centroid_table", f"""
 WITH {_STORY_SQL}
-SELECT id, article_count FROM clusters_t WHERE status = 'active'""")
+SELECT id, article_count, (SELECT string_agg(CAST(CAST(round(s / n * 100000) AS BIGINT) AS VARCHAR), ',' ORDER BY i)
+  FROM (SELECT i, sum(x) AS s, sqrt(sum(sum(x) * sum(x)) OVER ()) AS n
+        FROM (SELECT unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i
+              FROM asg WHERE cluster_id = clusters_t.id) GROUP BY i)) AS centroid
+FROM clusters_t WHERE status = 'active'""")
 def q_centroid_table(spark, sf):
     """C11: active clusters with a full-size centroid (dimension 64 here)."""
     _, cl = _story_store(spark, sf)
-    return RP.centroid_table(cl, 64).select("id", "article_count")
+    return RP.centroid_table(cl, 64).select("id", "article_count", _vector_text(F.col("centroid")).alias("centroid"))
 
 
 @register("timeline_vectors", """
@@ -1087,7 +1208,7 @@ def q_seen_items(spark, sf):
     """I4 + A1 + Q17 batch twin: overlapping polls of every feed (window 500
     doc ids, step 400), capped at 20 items per poll before de-duplication;
     an item is emitted at its first poll only."""
-    from ..sources.rss import rss_snapshots
+    from .feed_fixture import rss_snapshots
     snaps = rss_snapshots(_t(spark, sf, "documents"), window=500, step=400)
     it = FD.feed_items(snaps, "xml", 20)
     new = FD.new_items(it)

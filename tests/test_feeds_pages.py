@@ -83,3 +83,40 @@ def test_public_frame_has_five_fields(spark):
     assert frame["type"] == "article.clustered"
     assert set(frame["data"]) == {"cluster_id", "article_id", "title", "source_domain", "is_new_cluster"}
     assert frame["data"]["source_domain"] == "x.com:8080"
+
+
+RSS = ('<rss version="2.0"><channel><title>t</title><item><title>a</title><link>https://x.com/1</link><guid>g1</guid>'
+       '<pubDate>Mon, 01 Jan 2024 10:00:00 +0000</pubDate></item><item><link>https://x.com/2</link></item></channel></rss>')
+RDF = ('<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns:dc="http://purl.org/dc/elements/1.1/">'
+       '<channel><title>t</title></channel><item rdf:about="u"><title>b</title><link>https://x.com/3</link>'
+       '<dc:date>2024-01-02T00:00:00Z</dc:date></item></rdf:RDF>')
+ATOM = ('<feed xmlns="http://www.w3.org/2005/Atom"><title>t</title><entry><title>c</title><id>urn:1</id>'
+        '<link rel="self" href="https://x.com/self"/><link href="https://x.com/4"/><updated>2024-01-03T00:00:00Z</updated></entry>'
+        '<entry><title>d</title><link rel="alternate" href="https://x.com/5"/></entry></feed>')
+
+
+def test_rss_rdf_and_atom(spark):
+    rows = [("rss", 1, RSS), ("rdf", 1, RDF), ("atom", 1, ATOM), ("broken", 1, "<rss><channel><item>"), ("page", 1, "<html><body/></html>"),
+            ("none", 1, None), ("blank", 1, "  "), ("bare", 1, '<rss version="2.0"><channel><title>t</title></channel></rss>')]
+    snaps = spark.createDataFrame(rows, "feed_id string, snapshot_id long, xml string")
+    got = {(r.feed_id, r.pos): (r.link, r.item_key, str(r.published)[:10] if r.published else None) for r in FD.feed_items(snaps).collect()}
+    assert got == {
+        ("rss", 0): ("https://x.com/1", "guid:g1", "2024-01-01"), ("rss", 1): ("https://x.com/2", "link:https://x.com/2", None),
+        ("rdf", 0): ("https://x.com/3", "link:https://x.com/3", "2024-01-02"),
+        ("atom", 0): ("https://x.com/4", "guid:urn:1", "2024-01-03"), ("atom", 1): ("https://x.com/5", "link:https://x.com/5", None)}
+    bad = {r.feed_id: r.reason for r in FD.feed_problems(snaps).collect()}
+    assert bad == {"broken": "not a feed", "page": "not a feed", "none": "empty", "blank": "empty"}
+
+
+def test_poll_fold_orders_equal_times_by_event(spark):
+    import datetime as dt
+    t = dt.datetime(2024, 1, 1)
+    rows = [(1, 10, t, False, 1, "e1", None, None), (1, 11, t, True, 0, None, None, "boom"),      # success, then failure
+            (2, 21, t, False, 1, None, None, None), (2, 20, t, True, 0, None, None, "x"),          # failure, then success
+            (3, 30, t, False, 1, "e", "m", None), (3, 31, t + dt.timedelta(seconds=5), False, 1, None, None, None)]
+    log = spark.createDataFrame(rows, "feed_id long, event_id long, ts timestamp_ntz, failed boolean, delta int, "
+                                      "etag string, last_modified string, error string")
+    r = {x.feed_id: x for x in FD.feed_state(log).collect()}
+    assert r[1].error_count == 1 and r[1].next_poll_at == t + dt.timedelta(seconds=1200) and r[1].last_error == "boom" and r[1].etag == "e1"
+    assert r[2].error_count == 0 and r[2].next_poll_at == t + dt.timedelta(seconds=600) and r[2].last_error is None
+    assert r[3].etag is None and r[3].last_modified is None and r[3].updated_at == t + dt.timedelta(seconds=5)

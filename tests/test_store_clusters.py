@@ -84,7 +84,13 @@ def test_exact_quantiles_with_hot_value(spark):
     from storyspark.operators.reports import exact_quantiles
     vals = [5.0] * 3000 + [float(i) for i in range(6000)]
     df = spark.createDataFrame([("g", v) for v in vals], "g string, v double")
-    got = exact_quantiles(df, "v", [0.1, 0.5, 0.9, 0.99], "g", max_band=500).first()
-    srt = sorted(vals)
-    exp = [srt[min(int(len(srt) * q), len(srt) - 1)] for q in (0.1, 0.5, 0.9, 0.99)]
-    assert [got.p10, got.p50, got.p90, got.p99] == exp
+    df = df.unionByName(spark.createDataFrame([(None, 1.0), (None, 3.0), ("h", None), ("i", 2.5)], df.schema))
+    exp = {}
+    for name, some in (("g", vals), (None, [1.0, 3.0]), ("i", [2.5])):
+        srt = sorted(some)
+        exp[name] = [srt[min(int(len(srt) * q), len(srt) - 1)] for q in (0.1, 0.5, 0.9, 0.99)]
+    for rows in (1_000_000, 500, 3):      # sorted at once; narrowed; narrowed down to single values
+        got = {r.g: [r.p10, r.p50, r.p90, r.p99] for r in exact_quantiles(df, "v", [0.1, 0.5, 0.9, 0.99], "g", rank_rows=rows).collect()}
+        assert got == exp, rows
+    one = exact_quantiles(df.where("g = 'g'"), "v", [0.5], rank_rows=100).first()
+    assert one.p50 == exp["g"][1]
