@@ -73,15 +73,13 @@ def with_features(docs: DataFrame) -> DataFrame:
     covered = F.when(F.size("__p") > 0, F.aggregate(
         F.sequence(F.lit(0), F.size("__p") - 1), F.lit(0).cast("long"),
         lambda n, k: n + F.least(F.lit(3), F.coalesce(place(k + 1) - place(k), F.lit(3))))).otherwise(0)
-    # a generated row is a wall for the optimizer: conditions on the features
-    # stay above it instead of copying the nested expressions
-    return step.select(*base, F.inline(F.array(F.struct(
-        F.size("__w").cast("long").alias("n_words"),
+    return step.select(
+        *base, F.size("__w").cast("long").alias("n_words"),
         F.length(_without(F.col("__t"), WHITE)).cast("long").alias("word_chars"),
         (F.length("__t") - F.length(_without(F.col("__t"), SYMBOLS))).cast("long").alias("n_symbols"),
         (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
-        F.size("__l").cast("long").alias("n_lines")))))
+        F.size("__l").cast("long").alias("n_lines"))
 
 
 def base_failed() -> Column:
@@ -120,8 +118,6 @@ def host_table(features: DataFrame, host_col: str = "source") -> DataFrame:
 
 def _with_verdict(features: DataFrame, hosts: DataFrame, host_col: str, limit: float) -> DataFrame:
     bad = hosts.where(F.col("rate") >= limit).select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
-    # one condition over both sides of the join: a filter on it stays above the
-    # join, else the optimizer would copy the feature expressions into it
     allowed = F.when(F.col("__bad"), 1).otherwise(2)
     return (features.join(bad, F.coalesce(F.col(host_col), F.lit("")) == F.col("__host"), "left")
             .withColumn("base_failed", base_failed())
@@ -143,7 +139,10 @@ def kept_documents(docs: DataFrame, host_col: str = "source", limit: float = HOS
     read twice (host counts, then verdicts) instead of being written out."""
     featured = with_features(docs.select(F.struct(*docs.columns).alias("__row"), F.col(host_col).alias("__h0"), "text"))
     hosts = host_table(with_features(docs.select(F.col(host_col).alias("__h0"), "text")), "__h0")
-    return _with_verdict(featured, hosts, "__h0", limit).where("kept").select("__row.*")
+    # a numbered row is a wall for the optimizer: the filter stays above it instead
+    # of copying the nested feature expressions
+    judged = _with_verdict(featured.withColumn("__wall", F.monotonically_increasing_id()), hosts, "__h0", limit)
+    return judged.where("kept and __wall >= 0").select("__row.*")
 
 
 JUDGE_SQL = r"""

@@ -28,9 +28,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
+
 CLASSES = 32                     # of CLASSES words each
 VOCAB = CLASSES * CLASSES
 HASHED = 64                      # outputs shared by all rarer words
@@ -190,12 +192,19 @@ def score_texts(texts: list[str | None], vocab: Vocabulary, p: dict[str, np.ndar
 
 def word_counts(docs: DataFrame) -> list[tuple[str, int]]:
     """The most frequent words of all texts with their counts, and ("", the
-    count of all others)."""
+    count of all others). A histogram of the counts finds how frequent a word
+    must be, so the driver is sent little more than the words it keeps."""
     words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    seen = Observation()
-    counts = words.groupBy("word").agg(F.count("*").alias("n")).observe(seen, F.sum("n").alias("total"))
-    top = [(r.word, r.n) for r in counts.orderBy(F.desc("n"), "word").limit(VOCAB - HASHED).collect()]
-    return top + [("", (seen.get["total"] or 0) - sum(n for _, n in top))]
+    counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("size", F.floor(F.log2("n") * 8).cast("int")))
+    sizes = counts.groupBy("size").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    wanted, least = VOCAB - HASHED, None
+    for r in sorted(sizes, key=lambda r: -r.size):
+        wanted -= r.words
+        least = r.size
+        if wanted <= 0:
+            break
+    top = counts.where(F.col("size") >= F.lit(least)).orderBy(F.desc("n"), "word").limit(VOCAB - HASHED).collect()
+    return [(r.word, r.n) for r in top] + [("", sum(r.n for r in sizes) - sum(r.n for r in top))]
 
 
 def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
