@@ -41,7 +41,7 @@ ROLES = frozenset("navigation banner contentinfo complementary search dialog ale
 WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion sidebar menu nav navbar navigation "
                   "breadcrumb breadcrumbs cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe "
                   "subscription share sharing social related recommended comment comments disqus replies respond footer masthead "
-                  "topbar toolbar pager pagination login signup hidden".split())
+                  "topbar toolbar pager pagination login signup hidden widget widgets skip alert toast copyright".split())
 HEADER_WORDS = frozenset(["header", "banner", "masthead"])
 _WORD = re.compile(r"[a-z]+")
 

@@ -11,7 +11,10 @@ FURNITURE = [
     "<aside>Read more elsewhere on this site today</aside>", "<div class='ad'>Buy this now, it is very cheap today</div>",
     "<div class='cookie-notice'>We use cookies on this site</div>", "<form><input name=q><button>Go</button> search here</form>",
     "<script>var t = '</p><p>no';</script>", "<style>p{margin:0}</style>", "<div id='comments'><article class='comment'><p>" + LONG + "</p></article></div>",
-    "<div role='navigation'>menu words</div>", "<noscript>turn it on</noscript>", "<!-- <p>hidden</p> -->", "<section class='sidebar'><p>" + LONG + "</p></section>"]
+    "<div role='navigation'>menu words</div>", "<noscript>turn it on</noscript>", "<!-- <p>hidden</p> -->", "<section class='sidebar'><p>" + LONG + "</p></section>",
+    "<ul class='breadcrumbs'><li>a</li><li>b</li></ul>", "<div class='share-buttons'>Share this with your friends now</div>",
+    "<div class='related-posts'><h3>Related</h3><p>" + LONG + "</p></div>", "<section id='respond'><form>Leave a reply</form></section>",
+    "<dialog open>Subscribe to our newsletter for more</dialog>", "<template><p>" + LONG + "</p></template>"]
 
 
 @pytest.mark.parametrize("piece", FURNITURE)
