@@ -15,6 +15,10 @@ With one article per batch this is the reference rule exactly.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -29,14 +33,44 @@ MAX_ACTIVE = 100
 TOP_SOURCES = 10
 
 
+_HELD = 4096     # groups whose sums a task holds before it hands them on
+
+
+def _partial_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(group, vector) rows -> sums and counts per group, in bounded memory."""
+    held: dict[str, list] = {}
+
+    def out():
+        rows = [(g, s.tolist(), n) for g, (s, n) in held.items()]
+        held.clear()
+        return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.float64())),
+                                           pa.array([r[2] for r in rows], pa.int64())], ["g", "s", "n"])
+
+    for batch in batches:
+        for g, v in zip(batch.column(0).to_pylist(), batch.column(1)):
+            if v.is_valid:
+                x = np.asarray(v.values, dtype=np.float64)
+                if g in held:
+                    held[g][0] += x
+                    held[g][1] += 1
+                else:
+                    held[g] = [x.copy(), 1]
+        if len(held) >= _HELD:
+            yield out()
+    yield out()
+
+
 def vector_sums(df: DataFrame, group: str, vec: str = "embedding") -> DataFrame:
     """Per group: element-wise sum of the vectors (array<double>) and count.
-    posexplode + sum per (group, dimension) aggregates map-side."""
-    ex = df.select(group, F.posexplode(vec).alias("i", "x"))
-    dims = ex.groupBy(group, "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
-    arr = dims.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("_v"))
-    cnt = df.groupBy(group).agg(F.count("*").alias("n"))
-    return arr.select(group, F.transform("_v", lambda e: e["s"]).alias("vsum")).join(cnt, group)
+    Each partition adds up its vectors per group first; only those partial sums
+    are laid out by dimension and merged."""
+    partial = df.select(F.col(group).cast("string").alias("g"), F.col(vec).cast("array<double>").alias("v")).mapInArrow(
+        _partial_sums, "g string, s array<double>, n long")
+    ex = partial.select("g", "n", F.posexplode("s").alias("i", "x"))
+    dims = ex.groupBy("g", "i").agg(F.sum("x").alias("s"), F.sum("n").alias("n"))
+    arr = dims.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("i", "s"))).alias("_v"), F.max("n").alias("n"))
+    return arr.select(F.col("g").cast(df.schema[group].dataType).alias(group),
+                      F.transform("_v", lambda e: e["s"]).alias("vsum"), "n")
 
 
 def update_centroid(centroid, count, vsum) -> F.Column:

@@ -57,9 +57,11 @@ def with_simhash(df: DataFrame, text_col: str = "content", partitions: int | Non
               .withColumn("sim_lo", F.col("_sh.sim_lo")).drop("_sh"))
 
 
-def simhash_neighbors(fps: DataFrame, limit: int = 3, include_self: bool = True) -> DataFrame:
+def simhash_neighbors(fps: DataFrame, limit: int = 3, include_self: bool = True,
+                      asking: DataFrame | None = None) -> DataFrame:
     """C2 on distinct fingerprints: (hi, lo, nhi, nlo, dist) for every ordered
-    pair within Hamming ``limit`` (both directions, optional self pairs).
+    pair within Hamming ``limit`` (both directions, optional self pairs). With
+    ``asking`` (sim_hi, sim_lo), only pairs whose first side is one of these.
 
     limit+1 disjoint bands: a pair within the limit agrees on one band. A pair
     is emitted only from the first band where it agrees, so no distinct
@@ -71,20 +73,25 @@ def simhash_neighbors(fps: DataFrame, limit: int = 3, include_self: bool = True)
     ex = ex.select("hi", "lo", F.col("bands.value").alias("vals"), "bno",
                    F.col("b.value").alias("v1"), F.col("b.value2").alias("v2"))
     l, r = ex.alias("l"), ex.alias("r")
+    side = F.struct("l.hi", "l.lo") < F.struct("r.hi", "r.lo")
+    if asking is not None:
+        some = asking.select(F.col("sim_hi").alias("hi"), F.col("sim_lo").alias("lo")).distinct()
+        fp = fp.join(some, ["hi", "lo"], "left_semi")
+        l = ex.join(some, ["hi", "lo"], "left_semi").alias("l")
+        side = F.struct("l.hi", "l.lo") != F.struct("r.hi", "r.lo")
     first_band = F.forall(
         F.sequence(F.lit(0), F.col("l.bno")),
         lambda i: (i == F.col("l.bno")) | (F.element_at("l.vals", i + 1) != F.element_at("r.vals", i + 1)))
     pairs = (l.join(r, (F.col("l.bno") == F.col("r.bno")) & (F.col("l.v1") == F.col("r.v1"))
                     & (F.col("l.v2") == F.col("r.v2"))
-                    & (F.struct("l.hi", "l.lo") < F.struct("r.hi", "r.lo")))
+                    & side)
               .where(first_band if nb > 1 else F.lit(True))
               .select(F.col("l.hi").alias("hi"), F.col("l.lo").alias("lo"),
                       F.col("r.hi").alias("nhi"), F.col("r.lo").alias("nlo"))
               .withColumn("dist", hamming("hi", "lo", "nhi", "nlo"))
               .where(F.col("dist") <= limit))
-    both = pairs.unionByName(pairs.select(F.col("nhi").alias("hi"), F.col("nlo").alias("lo"),
-                                          F.col("hi").alias("nhi"), F.col("lo").alias("nlo"),
-                                          "dist"))
+    both = pairs if asking is not None else pairs.unionByName(pairs.select(
+        F.col("nhi").alias("hi"), F.col("nlo").alias("lo"), F.col("hi").alias("nhi"), F.col("lo").alias("nlo"), "dist"))
     if include_self:
         both = both.unionByName(fp.select("hi", "lo", F.col("hi").alias("nhi"),
                                           F.col("lo").alias("nlo"), F.lit(0).alias("dist")))
@@ -250,16 +257,25 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     # aggregate); with use_url=False no source carries it, so it never hits
     queries = keyed(asking, K_URL, ks=F.coalesce(F.col("uid"), F.lit("")))
     src_keys = keyed(keepable.where(F.col("uid").isNotNull()), K_URL, "id", ks=F.col("uid"))
+    win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
+    lo_a, hi_a, lo_t = base.agg(F.min("a"), F.max("a"), F.min(F.when(~F.col("prior"), F.col("t")))).first()
+    single = lo_a is None or (lo_a // bucket_size) == (hi_a // bucket_size)
+    fresh = base
+    if win_us is not None and lo_t is not None:
+        # fingerprints of earlier batches that have expired for every new row
+        fresh = base.where(~F.col("prior") | (F.col("t") > lo_t - win_us))
     if use_simhash:
-        fpn = simhash_neighbors(base.select(F.col("hi").alias("sim_hi"), F.col("lo").alias("sim_lo")), hamming_limit)
+        prints = lambda df: df.select(F.col("hi").alias("sim_hi"), F.col("lo").alias("sim_lo"))
+        fpn = simhash_neighbors(prints(fresh), hamming_limit, asking=None if prior_kept is None else prints(asking))
         queries = queries.unionByName(keyed(asking.join(fpn, ["hi", "lo"]), K_SIM, k1=F.col("nhi"), k2=F.col("nlo"),
                                             dist=F.col("dist")))
-        src_keys = src_keys.unionByName(keyed(keepable, K_SIM, "id", k1=F.col("hi"), k2=F.col("lo")))
+        src_keys = src_keys.unionByName(keyed(fresh.where("can_keep"), K_SIM, "id", k1=F.col("hi"), k2=F.col("lo")))
     if use_vec:
         vectors = rows.select(F.col(vector_col).alias("vec"))
         if prior_kept is not None:
             vectors = vectors.unionByName(prior_kept.select(F.col(vector_col).alias("vec")))
-        vn = vector_neighbors(distinct_vectors(vectors, "vec"), cos_threshold)
+        vn = vector_neighbors(distinct_vectors(vectors, "vec"), cos_threshold,
+                              asking=None if prior_kept is None else asking.select("vid1", "vid2"))
         queries = queries.unionByName(keyed(asking.where(F.col("vid1").isNotNull()).join(vn, ["vid1", "vid2"]), K_VEC,
                                             k1=F.col("nvid1"), k2=F.col("nvid2"), score=F.col("score")))
         src_keys = src_keys.unionByName(keyed(keepable, K_VEC, "id", k1=F.col("vid1"), k2=F.col("vid2")))
@@ -267,10 +283,6 @@ def dedup_decide(rows: DataFrame, *, id_col: str = "url_hash", arrival_col: str
     # persisted (recomputable after executor loss), not checkpointed
     queries, src_keys = _materialize(queries), _materialize(src_keys)
 
-    win_us = None if window_seconds is None else int(window_seconds * 1_000_000)
-    lo_a, hi_a = base.agg(F.min("a"), F.max("a")).first()
-    single = lo_a is None or (lo_a // bucket_size) == (hi_a // bucket_size)
-
     def hits_of(wanted, live):
         """Of each key that ``wanted`` rows ask for: the latest live row before."""
         s = src_keys.join(live, "rid").select(F.col("id").alias("sid"), "a", "t", "kt", "ks", "k1", "k2", "kind")

@@ -179,10 +179,13 @@ def _block_product(threshold: float):
 
 
 def vector_neighbors(vecs: DataFrame, threshold: float, include_self: bool = True,
-                     block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS) -> DataFrame:
+                     block_rows: int = BLOCK_ROWS, max_pivots: int = MAX_PIVOTS,
+                     asking: DataFrame | None = None) -> DataFrame:
     """C3 on distinct vectors: (vid1, vid2, nvid1, nvid2, score) for every
     ordered pair with cosine >= threshold (both directions), plus self pairs.
-    Exact: no pair is missed, whatever the number of vectors.
+    Exact: no pair is missed, whatever the number of vectors. With ``asking``
+    (vid1, vid2), only pairs with at least one of these: a batch against a large
+    state never compares the state with itself.
 
     A sample of at most ``max_pivots`` vectors are pivots; a vector belongs to
     the cell of its nearest pivot, and cells beyond ``block_rows`` are cut into
@@ -190,7 +193,11 @@ def vector_neighbors(vecs: DataFrame, threshold: float, include_self: bool = Tru
     within the cell's radius plus the threshold angle. A task compares two
     blocks, so its memory does not grow with the data."""
     limit = math.acos(max(-1.0, min(1.0, threshold)))
-    vb = vecs.select("vid1", "vid2", vec_bytes("vec").alias("vb"))
+    asks = F.lit(True)
+    if asking is not None:
+        vecs = vecs.join(asking.select("vid1", "vid2", F.lit(True).alias("asks")).distinct(), ["vid1", "vid2"], "left")
+        asks = F.coalesce("asks", F.lit(False))
+    vb = vecs.select("vid1", "vid2", vec_bytes("vec").alias("vb"), asks.alias("asks"))
     n = vecs.count()
     cells = min(max_pivots, max(1, -(-n // block_rows)))
     picked = vb.orderBy(F.xxhash64("vid1", "vid2"), "vid1").limit(cells).collect()
@@ -205,20 +212,22 @@ def vector_neighbors(vecs: DataFrame, threshold: float, include_self: bool = Tru
         cell = np.where(odd, len(pivots), ang.argmin(axis=1))
         return pd.DataFrame({"cell": cell.astype(np.int32), "angle": ang.min(axis=1)})
 
-    placed = vb.withColumn("c", nearest("vb")).select("vid1", "vid2", "vb", "c.cell", "c.angle")
-    count, radius = np.zeros(len(pivots) + 1, np.int64), np.zeros(len(pivots) + 1)
+    # a cell has two parts: the vectors that ask, and the others
+    part = F.col("c.cell") * 2 + (~F.col("asks")).cast("int")
+    placed = vb.withColumn("c", nearest("vb")).select("vid1", "vid2", "vb", part.alias("cell"), "c.angle")
+    count, radius = np.zeros(2 * len(pivots) + 2, np.int64), np.full(2 * len(pivots) + 2, -np.inf)
     for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("r")).collect():
         count[r.cell], radius[r.cell] = r.n, r.r
-    blocks = -(-count // block_rows)             # of each cell; the last cell has the other dimensions
+    blocks = -(-count // block_rows)             # of each part; the last cell has the other dimensions
     first = np.concatenate([[0], np.cumsum(blocks)])
 
     @F.pandas_udf("array<int>")
     def meets(blobs: pd.Series, cell: pd.Series) -> pd.Series:
-        near = _angles(blobs, pivots) <= radius[:-1] + limit + _SLACK
+        near = np.repeat(_angles(blobs, pivots), 2, axis=1) <= radius[:-2] + limit + _SLACK
         out = []
         for row, c in zip(near, cell):
-            to = [len(pivots)] if c == len(pivots) else np.flatnonzero(row).tolist()
-            out.append([b for j in to for b in range(first[j], first[j + 1])])
+            to = [2 * len(pivots), 2 * len(pivots) + 1] if c // 2 == len(pivots) else np.flatnonzero(row).tolist()
+            out.append([b for j in to if not (c % 2 and j % 2) for b in range(first[j], first[j + 1])])
         return pd.Series(out, dtype=object)
 
     starts = F.array(*[F.lit(int(x)) for x in first[:-1]])

@@ -69,15 +69,17 @@ def test_merge_updates_count_version_sources(spark):
     assert abs(sum(x * x for x in r.centroid) - 1.0) < 1e-9
 
 
-def test_salted_top_k_equals_plain_ranking(spark):
+def test_top_k_per_group_limits_before_the_shuffle(spark):
     from pyspark.sql.window import Window
     from storyspark.operators.reports import top_k_per_group
     rows = [("hot", i, float((i * 37) % 101)) for i in range(2000)] + [("cold", i, float(i)) for i in range(3)]
     df = spark.createDataFrame(rows, "g string, id long, v double")
-    got = top_k_per_group(df, "g", [F.desc("v"), F.asc("id")], 7, salts=16, salt_key="id")
+    got = top_k_per_group(df, "g", [F.desc("v"), F.asc("id")], 7)
     w = Window.partitionBy("g").orderBy(F.desc("v"), F.asc("id"))
     exp = df.withColumn("rank", F.row_number().over(w)).where("rank <= 7")
     assert sorted(got.collect()) == sorted(exp.collect())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[0].count("WindowGroupLimit") == 2      # partial below the exchange, final above it
 
 
 def test_exact_quantiles_with_hot_value(spark):

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from storyspark.operators import vectors as VE
 
@@ -65,3 +66,17 @@ def test_nearest_centroid(spark):
     got = {x.id: (x.match_id, x.match_note) for x in VE.assign_to_centroid(arts, cl, 0.7).collect()}
     assert got == {1: ("a", "x"), 2: ("b", None), 3: (None, "z"), 4: (None, "w")}
     assert all(x.match_id is None for x in VE.assign_to_centroid(arts, cl.limit(0), 0.7).collect())
+
+
+def test_a_batch_against_a_state(spark):
+    r = np.random.default_rng(9)
+    m = r.normal(size=(120, 6)).astype(np.float32)
+    vecs = VE.distinct_vectors(_table(spark, m), "embedding").cache()
+    ids = [x.v for x in _table(spark, m).select("id", VE.vector_id("embedding")[0].alias("v")).orderBy("id").collect()]
+    asking = vecs.where(F.col("vid1").isin(ids[:20])).select("vid1", "vid2")
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    cos = u @ u.T
+    want = {(ids[i], ids[j]) for i, j in zip(*np.nonzero(cos >= 0.6)) if i != j and (i < 20 or j < 20)}
+    for block, pivots in ((2048, 4), (8, 256), (8, 2)):
+        got = VE.vector_neighbors(vecs, 0.6, False, block, pivots, asking=asking)
+        assert {(x.vid1, x.nvid1) for x in got.collect()} == want
