@@ -20,6 +20,7 @@ from ..operators import clusters as CL
 from ..operators import dedup as DD
 from ..operators import filters as FL
 from ..operators import vectors as VE
+from ..operators.store import first_seen
 from .ops import board_fold, first_deliveries, poison_split
 
 STATE_COLS = ["url_hash", "arrival", "extracted_at", "url", "title", "sim_hi", "sim_lo", "embedding"]
@@ -80,13 +81,11 @@ def dedup_stream(articles: DataFrame, state_dir: str, out_dir: str, checkpoint:
 
 def cluster_batch(batch: DataFrame, epoch_id: int, clusters_dir: str, out_dir: str, **k2) -> None:
     """I2 body: K2 for one micro-batch of unique articles against the
-    current cluster table; writes assignments and the next table version."""
+    current cluster table; writes the assignments and the clusters that the
+    batch opened or changed (the table is the newest row of each id, see
+    :func:`cluster_table`)."""
     spark = batch.sparkSession
-    current, allv = None, _state(spark, clusters_dir)
-    if allv is not None:
-        last = allv.where(F.col("epoch") < epoch_id).agg(F.max("epoch")).first()[0]
-        if last is not None:
-            current = allv.where(F.col("epoch") == last).drop("epoch")
+    current = cluster_table(spark, clusters_dir, epoch_id)
     asg = CL.cluster_articles(batch, current, **k2).persist()
     (asg.drop("embedding").withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite")
         .partitionBy("epoch").option("partitionOverwriteMode", "dynamic").parquet(out_dir))
@@ -95,13 +94,27 @@ def cluster_batch(batch: DataFrame, epoch_id: int, clusters_dir: str, out_dir: s
     table = new.select("id", "label", "centroid", "article_count", "version", "status",
                        "decay_score", "top_sources", "last_activity", "created_at")
     if current is not None:
-        merged = CL.merge_into_clusters(current, asg).select(*table.columns)
+        joined = asg.where("cluster_id is not null and not is_new_cluster").select(F.col("cluster_id").alias("id")).distinct()
+        changed = current.join(joined, "id", "left_semi")
+        merged = CL.merge_into_clusters(changed, asg).select(*table.columns)
         table = merged.unionByName(table)
     (table.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").partitionBy("epoch")
           .option("partitionOverwriteMode", "dynamic").parquet(clusters_dir))
     asg.unpersist()
 
 
+def cluster_table(spark: SparkSession, clusters_dir: str, below: int | None = None) -> DataFrame | None:
+    """The cluster table that I2 has written: per id the row of its last epoch
+    (before ``below``, if given); None before the first batch."""
+    rows = _state(spark, clusters_dir)
+    if rows is None:
+        return None
+    if below is not None:
+        rows = rows.where(F.col("epoch") < below)
+    cols = [c for c in rows.columns if c != "epoch"]
+    return rows.groupBy("id").agg(F.max_by(F.struct(*cols), "epoch").alias("_r")).select("_r.*")
+
+
 def cluster_stream(unique: DataFrame, clusters_dir: str, out_dir: str, checkpoint: str,
                    available_now: bool = True, **k2) -> StreamingQuery:
     """Streaming story clustering (one table version per micro-batch)."""
@@ -112,11 +125,29 @@ def cluster_stream(unique: DataFrame, clusters_dir: str, out_dir: str, checkpoin
     return w.start()
 
 
+def seen_items_stream(items: DataFrame, state_dir: str, out_dir: str, checkpoint: str, key: str = "item_key",
+                      ts: str = "polled_at", keep_days: int = 7) -> StreamingQuery:
+    """I4: items whose key was not met within ``keep_days`` before. Every
+    sighting renews a key's entry, so an item that stays in its feed is emitted
+    once, however long it stays. State: the last sighting per key and batch."""
+    def run(df: DataFrame, epoch_id: int) -> None:
+        spark = df.sparkSession
+        known = _read_epochs(spark, state_dir, epoch_id)
+        batch = first_seen(df.where(F.col(key).isNotNull()), key, ts)
+        if known is not None:
+            last = known.groupBy(key).agg(F.max("last_seen").alias("last_seen"))
+            batch = batch.join(last, key, "left").where(
+                F.col("last_seen").isNull() | (F.col("last_seen") < F.timestamp_add("DAY", F.lit(-keep_days), F.col(ts)))).drop("last_seen")
+        _write_epoch(batch.select(*df.columns), out_dir, epoch_id)
+        _write_epoch(df.where(F.col(key).isNotNull()).groupBy(key).agg(F.max(ts).alias("last_seen")), state_dir, epoch_id)
+    return (items.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
+                 .trigger(availableNow=True).start())
+
+
 def event_once_stream(events: DataFrame, key: str = "event_id", ts: str = "ts",
                       watermark: str = "7 days") -> DataFrame:
-    """Drop repeated keys (redelivered events, seen feed items).
-    The watermark bounds the state by time (the reference bounds its seen-item
-    memory by count); rows later than the watermark are dropped."""
+    """Drop repeated keys (redelivered events). The watermark bounds the
+    state by time; rows later than the watermark are dropped."""
     return (events.withColumn("_evt", F.col(ts).cast("timestamp"))
                   .withWatermark("_evt", watermark)
                   .dropDuplicatesWithinWatermark([key]).drop("_evt"))

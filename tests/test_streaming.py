@@ -59,9 +59,7 @@ def test_cluster_stream_keeps_table_consistent(spark):
                          threshold=0.75)
     q.awaitTermination()
     asg = spark.read.parquet(f"{scratch}/assigned").where("cluster_id IS NOT NULL")
-    tables = spark.read.parquet(f"{scratch}/clusters")
-    last = tables.agg(F.max("epoch")).first()[0]
-    cur = tables.where(F.col("epoch") == last)
+    cur = J.cluster_table(spark, f"{scratch}/clusters").cache()
     assert asg.count() == 200
     assert asg.join(cur, asg.cluster_id == cur.id, "left_anti").count() == 0
     assert cur.agg(F.sum("article_count")).first()[0] == 200
@@ -142,3 +140,16 @@ def test_retain_stream_drops_old_rows(spark):
           .trigger(availableNow=True).start())
     q.awaitTermination()
     assert {r.id for r in spark.sql("SELECT id FROM kept_t").collect()} == {2, 3} == {r.id for r in retain(df).collect()}
+
+
+def test_seen_items_are_renewed_by_every_sighting(spark):
+    scratch = tempfile.mkdtemp(prefix="storyspark-stream-")
+    days = [("a", 1), ("b", 1), ("a", 6), ("c", 6), ("a", 11), ("b", 11), (None, 11), ("c", 11), ("c", 12)]
+    df = spark.createDataFrame(days, "item_key string, day int").withColumn(
+        "polled_at", F.timestamp_add("DAY", F.col("day"), F.lit("2024-01-01 00:00:00").cast("timestamp_ntz")))
+    _land(df, f"{scratch}/in", [0, 2, 7, 100], "day")
+    src = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{scratch}/in")
+    J.seen_items_stream(src, f"{scratch}/state", f"{scratch}/out", f"{scratch}/ckpt").awaitTermination()
+    got = sorted((r.item_key, r.day) for r in spark.read.parquet(f"{scratch}/out").collect())
+    # a is met every five days; b comes back after ten, when its entry has gone
+    assert got == [("a", 1), ("b", 1), ("b", 11), ("c", 6)]
