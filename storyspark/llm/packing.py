@@ -37,7 +37,7 @@ from ..session import cut_lineage
 LENGTH = 4096            # tokens of a full sequence
 END_ID = 2               # closes every document
 GROUP = 4096             # pieces per group, on average
-CACHE_WORDS = 1_000_000   # words a worker remembers
+CACHE_WORDS = 600_000    # words a worker remembers (about 100 MB)
 BATCH_BYTES = 8 << 20    # of text encoded at a time, but whole documents
 
 
