@@ -1,28 +1,35 @@
 """Masked pseudo-likelihood of documents under a bidirectional window network.
 
 The network sees ``WINDOW`` words on either side of a position and predicts
-the word there: embeddings of the neighbours, one tanh layer, and a two-level
-softmax (class of the word, word within its class), so a prediction costs
-2 x sqrt(V) outputs. A document's score is the sum over all its positions of
-log p(word | both sides) (Salazar et al., "Masked Language Model Scoring", 2020).
-
-Vocabulary: exact word counts of the whole corpus (a combining count); the most
-frequent words have outputs of their own, all others share ``HASHED`` buckets by
-CRC-32. Training covers the whole corpus once, in ``ROUNDS`` parts dealt by text
+the word there: embeddings of the neighbours, one tanh layer, and a three-level
+softmax: class of the word, output within the class, word within the output. A
+document's score is the sum over all its positions of log p(word | both sides)
+(Salazar et al., "Masked Language Model Scoring", 2020).
+
+Vocabulary: exact word counts of the whole corpus (a combining count). The network
+has C x C outputs, C the fourth root of the number of distinct words (``CLASSES`` at
+least). The most frequent words have outputs of their own; one output in 16 is a bucket
+of rarer words by CRC-32. Within a bucket a word has its share of the bucket's count,
+looked up by a join with the table of counts, so every word of the corpus has a
+probability of its own. Training covers the whole corpus once, in ``ROUNDS`` parts dealt by text
 hash. In a round each partition starts from the shared parameters, masks
 ``MASKED`` of its positions (as masked-language-model training does) and
 descends in numpy; the parameters are then averaged, weighted by positions.
 What is gathered grows with the corpus: word counts and one parameter
 set per partition, summed per parameter by a combining aggregate, so that
-neither the driver nor a task holds more than one model (some 40,000 numbers).
+neither the driver nor a task holds more than one model (40,000 numbers for a million
+words, growing with the root of their number).
 
-Scoring is a row-local scan. Long documents are scored in blocks of positions.
+Scoring is a scan that emits each document's network score and its rare words; these
+meet their counts in a join and are summed per document. Long documents are scored in
+blocks of positions.
 """
 
 from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,9 +40,9 @@ from pyspark.sql import functions as F
 
 from ..session import cut_lineage
 
-CLASSES = 32                     # of CLASSES words each
+CLASSES = 32                     # of CLASSES outputs each, at least
 VOCAB = CLASSES * CLASSES
-HASHED = 64                      # outputs shared by all rarer words
+HASHED = 64                      # of VOCAB outputs, buckets of rarer words
 WINDOW = 2
 DIM, HIDDEN = 8, 24
 ROUNDS = 2
@@ -46,31 +53,59 @@ BLOCK = 1 << 14                  # positions scored at a time
 CHUNK_WORDS = 1 << 18            # words turned to ids at a time, but whole documents
 CACHE = 400_000                  # rare words whose bucket a worker remembers
 OFFSETS = [d for d in range(-WINDOW, WINDOW + 1) if d]
+FIXED = 2.0 ** 32                # shares are summed as whole numbers, so order does not matter
+EMITTED = 1 << 16                # rows per Arrow batch of rare words
+
+
+def classes_for(distinct: int) -> int:
+    """Classes of a network for so many distinct words."""
+    return max(CLASSES, math.ceil(distinct ** 0.25))
+
+
+def buckets_of(classes: int) -> int:
+    return classes * classes * HASHED // VOCAB
+
+
+def words_of(text: str | None) -> list[str]:
+    return (text or "").lower().split()
 
 
 class Vocabulary(dict):
-    """word -> output id; a rare word goes to a bucket."""
+    """word -> output id; a rare word goes to a bucket. Ids end at ``size``."""
 
-    def __init__(self, frequent: list[str]):
+    def __init__(self, frequent: list[str], classes: int = CLASSES):
         super().__init__((w, i) for i, w in enumerate(frequent))
-        self.known = len(self)
+        self.known, self.size, self.buckets = len(self), classes * classes, buckets_of(classes)
 
     def __missing__(self, word: str) -> int:
-        i = VOCAB - HASHED + zlib.crc32(word.encode("utf-8", "surrogatepass")) % HASHED
+        i = self.size - self.buckets + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.buckets
         if len(self) < self.known + CACHE and len(word) <= 64:
             self[word] = i
         return i
 
 
-SHAPES = [("embed", (VOCAB + 1, DIM)), ("w", (2 * WINDOW * DIM, HIDDEN)), ("b", (HIDDEN,)), ("cw", (HIDDEN, CLASSES)),
-          ("cb", (CLASSES,)), ("ww", (CLASSES, HIDDEN, CLASSES)), ("wb", (CLASSES, CLASSES))]
-SIZE = sum(math.prod(s) for _, s in SHAPES)
+def shapes(classes: int) -> list[tuple[str, tuple[int, ...]]]:
+    return [("embed", (classes * classes + 1, DIM)), ("w", (2 * WINDOW * DIM, HIDDEN)), ("b", (HIDDEN,)), ("cw", (HIDDEN, classes)),
+            ("cb", (classes,)), ("ww", (classes, HIDDEN, classes)), ("wb", (classes, classes))]
+
+
+def size_of(classes: int) -> int:
+    return sum(math.prod(s) for _, s in shapes(classes))
+
+
+SIZE = size_of(CLASSES)
+
+
+def classes_of(size: int) -> int:
+    """The inverse of size_of."""
+    a, b = DIM + HIDDEN + 1, HIDDEN + 1
+    return round((math.sqrt(b * b + 4 * a * (size - size_of(0))) - b) / (2 * a))
 
 
 def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
     """Views of one flat parameter vector."""
     out, at = {}, 0
-    for name, shape in SHAPES:
+    for name, shape in shapes(classes_of(len(flat))):
         out[name] = flat[at:at + math.prod(shape)].reshape(shape)
         at += math.prod(shape)
     return out
@@ -79,11 +114,12 @@ def unpacked(flat: np.ndarray) -> dict[str, np.ndarray]:
 def initial(counts: np.ndarray, seed: int = 5) -> np.ndarray:
     """Small random weights; output biases say the words' frequencies."""
     rng = np.random.default_rng(seed)
-    flat = np.zeros(SIZE, np.float32)
+    classes = math.isqrt(len(counts))
+    flat = np.zeros(size_of(classes), np.float32)
     p = unpacked(flat)
     p["embed"][:] = rng.normal(0, 0.3, p["embed"].shape)
     p["w"][:] = rng.normal(0, 1 / math.sqrt(p["w"].shape[0]), p["w"].shape)
-    share = (counts + 0.5).reshape(CLASSES, CLASSES)
+    share = (counts + 0.5).reshape(classes, classes)
     p["cb"][:] = np.log(share.sum(1) / share.sum())
     p["wb"][:] = np.log(share / share.sum(1, keepdims=True))
     return flat
@@ -94,21 +130,21 @@ def _log_softmax(z: np.ndarray) -> np.ndarray:
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def _by_class(target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+def _by_class(target: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
     """An order that sorts positions by class, and each class's stretch in it."""
-    cls = (target // CLASSES).astype(np.uint8)
+    cls = (target // classes).astype(np.uint16)
     order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(CLASSES + 1))
+    ends = np.searchsorted(cls[order], np.arange(classes + 1))
     return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
 
 
 def log_probs(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p(target | context) of each row; context holds 2 x WINDOW ids."""
-    n = len(target)
+    n, classes = len(target), len(p["cb"])
     hidden = np.tanh(p["embed"][context].reshape(n, -1) @ p["w"] + p["b"])
-    out = _log_softmax(hidden @ p["cw"] + p["cb"])[np.arange(n), target // CLASSES]
-    order, parts = _by_class(target)
-    h, inner = hidden[order], target[order] % CLASSES
+    out = _log_softmax(hidden @ p["cw"] + p["cb"])[np.arange(n), target // classes]
+    order, parts = _by_class(target, classes)
+    h, inner = hidden[order], target[order] % classes
     for c, part in parts:
         z = _log_softmax(h[part] @ p["ww"][c] + p["wb"][c])
         out[order[part]] += z[np.arange(len(z)), inner[part]]
@@ -117,17 +153,17 @@ def log_probs(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray)
 
 def gradient(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Of the mean negative log-probability, as one flat vector."""
-    n = len(target)
-    flat = np.zeros(SIZE, p["w"].dtype)
+    n, classes = len(target), len(p["cb"])
+    flat = np.zeros(size_of(classes), p["w"].dtype)
     g = unpacked(flat)
     x = p["embed"][context].reshape(n, -1)
     hidden = np.tanh(x @ p["w"] + p["b"])
     dz = np.exp(_log_softmax(hidden @ p["cw"] + p["cb"]))
-    dz[np.arange(n), target // CLASSES] -= 1
+    dz[np.arange(n), target // classes] -= 1
     g["cw"][:], g["cb"][:] = hidden.T @ dz, dz.sum(0)
     dh = dz @ p["cw"].T
-    order, parts = _by_class(target)
-    h, inner = hidden[order], target[order] % CLASSES
+    order, parts = _by_class(target, classes)
+    h, inner = hidden[order], target[order] % classes
     for c, part in parts:
         dz = np.exp(_log_softmax(h[part] @ p["ww"][c] + p["wb"][c]))
         dz[np.arange(len(dz)), inner[part]] -= 1
@@ -138,7 +174,7 @@ def gradient(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray)
     dx = (dh @ p["w"].T).reshape(-1, DIM)
     ids = context.ravel()
     for d in range(DIM):
-        g["embed"][:, d] = np.bincount(ids, dx[:, d], VOCAB + 1)
+        g["embed"][:, d] = np.bincount(ids, dx[:, d], len(p["embed"]))
     return flat / n
 
 
@@ -146,23 +182,23 @@ def _flat_ids(texts: list[str | None], vocab: Vocabulary) -> Iterator[tuple[list
     """Chunks of whole documents: (words per document, ids with WINDOW pads
     around each document, places of the words in them)."""
     lengths, ids = [], []
-    pad = [VOCAB] * WINDOW
+    pad = [vocab.size] * WINDOW
     for i, text in enumerate(texts):
-        words = (text or "").lower().split()
+        words = words_of(text)
         lengths.append(len(words))
         ids += pad
         ids += map(vocab.__getitem__, words)
         ids += pad
         if len(ids) >= CHUNK_WORDS or i == len(texts) - 1:
             flat = np.array(ids, np.int32)
-            yield lengths, flat, np.flatnonzero(flat != VOCAB)
+            yield lengths, flat, np.flatnonzero(flat != vocab.size)
             lengths, ids = [], []
 
 
 def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
     """Adagrad over masked positions of the texts: (parameters, positions)."""
     flat = start.astype(np.float32).copy()
-    p, square, seen = unpacked(flat), np.full(SIZE, 1e-3, np.float32), 0
+    p, square, seen = unpacked(flat), np.full(len(flat), 1e-3, np.float32), 0
     offsets = np.array(OFFSETS)
     for batch in texts:
         for _, ids, places in _flat_ids(batch, vocab):
@@ -177,7 +213,7 @@ def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng:
 
 
 def score_texts(texts: list[str | None], vocab: Vocabulary, p: dict[str, np.ndarray]) -> list[tuple[int, float]]:
-    """(words, sum of conditional log-probabilities) of each text."""
+    """(words, sum of conditional log-probabilities of the outputs) of each text."""
     offsets, out = np.array(OFFSETS), []
     for lengths, ids, places in _flat_ids(texts, vocab):
         logs = np.empty(len(places))
@@ -190,30 +226,61 @@ def score_texts(texts: list[str | None], vocab: Vocabulary, p: dict[str, np.ndar
     return out
 
 
-def word_counts(docs: DataFrame) -> list[tuple[str, int]]:
-    """The most frequent words of all texts with their counts, and ("", the
-    count of all others). A histogram of the counts finds how frequent a word
-    must be, so the driver is sent little more than the words it keeps."""
-    words = docs.select(F.explode(F.split(F.lower("text"), r"\s+")).alias("word")).where("word <> ''")
-    counts = cut_lineage(words.groupBy("word").agg(F.count("*").alias("n")).withColumn("size", F.floor(F.log2("n") * 8).cast("int")))
-    sizes = counts.groupBy("size").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
-    wanted, least = VOCAB - HASHED, None
+def count_words(docs: DataFrame) -> DataFrame:
+    """``(word, n)`` of all texts: counts per worker, then summed."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.update(words_of(text))
+                if len(found) > CACHE // 4:
+                    yield from emitted(found)
+                    found.clear()
+        yield from emitted(found)
+
+    def emitted(found: Counter) -> Iterator[pa.RecordBatch]:
+        words, n = list(found), list(found.values())
+        for at in range(0, len(words), EMITTED):
+            yield pa.RecordBatch.from_arrays([pa.array(words[at:at + EMITTED], pa.string()), pa.array(n[at:at + EMITTED], pa.int64())], ["word", "n"])
+
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
+    """The most frequent words of all texts; the counts of all outputs, theirs
+    and the buckets'; and the table ``(word, share)`` of all other words, the log
+    of a word's share of its bucket as a multiple of 1 / FIXED. A histogram
+    of the counts finds how frequent a word must be, so the driver is sent
+    little more than the words it keeps."""
+    counts = cut_lineage(count_words(docs).withColumn("size", F.floor(F.log2("n") * 8).cast("int")))
+    sizes = counts.groupBy("size").agg(F.count("*").alias("words")).collect()
+    classes = classes_for(sum(r.words for r in sizes))
+    buckets = buckets_of(classes)
+    kept = classes * classes - buckets
+    wanted, least = kept, None
     for r in sorted(sizes, key=lambda r: -r.size):
         wanted -= r.words
         least = r.size
         if wanted <= 0:
             break
-    top = counts.where(F.col("size") >= F.lit(least)).orderBy(F.desc("n"), "word").limit(VOCAB - HASHED).collect()
-    return [(r.word, r.n) for r in top] + [("", sum(r.n for r in sizes) - sum(r.n for r in top))]
-
-
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(frequent words, flat parameters) learnt from all texts."""
-    rows = word_counts(docs)
-    frequent = [w for w, _ in rows[:-1]]
-    counts = np.zeros(VOCAB)
-    counts[:len(frequent)] = [n for _, n in rows[:-1]]
-    counts[VOCAB - HASHED:] = rows[-1][1] / HASHED
+    top = [(r.word, r.n) for r in counts.where(F.col("size") >= F.lit(least)).orderBy(F.desc("n"), "word").limit(kept).collect()]
+    word, n = top[-1] if top else ("", 0)
+    others = (counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(word))))
+              .withColumn("bucket", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int")))
+    held = others.groupBy("bucket").agg(F.sum("n").alias("total"))
+    outputs = np.zeros(classes * classes)
+    outputs[:len(top)] = [n for _, n in top]
+    for r in held.collect():
+        outputs[kept + r.bucket] = r.total
+    shares = others.join(F.broadcast(held), "bucket").select("word", F.round(F.log(F.col("n") / F.col("total")) * FIXED).cast("long").alias("share"))
+    return [w for w, _ in top], outputs, shares
+
+
+def train(docs: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
+    """(frequent words, flat parameters, table of the other words' shares) learnt
+    from all texts."""
+    frequent, counts, shares = word_counts(docs)
+    classes = math.isqrt(len(counts))
     flat = initial(counts)
     sc = docs.sparkSession.sparkContext
     for r in range(ROUNDS):
@@ -222,19 +289,19 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         def descend(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
             words, start = shared.value
             rng = np.random.default_rng([r, TaskContext.get().partitionId()])
-            found, n = train_part((b.column(0).to_pylist() for b in batches), Vocabulary(words), start, rng)
+            found, n = train_part((b.column(0).to_pylist() for b in batches), Vocabulary(words, classes), start, rng)
             if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(SIZE, dtype=np.int32)), pa.array(found.astype(float)),
-                                                  pa.array(np.full(SIZE, float(n)))], ["i", "x", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found.astype(float)),
+                                                  pa.array(np.full(len(found), float(n)))], ["i", "x", "n"])
 
         part = docs.select("text").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)
         mean = (part.mapInArrow(descend, "i int, x double, n double")
                 .groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect())
         if mean:
-            flat = np.zeros(SIZE, np.float32)
+            flat = np.zeros(size_of(classes), np.float32)
             for row in mean:
                 flat[row.i] = row.x
-    return frequent, flat
+    return frequent, flat, shares
 
 
 def score(docs: DataFrame) -> DataFrame:
@@ -245,16 +312,31 @@ def score(docs: DataFrame) -> DataFrame:
     rows score alike; other columns are ignored; an empty table gives no rows
     (and trains nothing)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs))
-    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("log_prob", pa.float64())])
+    frequent, flat, shares = train(docs)
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, flat))
+    columns = ["row", "word", "times", "doc_id", "n_words", "network"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
-        vocab, p = Vocabulary(words), unpacked(flat)
+        vocab, p = Vocabulary(words, classes_of(len(flat))), unpacked(flat)
+        known, row = frozenset(words), TaskContext.get().partitionId() << 40
         for batch in batches:
-            scored = score_texts(batch.column("text").to_pylist(), vocab, p)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in scored], pa.int64()),
-                                              pa.array([x for _, x in scored], pa.float64())], schema=schema)
-
-    return (docs.mapInArrow(run, "doc_id long, n_words long, log_prob double")
-            .withColumn("mean_log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words"))))
+            texts, out = batch.column("text").to_pylist(), [[] for _ in columns]
+            for doc_id, text, (n, x) in zip(batch.column("doc_id").to_pylist(), texts, score_texts(texts, vocab, p)):
+                rare = Counter(w for w in words_of(text) if w not in known)
+                # the document's own row goes through the join under a key that is no word
+                for col, values in zip(out, ([row] * (len(rare) + 1), [f" {row}", *rare], [0, *rare.values()], [doc_id] + [None] * len(rare),
+                                             [n] + [None] * len(rare), [x] + [None] * len(rare))):
+                    col += values
+                row += 1
+                if len(out[0]) >= EMITTED:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], columns)
+                    out = [[] for _ in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], columns)
+
+    rows = docs.mapInArrow(run, "row long, word string, times int, doc_id long, n_words long, network double")
+    return (rows.join(shares, "word", "left").groupBy("row")
+            .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
+                 (F.max("network") + F.coalesce(F.sum(F.col("times") * F.col("share")), F.lit(0)) / FIXED).alias("log_prob"))
+            .select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob")))

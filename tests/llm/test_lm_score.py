@@ -1,6 +1,8 @@
 """Pseudo-likelihood network: gradient, normalisation, scores, learning."""
 
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,3 +86,32 @@ def test_rows(spark):
 
 def test_empty_table(spark):
     assert LM.score(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_every_word_has_its_own_share(spark):
+    """Two rare words of one bucket differ by the log of their counts, and all words' shares sum to one."""
+    bucket = lambda w: zlib.crc32(w.encode()) % LM.HASHED
+    rare = [f"r{i}" for i in range(4000)]
+    a, b = [w for w in rare if bucket(w) == bucket("r0")][:2]
+    texts = [f"w{i} " * 40 for i in range(LM.VOCAB - LM.HASHED)] + rare + [a] * 19 + [f"{a}", f"{b}", f"x {a}", f"x {b}"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    out = {r.doc_id: r.log_prob for r in LM.score(docs).collect()}
+    assert len(out) == len(texts)
+    n, end = Counter(" ".join(texts).split()), len(texts)
+    assert out[end - 4] - out[end - 3] == pytest.approx(np.log(n[a] / n[b]), abs=1e-6)
+    assert out[end - 2] - out[end - 1] == pytest.approx(np.log(n[a] / n[b]), abs=1e-6)
+    frequent, counts, shares = LM.word_counts(docs)
+    rows = shares.collect()
+    assert len(rows) == len(n) - len(frequent) and counts.sum() == sum(n.values())
+    total = Counter()
+    for r in rows:
+        total[bucket(r.word)] += np.exp(r.share / LM.FIXED)
+    assert list(total.values()) == pytest.approx([1] * len(total))
+
+
+def test_classes_follow_the_distinct_words(monkeypatch):
+    assert LM.classes_for(400_000) == 32 and LM.classes_for(10 ** 8) == 100
+    for c in (32, 41, 100, 300):
+        assert LM.classes_of(LM.size_of(c)) == c
+    p = LM.unpacked(np.random.default_rng(1).normal(0, 0.3, LM.size_of(40)))
+    assert np.exp(LM.log_probs(p, np.tile([3, 1600, 70, 900], (1600, 1)), np.arange(1600))).sum() == pytest.approx(1)
