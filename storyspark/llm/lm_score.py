@@ -12,8 +12,8 @@ least). The most frequent words have outputs of their own; one output in 16 is a
 of rarer words by CRC-32. Within a bucket a word has its share of the bucket's count,
 looked up by a join with the table of counts, so every word of the corpus has a
 probability of its own. Training covers the whole corpus once, in ``ROUNDS`` parts dealt by text
-hash. In a round each partition starts from the shared parameters, masks
-``MASKED`` of its positions (as masked-language-model training does) and
+hash. In a round each partition starts from the shared parameters, makes
+every position a target (the window never holds its own centre word) and
 descends in numpy; the parameters are then averaged, weighted by positions.
 What is gathered grows with the corpus: word counts and one parameter
 set per partition, summed per parameter by a combining aggregate, so that
@@ -46,7 +46,7 @@ HASHED = 64                      # of VOCAB outputs, buckets of rarer words
 WINDOW = 2
 DIM, HIDDEN = 8, 24
 ROUNDS = 2
-MASKED = 0.2                     # share of positions predicted in training
+MASKED = 0.2                     # share of positions train_part predicts unless told otherwise
 BATCH = 512                      # positions per descent step
 RATE = 0.1                       # Adagrad step
 BLOCK = 1 << 14                  # positions scored at a time
@@ -125,9 +125,20 @@ def initial(counts: np.ndarray, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def _log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def _softmax(z: np.ndarray) -> np.ndarray:
+    """Of each row; z is overwritten."""
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
+def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Each row's log-softmax at one place; z is overwritten."""
+    picked, top = z[np.arange(len(z)), at], z.max(axis=1)
+    z -= top[:, None]
+    np.exp(z, out=z)
+    return picked - top - np.log(z.sum(axis=1))
 
 
 def _by_class(target: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
@@ -142,12 +153,11 @@ def log_probs(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray)
     """log p(target | context) of each row; context holds 2 x WINDOW ids."""
     n, classes = len(target), len(p["cb"])
     hidden = np.tanh(p["embed"][context].reshape(n, -1) @ p["w"] + p["b"])
-    out = _log_softmax(hidden @ p["cw"] + p["cb"])[np.arange(n), target // classes]
+    out = _log_softmax_at(hidden @ p["cw"] + p["cb"], target // classes)
     order, parts = _by_class(target, classes)
     h, inner = hidden[order], target[order] % classes
     for c, part in parts:
-        z = _log_softmax(h[part] @ p["ww"][c] + p["wb"][c])
-        out[order[part]] += z[np.arange(len(z)), inner[part]]
+        out[order[part]] += _log_softmax_at(h[part] @ p["ww"][c] + p["wb"][c], inner[part])
     return out
 
 
@@ -158,23 +168,28 @@ def gradient(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray)
     g = unpacked(flat)
     x = p["embed"][context].reshape(n, -1)
     hidden = np.tanh(x @ p["w"] + p["b"])
-    dz = np.exp(_log_softmax(hidden @ p["cw"] + p["cb"]))
+    dz = _softmax(hidden @ p["cw"] + p["cb"])
     dz[np.arange(n), target // classes] -= 1
     g["cw"][:], g["cb"][:] = hidden.T @ dz, dz.sum(0)
     dh = dz @ p["cw"].T
     order, parts = _by_class(target, classes)
     h, inner = hidden[order], target[order] % classes
+    dz = p["wb"][target[order] // classes]     # per class only the products; the rest over all rows at once
     for c, part in parts:
-        dz = np.exp(_log_softmax(h[part] @ p["ww"][c] + p["wb"][c]))
-        dz[np.arange(len(dz)), inner[part]] -= 1
-        g["ww"][c], g["wb"][c] = h[part].T @ dz, dz.sum(0)
-        dh[order[part]] += dz @ p["ww"][c].T
+        dz[part] += h[part] @ p["ww"][c]
+    dz = _softmax(dz)
+    dz[np.arange(n), inner] -= 1
+    back = np.empty_like(h)
+    for c, part in parts:
+        np.matmul(h[part].T, dz[part], out=g["ww"][c])
+        np.matmul(dz[part], p["ww"][c].T, out=back[part])
+    g["wb"][[c for c, _ in parts]] = np.add.reduceat(dz, [part.start for _, part in parts])
+    dh[order] += back
     dh *= 1 - hidden * hidden
     g["w"][:], g["b"][:] = x.T @ dh, dh.sum(0)
     dx = (dh @ p["w"].T).reshape(-1, DIM)
-    ids = context.ravel()
-    for d in range(DIM):
-        g["embed"][:, d] = np.bincount(ids, dx[:, d], len(p["embed"]))
+    places = context.reshape(-1, 1) * DIM + np.arange(DIM)
+    g["embed"][:] = np.bincount(places.ravel(), dx.ravel(), p["embed"].size).reshape(-1, DIM)
     return flat / n
 
 
@@ -195,14 +210,16 @@ def _flat_ids(texts: list[str | None], vocab: Vocabulary) -> Iterator[tuple[list
             lengths, ids = [], []
 
 
-def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, int]:
-    """Adagrad over masked positions of the texts: (parameters, positions)."""
+def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng: np.random.Generator,
+               masked: float = MASKED) -> tuple[np.ndarray, int]:
+    """Adagrad over a share of the texts' positions, in random order:
+    (parameters, positions). ``train`` takes them all."""
     flat = start.astype(np.float32).copy()
     p, square, seen = unpacked(flat), np.full(len(flat), 1e-3, np.float32), 0
     offsets = np.array(OFFSETS)
     for batch in texts:
         for _, ids, places in _flat_ids(batch, vocab):
-            places = rng.permutation(places[rng.random(len(places)) < MASKED])
+            places = rng.permutation(places if masked >= 1 else places[rng.random(len(places)) < masked])
             for at in range(0, len(places), BATCH):
                 some = places[at:at + BATCH]
                 g = gradient(p, ids[some[:, None] + offsets], ids[some])
@@ -280,30 +297,36 @@ def train(docs: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
     """(frequent words, flat parameters, table of the other words' shares) learnt
     from all texts."""
     frequent, counts, shares = word_counts(docs)
-    classes = math.isqrt(len(counts))
     flat = initial(counts)
-    sc = docs.sparkSession.sparkContext
     for r in range(ROUNDS):
-        shared = sc.broadcast((frequent, flat))
-
-        def descend(batches: Iterator[pa.RecordBatch], shared=shared, r=r) -> Iterator[pa.RecordBatch]:
-            words, start = shared.value
-            rng = np.random.default_rng([r, TaskContext.get().partitionId()])
-            found, n = train_part((b.column(0).to_pylist() for b in batches), Vocabulary(words, classes), start, rng)
-            if n:
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found.astype(float)),
-                                                  pa.array(np.full(len(found), float(n)))], ["i", "x", "n"])
-
-        part = docs.select("text").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)
-        mean = (part.mapInArrow(descend, "i int, x double, n double")
-                .groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x")).collect())
-        if mean:
-            flat = np.zeros(size_of(classes), np.float32)
-            for row in mean:
-                flat[row.i] = row.x
+        flat, _ = train_round(docs, r, frequent, flat)
     return frequent, flat, shares
 
 
+def train_round(docs: DataFrame, r: int, frequent: list[str], flat: np.ndarray) -> tuple[np.ndarray, int]:
+    """Round ``r`` over its part of the texts: (parameters, positions descended on)."""
+    classes = classes_of(len(flat))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent, flat))
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, start = shared.value
+        rng = np.random.default_rng([r, TaskContext.get().partitionId()])
+        found, n = train_part((b.column(0).to_pylist() for b in batches), Vocabulary(words, classes), start, rng, masked=1.0)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found.astype(float)),
+                                              pa.array(np.full(len(found), float(n)))], ["i", "x", "n"])
+
+    part = docs.select("text").where("text is not null").where(F.pmod(F.xxhash64("text"), F.lit(ROUNDS)) == r)
+    mean = (part.mapInArrow(descend, "i int, x double, n double")
+            .groupBy("i").agg((F.sum(F.col("x") * F.col("n")) / F.sum("n")).alias("x"), F.sum("n").alias("n")).collect())
+    if not mean:
+        return flat, 0
+    out = np.zeros(len(flat), np.float32)
+    for row in mean:
+        out[row.i] = row.x
+    return out, int(mean[0].n)
+
+
 def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, log_prob, mean_log_prob)``, one row per input row,
     under a network trained on the same documents.

@@ -115,3 +115,12 @@ def test_classes_follow_the_distinct_words(monkeypatch):
         assert LM.classes_of(LM.size_of(c)) == c
     p = LM.unpacked(np.random.default_rng(1).normal(0, 0.3, LM.size_of(40)))
     assert np.exp(LM.log_probs(p, np.tile([3, 1600, 70, 900], (1600, 1)), np.arange(1600))).sum() == pytest.approx(1)
+
+
+def test_training_predicts_every_position(spark):
+    r = random.Random(6)
+    texts = [ordered(r) for _ in range(50)] + ["one", "", None]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    frequent, counts, _ = LM.word_counts(docs)
+    start = LM.initial(counts)
+    assert sum(LM.train_round(docs, i, frequent, start)[1] for i in range(LM.ROUNDS)) == 50 * 180 + 1
