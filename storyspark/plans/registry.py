@@ -611,6 +611,31 @@ def q_story_given(spark, sf):
     return r.select("doc_id", "kept", "stage", "duplicate_of", "cluster_id", "is_new_cluster")
 
 
+def _given_all(spark, sf) -> DataFrame:
+    """All documents as articles, each with a given vector: that of vec_id =
+    doc_id modulo the number of embeddings, so every embedding takes part."""
+    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
+    n = max(e.count(), 1)
+    return TB.articles(spark, sf, with_quality=False).withColumn("_vec", F.pmod(F.col("doc_id"), F.lit(n))).join(e, "_vec", "left").drop("_vec")
+
+
+@register("dedup_given_all")
+def q_dedup_given_all(spark, sf):
+    """dedup_given over the whole embeddings table (no SQL twin: tested on a fixture)."""
+    from ..operators.filters import min_content
+    a = DD.with_simhash(min_content(_given_all(spark, sf), "content", 50))
+    r = DD.dedup_decide(a, id_col="doc_id", vector_col="embedding", cos_threshold=GIVEN_COS)
+    return r.select("doc_id", "kept", "stage", "duplicate_of", "distance", "score")
+
+
+@register("story_given_all")
+def q_story_given_all(spark, sf):
+    """story_given over the whole embeddings table (no SQL twin: tested on a fixture)."""
+    from .flows import story_flow
+    r = story_flow(spark, sf, GIVEN_CLUSTER, _given_all(spark, sf), cos_threshold=GIVEN_COS)
+    return r.select("doc_id", "kept", "stage", "duplicate_of", "cluster_id", "is_new_cluster")
+
+
 @register("vector_pairs", f"""
 WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)
 SELECT x.vec_id AS left_id, y.vec_id AS right_id, round(list_cosine_similarity(x.v, y.v), 6) AS score

@@ -1,6 +1,7 @@
 """Dedup rules (C1, C2, C3, K1) as tiny DataFrames, and K1 against the
 sequential loop on the smallest driver table."""
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -149,3 +150,31 @@ def test_components_too_large_for_a_task_go_round_again(spark):
     want = {x.arrival: (x.kept, x.duplicate_of) for x in DD.dedup_decide(_rows(spark, rows)).collect()}
     got = {x.arrival: (x.kept, x.duplicate_of) for x in DD.dedup_decide(_rows(spark, rows), component_rows=2).collect()}
     assert got == want and [want[i][0] for i in range(9)] == [i % 2 == 0 for i in range(9)]
+
+
+def test_given_vectors_use_every_embedding(spark, tmp_path):
+    """700 embeddings, of which the last 200 nearly repeat earlier ones, against the sequential rule."""
+    from storyspark.plans.registry import QUERIES
+    r = np.random.default_rng(3)
+    v = r.normal(size=(700, 64))
+    v[500:] = v[100:300] + r.normal(0, 0.1, (200, 64))
+    v[500:600] = v[100:200] + r.normal(0, 2.0, (100, 64))          # cosine about 0.45: a cluster, not a copy
+    pd.DataFrame({"vec_id": range(700), "embedding": list(v.astype("float32")), "label": 0}).to_parquet(tmp_path / "embeddings.parquet")
+    texts = [" ".join(f"w{x}" for x in r.integers(0, 10 ** 6, 40)) for _ in range(720)]
+    pd.DataFrame({"doc_id": range(720), "source": "s", "lang": "en", "text": texts}).to_parquet(tmp_path / "documents.parquet")
+    unit = v.astype("float32").astype(float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+
+    def firsts(ids, least):
+        out = []
+        for d in ids:
+            if not out or (unit[[o % 700 for o in out]] @ unit[d % 700]).max() < least:
+                out.append(d)
+        return out
+
+    kept = firsts(range(720), 0.5)
+    assert 500 < len(kept) < 620
+    got = {x.doc_id: x for x in QUERIES["dedup_given_all"](spark, str(tmp_path)).collect()}
+    assert len(got) == 720 and [d for d in sorted(got) if got[d].kept] == kept
+    story = {x.doc_id: x for x in QUERIES["story_given_all"](spark, str(tmp_path)).collect()}
+    assert [d for d in sorted(story) if story[d].is_new_cluster] == firsts(kept, 0.3)
