@@ -7,7 +7,9 @@ form the content clusters (Weninger et al., "CETR", 2010). The clusters choose
 the content element: the ``article`` or ``main`` with most cluster text, else the
 deepest element that holds ``SHARE`` of it. Every line inside it that is not
 marked as page furniture (element, role, or a word of its class or id) is text;
-short lines stay. Where only the body holds the clusters, lines before the
+short lines stay. A class or id word does not hide an element with most of the
+cluster text (unless an ``article`` or ``main`` outside it has some), nor anything inside ``pre``
+or ``code``; on an inline element it must be a whole class or id. Where only the body holds the clusters, lines before the
 first (its headings aside) and after the last cluster line go too.
 
 Row-local: no shuffle; memory is one page and its lines.
@@ -43,21 +45,25 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "subscription share sharing social related recommended comment comments disqus replies respond footer masthead "
                   "topbar toolbar pager pagination login signup hidden widget widgets skip alert toast copyright".split())
 HEADER_WORDS = frozenset(["header", "banner", "masthead"])
+WHOLE = frozenset(["hidden"])        # as a part of a class it says something else (overflow-hidden)
+CODE = frozenset(["pre", "code"])
 _WORD = re.compile(r"[a-z]+")
 
 
 class _Element:
-    __slots__ = ("name", "number", "parent", "noise", "content", "skip")
+    __slots__ = ("name", "number", "parent", "noise", "content", "skip", "code", "word", "fixed")
 
-    def __init__(self, name, number, parent, noise, content, skip):
+    def __init__(self, name, number, parent, noise, content, skip, code=False, word=False, fixed=False):
         self.name, self.number, self.parent, self.noise, self.content, self.skip = name, number, parent, noise, content, skip
+        self.code, self.word, self.fixed = code, word, fixed   # word: hidden by its class; fixed: hidden whatever the classes say
 
 
 class _Lines(HTMLParser):
     """Collects (text, tags, element, noise) per block line."""
 
-    def __init__(self):
+    def __init__(self, spared: frozenset[int] = frozenset()):
         super().__init__(convert_charrefs=True)
+        self.spared = spared
         root = _Element("", 0, None, "", False, False)
         self.elements, self.stack, self.open = [root], [root], Counter()
         self.lines: list[tuple[str, int, _Element]] = []
@@ -97,12 +103,19 @@ class _Lines(HTMLParser):
         noise, content = above.noise, above.content or tag in ("article", "main")
         values = {k: (v or "").lower() for k, v in attrs if k in ("class", "id", "role", "hidden", "aria-hidden")}
         content = content or values.get("role") == "main"
-        words = set(_WORD.findall(values.get("class", "") + " " + values.get("id", "")))
+        named = values.get("class", "") + " " + values.get("id", "")
+        code = above.code or tag in CODE
+        tokens = set(named.split())
+        words = tokens if tag in INLINE else (set(_WORD.findall(named)) - WHOLE) | (tokens & WHOLE)
+        if code or len(self.elements) in self.spared:
+            words = set()
+        plain = tag not in ("html", "body", "article", "main")
+        hard = plain and (tag in FURNITURE or values.get("role") in ROLES or "hidden" in values or values.get("aria-hidden") == "true")
+        word = bool(words & WORDS) and tag not in ("html", "body")
         if tag in ("article", "main") and noise == "form":
             noise = ""
-        if not noise and tag not in ("html", "body", "article", "main"):
-            if (tag in FURNITURE or values.get("role") in ROLES or words & WORDS or "hidden" in values
-                    or values.get("aria-hidden") == "true"):
+        if not noise and plain:
+            if hard or word:
                 noise = "furniture"
             elif tag == "form":
                 noise = "form"
@@ -113,7 +126,8 @@ class _Lines(HTMLParser):
         if (noise and not above.noise) or (above.noise and not noise):
             self._break()                      # furniture inside a line is a line of its own
         skip = above.skip or tag in ("script", "style", "template", "noscript", "svg")
-        made = _Element(tag, len(self.elements), above, noise, content, skip)
+        fixed = above.fixed or hard or noise in ("form", "header")
+        made = _Element(tag, len(self.elements), above, noise, content, skip, code, word, fixed and not (noise == "" and content))
         self.elements.append(made)
         self.stack.append(made)
         self.open[tag] += 1
@@ -147,6 +161,33 @@ def smoothed_ratios(chars: list[int], tags: list[int], sigma: float = SIGMA) ->
     return np.convolve(np.pad(ratio, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
+def _spared(parser: _Lines) -> frozenset[int]:
+    """Elements that a class word hides although they hold most of the cluster
+    text, and no article or main outside them has any."""
+    lines = parser.lines
+    if not any(e.word for e in parser.elements):
+        return frozenset()
+    open_ = [i for i, (_, _, e) in enumerate(lines) if not e.fixed]
+    if not open_:
+        return frozenset()
+    smooth = smoothed_ratios([len(t) for t, _, _ in lines], [n for _, n, _ in lines])
+    limit = min(smooth.std(), max(smooth[i] for i in open_))
+    mass, named = Counter(), Counter()        # cluster text, and that of it in an article or main
+    inside = [False] * len(parser.elements)
+    for e in parser.elements[1:]:
+        inside[e.number] = inside[e.parent.number] or (e.name in ("article", "main") and not e.word)
+    for i in open_:
+        if smooth[i] >= limit:
+            number = lines[i][2].number
+            mass[number] += len(lines[i][0])
+            named[number] += len(lines[i][0]) * inside[number]
+    for e in reversed(parser.elements[1:]):
+        mass[e.parent.number] += mass[e.number]
+        named[e.parent.number] += named[e.number]
+    return frozenset(e.number for e in parser.elements if e.word and 2 * mass[e.number] > mass[0] and (
+        named[e.number] == named[0] and (named[0] or not inside[e.number])))
+
+
 def main_text(html: str | None) -> str:
     """The page's main text, blocks joined by newlines; empty if none."""
     if not html:
@@ -154,6 +195,11 @@ def main_text(html: str | None) -> str:
     parser = _Lines()
     parser.feed(html)
     lines = parser.finish()
+    spared = _spared(parser)
+    if spared:
+        parser = _Lines(spared)
+        parser.feed(html)
+        lines = parser.finish()
     good = [i for i, (_, _, e) in enumerate(lines) if not e.noise]
     if not good:
         return ""

@@ -63,3 +63,15 @@ def test_rows(spark):
     assert sorted(map(tuple, HT.extract(df).collect()), key=str) == sorted(
         [(1, "u", "é😀", 2), (1, "u", "é😀", 2), (None, None, "", 0), (2, "v", "", 0)], key=str)
     assert HT.extract(df.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("html, text", [
+    ("<div class='overflow-hidden'><article><p>" + LONG + "</p></article></div>", LONG),
+    ("<nav>menu</nav><div class='elementor-widget-container'><p>a <b>b</b> " + LONG + "</p></div>", "a b " + LONG),
+    ("<div class='widget'><div class='widget-box'><main><p>" + LONG + "</p></main></div></div>", LONG),
+    ("<article><p>Its <span class='share-price'>price</span> rose. " + LONG + "</p></article>", "Its price rose. " + LONG),
+    ("<article><p>" + LONG + "</p><pre>x = 1 <span class='hljs-comment'># one</span> <i class='comment'># two</i></pre></article>",
+     LONG + "\nx = 1 # one # two"),
+    ("<article><p>" + LONG + "</p></article><div id='comments'>" + f"<p>{LONG}</p>" * 9 + "</div>", LONG)])
+def test_a_class_word_hides_no_content(html, text):
+    assert HT.main_text(html) == text
