@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import chat, decontam, host_rules, html_text, license_scan, lm_score, packing, pii, simhash_cover, token_counts
+from . import (chat, decontam, host_rules, html_text, license_scan, lm_score, merkle, packing, pii, simhash_cover,
+               token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -100,3 +101,9 @@ def op6(docs: DataFrame) -> DataFrame:
     """Licence of every document, as the file source/lang/doc_id.txt."""
     path = F.concat_ws("/", "source", "lang", F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
     return license_scan.scan(docs.select("doc_id", path.alias("path"), "text"), ("doc_id", "path"))
+
+
+@_query("op12_merkle_manifest", "documents", sql=merkle.PROOFS_SQL)
+def op12(docs: DataFrame) -> DataFrame:
+    """Merkle proof of every document, folded from its tampered leaf."""
+    return merkle.proofs(docs, merkle.tampered())
