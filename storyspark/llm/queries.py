@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import (chat, decontam, host_rules, html_text, license_scan, lm_score, merkle, packing, pii, simhash_cover,
-               token_counts)
+from . import (chat, decontam, host_rules, html_text, license_scan, lm_score, merkle, packing, phrases, pii,
+               simhash_cover, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -107,3 +107,9 @@ def op6(docs: DataFrame) -> DataFrame:
 def op12(docs: DataFrame) -> DataFrame:
     """Merkle proof of every document, folded from its tampered leaf."""
     return merkle.proofs(docs, merkle.tampered())
+
+
+@_query("op11_phrase_collocations", "documents", sql=phrases.COLLOCATIONS_SQL)
+def op11(docs: DataFrame) -> DataFrame:
+    """The first 2000 collocations of every language."""
+    return phrases.collocations(docs)
