@@ -6,12 +6,14 @@ are counted. The count of any shorter phrase is the sum over the windows it
 begins, so Spark's ROLLUP over (lang, w1, ..., w_LONGEST) gives the phrases of every
 length, the words and the words' total at once.
 
-Scale: windows are counted per batch in the scan and shuffled once, by their words but the
-last, so the sums below the last column need no further shuffle. Before
-the ROLLUP a window that cannot reach the minimum gives its count to the padded row
-of its longest prefix that does (its sums stay whole); what is rolled up, joined and
-ranked is therefore little more than the frequent phrases and the words. A frequent word
-or language is spread over the words that follow it; only counts move, never texts.
+In the sums words are 64-bit hashes; a table of all distinct words names them, and if two
+words of a corpus ever share a hash, other hashes are taken, so counts are exact.
+
+Scale: windows are counted per chunk of texts in the scan and shuffled once, by their words
+but the last, so the sums below the last column need no further shuffle. Before the ROLLUP the
+windows of a rare head become one row per shorter head (all sums stay whole); what is
+rolled up, joined and ranked is little more than the frequent phrases and the words. A
+frequent word or language is spread over the words that follow it; only counts move.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,7 +37,8 @@ TOP = 2000               # rows per language
 PPM = 1_000_000
 CHUNK_BYTES = 16 << 20   # of text counted at a time, but whole documents
 NO_LANG = "und"
-PAD = ""                 # no word is empty
+PAD = 0                  # where a window reaches beyond its piece; no word has this number
+HELD_WORDS = 1_000_000   # words a task remembers to have named
 
 _EDGE = b"\n"
 # fixed values: the characters that end a piece, and the two that separate words
@@ -78,71 +82,111 @@ def windows(texts: list[str], longest: int = LONGEST) -> tuple[pa.Array, np.ndar
     return words, out, n
 
 
-def window_counts(docs: DataFrame, longest: int = LONGEST) -> DataFrame:
-    """``(head, last, n)``: counts of padded windows, one row per language and window of
-    every chunk of texts. ``head`` is all words but the last and the language,
-    joined by spaces (no word holds one)."""
-    schema = pa.schema([("head", pa.string()), ("last", pa.string()), ("n", pa.int64())])
+def word_number(word: str, seed: int) -> int:
+    """Signed 64-bit hash of a word, never ``PAD``."""
+    h = xxhash.xxh64_intdigest(word.encode("utf-8"), seed) or 1
+    return h - (1 << 64) if h >> 63 else h
 
-    def counted(lang: str, texts: list[str]) -> Iterator[pa.RecordBatch]:
-        words, rows, n = windows(texts, longest)
-        words = pa.concat_arrays([words.cast(pa.string()), pa.array([PAD], pa.string())])
-        for at in range(0, len(n), 1 << 16):
-            some = rows[at:at + (1 << 16)]
-            columns = [words.take(pa.array(np.where(c < 0, len(words) - 1, c))) for c in some.T]
-            head = pc.binary_join_element_wise(*columns[:-1], pa.scalar(lang, pa.string()), " ")
-            yield pa.RecordBatch.from_arrays([head, columns[-1], pa.array(n[at:at + (1 << 16)])], schema=schema)
+
+def _chunks(batches: Iterator[pa.RecordBatch], key: str | None = None) -> Iterator[tuple[int, list[str]]]:
+    """(key, texts) of about CHUNK_BYTES together for all keys, whole texts."""
+    held: dict[int, list[str]] = {}
+    size = 0
+    for batch in batches:
+        texts = batch.column("text").to_pylist()
+        for k, text in zip(batch.column(key).to_pylist() if key else [0] * len(texts), texts):
+            held.setdefault(k, []).append(text)
+            size += len(text)
+            if size >= CHUNK_BYTES:
+                yield from held.items()
+                held, size = {}, 0
+    yield from held.items()
+
+
+def _with_lang(docs: DataFrame, seed: int) -> DataFrame:
+    lang = F.coalesce("lang", F.lit(NO_LANG))
+    return docs.select(lang.alias("name"), F.xxhash64(F.lit(seed), lang).alias("lang"), "text")
+
+
+def names(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
+    """``(id, word)`` of all distinct words and ``(lang, name)`` of all languages."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[str] = set()
+        for _, texts in _chunks(batches):
+            _, words = _tokens(texts)
+            new = [w for w in words.to_pylist() if w not in done and w not in ("", "\n")]
+            for at in range(0, len(new), 1 << 16):
+                some = new[at:at + (1 << 16)]
+                yield pa.RecordBatch.from_arrays([pa.array([word_number(w, seed) for w in some], pa.int64()), pa.array(some, pa.string())], ["id", "word"])
+            done = set() if len(done) > HELD_WORDS else done
+            done.update(new)
+
+    words = docs.select("text").where("text is not null").mapInArrow(run, "id long, word string").distinct()
+    return cut_lineage(words), cut_lineage(_with_lang(docs, seed).select("lang", "name").distinct())
+
+
+def _ambiguous(table: DataFrame, number: str) -> bool:
+    """Does one number stand for two names?"""
+    rows, numbers = table.agg(F.count("*"), F.count_distinct(number)).first()
+    return rows != numbers
+
+
+def window_counts(docs: DataFrame, seed: int, longest: int = LONGEST) -> DataFrame:
+    """``(lang, w1, ..., w_longest, n)``, all long: counts of padded windows, one row per
+    language and window of every chunk of texts."""
+    columns = ["lang", *[f"w{k + 1}" for k in range(longest)], "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list[str]] = {}
-        size = 0
-        for batch in batches:
-            for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
-                held.setdefault(lang, []).append(text)
-                size += len(text)
-                if size >= CHUNK_BYTES:
-                    for k, texts in held.items():
-                        yield from counted(k, texts)
-                    held, size = {}, 0
-        for k, texts in held.items():
-            yield from counted(k, texts)
-
-    source = docs.select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), "text").where("text is not null")
-    return source.mapInArrow(run, "head string, last string, n long")
+        for lang, texts in _chunks(batches, "lang"):
+            words, rows, n = windows(texts, longest)
+            number = np.array([word_number(w, seed) for w in words.to_pylist()] + [PAD], np.int64)
+            for at in range(0, len(n), 1 << 16):
+                some = number[rows[at:at + (1 << 16)]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), lang, np.int64)), *[pa.array(c) for c in some.T],
+                                                  pa.array(n[at:at + (1 << 16)])], columns)
+
+    return _with_lang(docs, seed).where("text is not null").select("lang", "text").mapInArrow(
+        run, ", ".join(f"{c} long" for c in columns))
 
 
 def _folded(counts: DataFrame, least: int, longest: int) -> DataFrame:
     """``(lang, w1, ..., w_longest, n)`` with the same sums over every prefix: windows
-    of a head met fewer than ``least`` times are one row per shorter head, those of
-    a frequent head one padded row beside its frequent windows (which are taken off it)."""
+    of a head (all words but the last) met fewer than ``least`` times are one row per
+    shorter head, those of a frequent head one padded row beside its frequent windows
+    (which are taken off it)."""
     words = [f"w{k + 1}" for k in range(longest)]
-    dealt = counts.repartition("head")              # both sums below use this shuffle
-    part = F.split("head", " ", longest)
-    heads = [F.element_at(part, k + 1).alias(w) for k, w in enumerate(words[:-1])]
-    lang = F.element_at(part, longest).alias("lang")
-    kept = dealt.groupBy("head", "last").agg(F.sum("n").alias("n")).where((F.col("n") >= least) & (F.col("last") != PAD))
-    full = kept.select(lang, *heads, F.col("last").alias(words[-1]), "n")
-    off = kept.select(lang, *heads, F.lit(PAD).alias(words[-1]), (-F.col("n")).alias("n"))
-    whole = dealt.groupBy("head").agg(F.sum("n").alias("n")).select(lang, *heads, F.lit(PAD).alias(words[-1]), "n")
+    head, pad = ["lang", *words[:-1]], F.lit(PAD).cast("long")
+    dealt = counts.repartition(*head)               # both sums below use this shuffle
+    kept = (dealt.groupBy(*head, words[-1]).agg(F.sum("n").alias("n"))
+            .where((F.col("n") >= least) & (F.col(words[-1]) != PAD)))
+    off = kept.withColumn(words[-1], pad).withColumn("n", -F.col("n"))
+    whole = dealt.groupBy(*head).agg(F.sum("n").alias("n")).select(*head, pad.alias(words[-1]), "n")
     if longest == 2:                                # a head is one word, which always stays
-        return full.unionByName(off).unionByName(whole)
-    rare = (whole.where(F.col("n") < least).groupBy("lang", *words[:-2]).agg(F.sum("n").alias("n"))
-            .select("lang", *words[:-2], *[F.lit(PAD).alias(w) for w in words[-2:]], "n"))
-    return full.unionByName(off).unionByName(whole.where(F.col("n") >= least)).unionByName(rare)
+        return kept.unionByName(off).unionByName(whole)
+    rare = (whole.where(F.col("n") < least).groupBy(*head[:-1]).agg(F.sum("n").alias("n"))
+            .select(*head[:-1], *[pad.alias(w) for w in words[-2:]], "n"))
+    return kept.unionByName(off).unionByName(whole.where(F.col("n") >= least)).unionByName(rare)
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
-    """``(lang, size, phrase, n)``: counts of all words (size 1), of the phrases of 2 to
-    ``longest`` words met ``least`` times, and of all word occurrences (size 0,
-    an empty phrase) per language."""
+    """``(lang, size, phrase, n)``: counts of the phrases of 1 to ``longest`` words met
+    ``least`` times, and of all word occurrences (size 0, an empty phrase), per language."""
+    seed = 0
+    word_names, lang_names = names(docs, seed)
+    while _ambiguous(word_names, "id") or _ambiguous(lang_names, "lang"):
+        seed += 1
+        word_names, lang_names = names(docs, seed)
     words = [f"w{k + 1}" for k in range(longest)]
-    sums = (_folded(window_counts(docs, longest), least, longest)
+    sums = (_folded(window_counts(docs, seed, longest), least, longest)
             .rollup("lang", *words).agg(F.sum("n").alias("n"), F.grouping_id().alias("gid")))
     # grouping_id has a bit for every column that is summed over
     sized = sums.where(F.col("gid") < (1 << longest)).withColumn("size", (F.lit(longest) - F.bit_count("gid")).cast("int"))
     whole = F.forall(F.slice(F.array(*words), F.lit(1), F.col("size")), lambda w: w != PAD)
-    return cut_lineage(sized.where(whole & ((F.col("size") < 2) | (F.col("n") >= least))).select(
-        "lang", "size", F.concat_ws(" ", *words).alias("phrase"), "n"))
+    out = cut_lineage(sized.where(whole & ((F.col("size") < 1) | (F.col("n") >= least))).select("lang", "size", *words, "n"))
+    for w in words:
+        out = out.join(word_names.select(F.col("id").alias(w), F.col("word").alias(f"{w}_name")), w, "left")
+    return cut_lineage(out.join(lang_names, "lang").select(
+        F.col("name").alias("lang"), "size", F.concat_ws(" ", *[f"{w}_name" for w in words]).alias("phrase"), "n"))
 
 
 def _part(words: str, first: Column, size: Column) -> Column:

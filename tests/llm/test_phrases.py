@@ -73,13 +73,13 @@ def test_chunks_do_not_matter():
     texts = [t or "" for t, _ in corpus(5)]
     count = Counter()
     words, rows, n = P.windows(texts)
-    name = words.to_pylist() + [P.PAD]
+    name = words.to_pylist() + [""]
     for row, k in zip(rows.tolist(), n.tolist()):
         count[tuple(name[i] for i in row)] += k
     one = Counter()
     for t in texts:
         words, rows, n = P.windows([t])
-        name = words.to_pylist() + [P.PAD]
+        name = words.to_pylist() + [""]
         for row, k in zip(rows.tolist(), n.tolist()):
             one[tuple(name[i] for i in row)] += k
     assert count == one
@@ -92,3 +92,15 @@ def test_scores_beyond_64_bits(spark):
         f"cast({big} as decimal(15,0)) * cast({big} as decimal(15,0)) * cast(1000000 as decimal(7,0)) div "
         f"(cast({big} as decimal(15,0)) * cast({big + 1} as decimal(15,0))) as s").first()
     assert row.s == 10 ** 6 * big * big // (big * (big + 1))
+
+
+def test_shared_hashes_are_seen(spark, monkeypatch):
+    rows = corpus(8)
+    docs = spark.createDataFrame([(i, t, lang, "x", "y", 1) for i, (t, lang) in enumerate(rows)], SCHEMA)
+    words, langs = P.names(docs, 0)
+    assert not P._ambiguous(words, "id") and not P._ambiguous(langs, "lang")
+    assert P._ambiguous(words.withColumn("id", words["id"] % 7), "id")
+    asked = []
+    monkeypatch.setattr(P, "_ambiguous", lambda table, number: len(asked) < 2 and not asked.append(number))
+    assert got(spark, rows, least=3) == plain(rows, 3, 3, 2000)      # other hashes, same phrases
+    assert len(asked) == 2
