@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir, ship_package
 from ..sources.tables import read_table
-from . import (chat, decontam, host_rules, html_text, license_scan, lm_score, merkle, packing, phrases, pii,
-               simhash_cover, token_counts)
+from . import (chat, decontam, host_rules, html_text, license_scan, lm_score, merkle, packing, passages, phrases,
+               pii, simhash_cover, token_counts)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -113,3 +113,10 @@ def op12(docs: DataFrame) -> DataFrame:
 def op11(docs: DataFrame) -> DataFrame:
     """The first 2000 collocations of every language."""
     return phrases.collocations(docs)
+
+
+@_query("op13_repeated_passages", "documents")
+def op13(docs: DataFrame) -> DataFrame:
+    """Words that stay of every document when passages of earlier documents go."""
+    return passages.without_repeats(docs).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
