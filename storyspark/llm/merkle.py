@@ -3,14 +3,14 @@ one tree over their roots, and a proof for every row.
 
 Rows get their places by a range shuffle and the row counts of its partitions, so no
 task sorts a whole language. Levels are built in aligned blocks of ``2 ** BLOCK``
-nodes, one task per block, and stored as node rows. A node row links to its
-ancestor at the next level that ``STRIDE`` divides (or at the end of its tree)
-and holds the siblings on that way.
+nodes, one task per block, and stored as node rows. A node row links to its parent and holds its
+sibling; at every ``STRIDE``-th level it links to the ancestor ``STRIDE`` levels up
+(or at the end of its tree) and holds the siblings on that way.
 
 Proofs come from a recursive Spark query: the leaves are its anchor; every step joins
 the rows it has reached with the stored nodes above, appends their siblings and folds the
-claimed hash with them. The nodes a step reads are a sixteenth of the leaves and
-a query of depth d takes d / STRIDE steps.
+claimed hash with them. A step reads the nodes of every ``STRIDE``-th level only, a 4096th of the
+leaves, and Spark writes the rows of every step once, so few long steps move least.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 BLOCK = 12               # levels built by one task; a block has 2 ** BLOCK nodes at most
-STRIDE = 4               # levels climbed by one step; divides BLOCK
+STRIDE = 12              # levels climbed by one step; divides BLOCK
 TASK_BLOCKS = 8          # blocks a task builds one after another, on average
 COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 TOP = -1                 # number of the tree over the partitions' roots
@@ -113,7 +113,7 @@ def _block(level: int):
             if at == level + BLOCK < height:
                 out += [(tree, n, at, first >> k, bytes.fromhex(row[0]), None, None, None, None, None, None)]
                 break
-            steps = min(STRIDE - at % STRIDE, height - at)
+            steps = min(1 if at % STRIDE else STRIDE, height - at)
             for i, h in enumerate(row):
                 path = []
                 for t in range(steps):
@@ -190,8 +190,17 @@ def climb(nodes: DataFrame) -> DataFrame:
     leaf's ``claim`` folded up to the root, and the siblings met, bytes joined in
     order. The recursive query runs here; its rows are written once."""
     spark = nodes.sparkSession
-    ground = nodes.where(f"tree <> {TOP} and level = 0")
-    above = cut_lineage(nodes.where(f"(tree = {TOP} or level > 0) and level % {STRIDE} = 0").select(
+    # the last step in a part's tree goes on to the first one above, so that is no step of its own
+    on = nodes.where(f"tree = {TOP} and level = 0").select(
+        F.lit(TOP).cast("long").alias("t0"), F.lit(0).alias("l0"), F.col("pos").alias("p0"),
+        *[F.col(c).alias(f"{c}_on") for c in ("path", "up_tree", "up_level", "up_pos")])
+    ends = (F.col("up_tree") == F.col("t0")) & (F.col("up_level") == F.col("l0")) & (F.col("up_pos") == F.col("p0"))
+    links = [F.when(F.col("t0").isNull(), F.col(c)).otherwise(F.col(f"{c}_on")).alias(c) for c in ("up_tree", "up_level", "up_pos")]
+    path = F.when(F.col("t0").isNull(), F.col("path")).otherwise(F.concat("path", "path_on")).alias("path")
+    stations = (nodes.where(f"tree <> {TOP} or level > 0").where(f"level % {STRIDE} = 0").join(on, ends, "left")
+                .select("tree", "level", "pos", "hash", "doc_id", "claim", *links, path))
+    ground = stations.where("level = 0")
+    above = cut_lineage(stations.where("level > 0").select(
         "tree", "level", "pos", "up_tree", "up_level", "up_pos", "path", F.expr(_SIBS).alias("sibs")))
     with _unlimited_recursion(spark):
         return cut_lineage(spark.sql(f"""

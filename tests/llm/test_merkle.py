@@ -92,7 +92,7 @@ def test_nodes_link_to_the_root(spark):
                 h = M._up(h, None if p.sib is None else p.sib.hex(), p.before)
             assert h == above.hash.hex()
             r = above
-        assert r.tree == M.TOP and steps <= 5
+        assert r.tree == M.TOP and steps <= 12
 
 
 def test_recursion_limits_are_put_back(spark):
