@@ -9,11 +9,11 @@ length, the words and the words' total at once.
 In the sums words are 64-bit hashes; a table of all distinct words names them, and if two
 words of a corpus ever share a hash, other hashes are taken, so counts are exact.
 
-Scale: windows are counted per chunk of texts in the scan and shuffled once, by their words
-but the last, so the sums below the last column need no further shuffle. Before the ROLLUP the
-windows of a rare head become one row per shorter head (all sums stay whole); what is
-rolled up, joined and ranked is little more than the frequent phrases and the words. A
-frequent word or language is spread over the words that follow it; only counts move.
+Scale: windows are counted per chunk of texts and travel packed, by hash of
+their head (all words but the last), so the task of a bucket has all windows of its heads
+and sums both. Windows of rare heads leave it as one row per shorter head (all sums stay
+whole); what is rolled up, joined and ranked is little more than the frequent phrases and the
+words. A frequent word or language is spread over the words that follow it.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -36,6 +37,7 @@ INSIDE_PCT = 50          # a longer candidate with this share of a phrase's coun
 TOP = 2000               # rows per language
 PPM = 1_000_000
 CHUNK_BYTES = 16 << 20   # of text counted at a time, but whole documents
+BUCKET_BYTES = 16 << 20  # of text whose windows meet in one bucket, on average
 NO_LANG = "und"
 PAD = 0                  # where a window reaches beyond its piece; no word has this number
 HELD_WORDS = 1_000_000   # words a task remembers to have named
@@ -108,76 +110,173 @@ def _with_lang(docs: DataFrame, seed: int) -> DataFrame:
     return docs.select(lang.alias("name"), F.xxhash64(F.lit(seed), lang).alias("lang"), "text")
 
 
-def names(docs: DataFrame, seed: int) -> tuple[DataFrame, DataFrame]:
-    """``(id, word)`` of all distinct words and ``(lang, name)`` of all languages."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: set[str] = set()
-        for _, texts in _chunks(batches):
-            _, words = _tokens(texts)
-            new = [w for w in words.to_pylist() if w not in done and w not in ("", "\n")]
-            for at in range(0, len(new), 1 << 16):
-                some = new[at:at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays([pa.array([word_number(w, seed) for w in some], pa.int64()), pa.array(some, pa.string())], ["id", "word"])
-            done = set() if len(done) > HELD_WORDS else done
-            done.update(new)
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-    words = docs.select("text").where("text is not null").mapInArrow(run, "id long, word string").distinct()
-    return cut_lineage(words), cut_lineage(_with_lang(docs, seed).select("lang", "name").distinct())
 
+def _mixed(columns: list[np.ndarray]) -> np.ndarray:
+    """A 64-bit hash of each row of some 64-bit columns."""
+    h = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        h = (h ^ (h >> np.uint64(29))) * _STEP + c.astype(np.int64).view(np.uint64)
+    h = (h ^ (h >> np.uint64(31))) * _MIX
+    return h ^ (h >> np.uint64(29))
 
-def _ambiguous(table: DataFrame, number: str) -> bool:
-    """Does one number stand for two names?"""
-    rows, numbers = table.agg(F.count("*"), F.count_distinct(number)).first()
-    return rows != numbers
 
+def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
+    return ((h >> np.uint64(40)) * np.uint64(buckets) >> np.uint64(24)).astype(np.int32)
 
-def window_counts(docs: DataFrame, seed: int, longest: int = LONGEST) -> DataFrame:
-    """``(lang, w1, ..., w_longest, n)``, all long: counts of padded windows, one row per
-    language and window of every chunk of texts."""
-    columns = ["lang", *[f"w{k + 1}" for k in range(longest)], "n"]
 
+def _planes(c: np.ndarray) -> bytes:
+    """32-bit numbers byte by byte, which packs better."""
+    return c.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _packed(lang: int, number: np.ndarray, rows: np.ndarray, n: np.ndarray) -> bytes:
+    """Windows (rows of places in ``number``, sorted) and their counts, with the numbers they use."""
+    used, place = np.unique(rows, return_inverse=True)
+    place = place.reshape(rows.shape).T.copy()
+    place[0, 1:] -= place[0, :-1].copy()
+    head = np.array([lang, len(used), len(n)], "<i8").tobytes()
+    return head + zstandard.compress(number[used].tobytes() + b"".join(map(_planes, place)) + n.astype("<i8").tobytes(), 1)
+
+
+def _unpacked(blob: bytes, longest: int) -> tuple[int, np.ndarray, list[np.ndarray], np.ndarray]:
+    """(lang, numbers, places in them for each column, counts)."""
+    lang, used, size = np.frombuffer(blob, "<i8", 3).tolist()
+    raw = zstandard.decompress(blob[24:])
+    planes = np.frombuffer(raw, np.uint8, 4 * longest * size, 8 * used).reshape(longest, 4, size)
+    place = [np.ascontiguousarray(c.T).view("<i4").ravel() for c in planes]
+    place[0] = np.cumsum(place[0], dtype=np.int32)
+    return lang, np.frombuffer(raw, "<i8", used), place, np.frombuffer(raw, "<i8", size, 8 * used + 4 * longest * size)
+
+
+def _bucketed(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places of its keys in order) of each bucket that has some."""
+    bucket = _bucket(keys, buckets)
+    order = np.argsort(bucket, kind="stable")
+    at = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    for b in range(buckets):
+        if at[b] < at[b + 1]:
+            yield b, order[at[b]:at[b + 1]]
+
+
+_PACKED = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+
+
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [(), ()]
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _PACKED)], schema=_PACKED)
+
+
+def bucket_count(docs: DataFrame) -> int:
+    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    return max(1, -(-total // BUCKET_BYTES))
+
+
+def window_counts(docs: DataFrame, seed: int, buckets: int, longest: int = LONGEST) -> DataFrame:
+    """``(bucket, data)``: counts of the padded windows of every chunk of texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, texts in _chunks(batches, "lang"):
             words, rows, n = windows(texts, longest)
-            number = np.array([word_number(w, seed) for w in words.to_pylist()] + [PAD], np.int64)
-            for at in range(0, len(n), 1 << 16):
-                some = number[rows[at:at + (1 << 16)]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), lang, np.int64)), *[pa.array(c) for c in some.T],
-                                                  pa.array(n[at:at + (1 << 16)])], columns)
+            if len(n):
+                number = np.array([word_number(w, seed) for w in words.to_pylist()] + [PAD], np.int64)
+                head = _mixed([np.full(len(n), lang), *[number[c] for c in rows.T[:-1]]])
+                yield _batch([(b, _packed(lang, number, rows[at], n[at])) for b, at in _bucketed(head, buckets)])
+
+    return _with_lang(docs, seed).where("text is not null").select("lang", "text").mapInArrow(run, "bucket int, data binary")
+
+
+def names(docs: DataFrame, buckets: int, seed: int) -> DataFrame:
+    """``(id, word)`` of all distinct words."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        named: set[str] = set()
+        for _, texts in _chunks(batches):
+            _, words = _tokens(texts)
+            new = [w for w in words.to_pylist() if w not in named and w not in ("", "\n")]
+            if new:
+                number = np.array([word_number(w, seed) for w in new], np.int64)
+                yield _batch([(b, zstandard.compress("\n".join([new[i] for i in at.tolist()]).encode(), 1)) for b, at in _bucketed(_mixed([number]), buckets)])
+            named = set() if len(named) > HELD_WORDS else named
+            named.update(new)
+
+    def distinct(table: pa.Table) -> pa.Table:
+        words = sorted({w for blob in table.column("data").to_pylist() for w in zstandard.decompress(blob).decode().split("\n")})
+        return pa.Table.from_arrays([pa.array([word_number(w, seed) for w in words], pa.int64()), pa.array(words, pa.string())], ["id", "word"])
 
-    return _with_lang(docs, seed).where("text is not null").select("lang", "text").mapInArrow(
-        run, ", ".join(f"{c} long" for c in columns))
+    sent = docs.select("text").where("text is not null").mapInArrow(run, "bucket int, data binary").repartition(buckets, "bucket")
+    return cut_lineage(sent.groupBy("bucket").applyInArrow(distinct, "id long, word string"))
 
 
-def _folded(counts: DataFrame, least: int, longest: int) -> DataFrame:
-    """``(lang, w1, ..., w_longest, n)`` with the same sums over every prefix: windows
-    of a head (all words but the last) met fewer than ``least`` times are one row per
+def _ambiguous(table: DataFrame, number: str) -> bool:
+    """Does one number stand for two names?"""
+    rows, numbers = table.agg(F.count("*"), F.count_distinct(number)).first()
+    return rows != numbers
+
+
+def _summed(columns: list[np.ndarray], n: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns and the sums of their counts."""
+    if not len(n):
+        return columns, n
+    h = _mixed(columns)
+    order = np.argsort(h)
+    columns = [c[order] for c in columns]
+    new = np.any([np.diff(c) != 0 for c in columns], axis=0)
+    if (new & (np.diff(h[order]) == 0)).any():           # rows that share a hash may lie mixed
+        again = np.lexsort(columns)
+        order, columns = order[again], [c[again] for c in columns]
+        new = np.any([np.diff(c) != 0 for c in columns], axis=0)
+    first = np.concatenate([[0], np.flatnonzero(new) + 1])
+    return [c[first] for c in columns], np.add.reduceat(n[order], first)
+
+
+def _folded(least: int, longest: int):
+    """The packed windows of a bucket -> rows ``(lang, w1, ..., w_longest, n)`` with the same
+    sums over every prefix: windows of a head met fewer than ``least`` times are one row per
     shorter head, those of a frequent head one padded row beside its frequent windows
     (which are taken off it)."""
-    words = [f"w{k + 1}" for k in range(longest)]
-    head, pad = ["lang", *words[:-1]], F.lit(PAD).cast("long")
-    dealt = counts.repartition(*head)               # both sums below use this shuffle
-    kept = (dealt.groupBy(*head, words[-1]).agg(F.sum("n").alias("n"))
-            .where((F.col("n") >= least) & (F.col(words[-1]) != PAD)))
-    off = kept.withColumn(words[-1], pad).withColumn("n", -F.col("n"))
-    whole = dealt.groupBy(*head).agg(F.sum("n").alias("n")).select(*head, pad.alias(words[-1]), "n")
-    if longest == 2:                                # a head is one word, which always stays
-        return kept.unionByName(off).unionByName(whole)
-    rare = (whole.where(F.col("n") < least).groupBy(*head[:-1]).agg(F.sum("n").alias("n"))
-            .select(*head[:-1], *[pad.alias(w) for w in words[-2:]], "n"))
-    return kept.unionByName(off).unionByName(whole.where(F.col("n") >= least)).unionByName(rare)
+    columns = ["lang", *[f"w{k + 1}" for k in range(longest)], "n"]
+
+    def run(table: pa.Table) -> pa.Table:
+        parts = [_unpacked(b, longest) for b in table.column("data").to_pylist()]
+        # 32-bit places in the bucket's own tables of languages and words, until the end
+        langs, number = np.unique([p[0] for p in parts]), np.unique(np.concatenate([[PAD], *[p[1] for p in parts]]))
+        rows = [np.concatenate([np.full(len(p[3]), np.searchsorted(langs, p[0]), np.int32) for p in parts])]
+        own = [np.searchsorted(number, p[1]).astype(np.int32) for p in parts]
+        rows += [np.concatenate([t[p[2][k]] for t, p in zip(own, parts)]) for k in range(longest)]
+        n = np.concatenate([p[3] for p in parts])
+        del parts, own
+        pad = int(np.searchsorted(number, PAD))
+        rows, n = _summed(rows, n)
+        heads, all_n = _summed(rows[:-1], n)
+        big = (n >= least) & (rows[-1] != pad)
+        kept, kept_n = [c[big] for c in rows], n[big]
+        pads = lambda k: np.full(k, pad, np.int32)
+        out = [(kept, kept_n), ([*kept[:-1], pads(len(kept_n))], -kept_n)]
+        often = (all_n >= least) | (longest == 2)        # a head of one word always stays
+        out.append(([*[c[often] for c in heads], pads(often.sum())], all_n[often]))
+        if longest > 2:
+            short, short_n = _summed([c[~often] for c in heads[:-1]], all_n[~often])
+            out.append(([*short, pads(len(short_n)), pads(len(short_n))], short_n))
+        names_of = [langs, *[number] * longest]
+        return pa.Table.from_arrays([*[pa.array(t[np.concatenate([o[0][k] for o in out])]) for k, t in enumerate(names_of)],
+                                     pa.array(np.concatenate([o[1] for o in out]))], columns)
+    return run
 
 
 def phrase_counts(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """``(lang, size, phrase, n)``: counts of the phrases of 1 to ``longest`` words met
     ``least`` times, and of all word occurrences (size 0, an empty phrase), per language."""
-    seed = 0
-    word_names, lang_names = names(docs, seed)
-    while _ambiguous(word_names, "id") or _ambiguous(lang_names, "lang"):
+    seed, buckets = 0, bucket_count(docs)
+    while True:
+        word_names = names(docs, buckets, seed)
+        lang_names = cut_lineage(_with_lang(docs, seed).select("lang", "name").distinct())
+        if not _ambiguous(word_names, "id") and not _ambiguous(lang_names, "lang"):
+            break
         seed += 1
-        word_names, lang_names = names(docs, seed)
     words = [f"w{k + 1}" for k in range(longest)]
-    sums = (_folded(window_counts(docs, seed, longest), least, longest)
+    ddl = ", ".join(f"{c} long" for c in ["lang", *words, "n"])
+    dealt = window_counts(docs, seed, buckets, longest).repartition(buckets, "bucket")
+    sums = (dealt.groupBy("bucket").applyInArrow(_folded(least, longest), ddl)
             .rollup("lang", *words).agg(F.sum("n").alias("n"), F.grouping_id().alias("gid")))
     # grouping_id has a bit for every column that is summed over
     sized = sums.where(F.col("gid") < (1 << longest)).withColumn("size", (F.lit(longest) - F.bit_count("gid")).cast("int"))

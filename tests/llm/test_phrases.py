@@ -97,10 +97,27 @@ def test_scores_beyond_64_bits(spark):
 def test_shared_hashes_are_seen(spark, monkeypatch):
     rows = corpus(8)
     docs = spark.createDataFrame([(i, t, lang, "x", "y", 1) for i, (t, lang) in enumerate(rows)], SCHEMA)
-    words, langs = P.names(docs, 0)
-    assert not P._ambiguous(words, "id") and not P._ambiguous(langs, "lang")
+    words = P.names(docs, 3, 0)
+    assert not P._ambiguous(words, "id")
     assert P._ambiguous(words.withColumn("id", words["id"] % 7), "id")
     asked = []
     monkeypatch.setattr(P, "_ambiguous", lambda table, number: len(asked) < 2 and not asked.append(number))
     assert got(spark, rows, least=3) == plain(rows, 3, 3, 2000)      # other hashes, same phrases
     assert len(asked) == 2
+
+
+def test_sums_of_rows_that_share_a_hash(monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(P, "_mixed", lambda columns: np.zeros(len(columns[0]), np.uint64))
+    columns, n = P._summed([np.array([1, 2, 1, 2, 1]), np.array([5, 5, 5, 6, 5])], np.array([1, 2, 3, 4, 5]))
+    assert sorted(zip(*[c.tolist() for c in columns], n.tolist())) == [(1, 5, 9), (2, 5, 2), (2, 6, 4)]
+
+
+def test_packed_windows_round_trip():
+    import numpy as np
+    words, rows, n = P.windows([t or "" for t, _ in corpus(9)])
+    number = np.array([P.word_number(w, 3) for w in words.to_pylist()] + [P.PAD], np.int64)
+    lang, own, place, back = P._unpacked(P._packed(-7, number, rows, n), 3)
+    assert lang == -7 and (back == n).all()
+    for k in range(3):
+        assert (own[place[k]] == number[rows[:, k]]).all()
