@@ -331,14 +331,17 @@ def score(docs: DataFrame) -> DataFrame:
     """``(doc_id, n_words, log_prob, mean_log_prob)``, one row per input row,
     under a network trained on the same documents.
 
-    A null or empty text has no words, log_prob 0 and a null mean. Repeated
-    rows score alike; other columns are ignored; an empty table gives no rows
-    (and trains nothing)."""
+    A null or empty text has no words, log_prob 0 and a null mean. Equal texts
+    score alike: a product of floats depends on its rows' places in a block, so all
+    copies of a text (by its MD5) get the smallest of their sums. Other columns are ignored; an
+    empty table gives no rows (and trains nothing). The parameters depend on how the rows
+    are dealt to partitions: each partition descends in its own order before the
+    averages, so scores of two differently split runs differ slightly."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     frequent, flat, shares = train(docs)
     shared = docs.sparkSession.sparkContext.broadcast((frequent, flat))
-    columns = ["row", "word", "times", "doc_id", "n_words", "network"]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64()]
+    columns = ["row", "word", "times", "doc_id", "n_words", "network", "text_key"]
+    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat = shared.value
@@ -346,11 +349,12 @@ def score(docs: DataFrame) -> DataFrame:
         known, row = frozenset(words), TaskContext.get().partitionId() << 40
         for batch in batches:
             texts, out = batch.column("text").to_pylist(), [[] for _ in columns]
-            for doc_id, text, (n, x) in zip(batch.column("doc_id").to_pylist(), texts, score_texts(texts, vocab, p)):
+            keys = batch.column("text_key").to_pylist()
+            for doc_id, text, key, (n, x) in zip(batch.column("doc_id").to_pylist(), texts, keys, score_texts(texts, vocab, p)):
                 rare = Counter(w for w in words_of(text) if w not in known)
                 # the document's own row goes through the join under a key that is no word
                 for col, values in zip(out, ([row] * (len(rare) + 1), [f" {row}", *rare], [0, *rare.values()], [doc_id] + [None] * len(rare),
-                                             [n] + [None] * len(rare), [x] + [None] * len(rare))):
+                                             [n] + [None] * len(rare), [x] + [None] * len(rare), [key] + [None] * len(rare))):
                     col += values
                 row += 1
                 if len(out[0]) >= EMITTED:
@@ -358,8 +362,11 @@ def score(docs: DataFrame) -> DataFrame:
                     out = [[] for _ in columns]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], columns)
 
-    rows = docs.mapInArrow(run, "row long, word string, times int, doc_id long, n_words long, network double")
-    return (rows.join(shares, "word", "left").groupBy("row")
-            .agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-                 (F.max("network") + F.coalesce(F.sum(F.col("times") * F.col("share")), F.lit(0)) / FIXED).alias("log_prob"))
+    keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))
+    rows = keyed.mapInArrow(run, "row long, word string, times int, doc_id long, n_words long, network double, text_key string")
+    sums = cut_lineage(rows.join(shares, "word", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("text_key").alias("text_key"),
+        F.max("network").alias("network"), F.coalesce(F.sum(F.col("times") * F.col("share")), F.lit(0)).alias("rare")))
+    alike = sums.groupBy("text_key").agg(F.min("network").alias("of_all"))
+    return (sums.join(alike, "text_key").withColumn("log_prob", F.col("of_all") + F.col("rare") / FIXED)
             .select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob")))
