@@ -4,12 +4,14 @@ The standard library's parser streams tags and data; they become lines, one
 per block element, each with its characters and tags. The text-to-tag ratios of
 the lines are smoothed with a Gaussian; lines at or above the standard deviation
 form the content clusters (Weninger et al., "CETR", 2010). The clusters choose
-the content element: the ``article`` or ``main`` with most cluster text, else the
-deepest element that holds ``SHARE`` of it. Every line inside it that is not
-marked as page furniture (element, role, or a word of its class or id) is text;
-short lines stay. A class or id word does not hide an element with most of the
-cluster text (unless an ``article`` or ``main`` outside it has some), nor anything inside ``pre``
-or ``code``; on an inline element it must be a whole class or id. Where only the body holds the clusters, lines before the
+the content: the ``article`` or ``main`` with most cluster text and those beside it (of the same
+parent) that have some too, else the deepest element that holds ``SHARE`` of it. Every
+line inside it that is not marked as page furniture (element, role, or a class or id) is
+text; short lines stay. A class or id marks furniture if all its parts are furniture
+words or words for boxes, and one is a furniture word (``share-buttons``, not
+``share-price``); on an inline element it must be one word. It does not hide an element with
+most of the cluster text (unless an ``article`` or ``main`` outside it has some), nor anything inside
+``pre`` or ``code``. Where only the body holds the clusters, lines before the
 first (its headings aside) and after the last cluster line go too.
 
 Row-local: no shuffle; memory is one page and its lines.
@@ -46,10 +48,25 @@ WORDS = frozenset("ad ads advert adverts advertisement advertising sponsor spons
                   "topbar toolbar pager pagination login signup hidden widget widgets skip alert toast copyright".split())
 HEADER_WORDS = frozenset(["header", "banner", "masthead"])
 WHOLE = frozenset(["hidden"])        # as a part of a class it says something else (overflow-hidden)
+BOXES = frozenset("area bar block bottom box button buttons center col column container content group header holder icon icons inner item "
+                  "items left line link links list nav outer panel post posts right row section side site strip text title top "
+                  "unit wrap wrapper".split())
 CODE = frozenset(["pre", "code"])
 _WORD = re.compile(r"[a-z]+")
 
 
+def _marks(tokens: set[str]) -> set[str]:
+    """The furniture and header words of the classes and ids that mark furniture by all their parts."""
+    found = set()
+    for token in tokens:
+        parts = set(_WORD.findall(token))
+        # as a part of a class some words say something else (overflow-hidden)
+        known = (parts & (WORDS | HEADER_WORDS)) - (WHOLE if len(parts) > 1 else frozenset())
+        if known and parts <= known | BOXES:
+            found |= known
+    return found
+
+
 class _Element:
     __slots__ = ("name", "number", "parent", "noise", "content", "skip", "code", "word", "fixed")
 
@@ -106,7 +123,7 @@ class _Lines(HTMLParser):
         named = values.get("class", "") + " " + values.get("id", "")
         code = above.code or tag in CODE
         tokens = set(named.split())
-        words = tokens if tag in INLINE else (set(_WORD.findall(named)) - WHOLE) | (tokens & WHOLE)
+        words = tokens if tag in INLINE else _marks(tokens)
         if code or len(self.elements) in self.spared:
             words = set()
         plain = tag not in ("html", "body", "article", "main")
@@ -213,7 +230,8 @@ def main_text(html: str | None) -> str:
         mass[e.parent.number] += mass[e.number]
     named = [e for e in parser.elements if e.name in ("article", "main") and not e.noise and mass[e.number]]
     if named:
-        chosen = max(named, key=lambda e: (mass[e.number], e.number))   # the inner one of equals
+        best = max(named, key=lambda e: (mass[e.number], e.number))     # the inner one of equals
+        chosen = {e.number for e in named if e.parent is best.parent}
     else:
         chosen = parser.elements[0]
         for e in parser.elements[1:]:
@@ -224,9 +242,10 @@ def main_text(html: str | None) -> str:
             while first and not lines[first - 1][2].noise and lines[first - 1][2].name in HEADINGS:
                 first -= 1
             good = [i for i in good if first <= i <= cluster[-1]]
+        chosen = {chosen.number}
     inside = [False] * len(parser.elements)
-    for e in parser.elements[chosen.number:]:
-        inside[e.number] = e is chosen or (e.parent is not None and inside[e.parent.number])
+    for e in parser.elements:
+        inside[e.number] = e.number in chosen or (e.parent is not None and inside[e.parent.number])
     return "\n".join(lines[i][0] for i in good if inside[lines[i][2].number])
 
 

@@ -75,3 +75,22 @@ def test_rows(spark):
     ("<article><p>" + LONG + "</p></article><div id='comments'>" + f"<p>{LONG}</p>" * 9 + "</div>", LONG)])
 def test_a_class_word_hides_no_content(html, text):
     assert HT.main_text(html) == text
+
+
+@pytest.mark.parametrize("html, text", [
+    (f"<nav>menu</nav><article><h2>One</h2><p>{LONG}</p></article><article><p>{LONG} Two.</p></article><aside>x</aside>", f"One\n{LONG}\n{LONG} Two."),
+    (f"<article><p>{LONG}</p><p class='share-price'>{LONG} Price.</p><div class='copyright-law'><p>Short law.</p></div>"
+     f"<div id='social-policy'>{LONG} Policy.</div></article>", f"{LONG}\n{LONG} Price.\nShort law.\n{LONG} Policy."),
+    (f"<article><p>{LONG}</p><div class='share-buttons-bar'>Share</div><div class='x cookie_notice'>{LONG}</div></article>", LONG),
+    (f"<article><p>{LONG}</p></article><div><article><p>{LONG} Elsewhere.</p><p>{LONG}</p></article></div>", f"{LONG} Elsewhere.\n{LONG}")])
+def test_siblings_and_compound_classes(html, text):
+    assert HT.main_text(html) == text
+
+
+def test_the_ratios_choose_the_region(monkeypatch):
+    """Without the ratios another text comes out where no article names the content."""
+    links = "".join(f"<li><a href='/{i}'>Go {i}</a></li>" for i in range(12))
+    html = f"<body><div><ul>{links}</ul></div><div><p>{LONG}</p><p>{LONG}</p></div><div><ul>{links}</ul></div></body>"
+    assert HT.main_text(html) == f"{LONG}\n{LONG}"
+    monkeypatch.setattr(HT, "smoothed_ratios", lambda chars, tags, sigma=1.0: np.ones(len(chars)))
+    assert HT.main_text(html) != f"{LONG}\n{LONG}"
