@@ -16,10 +16,12 @@ host if it isn't.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
+from ..session import cut_lineage, ensure_checkpoint_dir
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -101,12 +103,13 @@ def soft_failures() -> Column:
             + points("n_symbols", "n_words", SOFT_SYMBOLS_PCT) + odd.cast("int"))
 
 
-def host_table(features: DataFrame, host_col: str = "source") -> DataFrame:
-    """``(host, n, failed, rate)``: documents, documents with any failure, and
-    that share shrunk to the beta prior of all hosts (method of moments)."""
+def host_table(judged: DataFrame, host_col: str = "source") -> DataFrame:
+    """``(host, n, failed, rate)`` of rows with ``base_failed`` and ``points``: documents,
+    documents with any failure, and that share shrunk to the beta prior of all hosts
+    (method of moments)."""
     hosts = cut_lineage(
-        features.groupBy(F.coalesce(F.col(host_col), F.lit("")).alias("host"))
-        .agg(F.count("*").alias("n"), F.sum((base_failed() | (soft_failures() > 0)).cast("long")).alias("failed")))
+        judged.groupBy(F.coalesce(F.col(host_col), F.lit("")).alias("host"))
+        .agg(F.count("*").alias("n"), F.sum((F.col("base_failed") | (F.col("points") > 0)).cast("long")).alias("failed")))
     share = F.col("failed") / F.col("n")
     mean, var = hosts.agg(F.avg(share), F.var_samp(share)).first()
     weight = FLAT_WEIGHT
@@ -116,33 +119,39 @@ def host_table(features: DataFrame, host_col: str = "source") -> DataFrame:
     return hosts.withColumn("rate", (F.col("failed") + F.lit(mean * weight)) / (F.col("n") + F.lit(weight)))
 
 
-def _with_verdict(features: DataFrame, hosts: DataFrame, host_col: str, limit: float) -> DataFrame:
+def _with_verdict(judged: DataFrame, hosts: DataFrame, host_col: str, limit: float) -> DataFrame:
+    """``kept`` beside ``base_failed`` and ``points``. Where no host reaches the limit
+    (one at the limit does) only the documents' own points count."""
     bad = hosts.where(F.col("rate") >= limit).select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
     allowed = F.when(F.col("__bad"), 1).otherwise(2)
-    return (features.join(bad, F.coalesce(F.col(host_col), F.lit("")) == F.col("__host"), "left")
-            .withColumn("base_failed", base_failed())
-            .withColumn("kept", soft_failures() + F.when(base_failed(), 9).otherwise(0) < allowed)
+    return (judged.join(bad, F.coalesce(F.col(host_col), F.lit("")) == F.col("__host"), "left")
+            .withColumn("kept", ~F.col("base_failed") & (F.col("points") < allowed))
             .drop("__host", "__bad"))
 
 
 def judge(docs: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """``(doc_id, host column, features, base_failed, kept)``, one row per
+    """``(doc_id, host column, features, base_failed, points, kept)``, one row per
     input row; texts are read once. A null host counts as the host ''; repeated
     rows are judged alike; an empty table gives no rows. Columns of ``docs``
     other than these are ignored, whatever their names."""
-    features = cut_lineage(with_features(docs.select("doc_id", host_col, "text")).drop("text"))
-    return _with_verdict(features, host_table(features, host_col), host_col, limit)
+    features = with_features(docs.select("doc_id", host_col, "text")).drop("text")
+    judged = cut_lineage(features.withColumn("base_failed", base_failed()).withColumn("points", soft_failures()))
+    return _with_verdict(judged, host_table(judged, host_col), host_col, limit)
 
 
 def kept_documents(docs: DataFrame, host_col: str = "source", limit: float = HOST_LIMIT) -> DataFrame:
-    """The rows of ``docs`` that :func:`judge` keeps, all columns. Texts are
-    read twice (host counts, then verdicts) instead of being written out."""
-    featured = with_features(docs.select(F.struct(*docs.columns).alias("__row"), F.col(host_col).alias("__h0"), "text"))
-    hosts = host_table(with_features(docs.select(F.col(host_col).alias("__h0"), "text")), "__h0")
-    # a numbered row is a wall for the optimizer: the filter stays above it instead
-    # of copying the nested feature expressions
-    judged = _with_verdict(featured.withColumn("__wall", F.monotonically_increasing_id()), hosts, "__h0", limit)
-    return judged.where("kept and __wall >= 0").select("__row.*")
+    """The rows of ``docs`` that :func:`judge` keeps, all columns. Features are computed once: rows go
+    to the shared folder with their points, hosts are counted from the narrow
+    columns there, and the rows are read again under the verdict."""
+    spark = docs.sparkSession
+    row = docs.select(F.struct(*docs.columns).alias("__row"), F.col(host_col).alias("__h0"), "text")
+    folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/host-rules-{uuid.uuid4().hex}"
+    (with_features(row).withColumn("base_failed", base_failed()).withColumn("points", soft_failures())
+     # a row that no verdict can keep is counted, not written
+     .select(F.when(~F.col("base_failed") & (F.col("points") < 2), F.col("__row")).alias("__row"), "__h0", "base_failed", "points")
+     .write.parquet(folder))
+    judged = spark.read.parquet(folder)
+    return _with_verdict(judged, host_table(judged, "__h0"), "__h0", limit).where("kept").select("__row.*")
 
 
 JUDGE_SQL = r"""
