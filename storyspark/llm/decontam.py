@@ -16,14 +16,19 @@ touch are verified together, so a document costs its length per item hit at most
 from __future__ import annotations
 
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterator
 
 import ahocorasick
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage, ensure_checkpoint_dir
+from .worker import held
+
 RATE = 0.07             # edits per character of an item
 LEAST_PIECE = 10        # characters of a piece, at least; bounds the edits of a short item
 BLOCK_CHARS = 4_000_000
@@ -125,26 +130,20 @@ class Matcher:
         return found
 
 
-_WORKER: dict = {}
-
-
 def _matcher(shared) -> Matcher:
-    key = getattr(shared, "_path", None) or id(shared)
-    if _WORKER.get("key") != key:
-        items, rate = shared.value
-        _WORKER.update(key=key, matcher=Matcher(items, rate))
-    return _WORKER["matcher"]
+    return held(("decontam", getattr(shared, "_path", None) or id(shared)), lambda: Matcher(*shared.value))
 
 
-def _blocks(benchmark: DataFrame, rate: float, block_chars: int) -> list:
-    """Broadcasts of (items, rate), each of about ``block_chars`` at most."""
+def _blocks(benchmark: DataFrame, rate: float, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """Broadcasts of (items, rate), each of about ``block_chars`` at most, one at a
+    time, and whether it is the only one."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").where("length(text) > 0")
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, -(-chars // block_chars))
     dealt = items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n)))
     sc = benchmark.sparkSession.sparkContext
-    return [sc.broadcast(([tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect()], rate))
-            for b in range(n)]
+    for b in range(n):
+        yield sc.broadcast(([tuple(r) for r in dealt.where(F.col("block") == b).select("item_id", "text").collect()], rate)), n == 1
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
@@ -167,8 +166,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null")
     found = None
-    for shared in _blocks(benchmark, rate, block_chars):
+    for shared, only in _blocks(benchmark, rate, block_chars):
         part = source.mapInArrow(scan(shared), "doc_id long, item_id long, distance int, end int")
+        if not only:            # answered now, so that the driver and the workers hold one block
+            part = cut_lineage(part)
+            shared.destroy()
         found = part if found is None else found.unionByName(part)
     return found
 
@@ -182,6 +184,12 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, blo
                 yield batch.filter(pa.array([not matcher.hits(t) for t in batch.column("text").to_pylist()], pa.bool_()))
         return run
 
-    for shared in _blocks(benchmark, rate, block_chars):
+    spark = docs.sparkSession
+    for shared, only in _blocks(benchmark, rate, block_chars):
         docs = docs.mapInArrow(keep(shared), docs.schema)
+        if not only:
+            folder = f"{ensure_checkpoint_dir(spark).rstrip('/')}/decontam-{uuid.uuid4().hex}"
+            docs.write.parquet(folder)
+            shared.destroy()
+            docs = spark.read.parquet(folder)
     return docs

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .worker import held
 
 LENGTH = 4096            # tokens of a full sequence
 END_ID = 2               # closes every document
@@ -112,15 +113,9 @@ class WordEncoder:
             yield np.append(flat[a:b], np.uint32(end_id)).astype("<u4")
 
 
-_WORKER: dict = {}
-
-
 def _encoder(shared) -> WordEncoder:
     """One encoder per worker and broadcast, so its cache outlives a task."""
-    key = getattr(shared, "_path", None) or id(shared)
-    if _WORKER.get("key") != key:
-        _WORKER.update(key=key, encoder=WordEncoder(shared.value))
-    return _WORKER["encoder"]
+    return held(("packing", getattr(shared, "_path", None) or id(shared)), lambda: WordEncoder(shared.value))
 
 
 PIECE = [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64()),
