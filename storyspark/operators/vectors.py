@@ -253,20 +253,28 @@ def vector_pairs(df: DataFrame, id_col: str, order_col: str, vec_col: str,
     distinct vectors with cosine >= threshold, each vector represented by
     its earliest row. Copies of one vector are counted (``with_counts``
     adds n_left / n_right), never paired, so a group of copies costs one row."""
+    near = vector_neighbors(distinct_vectors(df, vec_col), threshold, include_self=False)
+    return pair_report(df, id_col, order_col, vec_col, near, with_counts)
+
+
+def pair_report(df: DataFrame, id_col: str, order_col: str, vec_col: str, near: DataFrame, with_counts: bool = False) -> DataFrame:
+    """Neighbour pairs of distinct vectors (vid1, vid2, nvid1, nvid2, score), in one
+    direction or both, as pairs of the earliest rows that hold them."""
     v1, v2 = vector_id(vec_col)
     rows = df.where(F.col(vec_col).isNotNull()).select(
         F.col(id_col).alias("id"), F.col(order_col).alias("ord"),
         v1.alias("vid1"), v2.alias("vid2"))
     reps = rows.groupBy("vid1", "vid2").agg(F.min(F.struct("ord", "id")).alias("first"),
                                             F.count("*").alias("n"))
-    nb = vector_neighbors(distinct_vectors(df, vec_col), threshold, include_self=False)
     a = reps.select("vid1", "vid2", F.col("first").alias("fa"), F.col("n").alias("na"))
     b = reps.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"),
                     F.col("first").alias("fb"), F.col("n").alias("nb"))
-    j = nb.join(a, ["vid1", "vid2"]).join(b, ["nvid1", "nvid2"]).where(F.col("fa") < F.col("fb"))
-    out = j.select(F.col("fa.id").alias("left_id"), F.col("fb.id").alias("right_id"),
-                   F.round("score", 6).alias("score"), F.col("na").alias("n_left"),
-                   F.col("nb").alias("n_right"))
+    j = near.join(a, ["vid1", "vid2"]).join(b, ["nvid1", "nvid2"])
+    earlier = F.col("fa") < F.col("fb")
+    pick = lambda x, y: F.when(earlier, F.col(x)).otherwise(F.col(y))
+    out = j.select(pick("fa.id", "fb.id").alias("left_id"), pick("fb.id", "fa.id").alias("right_id"),
+                   F.round("score", 6).alias("score"), pick("na", "nb").alias("n_left"),
+                   pick("nb", "na").alias("n_right")).distinct()
     return out if with_counts else out.drop("n_left", "n_right")
 
 

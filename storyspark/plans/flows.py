@@ -10,7 +10,7 @@ from ..operators import clusters as CL
 from ..operators import dedup as DD
 from ..operators import filters as FL
 from ..operators import vectors as VE
-from ..session import cut_lineage, ensure_checkpoint_dir, ship_package
+from ..session import cut_lineage, ensure_checkpoint_dir, idle_cores, ship_package
 from ..sources import tables as TB
 
 
@@ -35,7 +35,9 @@ def story_flow(spark: SparkSession, sf_dir: str, cluster_threshold: float = 0.75
     ensure_checkpoint_dir(spark)
     ship_package(spark)
     arts = articles if articles is not None else TB.articles(spark, sf_dir)
-    dec = dedup_stage(arts, cos_threshold=cos_threshold, partitions=spark.sparkContext.defaultParallelism)
+    # articles that are given keep their partitions
+    partitions = idle_cores(TB.read_table(spark, sf_dir, "documents")) if articles is None else None
+    dec = dedup_stage(arts, cos_threshold=cos_threshold, partitions=partitions)
     unique = dec.where("kept").select("url_hash", "arrival", "extracted_at", "url", "title", "embedding")
     asg = CL.cluster_articles(unique, None, id_col="url_hash", threshold=cluster_threshold)
     # a kept row is known by its arrival: its url may repeat among dropped rows

@@ -6,6 +6,7 @@ parameters are fixed up front. Column names and types match the SQL twin.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +21,12 @@ from ..operators import clusters as CL
 from ..operators import dedup as DD
 from ..operators import feeds as FD
 from ..operators import filters as FL
+from ..operators import index as IX
+from ..operators import lsh as LSH
 from ..operators import reports as RP
 from ..operators import store as ST
 from ..operators import vectors as VE
-from ..session import ensure_checkpoint_dir, ship_package
+from ..session import ensure_checkpoint_dir, idle_cores, ship_package
 from ..sources import tables as TB
 from . import sql as S
 
@@ -31,6 +34,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 VEC_THRESHOLD = 0.3          # embeddings table: checked thresholds 0.3 to 0.5
+LSH_THRESHOLD = 0.5
 NOW_FEEDS = "2024-01-31 00:00:00"
 NOW_CLUSTERS = "2024-01-02 00:00:00"
 
@@ -173,7 +177,8 @@ SELECT id AS doc_id, sim_hi, sim_lo, {S.hex128('sim_hi', 'sim_lo')} AS simhash_h
 FROM sh""")
 def q_simhash(spark, sf):
     """D1 + H8: 128-bit SimHash of every document, hex, reference bands."""
-    d = DD.with_simhash(_t(spark, sf, "documents"), "text")
+    docs = _t(spark, sf, "documents")
+    d = DD.with_simhash(docs, "text", partitions=idle_cores(docs))
     bands = SH.reference_bands("sim_hi", "sim_lo")
     return d.select("doc_id", "sim_hi", "sim_lo", SH.simhash_hex("sim_hi", "sim_lo").alias("simhash_hex"),
                     F.array_join(F.transform(bands, lambda b: b["value"]), ",").alias("bands"))
@@ -406,15 +411,15 @@ def q_latest_version(spark, sf):
 
 
 @register("upsert_versioned", """
-WITH t AS (SELECT o_orderkey AS k, 0 AS version, 'o' || CAST(o_orderkey AS VARCHAR) AS id,
-                  o_orderdate AS created_at, o_totalprice AS payload, -1 AS o1, -1 AS o2 FROM orders),
-b AS (SELECT l_orderkey AS k, l_linenumber AS version, 'l' || CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id,
-             l_shipdate AS created_at, l_extendedprice AS payload, l_partkey AS o1, l_suppkey AS o2 FROM lineitem),
-u AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC, o1, o2) AS rw,
-                row_number() OVER (PARTITION BY k ORDER BY o1, o2) AS rf
-      FROM (SELECT * FROM t UNION ALL SELECT * FROM b))
-SELECT f.k, f.id, f.created_at, w.version, w.payload
-FROM (SELECT * FROM u WHERE rf = 1) f JOIN (SELECT * FROM u WHERE rw = 1) w ON w.k = f.k""")
+WITH u AS (
+  SELECT o_orderkey AS k, 0 AS version, 'o' || o_orderkey AS id, o_orderdate AS created_at, o_totalprice AS payload,
+         -1::BIGINT AS o1, -1::BIGINT AS o2 FROM orders
+  UNION ALL
+  SELECT l_orderkey, l_linenumber, 'l' || l_orderkey || '-' || l_linenumber, l_shipdate, l_extendedprice,
+         l_partkey, l_suppkey FROM lineitem)
+SELECT k, arg_min(id, row(o1, o2)) AS id, arg_min(created_at, row(o1, o2)) AS created_at,
+       max(version) AS version, arg_min(payload, row(-version, o1, o2)) AS payload
+FROM u GROUP BY k""")
 def q_upsert_versioned(spark, sf):
     """A4 / A5: versioned upsert of every lineitem (version = line number)
     into the orders table; id and created_at stay as first inserted."""
@@ -452,14 +457,14 @@ def q_timeline(spark, sf):
 @register("changed_keys", """
 SELECT key, marked_at FROM (
   SELECT user_id AS key, min(ts) AS marked_at FROM events WHERE event_type = 'click' GROUP BY user_id) m
-WHERE key NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 40)
+WHERE key NOT IN (SELECT user_id FROM events WHERE event_type = 'purchase' AND value > 100)
 ORDER BY marked_at, key LIMIT 50""")
 def q_changed_keys(spark, sf):
     """Distinct changed keys for one entity, minus processed, first 50."""
     e = _t(spark, sf, "events")
     marks = e.select(F.col("event_type").alias("entity"), F.col("user_id").alias("key"),
                      F.col("ts").alias("marked_at"))
-    done = e.where("event_type = 'purchase' AND value > 40").select(F.col("user_id").alias("key"))
+    done = e.where("event_type = 'purchase' AND value > 100").select(F.col("user_id").alias("key"))
     return ST.changed_keys(marks, done, "click", 50)
 
 
@@ -473,7 +478,8 @@ WHERE bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 11""")
 def q_simhash_pairs(spark, sf):
     """Distinct fingerprint pairs within Hamming 11 (12 disjoint bands)
     with their row counts; copies are counted, never paired."""
-    d = DD.with_simhash(_t(spark, sf, "documents"), "text")
+    docs = _t(spark, sf, "documents")
+    d = DD.with_simhash(docs, "text", partitions=idle_cores(docs))
     return DD.simhash_pairs(d, 11).select("hi", "lo", "nhi", "nlo", "dist", "n", "nn")
 
 
@@ -497,7 +503,7 @@ SELECT rid AS doc_id, kept, stage, duplicate_of, distance FROM k1"""
 @register("dedup_decide", _docs_k1_sql(3))
 def q_dedup_decide(spark, sf):
     """K1 (URL + SimHash stages, limit 3, 72 h) over all documents."""
-    a = DD.with_simhash(TB.articles(spark, sf, with_quality=False))
+    a = DD.with_simhash(TB.articles(spark, sf, with_quality=False), partitions=idle_cores(_t(spark, sf, "documents")))
     r = DD.dedup_decide(a, id_col="doc_id", hamming_limit=3)
     return r.select("doc_id", "kept", "stage", "duplicate_of", "distance")
 
@@ -505,7 +511,7 @@ def q_dedup_decide(spark, sf):
 @register("dedup_decide_wide", _docs_k1_sql(11))
 def q_dedup_decide_wide(spark, sf):
     """K1 with SimHash limit 11 (12 bands), so near (not exact) copies meet."""
-    a = DD.with_simhash(TB.articles(spark, sf, with_quality=False))
+    a = DD.with_simhash(TB.articles(spark, sf, with_quality=False), partitions=idle_cores(_t(spark, sf, "documents")))
     r = DD.dedup_decide(a, id_col="doc_id", hamming_limit=11)
     return r.select("doc_id", "kept", "stage", "duplicate_of", "distance")
 
@@ -556,9 +562,11 @@ GIVEN_COS, GIVEN_CLUSTER = 0.5, 0.3
 
 def _given(spark, sf) -> DataFrame:
     """All documents as articles, each with a given vector: that of vec_id =
-    doc_id modulo 500 (every table has these), so vectors repeat."""
+    doc_id modulo the number of embeddings, so vectors repeat and every one that a
+    document reaches takes part."""
     e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
-    return TB.articles(spark, sf, with_quality=False).withColumn("_vec", F.col("doc_id") % 500).join(e, "_vec", "left").drop("_vec")
+    n = max(e.count(), 1)
+    return TB.articles(spark, sf, with_quality=False).withColumn("_vec", F.pmod(F.col("doc_id"), F.lit(n))).join(e, "_vec", "left").drop("_vec")
 
 
 def _given_sql() -> str:
@@ -567,18 +575,19 @@ WITH {_ART},
 {S.simhash_ctes('sh', 'arts', 'doc_id', 'content')},
 nodes AS (SELECT a.doc_id AS rid, a.arrival AS a, a.extracted_at AS t, a.url_hash AS uid, sh.sim_hi AS hi, sh.sim_lo AS lo,
                  CAST(v.embedding AS DOUBLE[]) AS e, v.embedding IS NOT NULL AS can_keep
-          FROM arts a JOIN sh ON sh.id = a.doc_id LEFT JOIN embeddings v ON v.vec_id = a.doc_id % 500
+          FROM arts a JOIN sh ON sh.id = a.doc_id LEFT JOIN embeddings v ON v.vec_id = a.doc_id % (SELECT count(*) FROM embeddings)
           WHERE length(trim(a.content)) >= 50),
 cos AS MATERIALIZED (SELECT x.vec_id AS v, y.vec_id AS w, list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])) AS c
-        FROM embeddings x JOIN embeddings y ON x.vec_id < 500 AND y.vec_id < 500),
+        FROM embeddings x CROSS JOIN embeddings y),
+ne AS (SELECT count(*) AS ne FROM embeddings),
 edges AS (
   SELECT x.rid AS s, y.rid AS r, 'simhash' AS kind, 1 AS prio,
          CAST(bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) AS INTEGER) AS dist, CAST(NULL AS DOUBLE) AS score
   FROM nodes x JOIN nodes y ON x.a < y.a AND x.t + INTERVAL 72 HOUR > y.t
   WHERE bit_count(xor(x.hi, y.hi)) + bit_count(xor(x.lo, y.lo)) <= 3
   UNION ALL
-  SELECT x.rid, y.rid, 'vector', 2, NULL, least(c, 1.0) FROM nodes x JOIN nodes y ON x.a < y.a
-  JOIN cos ON v = x.rid % 500 AND w = y.rid % 500 AND c >= {GIVEN_COS}),
+  SELECT x.rid, y.rid, 'vector', 2, NULL, least(c, 1.0) FROM ne, nodes x JOIN nodes y ON x.a < y.a
+  JOIN cos ON v = x.rid % ne AND w = y.rid % ne AND c >= {GIVEN_COS}),
 {S.mis_ctes('k1', 'nodes', 'edges')}"""
 
 
@@ -596,7 +605,7 @@ def q_dedup_given(spark, sf):
 @register("story_given", _given_sql() + f""",
 nodes2 AS (SELECT n.* FROM nodes n JOIN k1 ON k1.rid = n.rid AND k1.kept),
 edges2 AS (SELECT x.rid AS s, y.rid AS r, 'vector' AS kind, 2 AS prio, CAST(NULL AS INTEGER) AS dist, least(c, 1.0) AS score
-           FROM nodes2 x JOIN nodes2 y ON x.a < y.a JOIN cos ON v = x.rid % 500 AND w = y.rid % 500 AND c >= {{GIVEN_CLUSTER}}),
+           FROM ne, nodes2 x JOIN nodes2 y ON x.a < y.a JOIN cos ON v = x.rid % ne AND w = y.rid % ne AND c >= {{GIVEN_CLUSTER}}),
 {{S.mis_ctes('k2', 'nodes2', 'edges2')}}
 SELECT k1.rid AS doc_id, k1.kept, k1.stage, n.uid AS duplicate_of, CASE WHEN k2.kept THEN o.uid ELSE m.uid END AS cluster_id,
        k2.kept AS is_new_cluster
@@ -611,29 +620,9 @@ def q_story_given(spark, sf):
     return r.select("doc_id", "kept", "stage", "duplicate_of", "cluster_id", "is_new_cluster")
 
 
-def _given_all(spark, sf) -> DataFrame:
-    """All documents as articles, each with a given vector: that of vec_id =
-    doc_id modulo the number of embeddings, so every embedding takes part."""
-    e = _t(spark, sf, "embeddings").select(F.col("vec_id").alias("_vec"), "embedding")
-    n = max(e.count(), 1)
-    return TB.articles(spark, sf, with_quality=False).withColumn("_vec", F.pmod(F.col("doc_id"), F.lit(n))).join(e, "_vec", "left").drop("_vec")
-
-
-@register("dedup_given_all")
-def q_dedup_given_all(spark, sf):
-    """dedup_given over the whole embeddings table (no SQL twin: tested on a fixture)."""
-    from ..operators.filters import min_content
-    a = DD.with_simhash(min_content(_given_all(spark, sf), "content", 50))
-    r = DD.dedup_decide(a, id_col="doc_id", vector_col="embedding", cos_threshold=GIVEN_COS)
-    return r.select("doc_id", "kept", "stage", "duplicate_of", "distance", "score")
-
-
-@register("story_given_all")
-def q_story_given_all(spark, sf):
-    """story_given over the whole embeddings table (no SQL twin: tested on a fixture)."""
-    from .flows import story_flow
-    r = story_flow(spark, sf, GIVEN_CLUSTER, _given_all(spark, sf), cos_threshold=GIVEN_COS)
-    return r.select("doc_id", "kept", "stage", "duplicate_of", "cluster_id", "is_new_cluster")
+# earlier names of the two queries above
+register("dedup_given_all")(q_dedup_given)
+register("story_given_all")(q_story_given)
 
 
 @register("vector_pairs", f"""
@@ -646,6 +635,13 @@ def q_vector_pairs(spark, sf):
     return VE.vector_pairs(e, "vec_id", "vec_id", "embedding", VEC_THRESHOLD)
 
 
+@register("vector_pairs_lsh")
+def q_vector_pairs_lsh(spark, sf):
+    """C3 by sign random projections: cosine >= 0.5 pairs of the whole embeddings table, each
+    found with probability 0.99 (no SQL twin: recall is tested against the exact join)."""
+    return LSH.vector_pairs_lsh(_t(spark, sf, "embeddings"), "vec_id", "vec_id", "embedding", LSH_THRESHOLD)
+
+
 def _label_centroids_sql() -> str:
     return """
 ex AS (SELECT label, vec_id, unnest(CAST(embedding AS DOUBLE[])) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
@@ -665,12 +661,15 @@ def _label_centroids(spark, sf) -> DataFrame:
                         "last_activity", F.lit("active").alias("status")))
 
 
-@register("knn_search", f"""
+KNN_SQL = f"""
 WITH {_label_centroids_sql()},
 s AS (SELECT cl.label AS query_id, e.vec_id, list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), cl.c) AS score
       FROM embeddings e, cl WHERE list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), cl.c) >= {VEC_THRESHOLD}),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
-SELECT query_id, vec_id, round(least(score, 1.0), 4) AS score, rank FROM r WHERE rank <= 10""")
+SELECT query_id, vec_id, round(least(score, 1.0), 4) AS score, rank FROM r WHERE rank <= 10"""
+
+
+@register("knn_search", KNN_SQL)
 def q_knn_search(spark, sf):
     """C4: top 10 articles per story centroid (label means), cosine >= 0.3."""
     qs = _label_centroids(spark, sf).select(F.col("id").alias("query_id"), F.col("centroid").alias("qvec"))
@@ -679,6 +678,16 @@ def q_knn_search(spark, sf):
     return hits.select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
 
 
+@register("knn_indexed", KNN_SQL)
+def q_knn_indexed(spark, sf):
+    """C4 over a stored index of the embeddings table: the rows of knn_search."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vector-index-{uuid.uuid4().hex}"
+    IX.write_index(_t(spark, sf, "embeddings"), path, "vec_id", "embedding")
+    qs = _label_centroids(spark, sf).select(F.col("id").alias("query_id"), F.col("centroid").alias("qvec"))
+    hits = IX.search(spark, path, qs, k=10, threshold=VEC_THRESHOLD, c_id="vec_id")
+    return hits.select("query_id", "vec_id", F.round("score", 4).alias("score"), F.col("rank").cast("long"))
+
+
 @register("assign_centroid", f"""
 WITH {_label_centroids_sql()},
 s AS (SELECT e.vec_id, cl.label, least(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), cl.c), 1.0) AS score,
@@ -928,6 +937,14 @@ ORACLES["metric_totals"] = """
 SELECT event_type AS name, round(sum(value), 6) AS total FROM events GROUP BY event_type"""
 
 
+@register("latency_merged")
+def q_latency_merged(spark, sf):
+    """D11 by sketches per event type and day, merged over the days (no SQL twin: the rank
+    error is tested against exact ranks)."""
+    e = _t(spark, sf, "events").select("event_type", F.to_date("ts").alias("day"), F.col("value").alias("latency_ms"))
+    return RP.merged_latency(RP.latency_sketches(e, "latency_ms", ["event_type", "day"]), ["event_type"])
+
+
 @register("latency_summary", """
 WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS rk,
                   count(*) OVER (PARTITION BY event_type) AS n FROM events),
@@ -1033,15 +1050,14 @@ def q_page_title(spark, sf):
     return p.select("page_id", page_title("html").alias("title"))
 
 
-@register("page_extract", """
-WITH t AS (SELECT page_id, url, html, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS raw FROM pages)
-SELECT page_id, coalesce(nullif(replace(replace(replace(replace(trim(raw, ' \t\n\r'), '&lt;', '<'), '&gt;', '>'),
-       '&quot;', '"'), '&amp;', '&'), ''), 'Unknown Title') AS title, length(html) AS raw_html_size FROM t
-WHERE length(trim(regexp_replace(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '<[^>]*>', '', 'g'))) >= 50""")
+@register("page_extract")
 def q_page_extract(spark, sf):
-    """A2: raw pages to title, text, authors, date, image; short text dropped."""
+    """A2: raw pages to title, text (as its digest), authors, date, image; short text dropped
+    (no SQL twin: tested against a plain version)."""
     from ..sources.pages import extract_pages
-    return extract_pages(_t(spark, sf, "pages")).select("page_id", "title", "raw_html_size")
+    return extract_pages(_t(spark, sf, "pages")).select(
+        "page_id", "url_hash", "title", F.sha2("content", 256).alias("content_sha256"), "content_length",
+        F.array_join("authors", "|").alias("authors"), "published_at", "top_image_url", "raw_html_size")
 
 
 @register("feed_items", """
@@ -1063,7 +1079,8 @@ def q_feed_items(spark, sf):
 @register("embed_docs")
 def q_embed_docs(spark, sf):
     """Every document to a 384-d unit vector (feature hashing default)."""
-    d = VE.embed(_t(spark, sf, "documents"), "text", "embedding")
+    docs = _t(spark, sf, "documents")
+    d = VE.embed(docs, "text", "embedding", partitions=idle_cores(docs))
     return d.select("doc_id", F.size("embedding").alias("dim"),
                     F.round(l2_norm("embedding"), 4).alias("norm"),
                     valid_vector("embedding", 384).alias("valid"))
@@ -1073,7 +1090,7 @@ def q_embed_docs(spark, sf):
 def q_dedup_full(spark, sf):
     """K1 with both stages: SimHash (limit 3, 72 h) then cosine >= 0.92 on
     J1 vectors, over all documents."""
-    a = DD.with_simhash(TB.articles(spark, sf, with_quality=False))
+    a = DD.with_simhash(TB.articles(spark, sf, with_quality=False), partitions=idle_cores(_t(spark, sf, "documents")))
     a = VE.embed(a, "content", "embedding")
     r = DD.dedup_decide(a, id_col="doc_id", vector_col="embedding")
     return r.select("doc_id", "kept", "stage", "duplicate_of", "distance", "score")

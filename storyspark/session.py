@@ -112,3 +112,10 @@ def spread(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Before per-row Python work on a small file of one split: ``partitions``
     partitions, if the caller asks for them. Large scans have their own splits."""
     return df.repartition(partitions) if partitions else df
+
+
+def idle_cores(table: DataFrame) -> int | None:
+    """``partitions`` for :func:`spread`: the session's cores where the scan of ``table`` has fewer
+    splits than that. A large table has splits of its own; its rows are not moved."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return cores if table.rdd.getNumPartitions() < cores else None

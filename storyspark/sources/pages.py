@@ -100,13 +100,14 @@ class _Walker(HTMLParser):
 
 def default_extractor(html: str, url: str | None = None) -> dict:
     """Paragraph-level text of the page body (boilerplate containers
-    skipped), author / date / image from meta tags."""
+    skipped), author / date / image from meta tags. Where the parser gives up on a broken
+    page, what it has found until then stays."""
     w = _Walker()
     try:
         w.feed(html or "")
         w.close()
-    except Exception:  # noqa: BLE001 - a broken page yields no text
-        return {}
+    except Exception:  # noqa: BLE001 - a broken page must not fail the job
+        w._end_block()
     date = w.meta.get("article:published_time") or w.meta.get("date") or w.time_dt
     return {"text": "\n".join(w.blocks), "title": None, "author": w.meta.get("author"),
             "date": date[:10] if date else None, "image": w.meta.get("og:image")}

@@ -120,3 +120,52 @@ def test_poll_fold_orders_equal_times_by_event(spark):
     assert r[1].error_count == 1 and r[1].next_poll_at == t + dt.timedelta(seconds=1200) and r[1].last_error == "boom" and r[1].etag == "e1"
     assert r[2].error_count == 0 and r[2].next_poll_at == t + dt.timedelta(seconds=600) and r[2].last_error is None
     assert r[3].etag is None and r[3].last_modified is None and r[3].updated_at == t + dt.timedelta(seconds=5)
+
+
+def test_page_extract_equals_the_generated_articles(spark, tmp_path):
+    """The page_extract query over generated pages whose fields are known beforehand."""
+    import hashlib
+    import html
+    import random
+
+    from storyspark.plans.registry import QUERIES
+    r = random.Random(7)
+    words = ["alpha", "b&b", "<tag>", "naïve", "日本", "\"q\"", "x"]
+    rows, want = [], {}
+    for i in range(60):
+        blocks = [" ".join(r.choices(words, k=r.randrange(1, 12))) for _ in range(r.randrange(0, 6))]
+        body = []
+        for b in blocks:
+            tag = r.choice(["p", "h2", "li", "blockquote"])
+            text = html.escape(b).replace(" ", r.choice([" ", "\n  ", " <b>", "&#32;"]), 1).replace("<b>", "<b></b>")
+            body.append(f"<{tag}>{text}</{tag}>")
+            body.append(r.choice(["", "<nav><p>menu menu</p></nav>", "<script>var p = '<p>no</p>';</script>", "<!-- <p>gone</p> -->", "<footer><li>foot</li></footer>"]))
+        author, day, image = r.choice(["", "A B; C", "D"]), r.choice(["", "2024-03-09T10:00:00Z", "2023-12-31"]), r.choice(["", "https://i.example.com/x.png"])
+        meta = "".join(f'<meta {k}="{n}" content="{v}">' for k, n, v in (("name", "author", author), ("property", "article:published_time", day),
+                                                                         ("property", "og:image", image)) if v)
+        page = f"<html><head><title> T {i} </title>{meta}</head><body><article>{''.join(body)}</article></body></html>"
+        rows.append((i, f"https://e.com/{i}", page))
+        text = "\n".join(blocks).strip()
+        if len(text) >= 50:
+            want[i] = (f"T {i}", hashlib.sha256(text.encode()).hexdigest(), len(text), "|".join(x.strip() for x in author.split(";") if x.strip()),
+                       day[:10] or None, image or None, len(page))
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    got = {x.page_id: (x.title, x.content_sha256, x.content_length, x.authors, None if x.published_at is None else str(x.published_at)[:10],
+                       x.top_image_url, x.raw_html_size) for x in QUERIES["page_extract"](spark, str(tmp_path)).collect()}
+    assert got == want and 20 < len(want) < 60
+
+
+def test_extractor_keeps_text_found_before_a_failure(monkeypatch):
+    from storyspark.sources import pages as P
+    seen = []
+    original = P._Walker.handle_starttag
+
+    def breaks(self, tag, attrs):
+        if tag == "video":
+            raise ValueError("broken")
+        seen.append(tag)
+        original(self, tag, attrs)
+
+    monkeypatch.setattr(P._Walker, "handle_starttag", breaks)
+    out = P.default_extractor("<p>first part</p><p>second part<video><p>lost</p>")
+    assert out["text"] == "first part\nsecond part" and "p" in seen
