@@ -1,17 +1,16 @@
-"""Structured Streaming jobs.
+"""Structured Streaming jobs.
 
-State that must cross micro-batches (kept articles for dedup, the cluster
-table) lives in tables under a shared directory, one ``epoch=N`` partition per
-micro-batch, written with overwrite so a replayed epoch after a failure is
-idempotent; a batch reads only epochs below its own. Everything else is a
-plain streaming plan with event-time watermarks.
+State that must cross micro-batches lives in compacting tables (``tables.StateTable``): a
+batch reads one snapshot and the deltas since, only epochs below its own, and
+overwrites its own, so a replayed epoch after a failure is idempotent. State that is kept by key with
+an expiry is in ``state``. Everything else is a plain streaming plan with
+event-time watermarks.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -20,26 +19,28 @@ from ..operators import clusters as CL
 from ..operators import dedup as DD
 from ..operators import filters as FL
 from ..operators import vectors as VE
+from ..operators import reports as RP
 from ..operators.store import first_seen
-from .ops import board_fold, first_deliveries, poison_split
+from .ops import board_of, board_partials, first_deliveries, merge_partials, newest_clusters, poison_split
+from .tables import StateTable, read_if_any
 
 STATE_COLS = ["url_hash", "arrival", "extracted_at", "url", "title", "sim_hi", "sim_lo", "embedding"]
 
 
-def _state(spark: SparkSession, path: str) -> DataFrame | None:
-    """The state table, or None where nothing has been written yet. Any other
-    failure to read rises: a storage error is not an empty state."""
-    try:
-        return spark.read.parquet(path)
-    except AnalysisException as e:
-        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return None
-        raise
+_state = read_if_any
+NO_EPOCH = (1 << 62)      # above every epoch
+COMPACT_EVERY = 8        # epochs between two snapshots of a state table
 
 
-def _read_epochs(spark: SparkSession, path: str, below: int) -> DataFrame | None:
+def _read_epochs(spark: SparkSession, path: str, below: int, newest_only: bool = False) -> DataFrame | None:
     df = _state(spark, path)
-    return None if df is None else df.where(F.col("epoch") < below).drop("epoch")
+    if df is None:
+        return None
+    df = df.where(F.col("epoch") < below)
+    if newest_only:
+        last = df.agg(F.max("epoch").alias("e")).first().e
+        return None if last is None else df.where(F.col("epoch") == last).drop("epoch")
+    return df.drop("epoch")
 
 
 def prepare_articles(df: DataFrame, embed: bool = True) -> DataFrame:
@@ -51,19 +52,21 @@ def prepare_articles(df: DataFrame, embed: bool = True) -> DataFrame:
 
 def dedup_batch(batch: DataFrame, epoch_id: int, state_dir: str, out_dir: str,
                 vector: bool = True, **k1) -> None:
-    """I1 body: K1 for one micro-batch against the kept-row state."""
+    """I1 body: K1 for one micro-batch against the kept-row state. Kept rows never
+    expire, as the url and vector rules have no time limit; those that only the
+    fingerprint rule could need are left out by K1 itself."""
     spark = batch.sparkSession
-    prior = _read_epochs(spark, state_dir, epoch_id)
+    state = StateTable(spark, state_dir, "url_hash", every=COMPACT_EVERY)
+    prior = state.read(epoch_id)
     dec = DD.dedup_decide(batch, id_col="url_hash", vector_col="embedding" if vector else None,
                           prior_kept=prior, **k1)
     dec = dec.persist()
     (dec.drop("embedding").withColumn("epoch", F.lit(epoch_id))
         .write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic")
         .parquet(out_dir))
-    (dec.where("kept").select(*STATE_COLS).withColumn("epoch", F.lit(epoch_id))
-        .write.mode("overwrite").partitionBy("epoch").option("partitionOverwriteMode", "dynamic")
-        .parquet(state_dir))
+    state.append(dec.where("kept").select(*STATE_COLS), epoch_id)
     dec.unpersist()
+    state.compact(epoch_id)
 
 
 def dedup_stream(articles: DataFrame, state_dir: str, out_dir: str, checkpoint: str,
@@ -98,21 +101,26 @@ def cluster_batch(batch: DataFrame, epoch_id: int, clusters_dir: str, out_dir: s
         changed = current.join(joined, "id", "left_semi")
         merged = CL.merge_into_clusters(changed, asg).select(*table.columns)
         table = merged.unionByName(table)
-    (table.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").partitionBy("epoch")
-          .option("partitionOverwriteMode", "dynamic").parquet(clusters_dir))
+    state = _clusters(spark, clusters_dir)
+    state.append(table.withColumn("written_at", F.lit(epoch_id)), epoch_id)
     asg.unpersist()
+    state.compact(epoch_id)
+
+
+def _newest(rows: DataFrame) -> DataFrame:
+    cols = rows.columns
+    return rows.groupBy("id").agg(F.max_by(F.struct(*cols), "written_at").alias("_r")).select("_r.*")
+
+
+def _clusters(spark: SparkSession, clusters_dir: str) -> StateTable:
+    return StateTable(spark, clusters_dir, "id", every=COMPACT_EVERY, fold=_newest)
 
 
 def cluster_table(spark: SparkSession, clusters_dir: str, below: int | None = None) -> DataFrame | None:
     """The cluster table that I2 has written: per id the row of its last epoch
     (before ``below``, if given); None before the first batch."""
-    rows = _state(spark, clusters_dir)
-    if rows is None:
-        return None
-    if below is not None:
-        rows = rows.where(F.col("epoch") < below)
-    cols = [c for c in rows.columns if c != "epoch"]
-    return rows.groupBy("id").agg(F.max_by(F.struct(*cols), "epoch").alias("_r")).select("_r.*")
+    rows = _clusters(spark, clusters_dir).read(NO_EPOCH if below is None else below)
+    return None if rows is None else _newest(rows).drop("written_at")
 
 
 def cluster_stream(unique: DataFrame, clusters_dir: str, out_dir: str, checkpoint: str,
@@ -170,24 +178,91 @@ def poison_split_stream(envelopes: DataFrame, payload_col: str, schema_ddl: str,
 
 
 def live_board_stream(clustered: DataFrame, state_dir: str, board_dir: str, checkpoint: str, newest: int = 300) -> StreamingQuery:
-    """I8: the board as a table, one version per micro-batch. The state holds
-    the first delivery of each article (cluster_id, article_id, url, arrival,
-    extracted_at), so a repeat in any later batch changes nothing; a cluster
-    appears with its first article."""
+    """I8: the board as a table, one version per micro-batch, by mergeable partials.
+
+    The state holds the ids that were met (so a repeat in any later batch changes nothing)
+    and per cluster and domain how many articles came, when first and the last update. A batch
+    reads the id buckets and the clusters it touches, and the board before it: a cluster
+    that is not touched cannot move up."""
     cols = ["cluster_id", "article_id", "url", "arrival", "extracted_at"]
 
     def run(df: DataFrame, epoch_id: int) -> None:
         spark = df.sparkSession
-        known = _read_epochs(spark, state_dir, epoch_id)
-        new = first_deliveries(df.select(*cols))
+        ids = StateTable(spark, f"{state_dir}/ids", "article_id", every=COMPACT_EVERY)
+        partials = StateTable(spark, f"{state_dir}/partials", "cluster_id", every=COMPACT_EVERY, fold=merge_partials)
+        new = first_deliveries(df.select(*cols)).persist()
+        known = ids.read(epoch_id, _buckets(ids, new))
         if known is not None:
-            new = new.join(known.select("article_id"), "article_id", "left_anti")
-        _write_epoch(new.select(*cols), state_dir, epoch_id)
-        _write_epoch(board_fold(_read_epochs(spark, state_dir, epoch_id + 1).select(*cols), newest), board_dir, epoch_id)
+            new = new.join(known, "article_id", "left_anti")
+        part = board_partials(new).persist()
+        touched = part.select("cluster_id").distinct()
+        before = partials.read(epoch_id, _buckets(partials, touched))
+        merged = part if before is None else merge_partials(part.unionByName(before.join(touched, "cluster_id", "left_semi")))
+        rows = board_of(merged)
+        shown = _read_epochs(spark, board_dir, epoch_id, newest_only=True)
+        if shown is not None:
+            rows = rows.unionByName(shown.join(touched, "cluster_id", "left_anti").select(*rows.columns))
+        _write_epoch(newest_clusters(rows, newest), board_dir, epoch_id)
+        ids.append(new.select("article_id"), epoch_id)
+        partials.append(part, epoch_id)
+        new.unpersist()
+        part.unpersist()
+        ids.compact(epoch_id)
+        partials.compact(epoch_id)
     return (clustered.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
                      .trigger(availableNow=True).start())
 
 
+def _buckets(state: StateTable, rows: DataFrame) -> list[int]:
+    """The state's buckets that some rows fall into."""
+    return [r.b for r in rows.select(state.bucket(F.col(state.key)).alias("b")).distinct().collect()]
+
+
+def decay_stream(ticks: DataFrame, clusters_dir: str, status_dir: str, out_dir: str, checkpoint: str, ts: str = "ts",
+                 half_life_hours: float = 6.0, decayed_below: float = 0.05) -> StreamingQuery:
+    """At every trigger (the newest ``ts`` of its ticks is its time) the active clusters whose score has
+    fallen below the limit become ``decayed`` by a versioned update of their own
+    (version + 1, see :func:`with_status`) and are emitted once, to ``out_dir``. A cluster that
+    gets articles after that has a higher version and is active again."""
+    def run(df: DataFrame, epoch_id: int) -> None:
+        spark = df.sparkSession
+        now = df.agg(F.max(F.col(ts).cast("timestamp")).alias("now")).first().now
+        current = cluster_table(spark, clusters_dir)
+        if now is None or current is None:
+            return
+        state = _statuses(spark, status_dir)
+        active = with_status(current, state.read(epoch_id)).where("status = 'active'")
+        gone = (RP.decay(active, now, half_life_hours, decayed_below).where("status = 'decayed'")
+                .withColumn("version", F.col("version") + 1).withColumn("decayed_at", F.lit(now))
+                .select("id", "status", "decay_score", "lifetime_hours", "version", "decayed_at").persist())
+        _write_epoch(gone, out_dir, epoch_id)
+        state.append(gone, epoch_id)
+        gone.unpersist()
+        state.compact(epoch_id)
+    return ticks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _highest(rows: DataFrame) -> DataFrame:
+    cols = rows.columns
+    return rows.groupBy("id").agg(F.max_by(F.struct(*cols), "version").alias("_r")).select("_r.*")
+
+
+def _statuses(spark: SparkSession, status_dir: str) -> StateTable:
+    return StateTable(spark, status_dir, "id", every=COMPACT_EVERY, fold=_highest)
+
+
+def with_status(clusters: DataFrame, updates: DataFrame | None) -> DataFrame:
+    """The cluster table under the status updates of the decay job: an update counts
+    while its version is higher than the cluster's."""
+    if updates is None:
+        return clusters
+    u = _highest(updates).select("id", F.col("status").alias("_s"), F.col("decay_score").alias("_d"), F.col("version").alias("_v"))
+    newer = F.col("_v") > F.col("version")
+    pick = lambda new, old: F.when(newer, F.col(new)).otherwise(F.col(old))
+    return (clusters.join(u, "id", "left").withColumn("status", pick("_s", "status")).withColumn("decay_score", pick("_d", "decay_score"))
+            .withColumn("version", pick("_v", "version")).select(*clusters.columns))
+
+
 def _write_epoch(df: DataFrame, path: str, epoch_id: int) -> None:
     """One epoch of a state table; a replayed epoch replaces itself."""
     (df.withColumn("epoch", F.lit(epoch_id)).write.mode("overwrite").partitionBy("epoch")
@@ -199,3 +274,37 @@ def retain_stream(events: DataFrame, ts: str = "ts", days: int = 7, now: str | N
     are dropped, statelessly."""
     at = F.current_timestamp() if now is None else F.lit(now).cast("timestamp")
     return events.where(F.col(ts).cast("timestamp") >= F.timestamp_add("DAY", F.lit(-days), at))
+
+
+def _pending(queue: DataFrame) -> DataFrame:
+    """Keys marked since they were last taken: ``(key, marked_at, step, taken)``."""
+    last = F.coalesce(F.max(F.when(F.col("taken"), F.col("step"))), F.lit(-1)).alias("last")
+    marks = queue.where(~F.col("taken")).join(queue.groupBy("key").agg(last), "key").where(F.col("step") > F.col("last"))
+    return marks.groupBy("key").agg(F.min("marked_at").alias("marked_at"), F.max("step").alias("step")).withColumn("taken", F.lit(False))
+
+
+def changed_keys_stream(marks: DataFrame, state_dir: str, out_dir: str, checkpoint: str, entity: str, n: int = 50,
+                        entity_col: str = "entity", key_col: str = "key", order_col: str = "marked_at") -> StreamingQuery:
+    """G2 as a queue: every micro-batch adds its marks of ``entity`` and takes the ``n`` waiting keys
+    that were marked first, each once however often it was marked. A key marked again after it was
+    taken waits again. State: the waiting keys (a snapshot holds nothing else)."""
+    def run(df: DataFrame, epoch_id: int) -> None:
+        queue = StateTable(df.sparkSession, state_dir, "key", every=COMPACT_EVERY, fold=_pending)
+        new = (df.where((F.col(entity_col) == entity) & F.col(key_col).isNotNull())
+               .groupBy(F.col(key_col).alias("key")).agg(F.min(order_col).alias("marked_at"))
+               .withColumn("step", F.lit(2 * epoch_id).cast("long")).withColumn("taken", F.lit(False)))
+        before = queue.read(epoch_id)
+        rows = new if before is None else new.unionByName(before)
+        took = _pending(rows).orderBy("marked_at", "key").limit(n).persist()
+        _write_epoch(took.select("key", "marked_at"), out_dir, epoch_id)
+        queue.append(new.unionByName(took.select("key", "marked_at", F.lit(2 * epoch_id + 1).cast("long").alias("step"),
+                                                 F.lit(True).alias("taken"))), epoch_id)
+        took.unpersist()
+        queue.compact(epoch_id)
+    return marks.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def metric_totals_stream(metrics: DataFrame, name: str = "name", value: str = "value") -> DataFrame:
+    """D10 as a stateful aggregate (run it in update mode): the total of every counter
+    that a batch changed. State: one number per name."""
+    return RP.metric_totals(metrics, name, value)

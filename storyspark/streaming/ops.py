@@ -56,6 +56,30 @@ def board_fold(events: DataFrame, newest: int = 300, order: str = "arrival") ->
         "cluster_id", "articles", "updated_at", F.transform("s", lambda x: x["domain"]).alias("sources"))
 
 
+def board_partials(deliveries: DataFrame, order: str = "arrival") -> DataFrame:
+    """What the board needs of some first deliveries, per cluster and domain."""
+    return deliveries.withColumn("domain", source_domain("url")).groupBy("cluster_id", "domain").agg(
+        F.count("*").alias("articles"), F.min(order).alias("first_at"), F.max("extracted_at").alias("updated_at"))
+
+
+def merge_partials(partials: DataFrame) -> DataFrame:
+    """Partials of one cluster and domain as one; merging again changes nothing."""
+    return partials.groupBy("cluster_id", "domain").agg(
+        F.sum("articles").alias("articles"), F.min("first_at").alias("first_at"), F.max("updated_at").alias("updated_at"))
+
+
+def board_of(partials: DataFrame) -> DataFrame:
+    """Merged partials -> a board row per cluster (its domains, so a list is bounded by them)."""
+    return partials.groupBy("cluster_id").agg(
+        F.sum("articles").alias("articles"), F.max("updated_at").alias("updated_at"),
+        F.sort_array(F.collect_list(F.struct("first_at", "domain"))).alias("s")).select(
+        "cluster_id", "articles", "updated_at", F.transform("s", lambda x: x["domain"]).alias("sources"))
+
+
+def newest_clusters(board: DataFrame, newest: int) -> DataFrame:
+    return board.orderBy(F.desc("updated_at"), "cluster_id").limit(newest)
+
+
 def retain(df: DataFrame, ts_col: str = "ts", seconds: int = 7 * 24 * 3600) -> DataFrame:
     """Keep rows within ``seconds`` of the newest one, which the plan looks
     up itself (a one-row aggregate, broadcast)."""
