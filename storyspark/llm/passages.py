@@ -11,8 +11,8 @@ earlier block holds earlier documents):
    holds them first and sends these passages, as text, to the blocks where they recur.
 3. Locate: a block compiles its passages into Aho-Corasick automata and streams all its
    documents through them. An automaton knows the aligned pieces of ``PIECE`` words of its
-   passages, over an alphabet with one letter per word: any ``WINDOW`` words of a passage
-   hold a whole piece, so no occurrence is missed. Windows around a hit are compared with the
+   passages, each word spelled by ``DIGITS`` digits of its number: any ``WINDOW`` words of a
+   passage hold a whole piece, so no occurrence is missed. Windows around a hit are compared with the
    passage word by word; those of a smaller doc_id are removed.
 
 The automata are sharded twice: by block, which has only the passages that occur
@@ -43,7 +43,8 @@ WINDOW = 13
 PIECE = (WINDOW + 1) // 2    # aligned pieces of this size: a window holds one whole
 BLOCK_BYTES = 12 << 20       # of text per block, on average
 BUCKET_BYTES = 24 << 20      # of text whose window hashes meet in one bucket, on average
-SHARD_WORDS = 500_000        # words of the passages in one automaton, but whole passages
+SHARD_WORDS = 200_000        # words of the passages in one automaton, but whole passages
+BASE, DIGITS = 64, 3         # nodes of few children are searched fast; numbers beyond BASE ** DIGITS take more digits
 NO_ID = (1 << 63) - 1        # a null id comes after all others
 
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
@@ -235,19 +236,44 @@ class Automaton:
         order = np.argsort(hashes)
         self.hashes, self.places = hashes[order], starts[order]
         self.owners = np.repeat([owner for owner, _ in passages], [len(words) for _, words in passages])[self.places]
+        self.digits = DIGITS
+        while BASE ** self.digits <= len(letter):
+            self.digits += 1
         self.machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
-        text, begin = _spelled(self.letters), 0
+        text, begin = self._spelled(self.letters), 0
         for e in ends.tolist():
             for at in range(begin, e - PIECE + 1, PIECE):
-                self.machine.add_word(text[at:at + PIECE])
+                self.machine.add_word(text[at * self.digits:(at + PIECE) * self.digits])
             begin = e
         self.machine.make_automaton()
 
+    def _spelled(self, letters: np.ndarray) -> str:
+        """Numbers as ``digits`` characters each."""
+        out = np.empty((len(letters), self.digits), np.uint8)
+        for k in range(self.digits - 1, -1, -1):
+            letters, out[:, k] = letters // BASE, letters % BASE + 48
+        return out.tobytes().decode("ascii")
+
+    def hits(self, letters: np.ndarray) -> np.ndarray:
+        """Places of the last words of the pieces found. Words of no passage are zeros; a run
+        of others shorter than a piece can hold none and is not spelled out."""
+        known = letters > 0
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
+        begin, end = edge[::2], edge[1::2]
+        long = end - begin >= PIECE
+        mark = np.zeros(len(letters) + 2, np.int8)
+        mark[begin[long]] += 1
+        mark[end[long] + 1] -= 1                 # with the zero after it, so that runs stay apart
+        place = np.flatnonzero(np.cumsum(mark[:len(letters)], dtype=np.int64) > 0)
+        last = np.fromiter((e for e, _ in self.machine.iter(self._spelled(letters[place]))), np.int64) + 1
+        last = last[last % self.digits == 0] // self.digits - 1      # others start inside a word
+        return place[last]
+
     def removable(self, block: Block) -> np.ndarray:
         """Starts of the windows of the block that a smaller document holds."""
         known = np.array([self.letter.get(w, 0) for w in block.words] or [0], np.int64)
         letters = known[block.ids]
-        hits = np.fromiter((e for e, _ in self.machine.iter(_spelled(letters))), np.int64)
+        hits = self.hits(letters)
         if not len(hits):
             return hits
         # a window holds the piece that ends at e if it starts WINDOW - 1 to PIECE - 1 words before e
@@ -265,11 +291,6 @@ class Automaton:
         return start[equal]
 
 
-def _spelled(letters: np.ndarray) -> str:
-    """Letter numbers as characters, without the surrogates."""
-    return np.where(letters < 0xD800, letters, letters + 0x800).astype("<u4").tobytes().decode("utf-32-le")
-
-
 def _shards(passages: pa.Table) -> Iterator[list[tuple[int, list[str]]]]:
     held, size = [], 0
     for owner, words in zip(passages.column("owner").to_pylist(), passages.column("words").to_pylist()):

@@ -106,3 +106,18 @@ def test_packed_values_round_trip():
         for top in (1 << 8, 1 << 40, 1 << 64):
             v = np.sort(r.integers(0, top, n, np.uint64, endpoint=False) if top < 1 << 64 else r.integers(0, (1 << 64) - 1, n, np.uint64))
             assert (S.unpacked(S.packed(v)) == v).all()
+
+
+def test_many_words_take_more_digits(monkeypatch):
+    monkeypatch.setattr(S, "BASE", 4)
+    r = random.Random(3)
+    text = [f"w{r.randrange(90)}" for _ in range(400)]
+    machine = S.Automaton([(1, text[:200]), (2, text[200:])])
+    assert machine.digits > S.DIGITS
+    letters = np.array([machine.letter[w] for w in text])
+    found = set(machine.hits(letters).tolist())
+    want = {i + S.PIECE - 1 for i in range(len(text) - S.PIECE + 1)
+            if any(text[i:i + S.PIECE] == part[k:k + S.PIECE] for part in (text[:200], text[200:]) for k in range(0, 200 - S.PIECE + 1, S.PIECE))}
+    assert found == want
+    letters[50:53] = 0
+    assert set(machine.hits(letters).tolist()) == {e for e in want if e < 50 or e - S.PIECE + 1 > 52}
