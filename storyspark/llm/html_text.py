@@ -5,7 +5,7 @@ per block element, each with its characters and tags. The text-to-tag ratios of
 the lines are smoothed with a Gaussian; lines at or above the standard deviation
 form the content clusters (Weninger et al., "CETR", 2010). The clusters choose
 the content: the ``article`` or ``main`` with most cluster text and those beside it (of the same
-parent) that have some too, else the deepest element that holds ``SHARE`` of it. Every
+parent) that have a fifth of that or more, else the deepest element that holds ``SHARE`` of it. Every
 line inside it that is not marked as page furniture (element, role, or a class or id) is
 text; short lines stay. A class or id marks furniture if all its parts are furniture
 words or words for boxes, and one is a furniture word (``share-buttons``, not
@@ -231,7 +231,7 @@ def main_text(html: str | None) -> str:
     named = [e for e in parser.elements if e.name in ("article", "main") and not e.noise and mass[e.number]]
     if named:
         best = max(named, key=lambda e: (mass[e.number], e.number))     # the inner one of equals
-        chosen = {e.number for e in named if e.parent is best.parent}
+        chosen = {e.number for e in named if e.parent is best.parent and mass[e.number] >= (1 - SHARE) * mass[best.number]}
     else:
         chosen = parser.elements[0]
         for e in parser.elements[1:]:
