@@ -417,9 +417,10 @@ WITH u AS (
   UNION ALL
   SELECT l_orderkey, l_linenumber, 'l' || l_orderkey || '-' || l_linenumber, l_shipdate, l_extendedprice,
          l_partkey, l_suppkey FROM lineitem)
-SELECT k, arg_min(id, row(o1, o2)) AS id, arg_min(created_at, row(o1, o2)) AS created_at,
-       max(version) AS version, arg_min(payload, row(-version, o1, o2)) AS payload
-FROM u GROUP BY k""")
+SELECT f.k, f.id, f.created_at, w.version, w.payload
+FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY o1, o2) AS r FROM u) f
+JOIN (SELECT *, row_number() OVER (PARTITION BY k ORDER BY version DESC, o1, o2) AS r FROM u) w ON w.k = f.k
+WHERE f.r = 1 AND w.r = 1""")
 def q_upsert_versioned(spark, sf):
     """A4 / A5: versioned upsert of every lineitem (version = line number)
     into the orders table; id and created_at stay as first inserted."""
