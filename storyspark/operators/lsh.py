@@ -6,29 +6,35 @@ that share the key of any of ``tables`` keys are candidates and are checked
 exactly. ``plan_bands`` takes the cheapest (bits, tables) that finds a pair at the
 threshold with the wanted probability (closer pairs are found more surely).
 
-Scale: rows are narrow (id, 256-bit sketch, key) and there are ``tables`` of them per distinct
-vector, so the shuffle is linear. A small bucket is joined with itself; the
-Hamming distance of the sketches drops nearly all chance pairs before any vector is
-fetched. A bucket of more than ``PAIR_BUCKET`` vectors (a hot signature) is never
-joined: it is cut into blocks whose products run in tasks of bounded size and emit only
-pairs at the threshold. Copies of one vector are one row throughout.
+Scale: each distinct vector gives ``tables`` rows of its place, the key and its signature (the
+bits of all keys, padded until chance pairs seldom pass), so the shuffle is linear. A
+bucket is compared in one task by the Hamming distance of the signatures, which drops nearly all
+chance pairs before any vector is fetched; a pair is handed on by the first table it
+shares only. A bucket of more than ``PAIR_BUCKET`` vectors (a hot signature) is cut into blocks that
+meet in tasks of bounded size. Copies of one vector are one row throughout.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .vectors import BLOCK_ROWS, _block_product, _unit32, distinct_vectors, pair_report, vec_bytes
-
-PAIR_BUCKET = 64         # distinct vectors up to which a bucket is joined with itself
-SKETCH_WORDS = 4         # 64-bit words of the sketch
+from .vectors import TILE, _unit32, distinct_vectors, pair_report, vec_bytes
+
+PAIR_BUCKET = 8192       # distinct vectors up to which one task compares a bucket
+BLOCK_ROWS = 4096        # vectors of a hot bucket's block
+ROW_COST = 1000          # moving a row against comparing two signatures
+SKETCH_WORDS = 4         # 64-bit words of the shortest signature
+MAX_WORDS = 32
+CHANCE_Z = 3.7           # a signature is long enough when chance pairs lie so many standard deviations beyond the limit
 SKETCH_SLACK = 4.0       # standard deviations a pair at the threshold may differ more than expected
 MAX_BITS = 48
 SEED = 11
@@ -39,63 +45,95 @@ def agreement(threshold: float) -> float:
     return 1 - math.acos(max(-1.0, min(1.0, threshold))) / math.pi
 
 
-def plan_bands(rows: int, threshold: float, recall: float) -> tuple[int, int]:
+def plan_bands(rows: int, threshold: float, recall: float, row_cost: float = 8) -> tuple[int, int]:
     """(bits per key, tables): the recall is reached at the threshold, and rows moved
-    plus chance pairs met in the buckets are fewest."""
+    (each as costly as ``row_cost`` pairs) plus chance pairs met in the buckets are fewest."""
     p, best = agreement(threshold), None
     for bits in range(1, MAX_BITS + 1):
         hit = p ** bits
         tables = 1 if hit >= recall else math.ceil(math.log(1 - recall) / math.log1p(-hit))
-        cost = tables * (8 + rows / 2 ** bits)
+        cost = tables * (row_cost + rows / 2 ** bits)
         if best is None or cost < best[0]:
             best = (cost, bits, tables)
     return best[1], best[2]
 
 
-def sketch_limit(threshold: float) -> int:
-    """Differing sketch bits up to which a pair stays a candidate."""
-    n, q = 64 * SKETCH_WORDS, 1 - agreement(threshold)
+def sketch_limit(threshold: float, words: int = SKETCH_WORDS) -> int:
+    """Differing signature bits up to which a pair stays a candidate."""
+    n, q = 64 * words, 1 - agreement(threshold)
     return min(n, math.ceil(n * q + SKETCH_SLACK * math.sqrt(n * q * (1 - q))))
 
 
-def _packed_bits(side: np.ndarray, width: int) -> np.ndarray:
-    """Rows of booleans -> rows of signed 64-bit numbers of ``width`` bits each."""
-    grouped = side.reshape(len(side), -1, width)
-    out = np.zeros(grouped.shape[:2], np.uint64)
-    for i in range(width):
-        out = out << np.uint64(1) | grouped[:, :, i].astype(np.uint64)
-    return out.view(np.int64)
+def signature_words(threshold: float, bits: int, tables: int) -> int:
+    """64-bit words of a signature: sketch and all keys, and enough for the limit to tell chance pairs."""
+    words = SKETCH_WORDS - (-bits * tables // 64)
+    while words < MAX_WORDS and 32 * words - CHANCE_Z * math.sqrt(16 * words) < sketch_limit(threshold, words):
+        words += 1
+    return words
+
 
+def signatures(vecs: DataFrame, bits: int, tables: int, seed: int = SEED, keep: tuple[str, ...] = ("vid1", "vid2"),
+               words: int = 0) -> DataFrame:
+    """``(*keep, vb, sig binary, keys array<long>)`` of ``vecs(vec, ...)``; the signature has
+    ``SKETCH_WORDS``, the bits of the keys and what ``words`` words need besides. Vectors of another dimension have planes of their own and another key space."""
+    start, width = 64 * SKETCH_WORDS, max(64 * words, 64 * SKETCH_WORDS + bits * tables)
 
-def signatures(vecs: DataFrame, bits: int, tables: int, seed: int = SEED, keep: tuple[str, ...] = ("vid1", "vid2")) -> DataFrame:
-    """``(*keep, vb, sketch array<long>, keys array<long>)`` of ``vecs(vec, ...)``.
-    Vectors of another dimension have planes of their own and another key space."""
-    @F.pandas_udf("sketch array<long>, keys array<long>")
+    @F.pandas_udf("sig binary, keys array<long>")
     def sign(blobs: pd.Series) -> pd.DataFrame:
-        sketch, keys = np.empty(len(blobs), object), np.empty(len(blobs), object)
+        sig, keys = np.empty(len(blobs), object), np.empty(len(blobs), object)
         size = blobs.str.len().to_numpy()
         for d in np.unique(size):
             at = np.flatnonzero(size == d)
-            planes = np.random.default_rng([seed, int(d)]).standard_normal((d // 4, 64 * SKETCH_WORDS + bits * tables), np.float32)
+            planes = np.random.default_rng([seed, int(d)]).standard_normal((d // 4, width), np.float32)
             side = _unit32([blobs.iat[i] for i in at]) @ planes >= 0
-            for i, s, k in zip(at, _packed_bits(side[:, :64 * SKETCH_WORDS], 64), _packed_bits(side[:, 64 * SKETCH_WORDS:], bits)):
-                sketch[i], keys[i] = s, k ^ ((int(d) & 0xFFF) << 50)
-        return pd.DataFrame({"sketch": sketch, "keys": keys})
+            key = side[:, start:start + bits * tables].reshape(len(at), tables, bits) @ (1 << np.arange(bits, dtype=np.int64)[::-1])
+            for i, s, k in zip(at, np.packbits(side, axis=1), key):
+                sig[i], keys[i] = s.tobytes(), k ^ ((int(d) & 0xFFF) << 50)
+        return pd.DataFrame({"sig": sig, "keys": keys})
 
     return (vecs.select(*keep, vec_bytes("vec").alias("vb")).withColumn("s", sign("vb"))
-            .select(*keep, "vb", "s.sketch", "s.keys"))
-
-
-def _differing(a: str, b: str):
-    words = [F.bit_count(F.col(f"{a}.sketch")[i].bitwiseXOR(F.col(f"{b}.sketch")[i])) for i in range(SKETCH_WORDS)]
-    return sum(words[1:], words[0])
+            .select(*keep, "vb", "s.sig", "s.keys"))
+
+
+def _near_signatures(bits: int, tables: int, limit: int):
+    """One bucket, or two blocks of it -> the pairs within the limit whose first shared key this is."""
+    start = 64 * SKETCH_WORDS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches))
+        t, lo, hi = (table.column(c)[0].as_py() for c in ("t", "lo", "hi"))
+        place, own = (table.column(c).to_numpy() for c in ("place", "own"))
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint64).reshape(len(place), -1)
+        left = np.flatnonzero(own == lo)
+        right = left if lo == hi else np.flatnonzero(own == hi)
+        step = max(1, TILE // max(len(right), 1))
+        for at in range(0, len(left), step):
+            some = left[at:at + step]
+            apart = np.zeros((len(some), len(right)), np.uint16)
+            for w in range(sig.shape[1]):
+                apart += np.bitwise_count(sig[some, w][:, None] ^ sig[right, w][None, :])
+            i, j = np.nonzero(apart <= limit)
+            i, j = some[i], right[j]
+            for k in range(0, len(i), 1 << 15):
+                a, b = i[k:k + (1 << 15)], j[k:k + (1 << 15)]
+                if lo == hi:
+                    a, b = a[a < b], b[a < b]
+                same = np.unpackbits((sig[a] ^ sig[b]).view(np.uint8), axis=1)[:, start:start + bits * tables]
+                same = ~same.reshape(len(a), tables, bits).any(axis=2)
+                ok = same.argmax(axis=1) == t
+                a, b = place[a[ok]], place[b[ok]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["i", "j"])
+    return run
 
 
 @F.pandas_udf(T.DoubleType())
 def _cosine(x: pd.Series, y: pd.Series) -> pd.Series:
-    a = np.frombuffer(b"".join(x), np.float32).reshape(len(x), -1).astype(np.float64) if len(x) else np.empty((0, 1))
-    b = np.frombuffer(b"".join(y), np.float32).reshape(len(y), -1).astype(np.float64) if len(y) else np.empty((0, 1))
-    return pd.Series(np.minimum(np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)), 1.0))
+    out, size = np.empty(len(x)), x.str.len().to_numpy()
+    for d in np.unique(size):
+        at = np.flatnonzero(size == d)
+        a, b = (np.frombuffer(b"".join([v.iat[i] for i in at]), np.float32).reshape(len(at), -1).astype(np.float64) for v in (x, y))
+        out[at] = np.minimum(np.einsum("ij,ij->i", a, b) / (np.linalg.norm(a, axis=1) * np.linalg.norm(b, axis=1)), 1.0)
+    return pd.Series(out)
 
 
 def neighbors_lsh(vecs: DataFrame, threshold: float, recall: float = 0.99, bits: int | None = None, tables: int | None = None,
@@ -103,39 +141,28 @@ def neighbors_lsh(vecs: DataFrame, threshold: float, recall: float = 0.99, bits:
     """``(vid1, vid2, nvid1, nvid2, score)``: pairs of ``vecs(vid1, vid2, vec)`` with cosine >=
     threshold, each once. A pair is found with probability ``recall`` or more; scores are exact."""
     if bits is None or tables is None:
-        bits, tables = plan_bands(max(vecs.count(), 1), threshold, recall)
-    signed = cut_lineage(signatures(vecs, bits, tables))
-    rows = signed.select("vid1", "vid2", "sketch", F.posexplode("keys").alias("t", "key"))
-    sizes = cut_lineage(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"))
-
-    members = rows.join(sizes.where(F.col("n") <= pair_bucket), ["t", "key"])
-    a, b = members.alias("a"), members.alias("b")
-    earlier = (F.col("a.vid1") < F.col("b.vid1")) | ((F.col("a.vid1") == F.col("b.vid1")) & (F.col("a.vid2") < F.col("b.vid2")))
-    pairs = (a.join(b, (F.col("a.t") == F.col("b.t")) & (F.col("a.key") == F.col("b.key")) & earlier
-                    & (_differing("a", "b") <= sketch_limit(threshold)))
-             .select(F.col("a.vid1").alias("vid1"), F.col("a.vid2").alias("vid2"),
-                     F.col("b.vid1").alias("nvid1"), F.col("b.vid2").alias("nvid2")).distinct())
-    vb = signed.select("vid1", "vid2", "vb")
-    other = vb.select(F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"), F.col("vb").alias("nvb"))
-    found = (pairs.join(vb, ["vid1", "vid2"]).join(other, ["nvid1", "nvid2"]).where(F.length("vb") == F.length("nvb"))
-             .withColumn("score", _cosine("vb", "nvb")).where(F.col("score") >= threshold)
-             .select("vid1", "vid2", "nvid1", "nvid2", "score"))
-
-    hot = sizes.where(F.col("n") > pair_bucket)
-    if hot.isEmpty():
-        return found
-    # a hot bucket in blocks of block_rows; a row goes once to every pair its block is part of
-    n_blocks = F.ceil(F.col("n") / block_rows).cast("int")
-    dealt = (rows.join(hot, ["t", "key"]).withColumn("own", F.pmod("vid2", n_blocks).cast("int"))
-             .withColumn("with", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-             .select("t", "key", "vid1", "vid2", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi"))
-             .join(vb, ["vid1", "vid2"]))
-    product = _block_product(threshold)
-    near = dealt.groupBy("t", "key", "lo", "hi").applyInArrow(product, "vid1 long, vid2 long, nvid1 long, nvid2 long, score double")
-    swap = (F.col("vid1") > F.col("nvid1")) | ((F.col("vid1") == F.col("nvid1")) & (F.col("vid2") > F.col("nvid2")))
-    near = near.select(*[F.when(swap, F.col(y)).otherwise(F.col(x)).alias(x) for x, y in
-                         (("vid1", "nvid1"), ("vid2", "nvid2"), ("nvid1", "vid1"), ("nvid2", "vid2"))], "score")
-    return found.unionByName(near).groupBy("vid1", "vid2", "nvid1", "nvid2").agg(F.max("score").alias("score"))
+        bits, tables = plan_bands(max(vecs.count(), 1), threshold, recall, ROW_COST)
+    words = signature_words(threshold, bits, tables)
+    # a vector's place: its partition and its number there, fixed by the checkpoint
+    signed = cut_lineage(signatures(vecs, bits, tables, words=words).withColumn("place", F.monotonically_increasing_id()))
+    rows = signed.select("place", "sig", F.posexplode("keys").alias("t", "key"))
+    sizes = signed.select(F.posexplode("keys").alias("t", "key")).groupBy("t", "key").agg(F.count("*").alias("n"))
+    hot = cut_lineage(sizes.where(F.col("n") > pair_bucket))
+    none = F.lit(0)
+    dealt = rows.select("t", "key", "place", "sig", none.alias("own"), none.alias("lo"), none.alias("hi"))
+    if not hot.isEmpty():
+        # a hot bucket in blocks of block_rows; a row goes once to every pair its block is part of
+        n_blocks = F.coalesce(F.ceil(F.col("n") / block_rows).cast("int"), F.lit(1))
+        dealt = (rows.join(F.broadcast(hot), ["t", "key"], "left").withColumn("own", F.pmod(F.xxhash64("place"), n_blocks).cast("int"))
+                 .withColumn("with", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
+                 .select("t", "key", "place", "sig", "own", F.least("own", "with").alias("lo"), F.greatest("own", "with").alias("hi")))
+    pairs = dealt.groupBy("t", "key", "lo", "hi").applyInArrow(
+        _near_signatures(bits, tables, sketch_limit(threshold, words)), "i long, j long")
+    a = signed.select(F.col("place").alias("i"), "vid1", "vid2", "vb")
+    b = signed.select(F.col("place").alias("j"), F.col("vid1").alias("nvid1"), F.col("vid2").alias("nvid2"), F.col("vb").alias("nvb"))
+    return (pairs.join(a, "i").join(b, "j").where(F.length("vb") == F.length("nvb"))
+            .withColumn("score", _cosine("vb", "nvb")).where(F.col("score") >= threshold)
+            .select("vid1", "vid2", "nvid1", "nvid2", "score"))
 
 
 def vector_pairs_lsh(df: DataFrame, id_col: str, order_col: str, vec_col: str, threshold: float = 0.92,

@@ -117,3 +117,14 @@ def test_empty_index(spark, tmp_path):
     IX.write_index(nothing, str(tmp_path / "ix"))
     q = spark.createDataFrame([("a", [1.0, 2.0])], "query_id string, qvec array<double>")
     assert IX.search(spark, str(tmp_path / "ix"), q).count() == 0
+
+
+def test_a_pair_in_many_buckets_comes_once(spark):
+    """Near copies share nearly every key; vectors of two dimensions meet in one batch."""
+    r = np.random.default_rng(12)
+    vectors = (r.standard_normal(32) + 0.02 * r.standard_normal((60, 32))).astype(np.float32)
+    df = frame(spark, vectors, [(2000, [1.0, 2.0]), (2001, [2.0, 4.1])])
+    for bucket in (L.PAIR_BUCKET, 20):
+        near = L.neighbors_lsh(VE.distinct_vectors(df, "embedding"), 0.92, bits=4, tables=30, pair_bucket=bucket, block_rows=16)
+        assert near.count() == near.select("vid1", "vid2", "nvid1", "nvid2").distinct().count() == 60 * 59 // 2 + 1
+    assert L.signature_words(0.5, 7, 77) > L.SKETCH_WORDS       # 256 bits do not tell chance pairs at 0.5

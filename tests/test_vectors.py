@@ -80,3 +80,17 @@ def test_a_batch_against_a_state(spark):
     for block, pivots in ((2048, 4), (8, 256), (8, 2)):
         got = VE.vector_neighbors(vecs, 0.6, False, block, pivots, asking=asking)
         assert {(x.vid1, x.nvid1) for x in got.collect()} == want
+
+
+def test_pairs_come_from_the_blocks_without_a_shuffle(spark):
+    r = np.random.default_rng(6)
+    m = r.normal(size=(300, 8)).astype(np.float32)
+    vecs = _table(spark, np.concatenate([m, m, m[:1].repeat(50, axis=0)]))
+    v1, v2 = VE.vector_id("embedding")
+    packed = VE.pack_blocks(vecs.select(v1.alias("vid1"), v2.alias("vid2"), F.col("embedding").alias("vec")), block_rows=64)
+    assert packed.select(F.sum(F.size("rows"))).first()[0] == 300       # copies are packed once
+    pairs = VE.block_pairs(packed, packed, 0.5)
+    plan = pairs._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and "Exchange" not in plan
+    u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
+    assert pairs.count() == np.count_nonzero(np.triu(u @ u.T, 1) >= 0.5)
