@@ -96,3 +96,18 @@ def test_exact_quantiles_with_hot_value(spark):
         assert got == exp, rows
     one = exact_quantiles(df.where("g = 'g'"), "v", [0.5], rank_rows=100).first()
     assert one.p50 == exp["g"][1]
+
+
+def test_seeds_decide_like_all_neighbours(spark):
+    import numpy as np
+    from storyspark.operators import dedup as DD
+    m = np.random.default_rng(8).normal(size=(200, 12)).astype(np.float32)
+    m[50] = m[3]
+    rows = VE.key_vectors(_arts(spark, [v.tolist() for v in m]), "embedding").cache()
+    packed = VE.pack_blocks(VE.known_vectors(rows, "embedding"), block_rows=64)
+    seeds = CL.seed_neighbors(rows, packed, 0.3, head_rows=16)
+    every = VE.block_pairs(packed, packed, 0.3, include_self=True, both=True)
+    assert seeds.count() < every.count() / 2       # no list of all pairs
+    decide = lambda near: {(r.url_hash, r.kept, r.duplicate_of, r.score) for r in DD.dedup_decide(
+        rows, neighbors=near, use_url=False, use_simhash=False, window_seconds=None).collect()}
+    assert decide(seeds) == decide(every)
