@@ -13,6 +13,7 @@ from collections.abc import Callable
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -113,6 +114,7 @@ def default_extractor(html: str, url: str | None = None) -> dict:
             "date": date[:10] if date else None, "image": w.meta.get("og:image")}
 
 
+PAGE_ROWS = 64     # pages that a worker holds as Python strings
 _OUT = T.StructType([T.StructField(f"x_{c}", T.StringType()) for c in ("text", "title", "author", "date", "image")])
 
 
@@ -124,16 +126,19 @@ def extract_pages(pages: DataFrame, extractor: Callable[[str, str], dict] | None
     pages: the extractor is an Arrow UDF beside the other columns."""
     fn = extractor or default_extractor
 
-    @F.pandas_udf(_OUT)
-    def run(html: pd.Series, url: pd.Series) -> pd.DataFrame:
-        rows = []
-        for h, u in zip(html, url):
-            try:
-                x = fn(h, u) or {}
-            except Exception:  # noqa: BLE001 - extractor failure drops the page
-                x = {}
-            rows.append([x.get(c) for c in ("text", "title", "author", "date", "image")])
-        return pd.DataFrame(rows, columns=_OUT.names, dtype=object)
+    @F.arrow_udf(_OUT)
+    def run(html: pa.Array, url: pa.Array) -> pa.Array:
+        found = []
+        for at in range(0, len(html), PAGE_ROWS):    # only so many pages at a time are Python strings
+            rows = []
+            for h, u in zip(html[at:at + PAGE_ROWS].to_pylist(), url[at:at + PAGE_ROWS].to_pylist()):
+                try:
+                    x = fn(h, u) or {}
+                except Exception:  # noqa: BLE001 - extractor failure drops the page
+                    x = {}
+                rows.append([x.get(c) for c in ("text", "title", "author", "date", "image")])
+            found.append(pa.StructArray.from_arrays([pa.array(v, pa.string()) for v in zip(*rows)], _OUT.names))
+        return pa.concat_arrays(found) if found else pa.array([], pa.struct([(c, pa.string()) for c in _OUT.names]))
 
     x = pages.withColumn("_x", run(F.col(html_col), F.col("url"))).select("page_id", "url", html_col, "_x.*")
     return (x.where(min_content_ok("x_text", min_chars))

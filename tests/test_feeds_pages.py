@@ -169,3 +169,18 @@ def test_extractor_keeps_text_found_before_a_failure(monkeypatch):
     monkeypatch.setattr(P._Walker, "handle_starttag", breaks)
     out = P.default_extractor("<p>first part</p><p>second part<video><p>lost</p>")
     assert out["text"] == "first part\nsecond part" and "p" in seen
+
+
+def test_pages_are_walked_some_at_a_time(spark):
+    from storyspark.sources.pages import PAGE_ROWS, extract_pages
+
+    def extractor(html, url):
+        if "bad" in html:
+            raise ValueError("no")
+        return {"text": html * 60, "author": url}
+
+    n = 3 * PAGE_ROWS + 5
+    rows = [(i, f"https://a.example.com/{i}", None if i == 7 else "bad" if i == PAGE_ROWS else f"{i:04d}") for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r.page_id: r.content for r in extract_pages(pages, extractor).collect()}
+    assert got == {i: f"{i:04d}" * 60 for i in range(n) if i not in (7, PAGE_ROWS)}
