@@ -21,24 +21,27 @@ neither the driver nor a task holds more than one model (40,000 numbers for a mi
 words, growing with the root of their number).
 
 Scoring is a scan that emits each document's network score and its rare words; these
-meet their counts in a join and are summed per document. Long documents are scored in
-blocks of positions.
+meet their counts in a join and are summed per document. The shares of the more frequent of
+them, ``KNOWN`` at most whatever the corpus, go to the workers with the vocabulary, so only the others
+are moved. Long documents are scored in blocks of positions.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
+from .worker import held
 
 CLASSES = 32                     # of CLASSES outputs each, at least
 VOCAB = CLASSES * CLASSES
@@ -52,6 +55,8 @@ RATE = 0.1                       # Adagrad step
 BLOCK = 1 << 14                  # positions scored at a time
 CHUNK_WORDS = 1 << 18            # words turned to ids at a time, but whole documents
 CACHE = 400_000                  # rare words whose bucket a worker remembers
+KNOWN = 1 << 18                  # of these, the most whose shares it is given
+FEW = 8                          # positions up to which the classes of a step are multiplied together
 OFFSETS = [d for d in range(-WINDOW, WINDOW + 1) if d]
 FIXED = 2.0 ** 32                # shares are summed as whole numbers, so order does not matter
 EMITTED = 1 << 16                # rows per Arrow batch of rare words
@@ -71,11 +76,18 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Vocabulary(dict):
-    """word -> output id; a rare word goes to a bucket. Ids end at ``size``."""
+    """word -> output id; a rare word goes to a bucket. Ids end at ``size``. Rare words whose
+    bucket and share are ``given`` (word, bucket, share) have places of their own beyond ``size``."""
 
-    def __init__(self, frequent: list[str], classes: int = CLASSES):
+    def __init__(self, frequent: list[str], classes: int = CLASSES, given: pa.Table | None = None):
         super().__init__((w, i) for i, w in enumerate(frequent))
         self.known, self.size, self.buckets = len(self), classes * classes, buckets_of(classes)
+        self[""] = self.size                                # the pad
+        self.outputs, self.shares = np.arange(self.size + 1), np.zeros(self.size + 1, np.int64)
+        if given is not None:
+            self.update(zip(given.column("word").to_pylist(), range(self.size + 1, self.size + 1 + len(given))))
+            self.outputs = np.concatenate([self.outputs, self.size - self.buckets + given.column("bucket").to_numpy()])
+            self.shares = np.concatenate([self.shares, given.column("share").to_numpy()])
 
     def __missing__(self, word: str) -> int:
         i = self.size - self.buckets + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.buckets
@@ -85,8 +97,9 @@ class Vocabulary(dict):
 
 
 def shapes(classes: int) -> list[tuple[str, tuple[int, ...]]]:
-    return [("embed", (classes * classes + 1, DIM)), ("w", (2 * WINDOW * DIM, HIDDEN)), ("b", (HIDDEN,)), ("cw", (HIDDEN, classes)),
-            ("cb", (classes,)), ("ww", (classes, HIDDEN, classes)), ("wb", (classes, classes))]
+    """The last row of a matrix of weights is the bias."""
+    return [("embed", (classes * classes + 1, DIM)), ("w", (2 * WINDOW * DIM + 1, HIDDEN)), ("cw", (HIDDEN + 1, classes)),
+            ("ww", (classes, HIDDEN + 1, classes))]
 
 
 def size_of(classes: int) -> int:
@@ -118,96 +131,129 @@ def initial(counts: np.ndarray, seed: int = 5) -> np.ndarray:
     flat = np.zeros(size_of(classes), np.float32)
     p = unpacked(flat)
     p["embed"][:] = rng.normal(0, 0.3, p["embed"].shape)
-    p["w"][:] = rng.normal(0, 1 / math.sqrt(p["w"].shape[0]), p["w"].shape)
+    p["w"][:-1] = rng.normal(0, 1 / math.sqrt(2 * WINDOW * DIM), (2 * WINDOW * DIM, HIDDEN))
     share = (counts + 0.5).reshape(classes, classes)
-    p["cb"][:] = np.log(share.sum(1) / share.sum())
-    p["wb"][:] = np.log(share / share.sum(1, keepdims=True))
+    p["cw"][-1] = np.log(share.sum(1) / share.sum())
+    p["ww"][:, -1] = np.log(share / share.sum(1, keepdims=True))
     return flat
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each row; z is overwritten."""
-    z -= z.max(axis=1, keepdims=True)
+    """Of each column; z is overwritten."""
+    z -= z.max(axis=0)
     np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
+    z /= z.sum(axis=0)
     return z
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each row's log-softmax at one place; z is overwritten."""
-    picked, top = z[np.arange(len(z)), at], z.max(axis=1)
-    z -= top[:, None]
+    """Each column's log-softmax at one place; z is overwritten."""
+    z -= z.max(axis=0)
+    picked = z[at, np.arange(len(at))]
     np.exp(z, out=z)
-    return picked - top - np.log(z.sum(axis=1))
+    return picked - np.log(z.sum(axis=0))
 
 
-def _by_class(target: np.ndarray, classes: int) -> tuple[np.ndarray, list[tuple[int, slice]]]:
-    """An order that sorts positions by class, and each class's stretch in it."""
-    cls = (target // classes).astype(np.uint16)
-    order = np.argsort(cls, kind="stable")
-    ends = np.searchsorted(cls[order], np.arange(classes + 1))
-    return order, [(c, slice(a, b)) for c, (a, b) in enumerate(zip(ends[:-1], ends[1:])) if a < b]
+def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order that sorts positions by class, each class's size and its start in it."""
+    sizes = np.bincount(cls, minlength=classes)
+    return np.argsort(cls.astype(np.uint16), kind="stable"), sizes, np.cumsum(sizes) - sizes
+
+
+def _layers(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Input and hidden layer, with a column of ones for the biases."""
+    x = np.ones((len(context), 2 * WINDOW * DIM + 1), p["w"].dtype)
+    x[:, :-1] = p["embed"].take(context, axis=0).reshape(len(context), -1)
+    hidden = np.ones((len(context), HIDDEN + 1), x.dtype)
+    hidden[:, :-1] = np.tanh(x @ p["w"])
+    return x, hidden
 
 
 def log_probs(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p(target | context) of each row; context holds 2 x WINDOW ids."""
-    n, classes = len(target), len(p["cb"])
-    hidden = np.tanh(p["embed"][context].reshape(n, -1) @ p["w"] + p["b"])
-    out = _log_softmax_at(hidden @ p["cw"] + p["cb"], target // classes)
-    order, parts = _by_class(target, classes)
-    h, inner = hidden[order], target[order] % classes
-    for c, part in parts:
-        out[order[part]] += _log_softmax_at(h[part] @ p["ww"][c] + p["wb"][c], inner[part])
+    classes = len(p["ww"])
+    _, hidden = _layers(p, context)
+    cls, inner = np.divmod(target, classes)
+    out = _log_softmax_at(p["cw"].T @ hidden.T, cls)
+    order, sizes, starts = _by_class(cls, classes)
+    h, inner = hidden.take(order, axis=0), inner[order]
+    for c in np.flatnonzero(sizes).tolist():
+        part = slice(starts[c], starts[c] + sizes[c])
+        out[order[part]] += _log_softmax_at(p["ww"][c].T @ h[part].T, inner[part])
     return out
 
 
-def gradient(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Of the mean negative log-probability, as one flat vector."""
-    n, classes = len(target), len(p["cb"])
-    flat = np.zeros(size_of(classes), p["w"].dtype)
-    g = unpacked(flat)
-    x = p["embed"][context].reshape(n, -1)
-    hidden = np.tanh(x @ p["w"] + p["b"])
-    dz = _softmax(hidden @ p["cw"] + p["cb"])
-    dz[np.arange(n), target // classes] -= 1
-    g["cw"][:], g["cb"][:] = hidden.T @ dz, dz.sum(0)
-    dh = dz @ p["cw"].T
-    order, parts = _by_class(target, classes)
-    h, inner = hidden[order], target[order] % classes
-    dz = p["wb"][target[order] // classes]     # per class only the products; the rest over all rows at once
+def gradient(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
+             into: tuple[np.ndarray, dict[str, np.ndarray]] | None = None) -> np.ndarray:
+    """Of the mean negative log-probability, as one flat vector; ``into`` is
+    such a vector and its views, to be overwritten."""
+    n, classes = len(target), len(p["ww"])
+    if into is None:
+        flat = np.empty(size_of(classes), p["w"].dtype)
+        into = flat, unpacked(flat)
+    flat, g = into
+    flat[:] = 0
+    x, hidden = _layers(p, context)
+    cls = target // classes
+    inner = target - cls * classes
+    dz = _softmax(p["cw"].T @ hidden.T)
+    dz[cls, np.arange(n)] -= 1
+    np.matmul(hidden.T, dz.T, out=g["cw"])
+    dh = dz.T @ p["cw"].T
+    # Rows by class: first the classes of many, one product each; then those of few, each filled up
+    # to FEW rows (of zeros, which add nothing) and multiplied in one call
+    order, sizes, starts = _by_class(cls, classes)
+    many, few = np.flatnonzero(sizes > FEW), np.flatnonzero((sizes > 0) & (sizes <= FEW))
+    ends, begin = np.cumsum(sizes[many]), np.zeros(classes, np.int64)
+    begin[many] = ends - sizes[many]
+    full = int(ends[-1]) if len(many) else 0
+    begin[few] = full + FEW * np.arange(len(few))
+    place = np.empty(n, np.int64)
+    place[order] = np.arange(n) + (begin - starts)[cls[order]]
+    h = np.zeros((full + FEW * len(few), HIDDEN + 1), x.dtype)
+    h[place] = hidden
+    dz, back, rest = np.empty((len(h), classes), x.dtype), np.empty_like(h), (len(few), FEW, -1)
+    parts = [(c, slice(e - k, e)) for c, e, k in zip(many.tolist(), ends.tolist(), sizes[many].tolist())]
+    w = p["ww"].take(few, axis=0)
     for c, part in parts:
-        dz[part] += h[part] @ p["ww"][c]
-    dz = _softmax(dz)
-    dz[np.arange(n), inner] -= 1
-    back = np.empty_like(h)
+        np.matmul(h[part], p["ww"][c], out=dz[part])
+    if len(few):
+        dz[full:] = np.matmul(h[full:].reshape(rest), w).reshape(-1, classes)
+    dz = _softmax(dz.T.copy()).T
+    dz[place, inner] -= 1
     for c, part in parts:
         np.matmul(h[part].T, dz[part], out=g["ww"][c])
         np.matmul(dz[part], p["ww"][c].T, out=back[part])
-    g["wb"][[c for c, _ in parts]] = np.add.reduceat(dz, [part.start for _, part in parts])
-    dh[order] += back
-    dh *= 1 - hidden * hidden
-    g["w"][:], g["b"][:] = x.T @ dh, dh.sum(0)
-    dx = (dh @ p["w"].T).reshape(-1, DIM)
-    places = context.reshape(-1, 1) * DIM + np.arange(DIM)
-    g["embed"][:] = np.bincount(places.ravel(), dx.ravel(), p["embed"].size).reshape(-1, DIM)
-    return flat / n
-
-
-def _flat_ids(texts: list[str | None], vocab: Vocabulary) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
-    """Chunks of whole documents: (words per document, ids with WINDOW pads
-    around each document, places of the words in them)."""
-    lengths, ids = [], []
-    pad = [vocab.size] * WINDOW
+    if len(few):
+        d = dz[full:].reshape(rest)
+        g["ww"][few] = np.matmul(h[full:].reshape(rest).transpose(0, 2, 1), d)
+        back[full:] = np.matmul(d, w.transpose(0, 2, 1)).reshape(-1, HIDDEN + 1)
+    dh += back.take(place, axis=0)
+    hidden *= hidden
+    dh *= np.subtract(1, hidden, out=hidden)     # nothing is left of the ones
+    dh = dh[:, :-1]
+    np.matmul(x.T, dh, out=g["w"])
+    places = (context.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
+    np.add.at(g["embed"].reshape(-1), places, (dh @ p["w"][:-1].T).ravel())
+    flat /= n
+    return flat
+
+
+def _flat_ids(texts: list[str | None], vocab: Vocabulary) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
+    """Chunks of whole documents: (words per document, words with WINDOW pads around each
+    document, their places in the vocabulary, the positions that hold a word)."""
+    lengths, held_words = [], []
+    pad = [""] * WINDOW
     for i, text in enumerate(texts):
         words = words_of(text)
         lengths.append(len(words))
-        ids += pad
-        ids += map(vocab.__getitem__, words)
-        ids += pad
-        if len(ids) >= CHUNK_WORDS or i == len(texts) - 1:
-            flat = np.array(ids, np.int32)
-            yield lengths, flat, np.flatnonzero(flat != vocab.size)
-            lengths, ids = [], []
+        held_words += pad
+        held_words += words
+        held_words += pad
+        if len(held_words) >= CHUNK_WORDS or i == len(texts) - 1:
+            flat = np.fromiter(map(vocab.__getitem__, held_words), np.int32, len(held_words))
+            yield lengths, held_words, flat, np.flatnonzero(flat != vocab.size)
+            lengths, held_words = [], []
 
 
 def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng: np.random.Generator,
@@ -216,31 +262,47 @@ def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng:
     (parameters, positions). ``train`` takes them all."""
     flat = start.astype(np.float32).copy()
     p, square, seen = unpacked(flat), np.full(len(flat), 1e-3, np.float32), 0
-    offsets = np.array(OFFSETS)
+    offsets, g, step = np.array(OFFSETS), np.empty_like(flat), np.empty_like(flat)
+    into = g, unpacked(g)
     for batch in texts:
-        for _, ids, places in _flat_ids(batch, vocab):
+        for _, _, known, places in _flat_ids(batch, vocab):
+            ids = vocab.outputs.take(known)
             places = rng.permutation(places if masked >= 1 else places[rng.random(len(places)) < masked])
             for at in range(0, len(places), BATCH):
                 some = places[at:at + BATCH]
-                g = gradient(p, ids[some[:, None] + offsets], ids[some])
-                square += g * g
-                flat -= (RATE * len(some) / BATCH) * g / np.sqrt(square)
+                gradient(p, ids.take(some[:, None] + offsets), ids.take(some), into)
+                np.multiply(g, g, out=step)
+                square += step
+                np.sqrt(square, out=step)
+                np.divide(g, step, out=step)
+                step *= RATE * len(some) / BATCH
+                flat -= step
             seen += len(places)
     return flat, seen
 
 
-def score_texts(texts: list[str | None], vocab: Vocabulary, p: dict[str, np.ndarray]) -> list[tuple[int, float]]:
-    """(words, sum of conditional log-probabilities of the outputs) of each text."""
-    offsets, out = np.array(OFFSETS), []
-    for lengths, ids, places in _flat_ids(texts, vocab):
-        logs = np.empty(len(places))
+def score_chunks(texts: list[str | None], vocab: Vocabulary,
+                 p: dict[str, np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, Counter]]:
+    """Of the texts, some at a time: their words, sums of conditional log-probabilities of
+    the outputs, sums of the shares the vocabulary knows, and how often (text of these, word) of the other rare words occurs."""
+    offsets = np.array(OFFSETS)
+    for lengths, words, known, places in _flat_ids(texts, vocab):
+        ids, logs = vocab.outputs.take(known), np.empty(len(places))
         for at in range(0, len(places), BLOCK):
             some = places[at:at + BLOCK]
-            logs[at:at + BLOCK] = log_probs(p, ids[some[:, None] + offsets], ids[some])
-        sums = np.concatenate([[0.0], np.cumsum(logs)])
+            logs[at:at + BLOCK] = log_probs(p, ids.take(some[:, None] + offsets), ids.take(some))
+        sums, shares = np.concatenate([[0.0], np.cumsum(logs)]), np.concatenate([[0], np.cumsum(vocab.shares.take(known[places]))])
         ends = np.cumsum(lengths)
-        out += [(n, float(sums[e] - sums[e - n])) for n, e in zip(lengths, ends.tolist())]
-    return out
+        starts = ends - lengths
+        other = np.flatnonzero((known >= vocab.size - vocab.buckets) & (known < vocab.size))
+        text = np.searchsorted(ends + 2 * WINDOW * np.arange(1, len(ends) + 1), other, side="right")
+        yield (lengths, sums[ends] - sums[starts], shares[ends] - shares[starts],
+               Counter(zip(text.tolist(), map(words.__getitem__, other.tolist()))))
+
+
+def score_texts(texts: list[str | None], vocab: Vocabulary, p: dict[str, np.ndarray]) -> list[tuple[int, float]]:
+    """(words, sum of conditional log-probabilities of the outputs) of each text."""
+    return [pair for lengths, sums, _, _ in score_chunks(texts, vocab, p) for pair in zip(lengths, sums.tolist())]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -265,53 +327,74 @@ def count_words(docs: DataFrame) -> DataFrame:
 
 def word_counts(docs: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
     """The most frequent words of all texts; the counts of all outputs, theirs
-    and the buckets'; and the table ``(word, share)`` of all other words, the log
-    of a word's share of its bucket as a multiple of 1 / FIXED. A histogram
-    of the counts finds how frequent a word must be, so the driver is sent
+    and the buckets'; and the table ``(word, bucket, share, known)`` of all other words, the log
+    of a word's share of its bucket as a multiple of 1 / FIXED and whether it is one of the ``KNOWN`` most
+    frequent. A histogram of the counts finds how frequent a word must be, so the driver is sent
     little more than the words it keeps."""
     counts = cut_lineage(count_words(docs).withColumn("size", F.floor(F.log2("n") * 8).cast("int")))
     sizes = counts.groupBy("size").agg(F.count("*").alias("words")).collect()
     classes = classes_for(sum(r.words for r in sizes))
     buckets = buckets_of(classes)
     kept = classes * classes - buckets
+    sizes = sorted(sizes, key=lambda r: -r.size)
     wanted, least = kept, None
-    for r in sorted(sizes, key=lambda r: -r.size):
+    for r in sizes:
         wanted -= r.words
         least = r.size
         if wanted <= 0:
             break
+    room, known = kept + KNOWN, None
+    for r in sizes:
+        room -= r.words
+        if room < 0:
+            break
+        known = r.size
     top = [(r.word, r.n) for r in counts.where(F.col("size") >= F.lit(least)).orderBy(F.desc("n"), "word").limit(kept).collect()]
     word, n = top[-1] if top else ("", 0)
     others = (counts.where((F.col("n") < n) | ((F.col("n") == n) & (F.col("word") > F.lit(word))))
               .withColumn("bucket", (F.crc32(F.col("word").cast("binary")) % buckets).cast("int")))
-    held = others.groupBy("bucket").agg(F.sum("n").alias("total"))
+    totals = others.groupBy("bucket").agg(F.sum("n").alias("total"))
     outputs = np.zeros(classes * classes)
     outputs[:len(top)] = [n for _, n in top]
-    for r in held.collect():
+    for r in totals.collect():
         outputs[kept + r.bucket] = r.total
-    shares = others.join(F.broadcast(held), "bucket").select("word", F.round(F.log(F.col("n") / F.col("total")) * FIXED).cast("long").alias("share"))
+    shares = others.join(F.broadcast(totals), "bucket").select(
+        "word", "bucket", F.round(F.log(F.col("n") / F.col("total")) * FIXED).cast("long").alias("share"),
+        (F.lit(False) if known is None else F.col("size") >= F.lit(known)).alias("known"))
     return [w for w, _ in top], outputs, shares
 
 
-def train(docs: DataFrame) -> tuple[list[str], np.ndarray, DataFrame]:
-    """(frequent words, flat parameters, table of the other words' shares) learnt
-    from all texts."""
+def train(docs: DataFrame) -> tuple[Broadcast, np.ndarray, DataFrame]:
+    """(vocabulary for the workers, flat parameters, table of the shares of the rare words not in it)
+    learnt from all texts."""
     frequent, counts, shares = word_counts(docs)
-    flat = initial(counts)
+    flat, words = initial(counts), sent_words(frequent, shares)
     for r in range(ROUNDS):
-        flat, _ = train_round(docs, r, frequent, flat)
-    return frequent, flat, shares
+        flat, _ = train_round(docs, r, frequent, flat, words)
+    return words, flat, shares.where("not known")
+
+
+def sent_words(frequent: list[str], shares: DataFrame) -> Broadcast:
+    """The frequent words and those of known share, under a name."""
+    given = shares.where("known").select("word", "bucket", "share").toArrow()
+    return shares.sparkSession.sparkContext.broadcast((uuid.uuid4().hex, frequent, given))
+
+
+def _vocabulary(words: Broadcast, classes: int) -> Vocabulary:
+    """The worker's own, kept from task to task."""
+    name, frequent, given = words.value
+    return held(("lm_score", name), lambda: Vocabulary(frequent, classes, given))
 
 
-def train_round(docs: DataFrame, r: int, frequent: list[str], flat: np.ndarray) -> tuple[np.ndarray, int]:
+def train_round(docs: DataFrame, r: int, frequent: list[str], flat: np.ndarray, words: Broadcast | None = None) -> tuple[np.ndarray, int]:
     """Round ``r`` over its part of the texts: (parameters, positions descended on)."""
-    classes = classes_of(len(flat))
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, flat))
+    classes, sc = classes_of(len(flat)), docs.sparkSession.sparkContext
+    words = words or sc.broadcast((uuid.uuid4().hex, frequent, None))
+    shared = sc.broadcast(flat)
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, start = shared.value
         rng = np.random.default_rng([r, TaskContext.get().partitionId()])
-        found, n = train_part((b.column(0).to_pylist() for b in batches), Vocabulary(words, classes), start, rng, masked=1.0)
+        found, n = train_part((b.column(0).to_pylist() for b in batches), _vocabulary(words, classes), shared.value, rng, masked=1.0)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(found), dtype=np.int32)), pa.array(found.astype(float)),
                                               pa.array(np.full(len(found), float(n)))], ["i", "x", "n"])
@@ -338,35 +421,36 @@ def score(docs: DataFrame) -> DataFrame:
     are dealt to partitions: each partition descends in its own order before the
     averages, so scores of two differently split runs differ slightly."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    frequent, flat, shares = train(docs)
-    shared = docs.sparkSession.sparkContext.broadcast((frequent, flat))
-    columns = ["row", "word", "times", "doc_id", "n_words", "network", "text_key"]
-    types = [pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.string()]
+    words, flat, shares = train(docs)
+    classes, shared = classes_of(len(flat)), docs.sparkSession.sparkContext.broadcast(flat)
+    schema = pa.schema([("row", pa.int64()), ("word", pa.string()), ("times", pa.int32()), ("doc_id", pa.int64()), ("n_words", pa.int64()),
+                        ("network", pa.float64()), ("known", pa.int64()), ("key1", pa.int64()), ("key2", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, flat = shared.value
-        vocab, p = Vocabulary(words, classes_of(len(flat))), unpacked(flat)
-        known, row = frozenset(words), TaskContext.get().partitionId() << 40
+        vocab, p, row = _vocabulary(words, classes), unpacked(shared.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            texts, out = batch.column("text").to_pylist(), [[] for _ in columns]
-            keys = batch.column("text_key").to_pylist()
-            for doc_id, text, key, (n, x) in zip(batch.column("doc_id").to_pylist(), texts, keys, score_texts(texts, vocab, p)):
-                rare = Counter(w for w in words_of(text) if w not in known)
+            at, keys = 0, np.frombuffer(b"".join(batch.column("text_key").to_pylist()), np.int64).reshape(-1, 2)
+            for lengths, sums, known, others in score_chunks(batch.column("text").to_pylist(), vocab, p):
+                n, here = len(lengths), slice(at, at + len(lengths))
                 # the document's own row goes through the join under a key that is no word
-                for col, values in zip(out, ([row] * (len(rare) + 1), [f" {row}", *rare], [0, *rare.values()], [doc_id] + [None] * len(rare),
-                                             [n] + [None] * len(rare), [x] + [None] * len(rare), [key] + [None] * len(rare))):
-                    col += values
-                row += 1
-                if len(out[0]) >= EMITTED:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], columns)
-                    out = [[] for _ in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], columns)
-
-    keyed = docs.withColumn("text_key", F.md5(F.coalesce("text", F.lit(""))))
-    rows = keyed.mapInArrow(run, "row long, word string, times int, doc_id long, n_words long, network double, text_key string")
-    sums = cut_lineage(rows.join(shares, "word", "left").groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), F.max("text_key").alias("text_key"),
-        F.max("network").alias("network"), F.coalesce(F.sum(F.col("times") * F.col("share")), F.lit(0)).alias("rare")))
-    alike = sums.groupBy("text_key").agg(F.min("network").alias("of_all"))
-    return (sums.join(alike, "text_key").withColumn("log_prob", F.col("of_all") + F.col("rare") / FIXED)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(row, row + n)), pa.array([f" {i}" for i in range(row, row + n)]), pa.array(np.zeros(n, np.int32)),
+                     batch.column("doc_id").slice(at, n), pa.array(lengths, pa.int64()), pa.array(sums), pa.array(known),
+                     pa.array(keys[here, 0]), pa.array(keys[here, 1])], schema=schema)
+                pairs, times = list(others), list(others.values())
+                for k in range(0, len(pairs), EMITTED):
+                    some = pairs[k:k + EMITTED]
+                    mine = [pa.array([row + i for i, _ in some], pa.int64()), pa.array([w for _, w in some], pa.string()),
+                            pa.array(times[k:k + EMITTED], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(mine + [pa.nulls(len(some), f.type) for f in list(schema)[3:]], schema=schema)
+                at, row = at + n, row + n
+
+    keyed = docs.withColumn("text_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    rows = keyed.mapInArrow(run, "row long, word string, times int, doc_id long, n_words long, network double, known long, key1 long, key2 long")
+    # of these columns a document has one value, and none of them is text: they are summed up by hash
+    own = ["doc_id", "n_words", "network", "known", "key1", "key2"]
+    sums = cut_lineage(rows.join(shares.select("word", "share"), "word", "left").groupBy("row").agg(
+        *[F.max(c).alias(c) for c in own], F.coalesce(F.sum(F.col("times") * F.col("share")), F.lit(0)).alias("rare")))
+    alike = sums.groupBy("key1", "key2").agg(F.min("network").alias("of_all"))
+    return (sums.join(alike, ["key1", "key2"]).withColumn("log_prob", F.col("of_all") + (F.col("known") + F.col("rare")) / FIXED)
             .select("doc_id", "n_words", "log_prob", F.when(F.col("n_words") > 0, F.col("log_prob") / F.col("n_words")).alias("mean_log_prob")))

@@ -124,3 +124,42 @@ def test_training_predicts_every_position(spark):
     frequent, counts, _ = LM.word_counts(docs)
     start = LM.initial(counts)
     assert sum(LM.train_round(docs, i, frequent, start)[1] for i in range(LM.ROUNDS)) == 50 * 180 + 1
+
+
+def test_gradient_whatever_classes_are_multiplied_together(monkeypatch):
+    r, flat = np.random.default_rng(2), random_network()
+    context, target = r.integers(0, LM.VOCAB + 1, (300, 4)), r.integers(0, LM.VOCAB, 300) // r.integers(1, 40, 300)
+    want = None
+    for few in (0, 3, 8, 1000):
+        monkeypatch.setattr(LM, "FEW", few)
+        got = LM.gradient(LM.unpacked(flat), context, target)
+        want = got if want is None else want
+        assert got == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize("known", [0, 700, 1 << 18])
+def test_known_shares_are_not_joined(spark, monkeypatch, known):
+    """Scores do not depend on how many rare words the workers are given; those given leave the join."""
+    r = random.Random(8)
+    texts = [" ".join(f"w{min(int(r.expovariate(0.002)), 2500)}" for _ in range(60)) for _ in range(400)] + [None, "", "w0 " * 50 + "w2499 only once"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(2)
+    n = Counter(w for t in texts for w in LM.words_of(t))
+    frequent, _, shares = LM.word_counts(docs)
+    want = {x.word: x.share for x in shares.collect()}
+    monkeypatch.setattr(LM, "KNOWN", known)
+    words, flat, others = LM.train(docs)
+    _, top, given = words.value
+    left = {x.word: x.share for x in others.collect()}
+    sent = dict(zip(given.column("word").to_pylist(), given.column("share").to_pylist()))
+    assert not left.keys() & sent.keys() and {**left, **sent} == want
+    assert len(sent) <= known + len(frequent) and (known < len(want) or not left) and (known or not sent)
+    assert not left or not sent or min(n[w] for w in sent) >= max(n[w] for w in left)
+    vocab, p = LM.Vocabulary(top, LM.classes_of(len(flat)), given), LM.unpacked(flat)
+    plain = LM.score_texts(texts, LM.Vocabulary(top, LM.classes_of(len(flat))), p)
+    (_, sums, shared, rest), = LM.score_chunks(texts, vocab, p)
+    assert sums == pytest.approx([x for _, x in plain], abs=1e-6) and all(w in left for _, w in rest)
+    assert shared.tolist() == [sum(sent.get(w, 0) for w in LM.words_of(t)) for t in texts]
+    out = {x.doc_id: x for x in LM.score(docs).collect()}
+    for i, (text, (count, network)) in enumerate(zip(texts, plain)):
+        rare = Counter(w for w in LM.words_of(text) if w in want)
+        assert (out[i].n_words, out[i].log_prob) == (count, pytest.approx(network + sum(k * want[w] for w, k in rare.items()) / LM.FIXED, abs=1e-4))
