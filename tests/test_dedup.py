@@ -1,6 +1,9 @@
 """Dedup rules (C1, C2, C3, K1) as tiny DataFrames, and K1 against the
 sequential loop on the smallest driver table."""
 
+import math
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -178,3 +181,32 @@ def test_given_vectors_use_every_embedding(spark, tmp_path):
     assert len(got) == 720 and [d for d in sorted(got) if got[d].kept] == kept
     story = {x.doc_id: x for x in QUERIES["story_given_all"](spark, str(tmp_path)).collect()}
     assert [d for d in sorted(story) if story[d].is_new_cluster] == firsts(kept, 0.3)
+
+
+def test_keys_of_more_blocks_find_the_same_pairs(spark, monkeypatch):
+    """All pairs within the limit, each once, however many blocks a key has; rows of one fingerprint are counted."""
+    import random
+    r = random.Random(5)
+    base = [r.getrandbits(128) for _ in range(30)]
+    flip = lambda x, n: x ^ sum(1 << i for i in r.sample(range(128), n))
+    prints = base + [flip(x, n) for x in base for n in (1, 3, 6, 11, 12)] + base[:7] + [0, (1 << 128) - 1]
+    half = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(half(x >> 64), half(x & (1 << 64) - 1)) for x in prints] + [(None, None)] * 2
+    df = spark.createDataFrame(rows, "sim_hi long, sim_lo long")
+    n, keys = Counter(rows[:-2]), sorted(set(rows[:-2]))
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+    for limit, together in ((3, (1, 3)), (11, (1, 2))):
+        want = sorted((*a, *b, apart(a, b), n[a], n[b]) for a in keys for b in keys if a < b and apart(a, b) <= limit)
+        for k in together:
+            monkeypatch.setattr(DD, "LONG_KEY", 999)
+            monkeypatch.setattr(DD, "plan_blocks", lambda rows, limit: (limit + k, k))
+            got = DD.simhash_pairs(df, limit).select("hi", "lo", "nhi", "nlo", "dist", "n", "nn").collect()
+            assert sorted(map(tuple, got)) == want and len(want) > 30
+
+
+def test_chance_pairs_stay_in_proportion():
+    """Pairs of unlike fingerprints that share a key, by fingerprint: they do not grow with the table."""
+    met = lambda rows: (lambda b, k: math.comb(b, k) * rows / 2 ** (128 * k / b))(*DD.plan_blocks(rows, 11))
+    assert DD.plan_blocks(10_000, 11) == (12, 1) and DD.plan_blocks(10 ** 6, 11) == (13, 2)
+    assert all(met(n) < 1500 for n in (10 ** 4, 10 ** 5, 10 ** 6, 3 * 10 ** 6, 10 ** 7))
+    assert all(len(DD.block_masks(b, k)) == math.comb(b, k) for b, k in ((12, 1), (13, 2), (14, 3)))
