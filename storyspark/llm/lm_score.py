@@ -36,6 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -53,9 +54,9 @@ MASKED = 0.2                     # share of positions train_part predicts unless
 BATCH = 512                      # positions per descent step
 RATE = 0.1                       # Adagrad step
 BLOCK = 1 << 14                  # positions scored at a time
-CHUNK_WORDS = 1 << 18            # words turned to ids at a time, but whole documents
-CACHE = 400_000                  # rare words whose bucket a worker remembers
-KNOWN = 1 << 18                  # of these, the most whose shares it is given
+CHUNK_WORDS = 1 << 18            # words dealt with at a time, but whole documents
+SPLIT = 1 << 24                  # characters split into words at a time, but whole documents
+KNOWN = 1 << 18                  # rare words whose shares a worker is given, at most
 FEW = 8                          # positions up to which the classes of a step are multiplied together
 OFFSETS = [d for d in range(-WINDOW, WINDOW + 1) if d]
 FIXED = 2.0 ** 32                # shares are summed as whole numbers, so order does not matter
@@ -75,25 +76,47 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
-class Vocabulary(dict):
+def split_words(texts: list[str | None]) -> Iterator[tuple[np.ndarray, pa.Array]]:
+    """Blocks of whole documents: (words per document, all their words), the words of ``words_of``."""
+    at = 0
+    while at < len(texts):
+        block, chars = [], 0
+        while at < len(texts) and chars < SPLIT:
+            block.append((texts[at] or "").lower().strip())      # an edge of white space would give an empty word
+            chars, at = chars + len(block[-1]), at + 1
+        lists = pc.utf8_split_whitespace(pa.array([text for text in block if text], pa.string()))
+        lengths = np.zeros(len(block), np.int64)
+        lengths[[i for i, text in enumerate(block) if text]] = pc.list_value_length(lists).to_numpy()
+        yield lengths, lists.flatten()
+
+
+class Vocabulary:
     """word -> output id; a rare word goes to a bucket. Ids end at ``size``. Rare words whose
     bucket and share are ``given`` (word, bucket, share) have places of their own beyond ``size``."""
 
     def __init__(self, frequent: list[str], classes: int = CLASSES, given: pa.Table | None = None):
-        super().__init__((w, i) for i, w in enumerate(frequent))
-        self.known, self.size, self.buckets = len(self), classes * classes, buckets_of(classes)
-        self[""] = self.size                                # the pad
+        self.size, self.buckets = classes * classes, buckets_of(classes)      # size is the pad
+        self.words, places = pa.array(frequent, pa.string()), np.arange(len(frequent))
         self.outputs, self.shares = np.arange(self.size + 1), np.zeros(self.size + 1, np.int64)
         if given is not None:
-            self.update(zip(given.column("word").to_pylist(), range(self.size + 1, self.size + 1 + len(given))))
+            self.words = pa.concat_arrays([self.words, *given.column("word").cast(pa.string()).chunks])
+            places = np.concatenate([places, self.size + 1 + np.arange(len(given))])
             self.outputs = np.concatenate([self.outputs, self.size - self.buckets + given.column("bucket").to_numpy()])
             self.shares = np.concatenate([self.shares, given.column("share").to_numpy()])
+        self._places = np.append(places, 0).astype(np.int32)                  # the last one for words not found
 
-    def __missing__(self, word: str) -> int:
-        i = self.size - self.buckets + zlib.crc32(word.encode("utf-8", "surrogatepass")) % self.buckets
-        if len(self) < self.known + CACHE and len(word) <= 64:
-            self[word] = i
-        return i
+    def places(self, words: pa.Array) -> np.ndarray:
+        """Of many words at a time, as the words to look up are hashed anew by each call."""
+        at = pc.index_in(words, value_set=self.words).fill_null(-1).to_numpy()
+        found, other = self._places.take(at), np.flatnonzero(at < 0)
+        if len(other):
+            rare = words.take(pa.array(other)).dictionary_encode()
+            codes = [zlib.crc32(w.encode()) for w in rare.dictionary.to_numpy(zero_copy_only=False)]
+            found[other] = (self.size - self.buckets + np.array(codes) % self.buckets).take(rare.indices.to_numpy())
+        return found
+
+    def __getitem__(self, word: str) -> int:
+        return int(self.places(pa.array([word], pa.string()))[0])
 
 
 def shapes(classes: int) -> list[tuple[str, tuple[int, ...]]]:
@@ -138,20 +161,29 @@ def initial(counts: np.ndarray, seed: int = 5) -> np.ndarray:
     return flat
 
 
-def _softmax(z: np.ndarray) -> np.ndarray:
-    """Of each column; z is overwritten."""
-    z -= z.max(axis=0)
+def _exp(z: np.ndarray) -> np.ndarray:
+    """The sum of each row's exponentials, which overwrite z."""
     np.exp(z, out=z)
-    z /= z.sum(axis=0)
+    return z @ np.ones(z.shape[1], z.dtype)
+
+
+def _shifted(z: np.ndarray) -> np.ndarray:
+    """z with each row less its greatest, if a sum of exponentials might overflow or vanish else."""
+    if z.size and not -80 < z.min() <= z.max() < 80:
+        z -= z.max(axis=1, keepdims=True)
+    return z
+
+
+def _softmax(z: np.ndarray, scale: float) -> np.ndarray:
+    """Of each row, times ``scale``; z is overwritten."""
+    z *= (scale / _exp(_shifted(z)))[:, None]
     return z
 
 
 def _log_softmax_at(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Each column's log-softmax at one place; z is overwritten."""
-    z -= z.max(axis=0)
-    picked = z[at, np.arange(len(at))]
-    np.exp(z, out=z)
-    return picked - np.log(z.sum(axis=0))
+    """Each row's log-softmax at one place of z, counted through; z is overwritten."""
+    picked = _shifted(z).reshape(-1).take(at)
+    return picked - np.log(_exp(z))
 
 
 def _by_class(cls: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -165,21 +197,31 @@ def _layers(p: dict[str, np.ndarray], context: np.ndarray) -> tuple[np.ndarray,
     x = np.ones((len(context), 2 * WINDOW * DIM + 1), p["w"].dtype)
     x[:, :-1] = p["embed"].take(context, axis=0).reshape(len(context), -1)
     hidden = np.ones((len(context), HIDDEN + 1), x.dtype)
-    hidden[:, :-1] = np.tanh(x @ p["w"])
+    t = x @ p["w"]                               # its tanh is 1 - 2 / (1 + exp(2t)), for float32 the quicker way
+    np.minimum(t, 30, out=t)
+    t += t
+    np.exp(t, out=t)
+    t += 1
+    np.divide(-2, t, out=t)
+    np.add(t, 1, out=hidden[:, :-1])
     return x, hidden
 
 
 def log_probs(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray) -> np.ndarray:
     """log p(target | context) of each row; context holds 2 x WINDOW ids."""
     classes = len(p["ww"])
-    _, hidden = _layers(p, context)
-    cls, inner = np.divmod(target, classes)
-    out = _log_softmax_at(p["cw"].T @ hidden.T, cls)
-    order, sizes, starts = _by_class(cls, classes)
-    h, inner = hidden.take(order, axis=0), inner[order]
+    order, sizes, starts = _by_class(target // classes, classes)
+    target = target.take(order)
+    cls, rows = target // classes, classes * np.arange(len(target))
+    _, hidden = _layers(p, context.take(order, axis=0))
+    z = hidden @ p["cw"]
+    logs = _log_softmax_at(z, rows + cls)
     for c in np.flatnonzero(sizes).tolist():
         part = slice(starts[c], starts[c] + sizes[c])
-        out[order[part]] += _log_softmax_at(p["ww"][c].T @ h[part].T, inner[part])
+        np.matmul(hidden[part], p["ww"][c], out=z[part])
+    logs += _log_softmax_at(z, rows + (target - cls * classes))
+    out = np.empty_like(logs)
+    out[order] = logs
     return out
 
 
@@ -192,68 +234,69 @@ def gradient(p: dict[str, np.ndarray], context: np.ndarray, target: np.ndarray,
         flat = np.empty(size_of(classes), p["w"].dtype)
         into = flat, unpacked(flat)
     flat, g = into
-    flat[:] = 0
-    x, hidden = _layers(p, context)
-    cls = target // classes
-    inner = target - cls * classes
-    dz = _softmax(p["cw"].T @ hidden.T)
-    dz[cls, np.arange(n)] -= 1
-    np.matmul(hidden.T, dz.T, out=g["cw"])
-    dh = dz.T @ p["cw"].T
     # Rows by class: first the classes of many, one product each; then those of few, each filled up
     # to FEW rows (of zeros, which add nothing) and multiplied in one call
-    order, sizes, starts = _by_class(cls, classes)
+    cls = target // classes
+    sizes = np.bincount(cls, minlength=classes)
     many, few = np.flatnonzero(sizes > FEW), np.flatnonzero((sizes > 0) & (sizes <= FEW))
-    ends, begin = np.cumsum(sizes[many]), np.zeros(classes, np.int64)
-    begin[many] = ends - sizes[many]
+    rank = np.empty(classes, np.uint16)
+    rank[many], rank[few] = np.arange(len(many)), np.arange(len(many), len(many) + len(few))
+    order = rank.take(cls).argsort(kind="stable")
+    context, cls, target = context.take(order, axis=0), cls.take(order), target.take(order)
+    rows = classes * np.arange(n)
+    x, hidden = _layers(p, context)
+    scale = 1 / n
+    dz = _softmax(hidden @ p["cw"], scale)
+    dz.reshape(-1)[rows + cls] -= scale
+    np.matmul(hidden.T, dz, out=g["cw"])
+    dh = dz @ p["cw"].T
+    ends = sizes[many].cumsum()
     full = int(ends[-1]) if len(many) else 0
-    begin[few] = full + FEW * np.arange(len(few))
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n) + (begin - starts)[cls[order]]
-    h = np.zeros((full + FEW * len(few), HIDDEN + 1), x.dtype)
-    h[place] = hidden
-    dz, back, rest = np.empty((len(h), classes), x.dtype), np.empty_like(h), (len(few), FEW, -1)
     parts = [(c, slice(e - k, e)) for c, e, k in zip(many.tolist(), ends.tolist(), sizes[many].tolist())]
-    w = p["ww"].take(few, axis=0)
     for c, part in parts:
-        np.matmul(h[part], p["ww"][c], out=dz[part])
+        np.matmul(hidden[part], p["ww"][c], out=dz[part])
     if len(few):
-        dz[full:] = np.matmul(h[full:].reshape(rest), w).reshape(-1, classes)
-    dz = _softmax(dz.T.copy()).T
-    dz[place, inner] -= 1
+        k, w, shape = sizes[few], p["ww"].take(few, axis=0), (len(few), FEW, -1)
+        place = np.arange(n - full) + (FEW * np.arange(len(few)) - (k.cumsum() - k)).repeat(k)
+        h = np.zeros((len(few) * FEW, HIDDEN + 1), x.dtype)
+        h[place] = hidden[full:]
+        dz[full:] = np.matmul(h.reshape(shape), w).reshape(-1, classes).take(place, axis=0)
+    _softmax(dz, scale)
+    dz.reshape(-1)[rows + (target - cls * classes)] -= scale
     for c, part in parts:
-        np.matmul(h[part].T, dz[part], out=g["ww"][c])
-        np.matmul(dz[part], p["ww"][c].T, out=back[part])
+        np.matmul(hidden[part].T, dz[part], out=g["ww"][c])
+        dh[part] += dz[part] @ p["ww"][c].T
     if len(few):
-        d = dz[full:].reshape(rest)
-        g["ww"][few] = np.matmul(h[full:].reshape(rest).transpose(0, 2, 1), d)
-        back[full:] = np.matmul(d, w.transpose(0, 2, 1)).reshape(-1, HIDDEN + 1)
-    dh += back.take(place, axis=0)
+        d = np.zeros((len(few) * FEW, classes), x.dtype)
+        d[place] = dz[full:]
+        d = d.reshape(shape)
+        g["ww"][few] = np.matmul(h.reshape(shape).transpose(0, 2, 1), d)
+        dh[full:] += np.matmul(d, w.transpose(0, 2, 1)).reshape(-1, HIDDEN + 1).take(place, axis=0)
+    g["ww"][sizes == 0] = 0
     hidden *= hidden
     dh *= np.subtract(1, hidden, out=hidden)     # nothing is left of the ones
     dh = dh[:, :-1]
     np.matmul(x.T, dh, out=g["w"])
-    places = (context.reshape(-1, 1) * DIM + np.arange(DIM)).ravel()
-    np.add.at(g["embed"].reshape(-1), places, (dh @ p["w"][:-1].T).ravel())
-    flat /= n
+    g["embed"][:] = 0
+    places = np.arange(g["embed"].size).reshape(-1, DIM).take(context.reshape(-1), axis=0)
+    np.add.at(g["embed"].reshape(-1), places.reshape(-1), (dh @ p["w"][:-1].T).reshape(-1))
     return flat
 
 
-def _flat_ids(texts: list[str | None], vocab: Vocabulary) -> Iterator[tuple[list[int], list[str], np.ndarray, np.ndarray]]:
-    """Chunks of whole documents: (words per document, words with WINDOW pads around each
-    document, their places in the vocabulary, the positions that hold a word)."""
-    lengths, held_words = [], []
-    pad = [""] * WINDOW
-    for i, text in enumerate(texts):
-        words = words_of(text)
-        lengths.append(len(words))
-        held_words += pad
-        held_words += words
-        held_words += pad
-        if len(held_words) >= CHUNK_WORDS or i == len(texts) - 1:
-            flat = np.fromiter(map(vocab.__getitem__, held_words), np.int32, len(held_words))
-            yield lengths, held_words, flat, np.flatnonzero(flat != vocab.size)
-            lengths, held_words = [], []
+def _flat_ids(texts: list[str | None], vocab: Vocabulary) -> Iterator[tuple[np.ndarray, pa.Array, np.ndarray, np.ndarray]]:
+    """Chunks of whole documents: (words per document, the words, their places in the vocabulary
+    with WINDOW pads around each document, the positions that hold a word)."""
+    for lengths, words in split_words(texts):
+        known, ends, padded, at = vocab.places(words), np.cumsum(lengths), np.cumsum(lengths + 2 * WINDOW), 0
+        while at < len(lengths):
+            first, before = (ends[at - 1], padded[at - 1]) if at else (0, 0)
+            to = min(int(np.searchsorted(padded, before + CHUNK_WORDS)) + 1, len(lengths))
+            some, here = lengths[at:to], known[first:ends[to - 1]]
+            places = np.arange(len(here)) + (WINDOW * np.arange(1, 2 * len(some), 2)).repeat(some)
+            flat = np.full(len(here) + 2 * WINDOW * len(some), vocab.size, np.int32)
+            flat[places] = here
+            yield some, words.slice(first, len(here)), flat, places
+            at = to
 
 
 def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng: np.random.Generator,
@@ -282,45 +325,37 @@ def train_part(texts: Iterator[list], vocab: Vocabulary, start: np.ndarray, rng:
 
 
 def score_chunks(texts: list[str | None], vocab: Vocabulary,
-                 p: dict[str, np.ndarray]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, Counter]]:
+                 p: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, Counter]]:
     """Of the texts, some at a time: their words, sums of conditional log-probabilities of
     the outputs, sums of the shares the vocabulary knows, and how often (text of these, word) of the other rare words occurs."""
     offsets = np.array(OFFSETS)
     for lengths, words, known, places in _flat_ids(texts, vocab):
-        ids, logs = vocab.outputs.take(known), np.empty(len(places))
+        ids, logs, known = vocab.outputs.take(known), np.empty(len(places)), known.take(places)
         for at in range(0, len(places), BLOCK):
             some = places[at:at + BLOCK]
             logs[at:at + BLOCK] = log_probs(p, ids.take(some[:, None] + offsets), ids.take(some))
-        sums, shares = np.concatenate([[0.0], np.cumsum(logs)]), np.concatenate([[0], np.cumsum(vocab.shares.take(known[places]))])
+        sums, shares = np.concatenate([[0.0], np.cumsum(logs)]), np.concatenate([[0], np.cumsum(vocab.shares.take(known))])
         ends = np.cumsum(lengths)
         starts = ends - lengths
         other = np.flatnonzero((known >= vocab.size - vocab.buckets) & (known < vocab.size))
-        text = np.searchsorted(ends + 2 * WINDOW * np.arange(1, len(ends) + 1), other, side="right")
+        text, rare = np.searchsorted(ends, other, side="right"), words.take(pa.array(other)).to_numpy(zero_copy_only=False)
         yield (lengths, sums[ends] - sums[starts], shares[ends] - shares[starts],
-               Counter(zip(text.tolist(), map(words.__getitem__, other.tolist()))))
+               Counter(zip(text.tolist(), rare.tolist())))
 
 
 def score_texts(texts: list[str | None], vocab: Vocabulary, p: dict[str, np.ndarray]) -> list[tuple[int, float]]:
     """(words, sum of conditional log-probabilities of the outputs) of each text."""
-    return [pair for lengths, sums, _, _ in score_chunks(texts, vocab, p) for pair in zip(lengths, sums.tolist())]
+    return [pair for lengths, sums, _, _ in score_chunks(texts, vocab, p) for pair in zip(lengths.tolist(), sums.tolist())]
 
 
 def count_words(docs: DataFrame) -> DataFrame:
-    """``(word, n)`` of all texts: counts per worker, then summed."""
+    """``(word, n)`` of all texts: counts per block of texts, then summed."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.update(words_of(text))
-                if len(found) > CACHE // 4:
-                    yield from emitted(found)
-                    found.clear()
-        yield from emitted(found)
-
-    def emitted(found: Counter) -> Iterator[pa.RecordBatch]:
-        words, n = list(found), list(found.values())
-        for at in range(0, len(words), EMITTED):
-            yield pa.RecordBatch.from_arrays([pa.array(words[at:at + EMITTED], pa.string()), pa.array(n[at:at + EMITTED], pa.int64())], ["word", "n"])
+            for _, words in split_words(batch.column(0).to_pylist()):
+                found = pa.RecordBatch.from_arrays(words.value_counts().flatten(), ["word", "n"])
+                for at in range(0, len(found), EMITTED):
+                    yield found.slice(at, EMITTED)
 
     return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -5,6 +5,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from storyspark.llm import lm_score as LM
@@ -163,3 +164,57 @@ def test_known_shares_are_not_joined(spark, monkeypatch, known):
     for i, (text, (count, network)) in enumerate(zip(texts, plain)):
         rare = Counter(w for w in LM.words_of(text) if w in want)
         assert (out[i].n_words, out[i].log_prob) == (count, pytest.approx(network + sum(k * want[w] for w, k in rare.items()) / LM.FIXED, abs=1e-4))
+
+
+def test_words_split_together_are_those_of_each_text(monkeypatch):
+    every = [f"a{chr(c)}B{chr(c)}" for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    texts = ["", None, " \x1c\u2003 ", "\x85One  TWO\x1fthree\u2028", "\u0130\u03a3 \u03a3\u03a3 \u200bx", *every]
+    for some, split in ((texts, LM.SPLIT), (texts[:9], 10)):
+        monkeypatch.setattr(LM, "SPLIT", split)
+        got, want = list(LM.split_words(some)), [LM.words_of(t) for t in some]
+        assert (len(got) > 1) == (split == 10)
+        assert [k for n, _ in got for k in n.tolist()] == [len(w) for w in want]
+        assert [w for _, words in got for w in words.to_pylist()] == [w for ws in want for w in ws]
+
+
+def test_places_of_many_words():
+    given = pa.table({"word": ["g1", "g2"], "bucket": pa.array([3, 5], pa.int32()), "share": pa.array([-7, -9], pa.int64())})
+    vocab = LM.Vocabulary(["f0", "f1"], given=given)
+    words = ["f1", "other", "g2", "f0", "other", "\u00e9t\u00e9", "g1"]
+    bucket = lambda w: LM.VOCAB - LM.HASHED + zlib.crc32(w.encode()) % LM.HASHED
+    want = [1, bucket("other"), LM.VOCAB + 2, 0, bucket("other"), bucket("\u00e9t\u00e9"), LM.VOCAB + 1]
+    assert vocab.places(pa.array(words)).tolist() == want == [vocab[w] for w in words]
+    assert vocab.outputs[want].tolist() == [i if i < LM.VOCAB else LM.VOCAB - LM.HASHED + (3, 5)[i - LM.VOCAB - 1] for i in want]
+    assert len(vocab.places(pa.array([], pa.string()))) == 0
+
+
+def test_extreme_outputs_neither_overflow_nor_vanish():
+    r, flat = np.random.default_rng(2), random_network().astype(np.float32)
+    p = LM.unpacked(flat)
+    p["cw"][-1], p["ww"][:, -1] = r.choice([-500, 500], LM.CLASSES), r.choice([-300, -100], (LM.CLASSES, LM.CLASSES))
+    p["w"][-1] = r.choice([-90, 90], LM.HIDDEN)
+    context, target = r.integers(0, LM.VOCAB + 1, (60, 4)), r.integers(0, LM.VOCAB, 60)
+    with np.errstate(all="raise", under="ignore"):
+        logs, g = LM.log_probs(p, context, target), LM.gradient(p, context, target)
+    exact = LM.unpacked(flat.astype(float))
+    assert logs == pytest.approx(LM.log_probs(exact, context, target), rel=1e-5, abs=1e-3) and np.isfinite(g).all()
+    assert logs.min() < -400
+
+
+def test_vocabulary_is_looked_up_once_for_all_chunks(monkeypatch):
+    """One lookup, which hashes the vocabulary, serves a whole block, and chunks do not change what is seen."""
+    vocab, calls, places = LM.Vocabulary([f"w{i}" for i in range(50)]), [], LM.Vocabulary.places
+    monkeypatch.setattr(LM.Vocabulary, "places", lambda self, words: calls.append(len(words)) or places(self, words))
+    monkeypatch.setattr(LM, "CHUNK_WORDS", 12)
+    texts = ["w1 w2 x", None, "w3", "", "w4 y z w5 w6 w7 w8 w9 w10 w11", "w12"]
+    chunks = list(LM._flat_ids(texts, vocab))
+    assert calls == [15] and len(chunks) > 1
+    pad = [vocab.size] * LM.WINDOW
+    for lengths, words, flat, at in chunks:
+        words, want = words.to_pylist(), []
+        assert len(words) == lengths.sum() == len(at)
+        for end, n in zip(np.cumsum(lengths).tolist(), lengths.tolist()):
+            want += pad + [vocab[w] for w in words[end - n:end]] + pad
+        assert flat.tolist() == want
+        assert flat[at].tolist() == [vocab[w] for w in words]
+    assert [n for lengths, *_ in chunks for n in lengths.tolist()] == [len(LM.words_of(t)) for t in texts]
