@@ -94,3 +94,19 @@ def test_pairs_come_from_the_blocks_without_a_shuffle(spark):
     assert "CartesianProduct" in plan and "Exchange" not in plan
     u = m.astype(float) / np.linalg.norm(m.astype(float), axis=1, keepdims=True)
     assert pairs.count() == np.count_nonzero(np.triu(u @ u.T, 1) >= 0.5)
+
+
+def test_first_look_bounds_the_cosine():
+    """Shorter rows never show less than the cosine, and the pairs are those of whole vectors."""
+    import numpy as np
+    from storyspark.operators import vectors as V
+    g = np.random.default_rng(2)
+    centre = g.normal(size=(6, 128))
+    x, y = (((centre[g.integers(0, 6, 4200)] + 0.4 * g.normal(size=(4200, 128))) * np.linspace(3, 0.1, 128)).astype("float32") for _ in range(2))
+    y[:40] = x[:40] * 2
+    ux, uy = V._unit(x), V._unit(y)
+    lx, ly = V._first_look(ux, uy, 0.99)
+    assert lx.shape[1] < 128
+    assert (lx[:900] @ ly[:900].T >= ux[:900] @ uy[:900].T - 1e-5).all()
+    got = {(int(a), int(b)) for i, j, _ in V._pairs_at(x, y, 0.99, False) for a, b in zip(i, j)}
+    assert got == set(zip(*(k.tolist() for k in np.nonzero(ux.astype(float) @ uy.T.astype(float) >= 0.99)))) and len(got) >= 40
