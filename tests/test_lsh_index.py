@@ -128,3 +128,25 @@ def test_a_pair_in_many_buckets_comes_once(spark):
         near = L.neighbors_lsh(VE.distinct_vectors(df, "embedding"), 0.92, bits=4, tables=30, pair_bucket=bucket, block_rows=16)
         assert near.count() == near.select("vid1", "vid2", "nvid1", "nvid2").distinct().count() == 60 * 59 // 2 + 1
     assert L.signature_words(0.5, 7, 77) > L.SKETCH_WORDS       # 256 bits do not tell chance pairs at 0.5
+
+
+def test_no_row_of_a_key_is_shuffled(spark):
+    """Vectors are packed and read by the tasks of the tables; what is exchanged after that is pairs. Same pairs with
+    several slices of keys and with long buckets shared out."""
+    vectors = near_vectors(120, 16, 3, 0.2)
+    df = VE.distinct_vectors(frame(spark, vectors), "embedding")
+    want = {tuple(sorted(p)) for p in exact_pairs(vectors, 0.8)}
+    near = L.neighbors_lsh(df, 0.8, bits=3, tables=24)
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "CartesianProduct" in plan and not any(x in plan for x in ("keys#", "sig#", "FlatMapGroupsInArrow"))
+    found = set()
+    for least in (L.SLICE_BYTES, 2048):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(L, "SLICE_BYTES", least)
+            m.setattr(L, "SHORT_BUCKET", 8)
+            m.setattr(L, "SAMPLE_LEAST", 1)
+            rows = L.neighbors_lsh(df, 0.8, bits=3, tables=24, pair_bucket=10, block_rows=16).collect()
+        keys = {tuple(sorted(((r.vid1, r.vid2), (r.nvid1, r.nvid2)))) for r in rows}
+        assert len(keys) == len(rows) and len(want) * 0.95 <= len(rows) <= len(want)
+        found.add(frozenset(keys))
+    assert len(found) == 1
