@@ -210,3 +210,26 @@ def test_chance_pairs_stay_in_proportion():
     assert DD.plan_blocks(10_000, 11) == (12, 1) and DD.plan_blocks(10 ** 6, 11) == (13, 2)
     assert all(met(n) < 1500 for n in (10 ** 4, 10 ** 5, 10 ** 6, 3 * 10 ** 6, 10 ** 7))
     assert all(len(DD.block_masks(b, k)) == math.comb(b, k) for b, k in ((12, 1), (13, 2), (14, 3)))
+
+
+def test_far_fingerprints_meet_without_a_row_per_key(spark, monkeypatch):
+    """Beyond long keys, what is shuffled is the fingerprints once; same pairs with several slices, and for some that ask."""
+    import random
+    r = random.Random(9)
+    base = [r.getrandbits(128) for _ in range(60)]
+    prints = base + [x ^ sum(1 << i for i in r.sample(range(128), n)) for x in base for n in (2, 7, 11, 13)]
+    half = lambda x: x - (1 << 64) if x >> 63 else x
+    rows = [(half(x >> 64), half(x & (1 << 64) - 1)) for x in prints]
+    df = spark.createDataFrame(rows + [(None, None)], "sim_hi long, sim_lo long")
+    apart = lambda a, b: sum(((x ^ y) & (1 << 64) - 1).bit_count() for x, y in zip(a, b))
+    want = {(*a, *b, apart(a, b)) for a in rows for b in rows if a != b and apart(a, b) <= 11}
+    near = DD.simhash_neighbors(df, 11, include_self=False)
+    assert "Exchange" not in near._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(DD, "PACKED_PRINTS", 7)
+    for size in (1 << 22, 50):
+        monkeypatch.setattr(DD, "SLICE_PRINTS", size)
+        got = [tuple(x) for x in DD.simhash_neighbors(df, 11, include_self=False).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        some = spark.createDataFrame(rows[:20], "sim_hi long, sim_lo long")
+        got = [tuple(x) for x in DD.simhash_neighbors(df, 11, include_self=False, asking=some).collect()]
+        assert len(got) == len(set(got)) and set(got) == {w for w in want if w[:2] in rows[:20]}
