@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from storyspark.functions.simhash import simhash_py
 from storyspark.operators import dedup as DD
+from storyspark.operators import vectors as VE
 from storyspark.sources import tables as TB
 
 from .test_functions import _flip
@@ -233,3 +234,25 @@ def test_far_fingerprints_meet_without_a_row_per_key(spark, monkeypatch):
         some = spark.createDataFrame(rows[:20], "sim_hi long, sim_lo long")
         got = [tuple(x) for x in DD.simhash_neighbors(df, 11, include_self=False, asking=some).collect()]
         assert len(got) == len(set(got)) and set(got) == {w for w in want if w[:2] in rows[:20]}
+
+
+def test_kept_neighbours_decide_like_all(spark):
+    """With urls, fingerprints and vectors together, heads decide as all neighbours do, and the list of all is not made."""
+    g = np.random.default_rng(4)
+    n = 240
+    v = g.normal(size=(n, 10)).astype("float32")
+    v[60], v[7] = v[5], 0
+    half = lambda x: x - (1 << 64) if x >> 63 else x
+    words = [int(x) for x in g.integers(0, 2 ** 62, 40)]
+    rows = [(i, f"u{i % 200}", i, words[i % 40], half(words[(i * 7) % 40]), None if i == 9 else v[i].tolist()) for i in range(n)]
+    df = spark.createDataFrame(rows, "id long, url_hash string, arrival long, sim_hi long, sim_lo long, embedding array<float>").withColumn(
+        "extracted_at", F.timestamp_micros(F.col("arrival") * 3_600_000_000))
+    keyed = VE.key_vectors(df, "embedding").cache()
+    packed = VE.pack_blocks(VE.known_vectors(keyed, "embedding"), block_rows=64)
+    every = VE.block_pairs(packed, packed, 0.3, include_self=True, both=True)
+    told = lambda out: sorted(map(tuple, out.select("id", "kept", "stage", "duplicate_of", "distance", "score").collect()), key=str)
+    want = told(DD.dedup_decide(keyed, id_col="id", neighbors=every))
+    assert {w[2] for w in want} == {None, "url", "simhash", "vector", "no_vector"}
+    assert told(DD.dedup_decide(keyed, id_col="id", packed=packed, cos_threshold=0.3, head_rows=16)) == want
+    assert told(DD.dedup_decide(keyed, id_col="id", packed=packed, cos_threshold=0.3)) == want
+    assert DD.listed_neighbors(packed, 0.3, sample=100) is None

@@ -110,3 +110,24 @@ def test_first_look_bounds_the_cosine():
     assert (lx[:900] @ ly[:900].T >= ux[:900] @ uy[:900].T - 1e-5).all()
     got = {(int(a), int(b)) for i, j, _ in V._pairs_at(x, y, 0.99, False) for a, b in zip(i, j)}
     assert got == set(zip(*(k.tolist() for k in np.nonzero(ux.astype(float) @ uy.T.astype(float) >= 0.99)))) and len(got) >= 40
+
+
+def test_story_flow_compares_vectors_once(spark, tmp_path, monkeypatch):
+    """Of vectors with few neighbours, one product of all blocks serves both stages."""
+    import numpy as np
+    import pandas as pd
+    from storyspark.operators import clusters as CL
+    from storyspark.operators import dedup as DD
+    from storyspark.operators import vectors as V
+    from storyspark.plans import flows
+    g = np.random.default_rng(3)
+    words = [" ".join(f"w{x}" for x in g.integers(0, 10 ** 6, 40)) for _ in range(30)]
+    words += [w + " more" for w in words[:5]]
+    pd.DataFrame({"doc_id": range(35), "source": "s", "lang": "en", "text": words}).to_parquet(tmp_path / "documents.parquet")
+    pd.DataFrame({"doc_id": [0], "quality": [1], "toxic": [0]}).to_parquet(tmp_path / "labels.parquet")
+    calls, real = [], V.block_pairs
+    for module in (CL, DD, V):
+        monkeypatch.setattr(module, "block_pairs", lambda *a, **k: calls.append(1) or real(*a, **k), raising=False)
+    got = flows.story_flow(spark, str(tmp_path)).collect()
+    assert len(calls) == 1
+    assert len(got) == 35 and sorted(r.doc_id for r in got if r.stage) == list(range(30, 35))
